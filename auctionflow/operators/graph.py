@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auctionflow.operators.running import running
-from auctionflow.session import cut
+from auctionflow.session import cut, store
 
 
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -15,9 +15,9 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> Dat
     The parent is the smallest one of the level before; a root is its own parent. Each level
     joins only the last frontier with the edges and keeps the nodes not seen before.
     """
-    links = cut(edges.select("src", "dst").distinct(), "edges")
+    links = store(edges.select("src", "dst").distinct(), "edges")
     level = cut(roots.select(F.col("node"), F.lit(0).cast("bigint").alias("depth"),
-                             F.col("node").alias("parent")).distinct(), "bfs")
+                             F.col("node").alias("parent")).distinct())
     seen, depth = level, 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -27,12 +27,12 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> Dat
         )
         level = cut(
             reached.join(seen.select("node"), "node", "left_anti")
-            .select("node", F.lit(depth).cast("bigint").alias("depth"), "parent"), "bfs")
+            .select("node", F.lit(depth).cast("bigint").alias("depth"), "parent"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
         if depth % 8 == 0:
-            seen = cut(seen, "bfs")
+            seen = cut(seen)
     return seen
 
 
@@ -43,10 +43,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     (pointer jumping), so long paths shorten geometrically.
     """
     pairs = edges.select("src", "dst").filter("src <> dst")
-    links = cut(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(),
+    links = store(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(),
                 "edges")
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    state = cut(nodes.select("node", F.col("node").alias("label"), F.lit(True).alias("moved")), "components")
+    state = cut(nodes.select("node", F.col("node").alias("label"), F.lit(True).alias("moved")))
     while True:
         near = links.join(state.select(F.col("node").alias("dst"), "label"), "dst").groupBy(
             F.col("src").alias("node")).agg(F.min("label").alias("near"))
@@ -56,11 +56,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         roots = hooked.filter("label < old").groupBy(F.col("old").alias("node")).agg(
             F.min("label").alias("hook"))
         merged = cut(hooked.join(roots, "node", "left").select(
-            "node", "old", F.least("label", "hook").alias("label")), "components")
+            "node", "old", F.least("label", "hook").alias("label")))
         target = merged.select(F.col("node").alias("label"), F.col("label").alias("next"))
         state = cut(merged.join(target, "label", "left").select(
             "node", F.least("label", "next").alias("label"),
-            (F.least("label", "next") < F.col("old")).alias("moved")), "components")
+            (F.least("label", "next") < F.col("old")).alias("moved")))
         if state.filter("moved").isEmpty():
             return state.select("node", F.col("label").alias("component"))
 
@@ -80,7 +80,7 @@ def rank_links(edges: DataFrame) -> DataFrame:
     links = edges.groupBy("src", "dst").agg(F.sum("diff").alias("mult")).filter("mult <> 0")
     placed = running(links, ["src"], ["dst"], {"pos": ("count", "*")})
     degree = placed.groupBy("src").agg(F.count("*").alias("degree"))
-    return cut(placed.join(degree, "src"), "links")
+    return store(placed.join(degree, "src"), "links")
 
 
 def pagerank(edges: DataFrame, rounds: int, start: DataFrame | None = None) -> DataFrame:
@@ -99,21 +99,19 @@ def pagerank(edges: DataFrame, rounds: int, start: DataFrame | None = None) -> D
         ranks = nodes.select("node", F.coalesce("rank", F.lit(1000).cast("bigint")).alias("rank"))
     else:
         ranks = nodes.select("node", F.lit(1000).cast("bigint").alias("rank"))
-    ranks = cut(ranks, "ranks")
+    ranks = cut(ranks)
     for _ in range(rounds):
-        ranks = cut(_rank_round(links, ranks), "ranks")
+        ranks = cut(_rank_round(links, ranks))
     return ranks
 
 
 def _rank_round(links: DataFrame, ranks: DataFrame) -> DataFrame:
-    passed = F.expr("(rank * 5) div 6")
-    extra = F.when(F.col("pos") <= passed % F.col("degree"), 1).otherwise(0)
-    share = F.expr("((rank * 5) div 6) div degree")
+    share = F.expr("((rank * 5) div 6) div degree + IF(pos <= ((rank * 5) div 6) % degree, 1, 0)")
     given = (
         links.join(ranks.withColumnRenamed("node", "src"), "src")
         .groupBy(F.col("dst").alias("node"))
-        .agg(F.sum(F.col("mult") * (share + extra)).alias("given"))
+        .agg(F.sum(F.col("mult") * share).alias("given"))
     )
-    target = 1000 + F.coalesce("given", F.lit(0).cast("bigint"))
-    return ranks.join(given, "node", "left").select(
-        "node", F.when(F.abs(target - F.col("rank")) >= 6, target).otherwise(F.col("rank")).alias("rank"))
+    return ranks.join(given, "node", "left").selectExpr(
+        "node", "rank", "1000 + coalesce(given, 0L) AS target").selectExpr(
+        "node", "IF(abs(target - rank) >= 6, target, rank) AS rank")

@@ -27,7 +27,7 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], active: Co
         state = step(state)
         done += 1
         if done % cut_every == 0:
-            state = cut(state, "iterate")
+            state = cut(state)
 
 
 def collatz_steps(starts: DataFrame, column: str, per_round: int = 128) -> DataFrame:
@@ -43,31 +43,27 @@ def collatz_steps(starts: DataFrame, column: str, per_round: int = 128) -> DataF
     return end.select(column, F.col("s.steps").alias("steps"))
 
 
-def collatz_two_loops(starts: DataFrame, column: str, turns: int = 8) -> DataFrame:
+def collatz_two_loops(starts: DataFrame, column: str, turns: int = 6) -> DataFrame:
     """The same steps with two loops: halving makes even numbers odd, 3x+1 makes odd ones even.
 
     Each turn swaps the two frames, so several turns make two straight plans before the cut.
     A number that has reached 1 stays as it is in both.
     """
-    keep = [F.col(column)]
-    twos = F.log2(F.col("x").bitwiseAND(-F.col("x")).cast("double")).cast("bigint")
-    open_ = (F.col("x") != 1).cast("bigint")
-
     def halve(even: DataFrame) -> DataFrame:
-        return even.select(*keep, F.expr("x div (x & -x)").alias("x"), (F.col("steps") + twos).alias("steps"))
+        return even.selectExpr(column, "x div (x & -x) AS x",
+                               "steps + CAST(log2(CAST(x & -x AS DOUBLE)) AS BIGINT) AS steps")
 
     def triple(odd: DataFrame) -> DataFrame:
-        return odd.select(*keep, F.when(F.col("x") == 1, F.col("x")).otherwise(F.col("x") * 3 + 1).alias("x"),
-                          (F.col("steps") + open_).alias("steps"))
+        return odd.selectExpr(column, "IF(x = 1, x, x * 3 + 1) AS x", "steps + IF(x = 1, 0, 1) AS steps")
 
     def step(d: DataFrame) -> DataFrame:
         even, odd = d.filter("x % 2 = 0"), d.filter("x % 2 = 1")
         for _ in range(turns):
             even, odd = triple(odd), halve(even)
-        return even.unionByName(odd)
+        return even.unionByName(odd).hint("rebalance")
 
     state = starts.select(column).distinct().select(
-        *keep, F.col(column).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("steps"))
+        F.col(column), F.col(column).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("steps"))
     return iterate(state, step, F.col("x") != 1).select(column, "steps")
 
 

@@ -51,13 +51,12 @@ def closed_auctions(auctions: DataFrame, bids: DataFrame) -> DataFrame:
     per task before the shuffle, so an auction with very many bids sends one row per task.
     """
     rank = F.struct(F.col("price").alias("p"), (-F.unix_micros(F.col("bid_time").cast("timestamp"))).alias("t"),
-                    (-F.col("bidder")).alias("b"), F.col("bid_time"))
+                    (-F.col("bidder")).alias("b"), "bid_time", "seller", "category", "expires")
     return (
         valid_bids(auctions, bids)
-        .groupBy("auction", "seller", "category", "expires")
-        .agg(F.max(rank).alias("w"))
-        .select("auction", "seller", "category", "expires", F.col("w.p").alias("price"),
-                (-F.col("w.b")).alias("bidder"), F.col("w.bid_time").alias("bid_time"))
+        .groupBy("auction").agg(F.max(rank).alias("w"))
+        .select("auction", "w.seller", "w.category", "w.expires", F.col("w.p").alias("price"),
+                (-F.col("w.b")).alias("bidder"), "w.bid_time")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auctionflow.functions import int_div
-from auctionflow.session import cut
+from auctionflow.session import store
 
 CHUNK = "_chunk"
 _FOLD = {
@@ -35,7 +35,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     at most one carry row per chunk exists and the broadcast is bounded by the shuffle width.
     """
     order_cols = [_column(o) for o in order]
-    placed = cut(
+    placed = store(
         df.repartitionByRange(*[F.col(k) for k in keys], *order_cols)
         .withColumn(CHUNK, F.spark_partition_id()), "running")
 

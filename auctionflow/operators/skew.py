@@ -14,8 +14,8 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys holding more than 1/slots of the rows, with the number of pieces each needs.
 
     One sketch per task and one merge, whatever the number of keys. Only keys above a 1/slots
-    share pass, so the result has fewer than `slots` rows and is safe to broadcast. The counts
-    are estimates; they steer balance only, never results.
+    share pass, so the result has fewer than `slots` rows. The counts are estimates; they steer
+    balance only, never results.
     """
     n = slots(df.sparkSession)
     return (
@@ -54,13 +54,19 @@ def skew_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
               condition: Column | None = None) -> DataFrame:
     """Inner equi-join; hot keys of `big` are split and the matching rows of `small` repeated.
 
-    Column names of the two sides must differ, and `condition` may use both. The salt is
-    dropped, so a later groupBy on the key combines per task before it shuffles.
+    The hot keys, fewer than `slots` of them, are looked up first; without any, this is a plain
+    join, whose partitioning a later groupBy on the key can use. With some, the salt is dropped
+    after the join, and such a groupBy combines per task before it shuffles. Column names of the
+    two sides must differ, and `condition` may use both.
     """
-    hot = hot_keys(big, big_key)
-    left = salt_rows(big, big_key, hot)
-    right = copy_rows(small, small_key, hot).withColumnRenamed(SALT, "_salt_r")
-    on = (F.col(big_key) == F.col(small_key)) & (F.col(SALT) == F.col("_salt_r"))
+    on = F.col(big_key) == F.col(small_key)
     if condition is not None:
         on = on & condition
-    return left.join(right, on).drop(SALT, "_salt_r")
+    found = hot_keys(big, big_key)
+    rows = found.collect()
+    if not rows:
+        return big.join(small, on)
+    hot = big.sparkSession.createDataFrame(rows, found.schema)
+    left = salt_rows(big, big_key, hot)
+    right = copy_rows(small, small_key, hot).withColumnRenamed(SALT, "_salt_r")
+    return left.join(right, on & (F.col(SALT) == F.col("_salt_r"))).drop(SALT, "_salt_r")

@@ -17,6 +17,7 @@ from auctionflow.operators import udf as U
 from auctionflow.operators import verify as V
 from auctionflow.operators import windows as W
 from auctionflow.plans import auction as Q
+from auctionflow.session import spread
 from auctionflow.sources import capture, kafka
 from auctionflow.sources import tables as S
 from auctionflow.sources.custom import RowGroupSource
@@ -40,7 +41,8 @@ def _windowed(fn, *args, **kw):
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return B.flat_map_words(S.table(spark, d, "documents").withColumnRenamed("doc_id", "time"), "text", ["time"])
+    docs = spread(S.table(spark, d, "documents").select(F.col("doc_id").alias("time"), "text"))
+    return B.flat_map_words(docs, "text", ["time"])
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +192,7 @@ def state_machine_sum(spark, d):
 
 
 def delay_rows(spark, d):
-    later = F.col("ts") + F.expr("make_dt_interval(0, 0, CAST(user_id - 75 AS INT))")
+    later = F.col("ts") + F.expr("make_dt_interval(0, CAST(user_id - 75 AS INT))")
     return T.delay(_events(spark, d).select("event_id", "user_id", "ts"), "ts", later)
 
 

@@ -43,13 +43,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/auctionflow/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write `df` to the shared folder and read it back: short plan, real sizes, survives lost executors."""
+def store(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write `df` to the shared folder and read it back: columnar, with real sizes; for large tables."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` in the shared folder: short plan, survives lost executors; for loop state."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def slots(spark: SparkSession) -> int:
     """How many ways a hot key should be split at most: the shuffle width."""
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -58,3 +66,9 @@ def slots(spark: SparkSession) -> int:
 def fits_broadcast(df: DataFrame, max_rows: int = 100_000) -> bool:
     """True if `df` has at most `max_rows` rows; reads no more than one row beyond that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan that has fewer splits than cores; larger scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
