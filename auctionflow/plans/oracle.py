@@ -250,3 +250,30 @@ ORACLE = {
     "kafka_source": _with("bid", "SELECT * FROM bid"),
     "custom_source": "SELECT o_orderkey, o_custkey FROM orders",
 }
+
+ORACLE |= {
+    "stream_window_count": WINDOW_COUNT,
+    "stream_out_of_order": WINDOW_COUNT,
+    "stream_keyed_window_count": ORACLE["keyed_window_count"],
+    "stream_window_rank": ORACLE["window_rank_counts"],
+    "stream_hot_items": ORACLE["q5_hot_items"],
+    "stream_highest_bid": ORACLE["q7_highest_bid"],
+    "stream_new_users": ORACLE["q8_new_users"],
+    "stream_local_items": ORACLE["q3_local_items"],
+    "stream_hash_join": _with("auction bid", """SELECT b.price AS val1, a.seller AS val2 FROM bid b JOIN auction a
+        ON b.auction = a.id WHERE b.date_time > a.date_time - INTERVAL '365' DAY
+        AND b.date_time < a.date_time + INTERVAL '365' DAY"""),
+    "stream_closed_auctions": ORACLE["closed_auctions"],
+    "stream_closed_auctions_timers": ORACLE["closed_auctions"],
+    "stream_state_machine": f"SELECT user_id, event_id, running FROM ({ORACLE['state_machine_sum']})",
+    "stream_delay_rows": f"SELECT event_id, ts FROM ({ORACLE['delay_rows']})",
+    "state_counter": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
+    "state_map_merge": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type",
+    "stream_wordcount": ORACLE["wordcount_final"],
+    "stream_distinct": ORACLE["distinct_per_time"],
+    "stream_late_rows": ORACLE["late_rows"],
+    "capture_replay": _with("ebid", """SELECT auction, price, date_time,
+        CAST(date_trunc('day', date_time) AS TIMESTAMP) AS time FROM ebid"""),
+    "foreach_batch_sink": _with("ebid", "SELECT auction, price, date_time FROM ebid"),
+    "observe_metrics": _with("bid", "SELECT count(*) AS n, min(price) AS lowest, max(price) AS highest FROM bid"),
+}
