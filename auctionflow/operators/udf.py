@@ -35,14 +35,16 @@ def binary(left: DataFrame, right: DataFrame, key: str, logic: Callable[[pd.Data
     # at most one key per `max_group` rows is that large
     sizes = F.broadcast(sizes) if groups <= max_group else sizes
 
-    def place(df: DataFrame, piece: Column) -> DataFrame:
-        named = df.join(sizes, F.col(key) == F.col("_key"), "left").withColumn("_piece", piece)
-        group = F.pmod(F.xxhash64(key, "_piece"), F.lit(groups)).alias("_group")
-        return named.select(*df.columns, group)
-
-    spread = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), pieces)
-    l = place(left, spread)
-    r = place(right, F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
+    def group_of(piece: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col(key), piece), F.lit(groups))
+
+    def place(df: DataFrame, group: Column) -> DataFrame:
+        return df.join(sizes, F.col(key) == F.col("_key"), "left").select(*df.columns, group.alias("_group"))
+
+    l = place(left, group_of(F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), pieces)))
+    # two pieces of a key can fall into one group, which needs the right rows only once
+    r = place(right, F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(0).cast("bigint"), pieces - 1), group_of))))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return logic(a.drop(columns="_group"), b.drop(columns="_group"))
