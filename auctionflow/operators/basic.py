@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from auctionflow.functions import int_div, words
 from auctionflow.operators.skew import skew_join
-from auctionflow.session import fits_broadcast
 
 
 def demux(events: DataFrame, kind: str) -> DataFrame:
@@ -72,11 +71,9 @@ def exchange_by_id(df: DataFrame, key: str, parts: int) -> DataFrame:
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                max_rows: int = 100_000) -> DataFrame:
+                max_rows: int = 250_000) -> DataFrame:
     """Inner join that copies `dim` to every task if it is small, else a skew-safe shuffle join."""
-    if fits_broadcast(dim, max_rows):
-        return facts.join(F.broadcast(dim), F.col(fact_key) == F.col(dim_key))
-    return skew_join(facts, dim, fact_key, dim_key)
+    return skew_join(facts, dim, fact_key, dim_key, max_rows=max_rows)
 
 
 def concat(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from auctionflow.operators.skew import skew_join
 
 
 def hash_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Inner join of two (key, val) tables; gives (key, val1, val2)."""
+    """Inner join of two (key, val) tables, keys repeating on both sides; gives (key, val1, val2)."""
     l = left.select(F.col("key"), F.col("val").alias("val1"))
     r = right.select(F.col("key").alias("_rk"), F.col("val").alias("val2"))
-    return skew_join(l, r, "key", "_rk").select("key", "val1", "val2")
+    return skew_join(l, r, "key", "_rk", both=True).select("key", "val1", "val2")
 
 
 def local_items(auctions: DataFrame, persons: DataFrame, category: int = 10,

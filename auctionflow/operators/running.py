@@ -11,13 +11,17 @@ from auctionflow.functions import int_div
 from auctionflow.session import store
 
 CHUNK = "_chunk"
-_FOLD = {
-    "sum": (F.sum, lambda a, b: a + b),
-    "count": (F.sum, lambda a, b: a + b),
-    "min": (F.min, F.least),
-    "max": (F.max, F.greatest),
-}
-_FIRST = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
+def _add(a: Column, b: Column) -> Column:
+    # a missing side is no change
+    return F.coalesce(a + b, a, b)
+
+
+# kind -> (how totals are combined, how two values are); least and greatest skip NULL
+FOLD = {"sum": (F.sum, _add), "count": (F.sum, _add), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+# kind -> how rows are folded
+FIRST = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
 def _column(c: str | Column) -> Column:
@@ -41,29 +45,25 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 
     totals = placed.groupBy(*keys, CHUNK).agg(
         F.count("*").alias("_rows"),
-        *[_FIRST[kind](col).alias(f"_t_{name}") for name, (kind, col) in aggs.items()])
+        *[FIRST[kind](col).alias(f"_t_{name}") for name, (kind, col) in aggs.items()])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk"),
         F.sum("_rows").over(before).alias("_before"),
-        *[_FOLD[kind][0](f"_t_{name}").over(before).alias(f"_c_{name}")
+        *[FOLD[kind][0](f"_t_{name}").over(before).alias(f"_c_{name}")
           for name, (kind, _) in aggs.items()],
     ).filter("_before > 0")
 
     here = Window.partitionBy(*keys, CHUNK).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select(
-        "*", *[_FIRST[kind](col).over(here).alias(f"_l_{name}") for name, (kind, col) in aggs.items()])
+        "*", *[FIRST[kind](col).over(here).alias(f"_l_{name}") for name, (kind, col) in aggs.items()])
     on = F.col(CHUNK) == F.col("_k_chunk")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     joined = local.join(F.broadcast(carry), on, "left")
-    out = []
-    for name, (kind, _) in aggs.items():
-        near, far = F.col(f"_l_{name}"), F.col(f"_c_{name}")
-        # least and greatest skip NULL; sums need the missing side as no change
-        both = _FOLD[kind][1](near, far) if kind in ("min", "max") else F.coalesce(near + far, near, far)
-        out.append(both.alias(name))
-    return joined.select(*df.columns, *out)
+    return joined.select(*df.columns, *[
+        FOLD[kind][1](F.col(f"_l_{name}"), F.col(f"_c_{name}")).alias(name)
+        for name, (kind, _) in aggs.items()])
 
 
 def trailing(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows: int,

@@ -55,6 +55,9 @@ def _counts(df: DataFrame, time: str, slide: int, slices: int, keys: Sequence[st
     if slide % pane:
         raise ValueError("panes must divide the slide")
     size = _sec(slide * slices)
+    if slices == 1 and pane == slide:
+        return _from_origin(pane_counts(df, time, slide, keys).withColumnRenamed("pane", "_w"),
+                            "_w", df, time, slide, origin, leading)
     rolled = (
         pane_counts(df, time, pane, keys)
         .groupBy(F.window(F.window_time("pane"), size, _sec(slide)).alias("_w"), *keys)

@@ -266,6 +266,9 @@ ORACLE |= {
     "stream_closed_auctions": ORACLE["closed_auctions"],
     "stream_closed_auctions_timers": ORACLE["closed_auctions"],
     "stream_state_machine": f"SELECT user_id, event_id, running FROM ({ORACLE['state_machine_sum']})",
+    "stream_q4_avg_price_running": ORACLE["q4_avg_price_running"],
+    "stream_q6_last10_avg": ORACLE["q6_last10_avg"],
+    "stream_state_machine_values": f"SELECT user_id, event_id, running FROM ({ORACLE['state_machine_sum']})",
     "stream_delay_rows": f"SELECT event_id, ts FROM ({ORACLE['delay_rows']})",
     "state_counter": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
     "state_map_merge": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type",

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from auctionflow.functions import cents
+from auctionflow.functions import cents, int_div
 from auctionflow.operators import windows as W
 from auctionflow.operators.basic import flat_map_words
 from auctionflow.operators.running import running
@@ -17,6 +17,7 @@ from auctionflow.sources import capture
 from auctionflow.sources import tables as S
 from auctionflow.streaming import joins as SJ
 from auctionflow.streaming import late, state
+from auctionflow.streaming.running import running_batches, trailing_batches
 from auctionflow.streaming.harness import NOBODY, Epochs, plain, run, run_batches, zoned
 
 DAY = 86_400
@@ -106,7 +107,34 @@ def closed_auctions_timers(spark, d):
     return plain(run(state.closing_auctions(_read(_auctions(spark, d)), _read(_bids(spark, d)))))
 
 
+def q4_running(spark, d):
+    """The category averages of the closed auctions, as they close."""
+    closed = SJ.closing_auctions(_read(_auctions_by_expiry(spark, d)), _read(_bids(spark, d)), OPEN)
+    slim = closed.select("category", "expires", "auction", "price")
+    totals = running_batches(slim, ["category"], ["expires", "auction"],
+                             {"total": ("sum", "price"), "n": ("count", "*")})
+    return plain(totals.select("category", "expires", "auction",
+                               int_div(F.col("total"), F.col("n")).alias("avg_price")))
+
+
+def q6(spark, d):
+    closed = SJ.closing_auctions(_read(_auctions_by_expiry(spark, d)), _read(_bids(spark, d)), OPEN)
+    slim = closed.select("bidder", "expires", "auction", "price")
+    last = trailing_batches(slim, ["bidder"], ["expires", "auction"], 10,
+                            {"total": F.sum("price"), "n": F.count("*")})
+    return plain(last.select("bidder", "expires", "auction",
+                             int_div(F.col("total"), F.col("n")).alias("avg_price")))
+
+
 def state_machine(spark, d):
+    rows = _read(_events(spark, d)).filter(F.col("event_id") != NOBODY).select(
+        "user_id", "event_id", "ts", cents(F.col("value")).alias("price"))
+    sums = running_batches(rows, ["user_id"], ["ts", "event_id"], {"running": ("sum", "price")})
+    return sums.select("user_id", "event_id", "running")
+
+
+def state_machine_values(spark, d):
+    """The same with a state value per key."""
     rows = _read(_events(spark, d)).filter(F.col("event_id") != NOBODY).select(
         F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", cents(F.col("value")).alias("value"))
     return run(state.running_sum(rows)).select(
@@ -163,7 +191,7 @@ def epochs(spark, d):
     """Every record with the epoch it arrived in."""
     e = Epochs(zoned(S.event_bids(spark, d), "date_time"), "date_time", epochs=3)
     path = new_path(spark, "epochs-seen")
-    run_batches(e.stream(files=1), lambda b, i: b.withColumn("epoch", F.lit(i).cast("bigint")).write.mode("overwrite")
+    run_batches(e.stream(), lambda b, i: b.withColumn("epoch", F.lit(i).cast("bigint")).write.mode("overwrite")
                 .parquet(f"{path}/batch={i}"))
     return plain(spark.read.parquet(f"{path}/*"))
 
@@ -198,8 +226,7 @@ def progress_report(spark, d):
 def late_rows(spark, d):
     rows = S.table(spark, d, "lineitem").select("l_linenumber", "l_orderkey", "l_shipdate")
     e = Epochs(zoned(rows, "l_shipdate"), "l_shipdate", order="l_linenumber")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(e.path)
-    return plain(late.split_late(stream, "l_shipdate", 5 * 365 * DAY)[1])
+    return plain(late.split_late(e.source(), "l_shipdate", 5 * 365 * DAY)[1])
 
 
 def capture_replay(spark, d):
@@ -231,7 +258,9 @@ STREAMS = {
     "stream_window_rank": window_rank, "stream_hot_items": hot_items, "stream_highest_bid": highest_bid,
     "stream_new_users": new_users, "stream_local_items": local_items, "stream_hash_join": hash_join,
     "stream_closed_auctions": closed_auctions, "stream_closed_auctions_timers": closed_auctions_timers,
-    "stream_state_machine": state_machine, "stream_delay_rows": delay_rows, "state_counter": counter,
+    "stream_state_machine": state_machine,
+    "stream_state_machine_values": state_machine_values, "stream_q4_avg_price_running": q4_running,
+    "stream_q6_last10_avg": q6, "stream_delay_rows": delay_rows, "state_counter": counter,
     "state_map_merge": map_merge, "stream_wordcount": wordcount, "stream_distinct": distinct_per_time,
     "stream_epochs": epochs, "stream_out_of_order": out_of_order, "stream_watermark": watermark,
     "progress_report": progress_report, "stream_late_rows": late_rows, "capture_replay": capture_replay,

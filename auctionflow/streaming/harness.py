@@ -31,11 +31,17 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 class Epochs:
-    """A table laid down as files in event-time order, one write per epoch.
+    """A table laid down as files in event-time order, and read back one epoch per micro-batch.
 
-    The file source takes files by modification time, so later epochs come later. `closing` adds
-    a last row that many seconds beyond the newest one, with -1 for every number; it pushes the watermark past every window and timer of the data and never leaves state itself. It has no
-    NULLs, which filters in front of a join would drop before the watermark sees them. With `order`, epochs follow that integer column, one per value, and times arrive out of order.
+    Epochs hold about equally many rows. Each is written on its own and into the same number of
+    files, so that the file source, which takes files by modification time, can be told to take
+    exactly one epoch at a time. With `order`, epochs follow that column, one per value, and
+    times arrive out of order.
+
+    `closing` adds a last row that many seconds beyond the newest one, with -1 for every number;
+    it pushes the watermark past every window and timer of the data and never leaves state
+    itself. It has no NULLs, which filters in front of a join would drop before the watermark
+    sees them.
     """
 
     def __init__(self, df: DataFrame, time: str, epochs: int = 2, closing: int | None = None,
@@ -43,45 +49,60 @@ class Epochs:
         self.spark, self.time, self.schema = df.sparkSession, time, df.schema
         prepare(self.spark)
         self.path = new_path(self.spark, "epochs")
-        self.first, self.last = df.agg(F.min(time), F.max(time)).first()
-        for part in self._parts(df, epochs) if order is None else self._by_value(df, order):
+        parts = self._by_time(df, epochs) if order is None else self._by_value(df, order)
+        for part in parts:
             self._write(part)
         if closing is not None:
             self._write(self._closing_row(self.last + timedelta(seconds=closing)))
 
+    def _by_time(self, df: DataFrame, epochs: int) -> list[DataFrame]:
+        t = F.col(self.time)
+        shares = [i / epochs for i in range(1, epochs)]
+        marks = F.percentile_approx(t.cast("double"), shares) if shares else F.array()
+        self.first, self.last, rows, found = df.agg(
+            F.min(t), F.max(t), F.count("*"), F.transform(marks, F.timestamp_seconds)).first()
+        self._share_out(rows // epochs)
+        parts, rest = [], df
+        for mark in sorted(set(found)):
+            parts.append(rest.filter(t < F.lit(mark)))
+            rest = df.filter(t >= F.lit(mark))
+        return [*parts, rest]
+
+    def _by_value(self, df: DataFrame, order: str) -> list[DataFrame]:
+        sizes = df.groupBy(order).agg(
+            F.count("*").alias("n"), F.min(self.time).alias("lo"), F.max(self.time).alias("hi")
+        ).orderBy(order).collect()
+        self.first, self.last = min(r.lo for r in sizes), max(r.hi for r in sizes)
+        self._share_out(min(r.n for r in sizes))
+        return [df.filter(F.col(order) == r[0]) for r in sizes]
+
+    def _share_out(self, rows: int) -> None:
+        """Files per epoch: one per core, but so few that even the smallest epoch fills them all."""
+        self.files = max(1, min(self.spark.sparkContext.defaultParallelism, rows // 1000))
+
     def _closing_row(self, end: datetime) -> DataFrame:
         blank = {"timestamp": F.lit(end), "string": F.lit(""), "boolean": F.lit(False)}
         return self.spark.range(1).select(*[
             blank.get(f.dataType.typeName(), F.lit(NOBODY)).cast(f.dataType).alias(f.name)
             for f in self.schema])
 
-    def _parts(self, df: DataFrame, epochs: int):
-        step = (self.last - self.first) / epochs
-        t = F.col(self.time)
-        for i in range(epochs):
-            rows = df.filter(t >= F.lit(self.first + i * step))
-            yield rows if i == epochs - 1 else rows.filter(t < F.lit(self.first + (i + 1) * step))
-
-    def _by_value(self, df: DataFrame, order: str):
-        for row in df.select(order).distinct().orderBy(order).collect():
-            yield df.filter(F.col(order) == row[0])
-
     def _write(self, rows: DataFrame) -> None:
-        rows.coalesce(self.spark.sparkContext.defaultParallelism).write.mode("append").parquet(self.path)
+        placed = rows.repartition(self.files) if self.files > 1 else rows.coalesce(1)
+        placed.write.mode("append").parquet(self.path)
 
     def origin(self, slide: int):
         """The first event, floored to the slide."""
         seconds = int((self.first.replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds())
         return F.timestamp_seconds(F.lit(seconds // slide * slide))
 
-    def stream(self, delay: str = "0 seconds", files: int | None = None) -> DataFrame:
-        """Read the epochs as a stream with a watermark, at most `files` files per micro-batch.
+    def source(self) -> DataFrame:
+        """The epochs as a stream, one per micro-batch."""
+        return (self.spark.readStream.schema(self.schema)
+                .option("maxFilesPerTrigger", self.files).parquet(self.path))
 
-        By default that is as many as one epoch can have.
-        """
-        files = files or self.spark.sparkContext.defaultParallelism
-        return (self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", files)
-                .parquet(self.path).withWatermark(self.time, delay))
+    def stream(self, delay: str = "0 seconds") -> DataFrame:
+        """The same with a watermark on the event time."""
+        return self.source().withWatermark(self.time, delay)
 
 
 class DroppedRows(RuntimeError):

@@ -207,17 +207,19 @@ def test_reclock_model(spark, narrow_chunks, seed):
 
 # -- joins --------------------------------------------------------------------------------------
 
-def test_skew_join_with_hot_key(spark):
+@pytest.mark.parametrize("both", [False, True])
+@pytest.mark.parametrize("max_rows", [10, 10_000])
+def test_skew_join_with_hot_keys(spark, both, max_rows):
     rng = random.Random(3)
     left = [(0 if rng.random() < 0.5 else rng.randrange(1, 500), i) for i in range(2000)] + [(0, -1)] * 50
-    right = [(k, k * 10) for k in range(0, 500, 2)] + [(0, 7)]
+    right = [(k, k * 10) for k in range(0, 500, 2)] + [(0, 7)] + [(3, -i) for i in range(60)] * both + [(0, 8)] * 99 * both
     big = spark.createDataFrame(left, "k long, v long").repartition(4)
-    small = spark.createDataFrame(right, "rk long, w long")
+    small = spark.createDataFrame(right, "rk long, w long").repartition(3)
     hot = skew.hot_keys(big, "k").collect()
     assert [r[0] for r in hot] == [0] and hot[0][1] > 20
-    got = Counter(tuple(r) for r in skew.skew_join(big, small, "k", "rk").select("k", "v", "w").collect())
-    want = Counter((k, v, w) for k, v in left for rk, w in right if rk == k)
-    assert got == want
+    joined = skew.skew_join(big, small, "k", "rk", both=both, max_rows=max_rows)
+    got = Counter(tuple(r) for r in joined.select("k", "v", "w").collect())
+    assert got == Counter((k, v, w) for k, v in left for rk, w in right if rk == k)
 
 
 def auction_tables(spark, auctions, bids):

@@ -9,6 +9,7 @@ from auctionflow.operators import windows as W
 from auctionflow.sources import tables as S
 from auctionflow.streaming import joins as SJ
 from auctionflow.streaming import state
+from auctionflow.streaming.running import running_batches, trailing_batches
 from auctionflow.streaming.harness import DroppedRows, Epochs, plain, run, run_batches, zoned
 
 DAY = 86_400
@@ -26,20 +27,22 @@ def epochs(bids):
 
 def test_windows_over_epochs(bids, epochs):
     seen = []
-    got = run(W.window_count(epochs.stream(files=1), "date_time", 21_600, 4, epochs.origin(21_600)), progress=seen)
+    got = run(W.window_count(epochs.stream(), "date_time", 21_600, 4, epochs.origin(21_600)), progress=seen)
     assert len([p for p in seen if p.numInputRows]) >= 3
     assert V.verify(W.window_count(bids, "date_time", 21_600, 4), plain(got)).isEmpty()
 
 
 def test_hot_items_over_epochs(bids, epochs):
-    got = run(W.hot_items(epochs.stream(files=1), "date_time", "auction", 21_600, 4, epochs.origin(21_600)))
+    got = run(W.hot_items(epochs.stream(), "date_time", "auction", 21_600, 4, epochs.origin(21_600)))
     assert V.verify(W.hot_items(bids, "date_time", "auction", 21_600, 4), plain(got)).isEmpty()
 
 
 def test_late_rows_do_not_pass_silently(spark):
-    rows = spark.createDataFrame([(i, 1000 - i % 2 * 900 + i, i % 2) for i in range(20)], "id long, s long, part long")
+    # the last part is old; a batch is held against the watermark of the batch before it
+    rows = spark.createDataFrame([(i, (1000, 1100, 100)[i % 3] + i, i % 3) for i in range(30)],
+                                 "id long, s long, part long")
     e = Epochs(rows.select("id", F.timestamp_seconds("s").alias("t"), "part"), "t", order="part")
-    counts = W.window_count(e.stream(files=1), "t", 10, 1, e.origin(10))
+    counts = W.window_count(e.stream(), "t", 10, 1, e.origin(10))
     with pytest.raises(DroppedRows):
         run(counts)
 
@@ -54,9 +57,9 @@ def test_closed_auctions_both_ways(spark, data):
     a = zoned(S.auctions(spark, data), "date_time", "expires")
     b = Epochs(zoned(S.bids(spark, data), "date_time"), "date_time", epochs=3, closing=4000 * DAY)
     timers = run(state.closing_auctions(
-        Epochs(a, "date_time", epochs=3, closing=4000 * DAY).stream(files=1), b.stream(files=1)))
+        Epochs(a, "date_time", epochs=3, closing=4000 * DAY).stream(), b.stream()))
     joined = run(SJ.closing_auctions(
-        Epochs(a, "expires", epochs=3, closing=4000 * DAY).stream(files=1), b.stream(files=1), 730 * DAY))
+        Epochs(a, "expires", epochs=3, closing=4000 * DAY).stream(), b.stream(), 730 * DAY))
     for got in (timers, joined):
         assert V.verify(want, plain(got)).isEmpty()
 
@@ -65,7 +68,7 @@ def test_running_sum_over_epochs(spark, data):
     rows = S.table(spark, data, "events").select(
         F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.col("event_id").alias("value"))
     e = Epochs(zoned(rows, "ts"), "ts", epochs=3)
-    got = {(r.key, r.id): r.running for r in run(state.running_sum(e.stream(files=1))).collect()}
+    got = {(r.key, r.id): r.running for r in run(state.running_sum(e.stream())).collect()}
     total = {}
     for r in rows.orderBy("ts").collect():
         total[r.key] = total.get(r.key, 0) + r.value
@@ -79,7 +82,21 @@ def test_counts_and_maps_survive_batches(spark, data):
     def each(batch, number):
         for r in batch.collect():
             seen.setdefault(r.key, []).append(r.n)
-    run_batches(state.count_changes(e.stream(files=1).select(F.col("user_id").alias("key"))), each, "update")
+    run_batches(state.count_changes(e.stream().select(F.col("user_id").alias("key"))), each, "update")
     assert all(ns == sorted(ns) for ns in seen.values())
     want = {r.user_id: r["count"] for r in S.table(spark, data, "events").groupBy("user_id").count().collect()}
     assert {k: ns[-1] for k, ns in seen.items()} == want
+
+
+def test_running_and_trailing_batches(spark):
+    rows = spark.range(60).select((F.col("id") % 2).alias("k"), "id", F.timestamp_seconds("id").alias("ts"))
+    e = Epochs(rows, "ts", epochs=3)
+    sums = running_batches(e.stream(), ["k"], ["id"], {"s": ("sum", "id"), "hi": ("max", "id")})
+    for r in sums.collect():
+        mine = list(range(r.k, r.id + 1, 2))
+        assert (r.s, r.hi) == (sum(mine), r.id)
+    last = trailing_batches(e.stream(), ["k"], ["id"], 4, {"s": F.sum("id"), "n": F.count("*")})
+    assert last.count() == 60
+    for r in last.collect():
+        mine = list(range(r.k, r.id + 1, 2))[-4:]
+        assert (r.s, r.n) == (sum(mine), len(mine))
