@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auctionflow.operators.running import FIRST, FOLD, running, trailing
-from auctionflow.session import new_path
+from auctionflow.session import new_path, store
 from auctionflow.streaming.harness import run_batches
 
 
@@ -24,6 +24,11 @@ def _carry(spark, path: str, number: int, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/batch={number - 1}")
 
 
+def _settle(batch: DataFrame) -> DataFrame:
+    """The micro-batch as a stored table, without the marks a watermark leaves on its columns."""
+    return store(batch.select(*[F.col(c).alias(c, metadata={}) for c in batch.columns]), "batch")
+
+
 def running_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
                     aggs: dict[str, tuple[str, str]]) -> DataFrame:
     """`operators.running.running` over a stream."""
@@ -36,7 +41,7 @@ def running_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str]
     state = totals(spark.createDataFrame([], stream.schema)).schema
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        batch = _settle(batch)
         before = _carry(batch.sparkSession, carry, number, state)
         earlier = before.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                                 *[F.col(n).alias(f"_c_{n}") for n in aggs])
@@ -48,7 +53,6 @@ def running_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str]
         before.unionByName(totals(batch)).groupBy(*keys).agg(
             *[FOLD[kind][0](n).alias(n) for n, (kind, _) in aggs.items()]
         ).write.mode("overwrite").parquet(f"{carry}/batch={number}")
-        batch.unpersist()
 
     run_batches(stream, each)
     fields = {f.name: f.dataType for f in state}
@@ -65,14 +69,13 @@ def trailing_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str
     out, carry = new_path(spark, "trailing-out"), new_path(spark, "trailing-carry")
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        batch = _settle(batch)
         old = _carry(batch.sparkSession, carry, number, stream.schema)
         both = old.withColumn("_old", F.lit(True)).unionByName(batch.withColumn("_old", F.lit(False)))
         trailing(both, keys, order, rows, aggs).filter("NOT _old").drop("_old").write.mode(
             "overwrite").parquet(f"{out}/batch={number}")
         back = running(both.drop("_old"), keys, [F.col(o).desc() for o in order], {"_back": ("count", "*")})
         back.filter(F.col("_back") < rows).drop("_back").write.mode("overwrite").parquet(f"{carry}/batch={number}")
-        batch.unpersist()
 
     run_batches(stream, each)
     return spark.read.parquet(f"{out}/*").drop("batch")
