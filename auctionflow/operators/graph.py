@@ -74,13 +74,9 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
 
 def rank_links(edges: DataFrame) -> DataFrame:
-    """Edges (src, dst[, diff]) as distinct links with multiplicity, position and out-degree."""
-    if "diff" not in edges.columns:
-        edges = edges.withColumn("diff", F.lit(1).cast("bigint"))
+    """Edges (src, dst, diff) as distinct links with multiplicity and position among those of src."""
     links = edges.groupBy("src", "dst").agg(F.sum("diff").alias("mult")).filter("mult <> 0")
-    placed = running(links, ["src"], ["dst"], {"pos": ("count", "*")})
-    degree = placed.groupBy("src").agg(F.count("*").alias("degree"))
-    return store(placed.join(degree, "src"), "links")
+    return store(running(links, ["src"], ["dst"], {"pos": ("count", "*")}), "links")
 
 
 def pagerank(edges: DataFrame, rounds: int, start: DataFrame | None = None) -> DataFrame:
@@ -91,27 +87,28 @@ def pagerank(edges: DataFrame, rounds: int, start: DataFrame | None = None) -> D
     new rank only if it differs by 6 or more. `edges` may carry signed multiplicities in `diff`;
     `start` (node, rank) continues from earlier ranks after the edges changed.
     """
+    if "diff" not in edges.columns:
+        edges = edges.withColumn("diff", F.lit(1).cast("bigint"))
     links = rank_links(edges)
-    nodes = edges.select(F.col("src").alias("node")).unionByName(
-        edges.select(F.col("dst").alias("node"))).distinct()
+    degree = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    ranks = nodes.distinct().withColumn("rank", F.lit(1000).cast("bigint"))
     if start is not None:
-        nodes = nodes.unionByName(start.select("node")).distinct().join(start, "node", "left")
-        ranks = nodes.select("node", F.coalesce("rank", F.lit(1000).cast("bigint")).alias("rank"))
-    else:
-        ranks = nodes.select("node", F.lit(1000).cast("bigint").alias("rank"))
-    ranks = cut(ranks)
+        # a rank of the start wins over the fresh one, and its nodes stay even without edges
+        known = start.select("node", F.col("rank").alias("was"))
+        ranks = ranks.join(known, "node", "full").select("node", F.coalesce("was", "rank").alias("rank"))
+    ranks = cut(ranks.join(degree, "node", "left"))
     for _ in range(rounds):
         ranks = cut(_rank_round(links, ranks))
-    return ranks
+    return ranks.select("node", "rank")
 
 
 def _rank_round(links: DataFrame, ranks: DataFrame) -> DataFrame:
-    share = F.expr("((rank * 5) div 6) div degree + IF(pos <= ((rank * 5) div 6) % degree, 1, 0)")
-    given = (
-        links.join(ranks.withColumnRenamed("node", "src"), "src")
-        .groupBy(F.col("dst").alias("node"))
-        .agg(F.sum(F.col("mult") * share).alias("given"))
-    )
+    """One round; the share and the remainder are worked out per node, before links are joined."""
+    shares = ranks.filter("degree > 0").selectExpr(
+        "node AS src", "((rank * 5) div 6) div degree AS share", "((rank * 5) div 6) % degree AS extra")
+    given = links.join(shares, "src").groupBy(F.col("dst").alias("node")).agg(
+        F.expr("sum(mult * (share + IF(pos <= extra, 1, 0)))").alias("given"))
     return ranks.join(given, "node", "left").selectExpr(
-        "node", "rank", "1000 + coalesce(given, 0L) AS target").selectExpr(
-        "node", "IF(abs(target - rank) >= 6, target, rank) AS rank")
+        "node", "rank", "degree", "1000 + coalesce(given, 0L) AS target").selectExpr(
+        "node", "IF(abs(target - rank) >= 6, target, rank) AS rank", "degree")

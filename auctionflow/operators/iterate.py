@@ -43,7 +43,7 @@ def collatz_steps(starts: DataFrame, column: str, per_round: int = 128) -> DataF
     return end.select(column, F.col("s.steps").alias("steps"))
 
 
-def collatz_two_loops(starts: DataFrame, column: str, turns: int = 6) -> DataFrame:
+def collatz_two_loops(starts: DataFrame, column: str, turns: int = 10) -> DataFrame:
     """The same steps with two loops: halving makes even numbers odd, 3x+1 makes odd ones even.
 
     Each turn swaps the two frames, so several turns make two straight plans before the cut.

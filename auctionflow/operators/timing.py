@@ -29,7 +29,8 @@ def reclock(df: DataFrame, clock: DataFrame, time: str, tick: str, keys: Sequenc
     ticks = clock.select(*keys, F.col(tick).alias(time), F.col(tick).alias("_tick")).distinct()
     rows = df.withColumn("_is_row", F.lit(1))
     both = rows.unionByName(ticks.withColumn("_is_row", F.lit(0)), allowMissingColumns=True)
-    order = [F.col(time).desc(), F.col("_is_row")]
+    # the hash lets many rows of one time fall into several chunks
+    order = [F.col(time).desc(), F.col("_is_row"), F.xxhash64(*df.columns)]
     timed = running(both, keys, order, {"_next": ("min", "_tick")})
     return timed.filter("_is_row = 1 AND _next IS NOT NULL").select(
         *df.columns, F.col("_next").alias(tick))

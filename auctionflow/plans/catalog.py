@@ -237,8 +237,7 @@ def collatz_steps(spark, d):
 
 
 def collatz_two_loops(spark, d):
-    sizes = S.table(spark, d, "part").select(F.col("p_size").cast("bigint").alias("n"))
-    return I.collatz_two_loops(sizes.filter("n > 0"), "n")
+    return I.collatz_two_loops(S.table(spark, d, "part").select((F.col("p_partkey") + 1).alias("n")), "n")
 
 
 def iterate_bounded(spark, d):

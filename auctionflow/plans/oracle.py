@@ -218,7 +218,7 @@ ORACLE = {
             sum(n) OVER (PARTITION BY step_end) AS total FROM c)
         SELECT step_end, {_percentiles()} FROM u GROUP BY step_end""",
     "collatz_steps": "WITH RECURSIVE s AS (SELECT o_orderkey + 1 AS n FROM orders)" + COLLATZ,
-    "collatz_two_loops": "WITH RECURSIVE s AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS n FROM part WHERE p_size > 0)" + COLLATZ,
+    "collatz_two_loops": "WITH RECURSIVE s AS (SELECT p_partkey + 1 AS n FROM part)" + COLLATZ,
     "iterate_bounded": _with("bid", "SELECT auction, price + 8 AS price FROM bid"),
     "bfs_levels": f"""WITH RECURSIVE edge AS ({VIEWS['edge']}), u AS (SELECT DISTINCT src, dst FROM edge),
         r(node, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION

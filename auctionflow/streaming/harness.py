@@ -14,9 +14,11 @@ NOBODY = -1  # key of closing rows
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings every stream here needs: keyed state in RocksDB, times in UTC."""
+    """Settings every stream here needs: keyed state in RocksDB, times in UTC, progress kept whole."""
     for key in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.session.timeZone"):
         spark.conf.set(key, SETTINGS[key])
+    # dropped rows are counted over all micro-batches of a run
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")
 
 
 def zoned(df: DataFrame, *times: str) -> DataFrame:

@@ -373,3 +373,20 @@ def test_results_do_not_depend_on_partitions(spark, data):
             got.append(rows(catalog.QUERIES[query](spark, data)))
         spark.conf.set(name, before)
         assert got[0] == got[1]
+
+
+def test_reclock_spreads_rows_of_one_time(spark, narrow_chunks):
+    r = spark.range(3000).select("id", F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).cast("bigint").alias("t"))
+    got = T.reclock(r, spark.createDataFrame([(5,), (9,), (9999,)], "tick long"), "t", "tick")
+    assert rows(got.groupBy("tick").count()) == [(9, 2500), (9999, 500)]
+
+
+def test_stored_tables_can_be_dropped(tmp_path, spark):
+    from auctionflow import session
+    kept = session._stored.pop(spark.sparkContext.applicationId, [])
+    try:
+        stored = session.store(spark.range(3))
+        assert stored.count() == 3
+        assert session.drop_stored(spark) == 1
+    finally:
+        session._stored[spark.sparkContext.applicationId] = kept
