@@ -39,30 +39,37 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> Dat
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node of its component, edges taken as undirected.
 
-    Every round takes the smallest label among the neighbours, then follows labels one step
-    (pointer jumping), so long paths shorten geometrically.
+    Every round each node points at the neighbour (or itself) that comes first in an order drawn
+    anew for the round, pointers are followed twice, and the edges are contracted: inner ones and
+    repeats go, so the graph shrinks by a constant factor a round, paths and stars alike.
     """
-    pairs = edges.select("src", "dst").filter("src <> dst")
-    links = store(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(),
-                "edges")
+    links = cut(edges.select("src", "dst").filter("src <> dst").select(
+        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    rounds = []
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("h"), F.col(c).alias("to"))
+        first = cut(both.groupBy("src").agg(F.min(place("dst")).alias("near")).select(
+            F.col("src").alias("node"), F.least(F.col("near"), place("src"))["to"].alias("to")))
+        onward = first.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        jumped = first.join(onward, "to").select("node", F.col("next").alias("to"))
+        jumped = cut(jumped.join(onward, "to").select("node", F.col("next").alias("to")))
+        for end in ("src", "dst"):
+            links = links.join(jumped.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("to", end)
+        links = cut(links.filter("src <> dst").select(
+            F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        rounds.append(jumped)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    state = cut(nodes.select("node", F.col("node").alias("label"), F.lit(True).alias("moved")))
-    while True:
-        near = links.join(state.select(F.col("node").alias("dst"), "label"), "dst").groupBy(
-            F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        # a node also hooks the root it points at, so that whole trees merge at once
-        hooked = state.join(near, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        roots = hooked.filter("label < old").groupBy(F.col("old").alias("node")).agg(
-            F.min("label").alias("hook"))
-        merged = cut(hooked.join(roots, "node", "left").select(
-            "node", "old", F.least("label", "hook").alias("label")))
-        target = merged.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        state = cut(merged.join(target, "label", "left").select(
-            "node", F.least("label", "next").alias("label"),
-            (F.least("label", "next") < F.col("old")).alias("moved")))
-        if state.filter("moved").isEmpty():
-            return state.select("node", F.col("label").alias("component"))
+    if not rounds:
+        return nodes.select("node", F.col("node").alias("component"))
+    roots = rounds.pop()
+    while rounds:
+        later = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        roots = rounds.pop().join(later, "to", "left").select("node", F.coalesce("root", "to").alias("to"))
+    roots = cut(roots)
+    least = roots.groupBy("to").agg(F.min("node").alias("component"))
+    return nodes.join(roots.join(least, "to").select("node", "component"), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"))
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
