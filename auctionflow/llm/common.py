@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auctionflow.session import fits_broadcast
+
 #: Byte translation that lower-cases A-Z and nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Odd multipliers of the usual 64-bit finalizers.
@@ -18,6 +20,11 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def chosen(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of `df` whose doc_id is (left_semi) or isn't (left_anti) in `ids`; few ids are broadcast."""
+    return df.join(F.broadcast(ids) if fits_broadcast(ids, 500_000) else ids, "doc_id", how)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values; a bijection."""
     x = (x ^ (x >> np.uint64(30))) * M2

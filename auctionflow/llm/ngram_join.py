@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auctionflow.llm.common import LOWER, M1, M2, M3, Hashed, batch, lists, mix, pick, word_hashes
+from auctionflow.llm.common import LOWER, M1, M2, M3, Hashed, batch, chosen, lists, mix, pick, word_hashes
 from auctionflow.operators.graph import connected_components
-from auctionflow.session import fits_broadcast, store
+from auctionflow.session import store
 
 BITS = 1024          # of a signature
 BLOCK = 1024         # documents of one tile that meet in one task at a time
@@ -153,16 +153,11 @@ def _bounded(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
                         & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b")
 
 
-def _chosen(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of `df` whose doc_id is (left_semi) or isn't (left_anti) in `ids`; few ids are broadcast."""
-    return df.join(F.broadcast(ids) if fits_broadcast(ids, 500_000) else ids, "doc_id", how)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) those that link; only their documents are cut into n-grams again."""
     pairs = store(pairs, "pairs")
     needed = store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    sets = store(_gram_sets(_chosen(texts, needed, "left_semi"), words), "grams")
+    sets = store(_gram_sets(chosen(texts, needed, "left_semi"), words), "grams")
     for side in "ba":
         pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("grams").alias(f"grams_{side}")), side)
     return store(_overlaps(pairs, percent).distinct(), "links")
@@ -247,7 +242,7 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc
     sets = ["n_shingles", "set_a", "set_b"]
     reps = store(signs.filter("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "reps")
     copies = store(signs.select("doc_id", *sets).join(reps, sets).filter("doc_id <> rep").select("doc_id", "rep"), "copies")
-    tiles = _chosen(signs.filter("doc_id IS NOT NULL"), copies.select("doc_id").distinct(), "left_anti").select(
+    tiles = chosen(signs.filter("doc_id IS NOT NULL"), copies.select("doc_id").distinct(), "left_anti").select(
         F.explode("tiles").alias("key"), "doc_id")
     ends = tiles.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     members = store(tiles.join(ends, "key"), "members")

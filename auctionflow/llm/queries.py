@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auctionflow.llm import ngram_join as _ngram
 from auctionflow.llm import packing as _packing
+from auctionflow.llm import repeats as _repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,17 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeats.digest(_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.digest(_packing.pack(_table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_packing": op7_packing,
 }
 
