@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auctionflow.llm import decontaminate as _decontaminate
+from auctionflow.llm import language as _language
 from auctionflow.llm import ngram_join as _ngram
 from auctionflow.llm import packing as _packing
 from auctionflow.llm import repeats as _repeats
@@ -15,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -27,10 +33,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.digest(_packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_packing": op7_packing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
