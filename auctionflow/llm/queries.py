@@ -10,7 +10,9 @@ from auctionflow.llm import decontaminate as _decontaminate
 from auctionflow.llm import language as _language
 from auctionflow.llm import ngram_join as _ngram
 from auctionflow.llm import packing as _packing
+from auctionflow.llm import privacy as _privacy
 from auctionflow.llm import repeats as _repeats
+from auctionflow.llm import secrets as _secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeats.digest(_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.digest(_secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _privacy.pseudonymise(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_private", "kinds")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.digest(_packing.pack(_table(spark, sf_dir, "documents")))
 
@@ -41,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op10_decontamination": op10_decontamination,
 }
