@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auctionflow.llm import decontaminate as _decontaminate
 from auctionflow.llm import language as _language
+from auctionflow.llm import merkle as _merkle
 from auctionflow.llm import ngram_join as _ngram
 from auctionflow.llm import packing as _packing
 from auctionflow.llm import privacy as _privacy
@@ -43,6 +44,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.digest(_packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merkle.compared(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op9_fingerprints": op9_fingerprints,
     "op10_decontamination": op10_decontamination,
 }
 
