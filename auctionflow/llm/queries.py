@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auctionflow.llm import decontaminate as _decontaminate
+from auctionflow.llm import html_text as _html
 from auctionflow.llm import language as _language
 from auctionflow.llm import merkle as _merkle
 from auctionflow.llm import ngram_join as _ngram
@@ -44,6 +45,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.digest(_packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.digest(_html.extract(_table(spark, sf_dir, "pages")))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merkle.compared(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_fingerprints": op9_fingerprints,
     "op10_decontamination": op10_decontamination,
 }
