@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from auctionflow.llm import decontaminate as _decontaminate
 from auctionflow.llm import html_text as _html
 from auctionflow.llm import language as _language
+from auctionflow.llm import lm_score as _lm
 from auctionflow.llm import merkle as _merkle
 from auctionflow.llm import ngram_join as _ngram
 from auctionflow.llm import packing as _packing
@@ -29,6 +30,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeats.digest(_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400))
 
@@ -60,6 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
+    "op3_lm_score": op3_lm_score,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_pii": op6_pii,
