@@ -262,7 +262,7 @@ def labelled_page(texts: list[str], main: list[str], draw: random.Random) -> str
         wrap = draw.choice(["h1", "h2"]) if i == 0 else draw.choice(["p"] * 12 + ["h2", "h3", "blockquote", "li", "pre", "td", "div"])
         text = "\x01" + html.escape(text)
         body.append(draw.choice([f"<{wrap}>{text}</{wrap}>", f"<{wrap}><b>{text}<br>", f"<{wrap}>{text}"]) if wrap == "p" else f"<{wrap}>{text}</{wrap}>")
-        if draw.random() < 0.06:
+        if draw.random() < 0.15:
             body.append(part(draw.choice(["ad", "share", "aside", "notice", "form", "nav"])))
     inside = draw.random() < 0.5
     tail = part("comments") if draw.random() < 0.5 else ""
@@ -272,14 +272,17 @@ def labelled_page(texts: list[str], main: list[str], draw: random.Random) -> str
     if draw.random() < 0.3:
         article = f'<div class="{draw.choice(["container", "wrapper", "page", "row", "layout"])}">{article}{"".join(after[:1])}</div>'
         after = after[1:]
-    return f"<html><head><title>{short()}</title></head><body>{''.join(before)}{article}{''.join(after)}{part('footer')}</body></html>"
+    head = f"<head><title>{short()}</title></head>" if draw.random() < 0.7 else ""
+    if draw.random() < 0.7:
+        after.append(part("footer"))
+    return f"<html>{head}<body>{''.join(before)}{article}{''.join(after)}</body></html>"
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 300, per_page: int = 3, seed: int = 11) -> Crf:
-    """A field trained on labelled pages made of the texts of at most `sample` pages.
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 300, made: int = 1200, seed: int = 11) -> Crf:
+    """A field trained on `made` labelled pages from the texts of at most `sample` pages.
 
     The table has no labels. So the blocks of a sample, chosen by a hash of the page's id, are taken
-    as texts, and `per_page` pages for each are laid out from them with parts whose labels are
+    as texts, and pages are laid out from them in turn with parts whose labels are
     known (see `labelled_page`): articles of varied length between, and with, menus, notices,
     adverts, forms, comments and the like, under many names and elements."""
     rows = pick(pages, id_col, html_col).filter(F.col(f"`{html_col}`").isNotNull()).orderBy(
@@ -287,16 +290,16 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     draw = random.Random(seed)
     texts = [[b.text for b in blocks(r[1])] for r in rows]
     pool = [t[:600] for found in texts for t in found] or ["text of a page."]
-    made = []
-    for found in texts or [pool]:
-        for _ in range(per_page):
-            main = draw.sample(found, min(len(found), draw.randint(1, 12))) or pool[:1]
-            page = blocks(labelled_page(pool, main, draw))
-            labels = [int("\x01" in b.text) for b in page]
-            for b in page:
-                b.text = b.text.replace("\x01", "") or "x"
-            made.append((page, labels))
-    return Crf().fit(made)
+    labelled = []
+    for i in range(made):
+        found = (texts[i % len(texts)] if texts else None) or pool
+        main = [draw.choice(found) for _ in range(draw.randint(1, 12))]
+        page = blocks(labelled_page(pool, main, draw))
+        labels = [int("\x01" in b.text) for b in page]
+        for b in page:
+            b.text = b.text.replace("\x01", "") or "x"
+        labelled.append((page, labels))
+    return Crf().fit(labelled)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", field: Crf | None = None) -> DataFrame:
