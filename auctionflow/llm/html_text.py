@@ -285,8 +285,11 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     as texts, and pages are laid out from them in turn with parts whose labels are
     known (see `labelled_page`): articles of varied length between, and with, menus, notices,
     adverts, forms, comments and the like, under many names and elements."""
-    rows = pick(pages, id_col, html_col).filter(F.col(f"`{html_col}`").isNotNull()).orderBy(
-        F.xxhash64(f"`{id_col}`"), F.col(f"`{html_col}`")).limit(sample).collect()
+    given = pick(pages, id_col, html_col).filter(F.col(f"`{html_col}`").isNotNull())
+    place = F.xxhash64(f"`{id_col}`")
+    # about twice as many as wanted are looked at, so that each task sends the driver its share only
+    near = F.pmod(place, F.lit(1 << 40)) * given.count() < F.lit(2 * sample << 40).cast("decimal(38,0)")
+    rows = given.filter(near).orderBy(place, F.col(f"`{html_col}`")).limit(sample).collect()
     draw = random.Random(seed)
     texts = [[b.text for b in blocks(r[1])] for r in rows]
     pool = [t[:600] for found in texts for t in found] or ["text of a page."]
