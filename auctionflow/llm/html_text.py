@@ -288,7 +288,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     given = pick(pages, id_col, html_col).filter(F.col(f"`{html_col}`").isNotNull())
     place = F.xxhash64(f"`{id_col}`")
     # about twice as many as wanted are looked at, so that each task sends the driver its share only
-    near = F.pmod(place, F.lit(1 << 40)) * given.count() < F.lit(2 * sample << 40).cast("decimal(38,0)")
+    near = F.pmod(place, F.lit(1 << 40)) < (2 * sample << 40) // max(1, given.count(), 2 * sample)
     rows = given.filter(near).orderBy(place, F.col(f"`{html_col}`")).limit(sample).collect()
     draw = random.Random(seed)
     texts = [[b.text for b in blocks(r[1])] for r in rows]
