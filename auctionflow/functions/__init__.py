@@ -20,6 +20,11 @@ def slide_end(t: Column, slide: int) -> Column:
     return (int_div(t, F.lit(slide).cast("bigint")) + 1) * slide
 
 
+def start_of_day(t: str) -> Column:
+    """Midnight before a zone-less time, without the session's zone."""
+    return F.col(t).cast("date").cast("timestamp_ntz")
+
+
 def words(text: Column) -> Column:
     """The whitespace-separated words of a text, without empty strings."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

@@ -32,9 +32,11 @@ def flat_map_words(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
 
 
 def flat_map_range(df: DataFrame, n: str, keep: Sequence[str]) -> DataFrame:
-    """One row per integer in [0, n)."""
-    return df.filter(F.col(n) > 0).select(
-        *keep, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)).alias("i"))
+    """One row per integer in [0, n), unrolled in pieces, so that no array grows with n."""
+    step, last = F.lit(65_536).cast("bigint"), F.col(n).cast("bigint") - 1
+    pieces = df.filter(F.col(n) > 0).select(
+        *keep, last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("bigint"), last, step)).alias("_from"))
+    return pieces.select(*keep, F.explode(F.sequence(F.col("_from"), F.least("_last", F.col("_from") + step - 1))).alias("i"))
 
 
 def branch(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:

@@ -41,23 +41,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round each node points at the neighbour (or itself) that comes first in an order drawn
     anew for the round, pointers are followed twice, and the edges are contracted: inner ones and
-    repeats go, so the graph shrinks by a constant factor a round, paths and stars alike.
+    repeats go, so the graph shrinks by a constant factor a round, paths and stars alike. Rounds
+    are written as tables: what a checkpoint keeps of each plan would add up over the rounds.
     """
-    links = cut(edges.select("src", "dst").filter("src <> dst").select(
-        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    links = store(edges.select("src", "dst").filter("src <> dst").select(
+        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
     rounds = []
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("h"), F.col(c).alias("to"))
-        first = cut(both.groupBy("src").agg(F.min(place("dst")).alias("near")).select(
-            F.col("src").alias("node"), F.least(F.col("near"), place("src"))["to"].alias("to")))
+        first = store(both.groupBy("src").agg(F.min(place("dst")).alias("near")).select(
+            F.col("src").alias("node"), F.least(F.col("near"), place("src"))["to"].alias("to")), "pointers")
         onward = first.select(F.col("node").alias("to"), F.col("to").alias("next"))
         jumped = first.join(onward, "to").select("node", F.col("next").alias("to"))
-        jumped = cut(jumped.join(onward, "to").select("node", F.col("next").alias("to")))
+        jumped = store(jumped.join(onward, "to").select("node", F.col("next").alias("to")), "pointers")
         for end in ("src", "dst"):
             links = links.join(jumped.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("to", end)
-        links = cut(links.filter("src <> dst").select(
-            F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        links = store(links.filter("src <> dst").select(
+            F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
         rounds.append(jumped)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     if not rounds:
@@ -66,7 +67,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while rounds:
         later = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
         roots = rounds.pop().join(later, "to", "left").select("node", F.coalesce("root", "to").alias("to"))
-    roots = cut(roots)
+    roots = store(roots, "roots")
     least = roots.groupBy("to").agg(F.min("node").alias("component"))
     return nodes.join(roots.join(least, "to").select("node", "component"), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"))

@@ -30,8 +30,17 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], active: Co
             state = cut(state)
 
 
+def _positive(starts: DataFrame, column: str) -> DataFrame:
+    value = F.col(column)
+    return starts.select(F.when((value >= 1) | value.isNull(), value).otherwise(
+        F.raise_error(F.lit("starts must be positive"))).alias(column)).filter(F.col(column).isNotNull())
+
+
 def collatz_steps(starts: DataFrame, column: str, per_round: int = 128) -> DataFrame:
-    """Steps from each positive start to 1 under x -> x/2 or 3x+1; a round does up to `per_round` of them."""
+    """Steps from each positive start to 1 under x -> x/2 or 3x+1; a round does up to `per_round` of them.
+
+    A start below 1, from which 1 is never reached, fails the query."""
+    starts = _positive(starts, column)
     turn = lambda s, _: F.when(s.x == 1, s).otherwise(F.struct(
         F.when(s.x % 2 == 0, F.shiftright(s.x, 1)).otherwise(s.x * 3 + 1).alias("x"),
         (s.steps + 1).alias("steps")))
@@ -47,8 +56,9 @@ def collatz_two_loops(starts: DataFrame, column: str, turns: int = 10) -> DataFr
     """The same steps with two loops: halving makes even numbers odd, 3x+1 makes odd ones even.
 
     Each turn swaps the two frames, so several turns make two straight plans before the cut.
-    A number that has reached 1 stays as it is in both.
+    A number that has reached 1 stays as it is in both. A start below 1 fails the query.
     """
+    starts = _positive(starts, column)
     def halve(even: DataFrame) -> DataFrame:
         return even.selectExpr(column, "x div (x & -x) AS x",
                                "steps + CAST(log2(CAST(x & -x AS DOUBLE)) AS BIGINT) AS steps")

@@ -50,7 +50,7 @@ def closed_auctions(auctions: DataFrame, bids: DataFrame) -> DataFrame:
     Highest price wins, then the earliest bid, then the smallest bidder. The maximum is taken
     per task before the shuffle, so an auction with very many bids sends one row per task.
     """
-    rank = F.struct(F.col("price").alias("p"), (-F.unix_micros(F.col("bid_time").cast("timestamp"))).alias("t"),
+    rank = F.struct(F.col("price").alias("p"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' - bid_time AS t"),
                     (-F.col("bidder")).alias("b"), "bid_time", "seller", "category", "expires")
     return (
         valid_bids(auctions, bids)

@@ -71,10 +71,10 @@ def trailing(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     """Aggregates over the last `rows` rows of a key, current row included.
 
     Every row gets its position in its key; blocks of `block` positions are framed apart, each
-    with a copy of the `rows - 1` rows before it. A key of any size is thus spread over blocks.
+    with a copy of the `rows - 1` rows before it. A key of any size is thus spread over blocks; a
+    longer frame makes longer blocks.
     """
-    if rows > block:
-        raise ValueError("the frame must fit in one block")
+    block = max(block, rows)
     one = "_pos"
     placed = running(df, keys, order, {one: ("count", "*")})
     here = int_div(F.col(one) - 1, F.lit(block).cast("bigint"))

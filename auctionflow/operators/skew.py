@@ -13,18 +13,14 @@ COPIES = "_copies"
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys holding more than 1/slots of the rows, with the number of pieces each needs.
 
-    One sketch per task and one merge, whatever the number of keys. Only keys above a 1/slots
-    share pass, so the result has fewer than `slots` rows. The counts are estimates; they steer
-    balance only, never results.
+    Rows are counted per key, in each task first, so a hot key is one row per task when it is
+    shuffled and no task merges what all others found. Only keys above a 1/slots share pass, so
+    the result has fewer than `slots` rows.
     """
-    n = slots(df.sparkSession)
-    return (
-        df.agg(F.expr(f"approx_top_k({key}, {n}, {16 * n})").alias("top"), F.count("*").alias("total"))
-        .select(F.explode("top").alias("t"), "total")
-        .filter(F.col("t.count") * n > F.col("total"))
-        .select(F.col("t.item").alias("_hot"),
-                F.ceil(F.col("t.count") * n / F.col("total")).cast("int").alias(COPIES))
-    )
+    n, total = slots(df.sparkSession), df.count()
+    counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
+    return counts.filter((F.col("_n") * n > total) & F.col("_hot").isNotNull()).select(
+        "_hot", F.ceil(F.col("_n") * n / F.lit(max(total, 1))).cast("int").alias(COPIES))
 
 
 def _found(df: DataFrame, key: str) -> DataFrame | None:

@@ -20,15 +20,23 @@ def unary(df: DataFrame, logic: Callable[[pd.DataFrame], pd.DataFrame], schema:
 
 
 def binary(left: DataFrame, right: DataFrame, key: str, logic: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-           schema: str, max_group: int = 100_000) -> DataFrame:
+           schema: str, max_group: int = 100_000, distributive: bool = False) -> DataFrame:
     """Apply `logic(left rows, right rows)` to groups of whole keys, of about `max_group` left rows.
 
-    A group holds many small keys, so `logic` must join on the key itself. A key with more than
-    `max_group` left rows is cut into pieces, each with a copy of its right rows; `logic` must
-    then be distributive over the left rows, and right rows be few per key (one auction, one
-    person). Pieces follow from values and input partition, so a repeated task makes the same.
+    A group holds many small keys, so `logic` must join on the key itself. It gets all rows of its
+    keys, however many a key has, and those have to fit in a task's memory.
+
+    Logic that may be applied to any part of a key's left rows can say so with `distributive`: a
+    key with more than `max_group` left rows is then cut into pieces, each with a copy of its right
+    rows, which should be few per key (one auction, one person). Pieces follow from values and
+    input partition, so a repeated task makes the same.
     """
     groups = left.count() // max_group + 1
+    if not distributive:
+        group = F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).alias("_group")
+        l, r = left.select("*", group), right.select("*", group)
+        return l.groupBy("_group").cogroup(r.groupBy("_group")).applyInPandas(
+            lambda a, b: logic(a.drop(columns="_group"), b.drop(columns="_group")), schema)
     sizes = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_group).select(
         F.col(key).alias("_key"), (int_div(F.col("_n"), F.lit(max_group)) + 1).alias("_pieces"))
     pieces = F.coalesce(F.col("_pieces"), F.lit(1).cast("bigint"))

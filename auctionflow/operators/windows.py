@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auctionflow.functions import seconds
+from auctionflow.functions import int_div, seconds
 from auctionflow.operators.running import expand, running
 
 
@@ -76,8 +76,11 @@ def window_count(df: DataFrame, time: str, slide: int, slices: int, origin: Colu
     out = _bounds(_counts(df, time, slide, slices, (), origin, leading, pane), "_w", "n")
     if not fill_gaps:
         return out
-    spine = out.agg(F.min("window_end").alias("lo"), F.max("window_end").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", seconds(slide))).alias("window_end"))
+    ends = out.agg(F.min("window_end").alias("lo"), F.max("window_end").alias("hi"))
+    steps = F.expr("extract(DAY FROM hi - lo) * 86400L + extract(HOUR FROM hi - lo) * 3600L"
+                   " + extract(MINUTE FROM hi - lo) * 60L + CAST(extract(SECOND FROM hi - lo) AS BIGINT)")
+    spine = expand(ends.withColumn("_n", int_div(steps, F.lit(slide)) + 1), "_n", "_i").select(
+        (F.col("lo") + F.make_dt_interval(secs=(F.lit(slide) * (F.col("_i") - 1)).cast("decimal(18,6)"))).alias("window_end"))
     return spine.join(out.drop("window_start"), "window_end", "left").select(
         (F.col("window_end") - seconds(slide * slices)).alias("window_start"), "window_end",
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from auctionflow.plans import auction as Q
 from auctionflow.session import spread
 from auctionflow.sources import capture, kafka
 from auctionflow.sources import tables as S
-from auctionflow.sources.custom import RowGroupSource
+from auctionflow.sources.custom import from_function
 
 SLIDE, SLICES = Q.SLIDE, Q.SLICES
 
@@ -30,7 +32,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
-    day = F.date_trunc("day", "date_time").cast("timestamp_ntz")
+    day = X.start_of_day("date_time")
     return S.event_bids(spark, d).select(day.alias("time"), "auction", "price")
 
 
@@ -220,7 +222,7 @@ def late_rows(spark, d):
 
 
 def extract_by_time(spark, d):
-    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    day = X.start_of_day("ts")
     return capture.extract(_events(spark, d).select(day.alias("time"), F.col("user_id").alias("data")), "time", "data")
 
 
@@ -287,7 +289,7 @@ def cogroup_udf(spark, d):
         return both.loc[ok, ["auction", "bidder", "price"]]
     b = S.bids(spark, d).withColumnRenamed("date_time", "bid_time")
     a = S.auctions(spark, d).select(F.col("id").alias("auction"), "reserve", F.col("date_time").alias("opened"), "expires")
-    return U.binary(b, a, "auction", keep_valid, "auction long, bidder long, price long")
+    return U.binary(b, a, "auction", keep_valid, "auction long, bidder long, price long", distributive=True)
 
 
 def udaf_fold(spark, d):
@@ -313,10 +315,21 @@ def kafka_source(spark, d):
     return kafka.decode(kafka.encode(S.bids(spark, d)), S.BID)
 
 
+def kafka_round_trip(spark, d):
+    events = S.table(spark, d, "events")
+    return kafka.decode(kafka.encode(events), events.schema)
+
+
 def custom_source(spark, d):
-    spark.dataSource.register(RowGroupSource)
-    return (spark.read.format("rowgroups").schema("o_orderkey long, o_custkey long")
-            .load(f"{d}/orders.parquet"))
+    """Every order number between the first and the last one of each block of 500."""
+    def numbers(row):
+        for lo in range(row["lo"], row["hi"] + 1, 10_000):
+            n = np.arange(lo, min(lo + 10_000, row["hi"] + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["block"])), pa.array(n)], names=["block", "number"])
+
+    plan = S.table(spark, d, "orders").groupBy(X.int_div(F.col("o_orderkey"), F.lit(500)).alias("block")).agg(
+        F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    return from_function(plan, numbers, "block long, number long")
 
 
 QUERIES = {
@@ -359,5 +372,5 @@ QUERIES = {
     "pagerank_rounds": pagerank_rounds, "pagerank_changed": pagerank_changed,
     "udf_map_batches": udf_map_batches, "cogroup_udf": cogroup_udf, "udaf_fold": udaf_fold,
     "udtf_explode": udtf_explode, "kafka_sink_encode": kafka_sink_encode, "kafka_source": kafka_source,
-    "custom_source": custom_source,
+    "custom_source": custom_source, "kafka_round_trip": kafka_round_trip,
 }

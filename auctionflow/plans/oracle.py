@@ -248,7 +248,9 @@ ORACLE = {
     "kafka_sink_encode": _with("ebid", """SELECT CAST(auction AS VARCHAR) AS key,
         '{"auction":' || auction || ',"price":' || price || '}' AS value FROM ebid"""),
     "kafka_source": _with("bid", "SELECT * FROM bid"),
-    "custom_source": "SELECT o_orderkey, o_custkey FROM orders",
+    "kafka_round_trip": "SELECT * FROM events",
+    "custom_source": """SELECT block, unnest(range(lo, hi + 1)) AS number FROM (
+        SELECT o_orderkey // 500 AS block, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1)""",
 }
 
 ORACLE |= {
@@ -261,8 +263,7 @@ ORACLE |= {
     "stream_new_users": ORACLE["q8_new_users"],
     "stream_local_items": ORACLE["q3_local_items"],
     "stream_hash_join": _with("auction bid", """SELECT b.price AS val1, a.seller AS val2 FROM bid b JOIN auction a
-        ON b.auction = a.id WHERE b.date_time > a.date_time - INTERVAL '365' DAY
-        AND b.date_time < a.date_time + INTERVAL '365' DAY"""),
+        ON b.auction = a.id"""),
     "stream_closed_auctions": ORACLE["closed_auctions"],
     "stream_closed_auctions_timers": ORACLE["closed_auctions"],
     "stream_state_machine": f"SELECT user_id, event_id, running FROM ({ORACLE['state_machine_sum']})",

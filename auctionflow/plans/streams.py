@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from auctionflow.functions import cents, int_div
+from auctionflow.functions import cents, int_div, start_of_day
 from auctionflow.operators import windows as W
 from auctionflow.operators.basic import flat_map_words
 from auctionflow.operators.running import running
@@ -18,39 +16,33 @@ from auctionflow.sources import tables as S
 from auctionflow.streaming import joins as SJ
 from auctionflow.streaming import late, state
 from auctionflow.streaming.running import running_batches, trailing_batches
-from auctionflow.streaming.harness import NOBODY, Epochs, plain, run, run_batches, zoned
+from auctionflow.streaming.harness import Epochs, _results, plain, real, run, run_batches, zoned
 
 DAY = 86_400
 OPEN = 730 * DAY
 FAR = 4000 * DAY
 
 
-@lru_cache(maxsize=None)
 def _ebids(spark: SparkSession, d: str) -> Epochs:
     return Epochs(zoned(S.event_bids(spark, d), "date_time"), "date_time", closing=90 * DAY)
 
 
-@lru_cache(maxsize=None)
 def _bids(spark: SparkSession, d: str) -> Epochs:
     return Epochs(zoned(S.bids(spark, d), "date_time"), "date_time", closing=FAR)
 
 
-@lru_cache(maxsize=None)
 def _auctions(spark: SparkSession, d: str) -> Epochs:
     return Epochs(zoned(S.auctions(spark, d), "date_time", "expires"), "date_time", closing=FAR)
 
 
-@lru_cache(maxsize=None)
 def _auctions_by_expiry(spark: SparkSession, d: str) -> Epochs:
     return Epochs(zoned(S.auctions(spark, d), "date_time", "expires"), "expires", closing=FAR)
 
 
-@lru_cache(maxsize=None)
 def _persons(spark: SparkSession, d: str) -> Epochs:
     return Epochs(zoned(S.persons(spark, d), "date_time"), "date_time")
 
 
-@lru_cache(maxsize=None)
 def _events(spark: SparkSession, d: str) -> Epochs:
     return Epochs(zoned(S.table(spark, d, "events"), "ts"), "ts", closing=90 * DAY)
 
@@ -90,13 +82,13 @@ def new_users(spark, d):
 
 
 def local_items(spark, d):
-    return run(SJ.local_items(_read(_auctions(spark, d)), _read(_persons(spark, d)), 20 * 366 * DAY))
+    return run(SJ.local_items(_read(_auctions(spark, d)), _read(_persons(spark, d))))
 
 
 def hash_join(spark, d):
-    left = _read(_bids(spark, d)).filter(F.col("auction") != NOBODY).select(F.col("auction").alias("key"), F.col("price").alias("val"), F.col("date_time").alias("ts"))
-    right = _read(_auctions(spark, d)).select(F.col("id").alias("key"), F.col("seller").alias("val"), F.col("date_time").alias("ts"))
-    return run(SJ.hash_join(left, right, 365 * DAY))
+    left = real(_read(_bids(spark, d))).select(F.col("auction").alias("key"), F.col("price").alias("val"), F.col("date_time").alias("ts"))
+    right = real(_read(_auctions(spark, d))).select(F.col("id").alias("key"), F.col("seller").alias("val"), F.col("date_time").alias("ts"))
+    return run(SJ.hash_join(left, right))
 
 
 def closed_auctions(spark, d):
@@ -127,7 +119,7 @@ def q6(spark, d):
 
 
 def state_machine(spark, d):
-    rows = _read(_events(spark, d)).filter(F.col("event_id") != NOBODY).select(
+    rows = real(_read(_events(spark, d))).select(
         "user_id", "event_id", "ts", cents(F.col("value")).alias("price"))
     sums = running_batches(rows, ["user_id"], ["ts", "event_id"], {"running": ("sum", "price")})
     return sums.select("user_id", "event_id", "running")
@@ -135,7 +127,7 @@ def state_machine(spark, d):
 
 def state_machine_values(spark, d):
     """The same with a state value per key."""
-    rows = _read(_events(spark, d)).filter(F.col("event_id") != NOBODY).select(
+    rows = real(_read(_events(spark, d))).select(
         F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", cents(F.col("value")).alias("value"))
     return run(state.running_sum(rows)).select(
         F.col("key").alias("user_id"), F.col("id").alias("event_id"), "running")
@@ -150,12 +142,12 @@ def delay_rows(spark, d):
 
 
 def counter(spark, d):
-    rows = _read(_events(spark, d)).filter(F.col("event_id") != NOBODY).select(F.col("user_id").alias("key"))
+    rows = real(_read(_events(spark, d))).select(F.col("user_id").alias("key"))
     return _last(state.count_changes(rows), ["key"], "n").withColumnRenamed("key", "user_id")
 
 
 def map_merge(spark, d):
-    rows = _read(_events(spark, d)).filter(F.col("event_id") != NOBODY).select(
+    rows = real(_read(_events(spark, d))).select(
         F.col("user_id").alias("key"), F.col("event_type").alias("item"), F.lit(1).cast("bigint").alias("n"))
     return _last(state.map_changes(rows), ["key", "item"], "n").select(
         F.col("key").alias("user_id"), F.col("item").alias("event_type"), "n")
@@ -170,7 +162,7 @@ def _batches(stream: DataFrame, mode: str) -> DataFrame:
     """All rows of all micro-batches; each batch has its own folder, which a retry overwrites."""
     path = new_path(stream.sparkSession, "batches")
     run_batches(stream, lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}"), mode)
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/*")
+    return _results(stream.sparkSession, stream.schema, f"{path}/*")
 
 
 def wordcount(spark, d):
@@ -181,7 +173,7 @@ def wordcount(spark, d):
 
 
 def distinct_per_time(spark, d):
-    bids = _read(_ebids(spark, d)).filter(F.col("auction") != NOBODY)
+    bids = real(_read(_ebids(spark, d)))
     days = bids.select(F.window("date_time", "1 day").alias("w"), "auction")
     firsts = days.groupBy("w", "auction").agg(F.count("*").alias("n"))
     return plain(_batches(firsts, "update").select(F.col("w.start").alias("time"), "auction").distinct())
@@ -191,7 +183,7 @@ def epochs(spark, d):
     """Every record with the epoch it arrived in."""
     e = Epochs(zoned(S.event_bids(spark, d), "date_time"), "date_time", epochs=3)
     path = new_path(spark, "epochs-seen")
-    run_batches(e.stream(), lambda b, i: b.withColumn("epoch", F.lit(i).cast("bigint")).write.mode("overwrite")
+    run_batches(e.stream().drop("_closing"), lambda b, i: b.withColumn("epoch", F.lit(i).cast("bigint")).write.mode("overwrite")
                 .parquet(f"{path}/batch={i}"))
     return plain(spark.read.parquet(f"{path}/*"))
 
@@ -226,12 +218,12 @@ def progress_report(spark, d):
 def late_rows(spark, d):
     rows = S.table(spark, d, "lineitem").select("l_linenumber", "l_orderkey", "l_shipdate")
     e = Epochs(zoned(rows, "l_shipdate"), "l_shipdate", order="l_linenumber")
-    return plain(late.split_late(e.source(), "l_shipdate", 5 * 365 * DAY)[1])
+    return plain(late.split_late(e.source().drop("_closing"), "l_shipdate", 5 * 365 * DAY)[1])
 
 
 def capture_replay(spark, d):
     """Two captured streams, replayed as one."""
-    bids = S.event_bids(spark, d).withColumn("time", F.date_trunc("day", "date_time").cast("timestamp_ntz"))
+    bids = S.event_bids(spark, d).withColumn("time", start_of_day("date_time"))
     paths = []
     for part in (bids.filter("price % 2 = 0"), bids.filter("price % 2 <> 0")):
         paths.append(new_path(spark, "captured"))
@@ -240,7 +232,7 @@ def capture_replay(spark, d):
 
 
 def foreach_batch_sink(spark, d):
-    return plain(_batches(_read(_ebids(spark, d)).filter(F.col("auction") != NOBODY), "append"))
+    return plain(_batches(real(_read(_ebids(spark, d))), "append"))
 
 
 def observe_metrics(spark, d):

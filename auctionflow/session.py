@@ -30,12 +30,19 @@ def build_session(app: str = "auctionflow", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def runs_in_one_process(master: str) -> bool:
+    """True for local masters, whose executor shares the driver's folders."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode, where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not runs_in_one_process(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="auctionflow-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

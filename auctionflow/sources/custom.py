@@ -1,43 +1,22 @@
-"""A user-defined source: Parquet row groups, one input partition each."""
+"""Sources made of a user's function."""
 
 from __future__ import annotations
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-class RowGroup(InputPartition):
-    def __init__(self, path: str, index: int):
-        self.path, self.index = path, index
 
+def from_function(plan: DataFrame, read: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """The rows that `read` gives for each row of `plan`, which describes one piece of the source.
 
-class RowGroupReader(DataSourceReader):
-    def __init__(self, schema, options):
-        self.schema, self.path = schema, options["path"]
+    The pieces are dealt out evenly and read by the tasks, in batches as they come; the driver
+    opens nothing, and a lost task reads its pieces again. `plan` is a table like any other, so it
+    can be the result of a query, and of any length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.to_pylist():
+                yield from read(piece)
 
-    def partitions(self):
-        import pyarrow.dataset as ds
-
-        return [RowGroup(fragment.path, group.id)
-                for fragment in ds.dataset(self.path, format="parquet").get_fragments()
-                for group in fragment.row_groups]
-
-    def read(self, partition):
-        import pyarrow.parquet as pq
-
-        with pq.ParquetFile(partition.path) as file:
-            for batch in file.iter_batches(row_groups=[partition.index], columns=self.schema.names):
-                yield batch
-
-
-class RowGroupSource(DataSource):
-    """`spark.read.format("rowgroups").schema(..).load(path)`; reads only the columns asked for."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "rowgroups"
-
-    def schema(self):
-        raise ValueError("give the schema of the columns to read")
-
-    def reader(self, schema):
-        return RowGroupReader(schema, self.options)
+    return plan.hint("rebalance").mapInArrow(run, schema)

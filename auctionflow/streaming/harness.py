@@ -3,35 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auctionflow.session import SETTINGS, new_path
 
-NOBODY = -1  # key of closing rows
+CLOSING = "_closing"  # true in the row that closes a bounded stream
+START = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
-def prepare(spark: SparkSession) -> None:
-    """Settings every stream here needs: keyed state in RocksDB, times in UTC, progress kept whole."""
-    for key in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.session.timeZone"):
-        spark.conf.set(key, SETTINGS[key])
-    # dropped rows are counted over all micro-batches of a run
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the runs' own: keyed state in RocksDB, times in UTC, one state partition per core.
+
+    The caller's settings stay as they are."""
+    if hasattr(spark, "_base"):
+        return spark
+    own = getattr(spark, "_streams", None)
+    if own is None:
+        own = spark.newSession()
+        for key in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.session.timeZone"):
+            own.conf.set(key, SETTINGS[key])
+        own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+        spark._streams, own._base = own, spark
+    return own
+
+
+def _results(spark: SparkSession, schema, path: str) -> DataFrame:
+    """What a run wrote, in the caller's session."""
+    return getattr(spark, "_base", spark).read.schema(schema).parquet(path)
+
+
+def instant(local: Column | str) -> Column:
+    """A zone-less time as the instant that it is in UTC, whatever the session's zone."""
+    since = (F.col(local) if isinstance(local, str) else local) - F.expr(START)
+    part = lambda name: F.extract(F.lit(name), since).cast("bigint")
+    micros = (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000_000 + micros)
+
+
+def wall_clock(at: Column | str) -> Column:
+    """An instant as the zone-less time that it is in UTC."""
+    micros = F.unix_micros(at)
+    days, rest = F.floor(micros / 86_400_000_000).cast("bigint"), F.pmod(micros, F.lit(86_400_000_000))
+    zero = F.lit(0)
+    return F.expr(START) + F.make_dt_interval(days.cast("int"), zero, zero, (rest / F.lit(1_000_000).cast("decimal(18,6)")).cast("decimal(18,6)"))
 
 
 def zoned(df: DataFrame, *times: str) -> DataFrame:
     """Times as TIMESTAMP, the only type a watermark takes."""
-    return df.withColumns({t: F.col(t).cast("timestamp") for t in times})
+    kinds = dict(df.dtypes)
+    return df.withColumns({t: instant(t) if kinds[t] == "timestamp_ntz" else F.col(t) for t in times})
 
 
 def plain(df: DataFrame) -> DataFrame:
     """Times back as TIMESTAMP_NTZ, as the batch queries give them."""
-    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name)
+    return df.select(*[wall_clock(f.name).alias(f.name)
                        if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema])
 
 
+def real(stream: DataFrame) -> DataFrame:
+    """The stream without its closing row, for operators that give out rows as they come."""
+    return stream.filter(f"NOT {CLOSING}").drop(CLOSING)
+
+
 class Epochs:
     """A table laid down as files in event-time order, and read back one epoch per micro-batch.
 
@@ -40,39 +75,40 @@ class Epochs:
     exactly one epoch at a time. With `order`, epochs follow that column, one per value, and
     times arrive out of order.
 
-    `closing` adds a last row that many seconds beyond the newest one, with -1 for every number;
-    it pushes the watermark past every window and timer of the data and never leaves state
-    itself. It has no NULLs, which filters in front of a join would drop before the watermark
-    sees them.
+    `closing` adds a last row that many seconds beyond the newest one, with -1 for every number
+    and true in the column `_closing`; it pushes the watermark past every window and timer of the
+    data and never leaves state itself. It has no NULLs, which filters in front of a join would
+    drop before the watermark sees them. The stream belongs to a session of its own.
     """
 
     def __init__(self, df: DataFrame, time: str, epochs: int = 2, closing: int | None = None,
                  order: str | None = None):
-        self.spark, self.time, self.schema = df.sparkSession, time, df.schema
-        prepare(self.spark)
+        df = df.withColumn(CLOSING, F.lit(False))
+        self.spark, self.time, self.schema = stream_session(df.sparkSession), time, df.schema
         self.path = new_path(self.spark, "epochs")
         parts = self._by_time(df, epochs) if order is None else self._by_value(df, order)
         for part in parts:
             self._write(part)
         if closing is not None:
-            self._write(self._closing_row(self.last + timedelta(seconds=closing)))
+            self._write(self._closing_row(F.timestamp_micros(F.lit(self.last + closing * 1_000_000))))
 
     def _by_time(self, df: DataFrame, epochs: int) -> list[DataFrame]:
         t = F.col(self.time)
         shares = [i / epochs for i in range(1, epochs)]
         marks = F.percentile_approx(t.cast("double"), shares) if shares else F.array()
         self.first, self.last, rows, found = df.agg(
-            F.min(t), F.max(t), F.count("*"), F.transform(marks, F.timestamp_seconds)).first()
+            F.unix_micros(F.min(t)), F.unix_micros(F.max(t)), F.count("*"),
+            F.transform(marks, lambda s: F.unix_micros(F.timestamp_seconds(s)))).first()
         self._share_out(rows // epochs)
         parts, rest = [], df
         for mark in sorted(set(found)):
-            parts.append(rest.filter(t < F.lit(mark)))
-            rest = df.filter(t >= F.lit(mark))
+            parts.append(rest.filter(F.unix_micros(t) < mark))
+            rest = df.filter(F.unix_micros(t) >= mark)
         return [*parts, rest]
 
     def _by_value(self, df: DataFrame, order: str) -> list[DataFrame]:
         sizes = df.groupBy(order).agg(
-            F.count("*").alias("n"), F.min(self.time).alias("lo"), F.max(self.time).alias("hi")
+            F.count("*").alias("n"), F.unix_micros(F.min(self.time)).alias("lo"), F.unix_micros(F.max(self.time)).alias("hi")
         ).orderBy(order).collect()
         self.first, self.last = min(r.lo for r in sizes), max(r.hi for r in sizes)
         self._share_out(min(r.n for r in sizes))
@@ -82,11 +118,11 @@ class Epochs:
         """Files per epoch: one per core, but so few that even the smallest epoch fills them all."""
         self.files = max(1, min(self.spark.sparkContext.defaultParallelism, rows // 1000))
 
-    def _closing_row(self, end: datetime) -> DataFrame:
-        blank = {"timestamp": F.lit(end), "string": F.lit(""), "boolean": F.lit(False)}
+    def _closing_row(self, end: Column) -> DataFrame:
+        blank = {"timestamp": end, "string": F.lit(""), "boolean": F.lit(False)}
         return self.spark.range(1).select(*[
-            blank.get(f.dataType.typeName(), F.lit(NOBODY)).cast(f.dataType).alias(f.name)
-            for f in self.schema])
+            F.lit(True).alias(CLOSING) if f.name == CLOSING
+            else blank.get(f.dataType.typeName(), F.lit(-1)).cast(f.dataType).alias(f.name) for f in self.schema])
 
     def _write(self, rows: DataFrame) -> None:
         placed = rows.repartition(self.files) if self.files > 1 else rows.coalesce(1)
@@ -94,8 +130,7 @@ class Epochs:
 
     def origin(self, slide: int):
         """The first event, floored to the slide."""
-        seconds = int((self.first.replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds())
-        return F.timestamp_seconds(F.lit(seconds // slide * slide))
+        return F.timestamp_seconds(F.lit(self.first // 1_000_000 // slide * slide))
 
     def source(self) -> DataFrame:
         """The epochs as a stream, one per micro-batch."""
@@ -111,44 +146,48 @@ class DroppedRows(RuntimeError):
     pass
 
 
-def _start(spark: SparkSession, writer):
-    """Start with as many state partitions as the cluster has cores; they are fixed from then on."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(name, before)
-
-
-def _finish(query, allow_late: bool) -> list:
-    query.awaitTermination()
-    progress = list(query.recentProgress)
-    late = sum(s.numRowsDroppedByWatermark for p in progress for s in p.stateOperators)
-    if late and not allow_late:
-        raise DroppedRows(f"{late} rows came after the watermark")
-    return progress
-
-
-def run(stream: DataFrame, allow_late: bool = False, progress: list | None = None) -> DataFrame:
-    """Run an append-mode stream over all its input and return what it wrote."""
+def _finish(query, allow_late: bool, progress: list | None) -> None:
+    """Wait for the end, adding up dropped rows on the way; a stream without end goes on until stopped."""
+    late, seen = 0, -1
+    done = False
+    while not done:
+        done = query.awaitTermination(1)
+        for p in query.recentProgress:
+            if p.batchId > seen:
+                seen = p.batchId
+                late += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+                if progress is not None:
+                    progress.append(p)
+        if late and not allow_late:
+            query.stop()
+            raise DroppedRows(f"{late} rows came after the watermark")
+
+
+def run(stream: DataFrame, allow_late: bool = False, progress: list | None = None, path: str | None = None,
+        checkpoint: str | None = None, trigger: dict | None = None) -> DataFrame:
+    """Run an append-mode stream over its input and return what it wrote.
+
+    `path` and `checkpoint` name the folders of the output and of the stream's progress; a run with
+    the folders of an earlier one goes on where that stopped. `trigger` is that of `writeStream`,
+    by default all input there is, then the end.
+    """
     spark = stream.sparkSession
-    path = new_path(spark, "sink")
-    query = _start(spark, stream.writeStream.format("parquet").option("path", path)
-                   .option("checkpointLocation", new_path(spark, "progress"))
-                   .outputMode("append").trigger(availableNow=True))
-    seen = _finish(query, allow_late)
-    if progress is not None:
-        progress.extend(seen)
-    return spark.read.schema(stream.schema).parquet(path)
+    path = path or new_path(spark, "sink")
+    query = (stream.writeStream.format("parquet").option("path", path)
+             .option("checkpointLocation", checkpoint or new_path(spark, "progress"))
+             .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
+    _finish(query, allow_late, progress)
+    return _results(spark, stream.schema, path)
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
-                allow_late: bool = False) -> list:
-    """Run a stream with `each(batch, number)` called per micro-batch; a retry repeats a number."""
-    spark = stream.sparkSession
-    query = _start(spark, stream.writeStream.foreachBatch(each)
-                   .option("checkpointLocation", new_path(spark, "progress"))
-                   .outputMode(mode).trigger(availableNow=True))
-    return _finish(query, allow_late)
+                allow_late: bool = False, checkpoint: str | None = None, trigger: dict | None = None) -> list:
+    """Run a stream with `each(batch, number)` called per micro-batch; a retry repeats a number.
+
+    `checkpoint` and `trigger` as for `run`; the progress of the batches is returned."""
+    spark, progress = stream.sparkSession, []
+    query = (stream.writeStream.foreachBatch(each)
+             .option("checkpointLocation", checkpoint or new_path(spark, "progress"))
+             .outputMode(mode).trigger(**(trigger or {"availableNow": True})).start())
+    _finish(query, allow_late, progress)
+    return progress

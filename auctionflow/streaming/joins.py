@@ -1,4 +1,4 @@
-"""Stream-stream joins; every one has a time bound, so that its state stays finite."""
+"""Stream-stream joins. A time bound keeps their state finite; without one, both sides are kept for ever."""
 
 from __future__ import annotations
 
@@ -18,42 +18,47 @@ def new_sellers(persons: DataFrame, auctions: DataFrame, within: int) -> DataFra
                   & (F.col("opened") < F.col("joined") + seconds(within))).select("person")
 
 
-def local_items(auctions: DataFrame, persons: DataFrame, retain: int, category: int = 10,
+def local_items(auctions: DataFrame, persons: DataFrame, retain: int | None = None, category: int = 10,
                 states: Sequence[str] = ("OR", "ID", "CA")) -> DataFrame:
-    """As the batch query, for people and auctions at most `retain` seconds apart.
-
-    The batch query has no such bound; a match further apart is lost here, which is the price of
-    finite state.
-    """
+    """As the batch query; with `retain`, for people and auctions at most that many seconds apart."""
     p = persons.filter(F.col("state").isin(*states)).select(
         F.col("id").alias("person"), "name", "city", "state", F.col("date_time").alias("joined"))
     a = auctions.filter(F.col("category") == category).select(
         F.col("id").alias("auction"), "seller", F.col("date_time").alias("opened"))
-    near = ((F.col("opened") >= F.col("joined") - seconds(retain))
-            & (F.col("opened") <= F.col("joined") + seconds(retain)))
-    return a.join(p, (F.col("seller") == F.col("person")) & near).select("name", "city", "state", "auction")
+    on = F.col("seller") == F.col("person")
+    if retain is not None:
+        on = (on & (F.col("opened") >= F.col("joined") - seconds(retain))
+              & (F.col("opened") <= F.col("joined") + seconds(retain)))
+    return a.join(p, on).select("name", "city", "state", "auction")
 
 
-def hash_join(left: DataFrame, right: DataFrame, within: int) -> DataFrame:
-    """Inner join of two (key, val, ts) streams whose rows are less than `within` seconds apart."""
+def hash_join(left: DataFrame, right: DataFrame, within: int | None = None) -> DataFrame:
+    """Inner join of two (key, val, ts) streams; with `within`, of rows less than that many seconds apart."""
     l = left.select(F.col("key").alias("_lk"), F.col("val").alias("val1"), F.col("ts").alias("_lt"))
     r = right.select(F.col("key").alias("_rk"), F.col("val").alias("val2"), F.col("ts").alias("_rt"))
-    near = (F.col("_lt") > F.col("_rt") - seconds(within)) & (F.col("_lt") < F.col("_rt") + seconds(within))
-    return l.join(r, (F.col("_lk") == F.col("_rk")) & near).select("val1", "val2")
+    on = F.col("_lk") == F.col("_rk")
+    if within is not None:
+        on = on & (F.col("_lt") > F.col("_rt") - seconds(within)) & (F.col("_lt") < F.col("_rt") + seconds(within))
+    return l.join(r, on).select("val1", "val2")
 
 
-def closing_auctions(auctions: DataFrame, bids: DataFrame, longest: int) -> DataFrame:
+def closing_auctions(auctions: DataFrame, bids: DataFrame, longest: int | None = None) -> DataFrame:
     """The winning bid of each auction once the watermark passes its expiry, in built-in operators.
 
-    `auctions` has its watermark on `expires`, `bids` on `date_time`; no auction is open for
-    longer than `longest` seconds. The join keeps a bid for that long and an auction until it
-    expires, and the aggregate keeps one bid per open auction.
+    `auctions` has its watermark on `expires`, `bids` on `date_time`. The join keeps an auction
+    until it expires, and the aggregate one bid per open auction. Bids are kept for ever, or for
+    `longest` seconds, if no auction is open for longer; one that is fails the query.
     """
+    if longest is not None:
+        kept = F.col("expires") <= F.col("date_time") + seconds(longest)
+        auctions = auctions.withColumn("reserve", F.when(F.coalesce(kept, F.lit(True)), F.col("reserve")).otherwise(
+            F.raise_error(F.lit("an auction is open for longer than promised"))))
     a = auctions.select("id", "reserve", "seller", "category", "expires", F.col("date_time").alias("opened"))
     b = bids.select("auction", "bidder", "price", F.col("date_time").alias("bid_time"))
     valid = ((F.col("price") >= F.col("reserve")) & (F.col("bid_time") >= F.col("opened"))
-             & (F.col("bid_time") < F.col("expires"))
-             & (F.col("expires") <= F.col("bid_time") + seconds(longest)))
+             & (F.col("bid_time") < F.col("expires")))
+    if longest is not None:
+        valid = valid & (F.col("expires") <= F.col("bid_time") + seconds(longest))
     rank = F.struct(F.col("price").alias("p"), (-F.unix_micros("bid_time")).alias("t"),
                     (-F.col("bidder")).alias("b"), "bid_time", "seller", "category")
     return (

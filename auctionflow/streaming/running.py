@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from auctionflow.operators.running import FIRST, FOLD, running, trailing
 from auctionflow.session import new_path, store
-from auctionflow.streaming.harness import run_batches
+from auctionflow.streaming.harness import _results, run_batches
 
 
 def _carry(spark, path: str, number: int, schema) -> DataFrame:
@@ -30,10 +30,11 @@ def _settle(batch: DataFrame) -> DataFrame:
 
 
 def running_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
-                    aggs: dict[str, tuple[str, str]]) -> DataFrame:
-    """`operators.running.running` over a stream."""
+                    aggs: dict[str, tuple[str, str]], folder: str | None = None) -> DataFrame:
+    """`operators.running.running` over a stream; with the `folder` of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    out, carry = new_path(spark, "running-out"), new_path(spark, "running-carry")
+    folder = folder or new_path(spark, "running")
+    out, carry = f"{folder}/out", f"{folder}/carry"
 
     def totals(df: DataFrame) -> DataFrame:
         return df.groupBy(*keys).agg(*[FIRST[kind](c).alias(n) for n, (kind, c) in aggs.items()])
@@ -54,19 +55,20 @@ def running_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str]
             *[FOLD[kind][0](n).alias(n) for n, (kind, _) in aggs.items()]
         ).write.mode("overwrite").parquet(f"{carry}/batch={number}")
 
-    run_batches(stream, each)
+    run_batches(stream, each, checkpoint=f"{folder}/progress")
     fields = {f.name: f.dataType for f in state}
     schema = stream.schema
     for name in aggs:
         schema = schema.add(name, fields[name])
-    return spark.read.schema(schema).parquet(f"{out}/*")
+    return _results(spark, schema, f"{out}/*")
 
 
 def trailing_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int,
-                     aggs: dict[str, Column]) -> DataFrame:
+                     aggs: dict[str, Column], folder: str | None = None) -> DataFrame:
     """`operators.running.trailing` over a stream; the carry is the last `rows - 1` rows of each key."""
     spark = stream.sparkSession
-    out, carry = new_path(spark, "trailing-out"), new_path(spark, "trailing-carry")
+    folder = folder or new_path(spark, "trailing")
+    out, carry = f"{folder}/out", f"{folder}/carry"
 
     def each(batch: DataFrame, number: int) -> None:
         batch = _settle(batch)
@@ -77,5 +79,5 @@ def trailing_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str
         back = running(both.drop("_old"), keys, [F.col(o).desc() for o in order], {"_back": ("count", "*")})
         back.filter(F.col("_back") < rows).drop("_back").write.mode("overwrite").parquet(f"{carry}/batch={number}")
 
-    run_batches(stream, each)
-    return spark.read.parquet(f"{out}/*").drop("batch")
+    run_batches(stream, each, checkpoint=f"{folder}/progress")
+    return getattr(spark, "_base", spark).read.parquet(f"{out}/*").drop("batch")

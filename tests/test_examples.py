@@ -353,7 +353,7 @@ def test_a_loop_needs_an_end(spark):
 def test_binary_cuts_large_keys(spark):
     left = spark.createDataFrame([(i % 3 if i % 2 else 0, i) for i in range(200)], "k long, v long").repartition(3)
     right = spark.createDataFrame([(0, 5), (1, 6)], "k long, w long")
-    got = U.binary(left, right, "k", lambda a, b: a.merge(b, on="k")[["k", "v", "w"]], "k long, v long, w long", max_group=20)
+    got = U.binary(left, right, "k", lambda a, b: a.merge(b, on="k")[["k", "v", "w"]], "k long, v long, w long", max_group=20, distributive=True)
     assert rows(got) == rows(left.join(right, "k").select("k", "v", "w"))
 
 
