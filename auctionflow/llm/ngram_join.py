@@ -14,9 +14,9 @@ from auctionflow.llm.common import LOWER, M1, M2, M3, Hashed, batch, chosen, lis
 from auctionflow.operators.graph import connected_components
 from auctionflow.session import store
 
-BITS = 1024          # of a signature
+BITS = 1024          # of a signature at least
 BLOCK = 1024         # documents of one tile that meet in one task at a time
-BAND_GROWTH = 1.4    # upper size of a band over that of the band below
+BAND_GROWTH = 1.8    # upper size of a band over that of the band below
 
 SIGNED = pa.schema([
     ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
@@ -76,9 +76,18 @@ class Bands:
 
 def signature(s: np.ndarray) -> np.ndarray:
     """Bit i is the parity of the elements hashed to i, so two sets that differ in d elements
-    differ in at most d bits."""
-    where = (mix(s ^ M3) * M2 >> np.uint64(54)).astype(np.int64)
-    return np.packbits(np.bincount(where, minlength=BITS) & 1).view(np.int64)
+    differ in at most d bits. There are twice as many bits as elements, or up to four times, so
+    that long sets don't fill them; halves laid over each other by XOR are the signature of half
+    the length."""
+    bits = max(BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else BITS
+    where = (mix(s ^ M3) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(where, minlength=bits) & 1, bitorder="little").view(np.int64)
+
+
+def _halved(bits: np.ndarray, length: int) -> np.ndarray:
+    while len(bits) > length:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
 
 
 def sign(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -147,10 +156,15 @@ def _bounded(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     for side in "ab":
         pairs = pairs.join(signs.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"),
                                         F.col("bits").alias(f"bits_{side}")), side)
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                         F.lit(0), lambda total, bits: total + bits)
-    return pairs.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                        & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b")
+    # sizes that can link are less than a factor of 4 apart, and signatures at most two steps
+    size = F.least(F.size("bits_a"), F.size("bits_b"))
+    halve = lambda c: F.when(F.size(c) > size, F.zip_with(
+        F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")),
+        lambda x, y: x.bitwiseXOR(y))).otherwise(c)
+    differ = F.aggregate(F.zip_with(halve(halve(F.col("bits_a"))), halve(halve(F.col("bits_b"))), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda total, bits: total + F.coalesce(bits, F.lit(0)))
+    near = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return near.filter((differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -189,8 +203,10 @@ def _crowded(members: DataFrame, links: DataFrame, signs: DataFrame, percent: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(7)] + [
-                b.column(7).flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1)]
+            flat, at = b.column(7).flatten().to_numpy().view(np.uint64), b.column(7).offsets.to_numpy()
+            bits = np.empty(b.num_rows, object)
+            bits[:] = np.split(flat, at[1:-1] - at[0])
+            cols = [b.column(i).to_numpy() for i in range(7)] + [bits]
             rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
             ends = _ends(rest)
             if len(ends) > 1:
@@ -211,16 +227,18 @@ def _ends(cols: list[np.ndarray]) -> np.ndarray:
 
 
 def _meet(cols: list[np.ndarray], ends: np.ndarray, percent: int, schema: pa.Schema) -> pa.RecordBatch:
-    _, i, j, own, doc, part, size, bits = cols
+    _, i, j, own, doc, part, size, signs = cols
     left, right, at = [], [], 0
     for end in ends:
+        least = min(map(len, signs[at:end]))
+        bits = np.stack([_halved(x, least) for x in signs[at:end]])
         split = at + int(np.searchsorted(own[at:end], j[at])) if i[at] != j[at] else end
         for x in range(at, split):
             first = split if i[at] != j[at] else x + 1
             y = first + np.flatnonzero(part[first:end] != part[x])
             total = size[y] + size[x]
             y = y[(100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))
-                  & (np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) * (100 + percent)
+                  & (np.bitwise_count(bits[y - at] ^ bits[x - at]).sum(axis=1, dtype=np.int64) * (100 + percent)
                      <= total * (100 - percent))]
             left.append(np.minimum(doc[y], doc[x]))
             right.append(np.maximum(doc[y], doc[x]))
