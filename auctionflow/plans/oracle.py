@@ -271,6 +271,16 @@ ORACLE |= {
     "stream_q6_last10_avg": ORACLE["q6_last10_avg"],
     "stream_state_machine_values": f"SELECT user_id, event_id, running FROM ({ORACLE['state_machine_sum']})",
     "stream_delay_rows": f"SELECT event_id, ts FROM ({ORACLE['delay_rows']})",
+    "stream_state_machine_fold": """WITH RECURSIVE o AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS price,
+            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT user_id, event_id, k, price AS running FROM o WHERE k = 1 UNION ALL
+            SELECT o.user_id, o.event_id, o.k, CASE WHEN r.running > 100000 THEN 0 ELSE r.running END + o.price
+            FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+        SELECT user_id, event_id, running FROM r""",
+    "stream_unary_notify": """SELECT user_id, epoch_us(ts) // 86400000000 AS day, count(*) AS n FROM events GROUP BY 1, 2""",
+    "stream_binary_notify": _with("auction bid", """SELECT coalesce(a.id, b.auction) AS auction, coalesce(b.n, 0) AS bids,
+        coalesce(a.n, 0) AS auctions FROM (SELECT id, count(*) AS n FROM auction GROUP BY id) a
+        FULL JOIN (SELECT auction, count(*) AS n FROM bid GROUP BY auction) b ON a.id = b.auction"""),
     "state_counter": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
     "state_map_merge": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type",
     "stream_wordcount": ORACLE["wordcount_final"],

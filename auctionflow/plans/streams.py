@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from auctionflow.streaming.harness import Epochs, _results, plain, real, run, ru
 DAY = 86_400
 OPEN = 730 * DAY
 FAR = 4000 * DAY
+FAR_AHEAD = 1_100_000_000_000  # ms, after all bids and auctions and before the closing row
 
 
 def _ebids(spark: SparkSession, d: str) -> Epochs:
@@ -133,6 +135,51 @@ def state_machine_values(spark, d):
         F.col("key").alias("user_id"), F.col("id").alias("event_id"), "running")
 
 
+def state_machine_fold(spark, d):
+    """A user's fold: running sums that start anew once they pass 100,000."""
+    def fold(key, rows, state):
+        rows, total, out = rows.sort_values(["ts", "event_id"]), state[0] if state else 0, []
+        values = rows["price"].to_numpy()
+        while len(out) < len(values):
+            sums = values[len(out):].cumsum() + total
+            over = int((sums <= 100_000).argmin()) + 1 if sums[-1] > 100_000 else len(sums)
+            out.extend(sums[:over])
+            total = 0 if sums[over - 1] > 100_000 else int(sums[over - 1])
+        return rows[["user_id", "event_id"]].assign(running=out), (total,) if total else None
+
+    rows = real(_read(_events(spark, d))).select("user_id", "event_id", "ts", cents(F.col("value")).alias("price"))
+    return run(state.state_machine(rows, ["user_id"], "total long", "user_id long, event_id long, running long", fold))
+
+
+def unary_notify(spark, d):
+    """Events counted per user and day, given out when the day is over."""
+    def on_rows(key, rows, seen):
+        return None, (len(rows) + (seen[0] if seen else 0),), [(key[1] + 1) * DAY * 1000]
+
+    def on_timer(key, ms, seen):
+        return pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "n": [seen[0]]}), None, []
+
+    rows = _read(_events(spark, d)).select("user_id", int_div(F.unix_micros("ts"), F.lit(DAY * 1_000_000)).alias("day"), "ts")
+    out = run(state.notify(rows, ["user_id", "day"], "n long", "user_id long, day long, n long", on_rows, on_timer))
+    return out.filter("day >= 0 AND user_id >= 0")
+
+
+def binary_notify(spark, d):
+    """Bids and auctions per auction number, counted on both sides until the end of the streams."""
+    def on_rows(key, rows, seen):
+        left, right = seen or (0, 0)
+        n = int(rows["is_left"].sum())
+        return None, (left + n, right + len(rows) - n), [FAR_AHEAD]
+
+    def on_timer(key, ms, seen):
+        return pd.DataFrame({"auction": [key[0]], "bids": [seen[0]], "auctions": [seen[1]]}), None, []
+
+    bids = _read(_bids(spark, d)).select("auction", "date_time")
+    auctions = _read(_auctions(spark, d)).select(F.col("id").alias("auction"), "date_time")
+    out = run(state.notify_two(bids, auctions, ["auction"], "bids long, auctions long", "auction long, bids long, auctions long", on_rows, on_timer))
+    return out.filter("auction >= 0")
+
+
 def delay_rows(spark, d):
     later = F.col("ts") + F.expr("make_dt_interval(0, CAST(user_id - 75 AS INT))")
     rows = _read(_events(spark, d)).select(
@@ -250,7 +297,8 @@ STREAMS = {
     "stream_window_rank": window_rank, "stream_hot_items": hot_items, "stream_highest_bid": highest_bid,
     "stream_new_users": new_users, "stream_local_items": local_items, "stream_hash_join": hash_join,
     "stream_closed_auctions": closed_auctions, "stream_closed_auctions_timers": closed_auctions_timers,
-    "stream_state_machine": state_machine,
+    "stream_state_machine": state_machine, "stream_state_machine_fold": state_machine_fold,
+    "stream_unary_notify": unary_notify, "stream_binary_notify": binary_notify,
     "stream_state_machine_values": state_machine_values, "stream_q4_avg_price_running": q4_running,
     "stream_q6_last10_avg": q6, "stream_delay_rows": delay_rows, "state_counter": counter,
     "state_map_merge": map_merge, "stream_wordcount": wordcount, "stream_distinct": distinct_per_time,

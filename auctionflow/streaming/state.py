@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -208,3 +208,69 @@ def closing_auctions(auctions: DataFrame, bids: DataFrame) -> DataFrame:
         AuctionClose(),
         "auction long, seller long, category long, expires timestamp, price long, bidder long, bid_time timestamp",
         "Append", "EventTime")
+
+
+class UserLogic(StatefulProcessor):
+    """Functions of the user's for the rows and the timers of a key, with one state value per key."""
+
+    def __init__(self, state: str, on_rows, on_timer=None):
+        self.schema, self.on_rows, self.on_timer = state, on_rows, on_timer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+
+    def _keep(self, state: tuple | None, timers) -> None:
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update(tuple(state))
+        for ms in timers:
+            self.handle.registerTimer(int(ms))
+
+    def _before(self) -> tuple | None:
+        return tuple(self.state.get()) if self.state.exists() else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            out, state, timers = self.on_rows(key, batch, self._before())
+            self._keep(state, timers)
+            if out is not None and len(out):
+                yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.on_timer is None:
+            return
+        out, state, timers = self.on_timer(key, expiredTimerInfo.getExpiryTimeInMs(), self._before())
+        self._keep(state, timers)
+        if out is not None and len(out):
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def notify(stream: DataFrame, keys: Sequence[str], state: str, schema: str, on_rows: Callable, on_timer: Callable | None = None) -> DataFrame:
+    """A stream operator made of the user's functions.
+
+    `on_rows(key, rows, state)` gets a pandas batch of one key's rows and the key's state (a tuple,
+    or None) and returns (rows to give out or None, new state or None to drop it, timers in ms).
+    `on_timer(key, ms, state)` is called once the watermark has passed a timer and returns the same.
+    Without `on_timer` no watermark is needed. A key's state is in one task.
+    """
+    time = "EventTime" if on_timer else "None"
+    return stream.groupBy(*keys).transformWithStateInPandas(UserLogic(state, on_rows, on_timer), schema, "Append", time)
+
+
+def notify_two(left: DataFrame, right: DataFrame, keys: Sequence[str], state: str, schema: str, on_rows: Callable,
+               on_timer: Callable | None = None) -> DataFrame:
+    """`notify` with two inputs: the column `is_left` tells them apart, and what only the other input
+    has is missing. Both have the key columns and, with timers, the same watermark column."""
+    both = left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False)), allowMissingColumns=True)
+    return notify(both, keys, state, schema, on_rows, on_timer)
+
+
+def state_machine(stream: DataFrame, keys: Sequence[str], state: str, schema: str, fold: Callable) -> DataFrame:
+    """`fold(key, rows, state)` gives (rows to give out, new state); a state of None is dropped, and the
+    key starts anew with its next row."""
+    return notify(stream, keys, state, schema, lambda key, rows, before: (*fold(key, rows, before), ()))
