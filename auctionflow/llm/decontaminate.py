@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from auctionflow.llm.common import M1, Hashed, batch, mix, pick, word_hashes
 
-#: The seeds. A 1 is a word that must agree, a 0 one that is ignored.
-MASKS = ("11111011", "110110011011", "1110010100111", "1011010001101011")
 FILTER_BITS = 22
+STEP = 1 << 20          # seeds or words that are compared at a time
 #: ASCII characters that aren't letters or digits separate words, A-Z are lower-cased.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -25,81 +26,115 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(PLAIN).split()
 
 
-def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
-    """Hash of the words under `mask` at every place where it fits."""
-    n = len(h) - len(mask) + 1
+@cache
+def certain_run(n: int, min_words: int, p: int, q: int) -> int:
+    """Words that agree in a row somewhere in every stretch that counts for an item of `n` words.
+
+    With m agreeing words in more than p / q of its words a stretch has fewer than m * (q - p) / p
+    others, which cut the agreeing ones into one run more than there are of them."""
+    least = max(1, -(-min(min_words * q, p * n) // q))
+    return min(-(-m // (1 + max(0, min(n - m, (m * (q - p) - 1) // p)))) for m in range(least, n + 1))
+
+
+def seeds(h: np.ndarray, run: int) -> np.ndarray:
+    """Hash of the `run` words from every place on."""
+    n = len(h) - run + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, salt, np.uint64)
-    for i, bit in enumerate(mask):
-        if bit == "1":
-            total = (total + h[i:i + n]) * M1
-            total ^= total >> np.uint64(29)
+    total = np.full(n, run, np.uint64)
+    for i in range(run):
+        total = (total + h[i:i + n]) * M1
+        total ^= total >> np.uint64(29)
     return mix(total)
 
 
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... of each of `n` values in a row."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
 class Items:
     """The seeds of a block of benchmark items, to be looked up from documents.
 
-    An item shorter than a mask is looked up as a whole, by a mask of its length without gaps.
+    The seeds of an item are all its runs of as many words as agree in a row in every stretch that
+    counts, so no stretch is missed: 4 words, or 3 in items of 6, 7 and 11, with the usual limits.
     """
 
     def __init__(self, items: list[tuple[int, str]], min_words: int, identity: float):
-        self.min_words, self.identity = min_words, identity
+        share = Fraction(identity).limit_denominator(10_000)
+        self.p, self.q = share.numerator, share.denominator
         seen = Hashed()
         self.ids = [i for i, _ in items]
         self.words = [word_hashes(words(t), seen) for _, t in items]
-        self.masks = list(MASKS)
-        found: list[tuple[np.ndarray, int, np.ndarray]] = []
-        for k, h in enumerate(self.words):
-            fitting = [m for m in MASKS if len(m) <= len(h)] or ["1" * len(h)] * (len(h) > 0)
-            for m in fitting:
-                if m not in self.masks:
-                    self.masks.append(m)
-                s = seeds(h, m, self.masks.index(m))
-                found.append((s, k, np.arange(len(s))))
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.words) if items else np.zeros(0, np.uint64)
+        self.least = np.minimum(min_words * self.q, self.p * self.size)  # agreeing words times q
+        runs = [certain_run(len(w), min_words, self.p, self.q) if len(w) else 0 for w in self.words]
+        self.runs = sorted(set(runs) - {0})
+        found = [(seeds(h, r), k) for k, (h, r) in enumerate(zip(self.words, runs)) if r]
         self.seed = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
         order = np.argsort(self.seed, kind="stable")
         self.item = np.repeat([f[1] for f in found], [len(f[0]) for f in found]).astype(np.int64)[order] if found else order
-        self.place = np.concatenate([f[2] for f in found])[order] if found else order
+        self.place = np.concatenate([np.arange(len(f[0])) for f in found])[order] if found else order
         self.seed = self.seed[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.seed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _lines(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, shift) of the diagonals that some seed hits."""
+        lines = np.zeros(0, np.int64)  # item and shift in one number
+        for run in self.runs:
+            s = seeds(h, run)
+            at = np.flatnonzero(self.filter[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            lo, hi = np.searchsorted(self.seed, s[at]), np.searchsorted(self.seed, s[at], "right")
+            at, lo, n = at[lo < hi], lo[lo < hi], (hi - lo)[lo < hi]
+            step = np.cumsum(n) // STEP
+            for cut in np.split(np.arange(len(at)), np.flatnonzero(step[1:] != step[:-1]) + 1) if len(at) else ():
+                x = _spread(lo[cut], n[cut])
+                lines = np.union1d(lines, (self.item[x] << 32) + (np.repeat(at[cut], n[cut]) - self.place[x] + (1 << 31)))
+        return lines >> 32, (lines & ((1 << 32) - 1)) - (1 << 31)
+
     def look_up(self, h: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item_id, start, length, matched, item words) of the items that overlap the words `h`,
         the best place of each."""
-        lines = set()
-        for k, mask in enumerate(self.masks):
-            s = seeds(h, mask, k)
-            at = np.flatnonzero(self.filter[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            if len(at):
-                lo, hi = np.searchsorted(self.seed, s[at]), np.searchsorted(self.seed, s[at], "right")
-                for p, i, j in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
-                    lines.update((int(self.item[x]), p - int(self.place[x])) for x in range(i, j))
+        item, shift = self._lines(h)
+        first = np.maximum(0, shift)
+        n = np.minimum(len(h), shift + self.size[item]) - first
+        step = np.cumsum(n) // STEP
         best: dict[int, tuple] = {}
-        for k, shift in lines:
-            found = self.overlap(self.words[k], h, shift)
-            if found and found > best.get(k, (0,)):
-                best[k] = found
+        for cut in np.split(np.arange(len(item)), np.flatnonzero(step[1:] != step[:-1]) + 1) if len(item) else ():
+            own = self.begin[item[cut]] + first[cut] - shift[cut]
+            same = h[_spread(first[cut], n[cut])] == self.flat[_spread(own, n[cut])]
+            ends = np.cumsum(n[cut])
+            agree = np.add.reduceat(same, ends - n[cut], dtype=np.int64)
+            for x in np.flatnonzero(agree * self.q >= self.least[item[cut]]).tolist():
+                k, a = int(item[cut[x]]), int(first[cut[x]])
+                found = self.overlap(same[ends[x] - n[cut[x]]:ends[x]], k, a)
+                if found and found > best.get(k, (0,)):
+                    best[k] = found
         return [(self.ids[k], start, length, matched, len(self.words[k])) for k, (matched, length, start) in sorted(best.items())]
 
-    def overlap(self, item: np.ndarray, h: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-        """(matched, length, start) of the best stretch with the item laid `shift` words into `h`.
-
-        A stretch gains 1 for a word that agrees and loses identity / (1 - identity) for another,
-        so one that gains anything agrees in more than that share. It counts with `min_words`
-        agreeing words, or the item's share if the item is shorter."""
-        a, b = max(0, shift), min(len(h), shift + len(item))
-        same = h[a:b] == item[a - shift:b - shift]
-        score = np.cumsum(np.where(same, 1.0, -self.identity / (1 - self.identity)))
-        before = np.minimum.accumulate(np.append(0.0, score[:-1]))
-        stop = int(np.argmax(score - before)) + 1
-        start = int(np.flatnonzero(np.append(0.0, score[:-1])[:stop] == before[stop - 1])[-1])
-        matched = int(same[start:stop].sum())
-        if matched >= min(self.min_words, self.identity * len(item)):
-            return matched, stop - start, a + start
-        return None
+    def overlap(self, same: np.ndarray, k: int, a: int) -> tuple[int, int, int] | None:
+        """(matched, length, start) of the stretch with most agreeing words among those in which more
+        than the share agree, from the words `same` that agree on a diagonal from word `a` on.
+
+        A word that agrees gains q - p and another loses p, so the share is met where a stretch gains
+        anything. From each start the farthest such end has most agreeing words. Words at the ends
+        that don't agree are left out."""
+        gain = np.concatenate([[0], np.cumsum(np.where(same, self.q - self.p, -self.p))])
+        count = np.concatenate([[0], np.cumsum(same)])
+        after = np.maximum.accumulate(gain[::-1])[::-1]  # most that is gained at any later end
+        stop = np.searchsorted(-after, -gain, "left") - 1
+        matched = np.where(stop > np.arange(len(gain)), count[stop] - count, 0)
+        most = int(matched.max())
+        if not most or most * self.q < self.least[k]:
+            return None
+        agree = np.flatnonzero(same)
+        starts = np.flatnonzero(matched == most)
+        begin, end = agree[count[starts]], agree[count[stop[starts]] - 1] + 1
+        length, start = max(zip((end - begin).tolist(), begin.tolist()))
+        return most, length, a + start
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -123,7 +158,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     Words are letters and digits, lower-cased; start and length count words of the document. A hit
     of any seed is extended along its diagonal over the whole item; a stretch counts if it agrees in
     more than `identity` of its words and in `min_words` words, or in that share of an item that is
-    shorter. One row per document row and item, the place with most agreeing words, the longest and
+    shorter. Every such stretch is found. One row per document row and item, the place with most agreeing words, the longest and
     last of equal ones. NULL and empty texts and items overlap with nothing; repeated rows give
     repeated rows; an empty table on either side gives none. Texts are read whole, without a shuffle.
 

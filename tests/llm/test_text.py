@@ -58,6 +58,49 @@ def test_decontamination_tolerates_substitutions(spark):
     assert all(50 <= r["start"] and r["start"] + r["length"] <= 50 + r["item_words"] for r in rows)
 
 
+def _most_agreeing(w, item):
+    """Most agreeing words of a stretch that counts, over all diagonals, starts and stops; else 0."""
+    most = 0
+    for shift in range(1 - len(item), len(w)):
+        same = [w[shift + j] == item[j] for j in range(max(0, -shift), min(len(item), len(w) - shift))]
+        for i in range(len(same)):
+            n = 0
+            for j in range(i, len(same)):
+                n += same[j]
+                if n > most and 5 * n > 4 * (j + 1 - i) and 5 * n >= min(60, 4 * len(item)):
+                    most = n
+    return most
+
+
+def test_decontamination_equals_all_diagonals():
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(9_000)}" for _ in range(n)) for n in [*range(1, 21), 25, 30, 39] for _ in range(3)]
+    items, hits = decontaminate.Items(list(enumerate(texts)), 12, 0.8), 0
+    for k, item in enumerate(texts):
+        x = item.split()
+        for _ in range(12):
+            w = list(x)
+            for p in draw.sample(range(len(x)), min(len(x), draw.randrange(2 + len(x) // 5))):
+                w[p] = "other"
+            cut = draw.choice([0, 0, 0, len(x) // 6])
+            w = ["f"] * draw.randrange(3) + w[cut:] + ["f"] * draw.randrange(3)
+            found = items.look_up(decontaminate.word_hashes(decontaminate.words(" ".join(w)), decontaminate.Hashed()))
+            got = {i: matched for i, _, _, matched, _ in found}
+            want = _most_agreeing(w, x)
+            assert got.get(k, 0) == want, (w, x)
+            for i, start, length, matched, n in found:
+                assert 5 * matched > 4 * length and length <= n and start + length <= len(w)
+            hits += want > 0
+    assert hits > 300
+    # the whole item, also where a shorter stretch has the better score
+    item = [f"v{i}" for i in range(16)]
+    items = decontaminate.Items([(7, " ".join(item))], 12, 0.8)
+    for i in range(16):
+        for j in range(i):
+            w = [x if p not in (i, j) else "other" for p, x in enumerate(item)]
+            assert items.look_up(decontaminate.word_hashes([x.encode() for x in w], decontaminate.Hashed()))[0][3] == 14
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (3, "one")], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.overlaps(odd, bench).collect()} == {6, 8, None}
