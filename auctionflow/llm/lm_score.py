@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auctionflow.llm.common import LOWER, batch, pick
+from auctionflow.session import fits_broadcast, store
 
 SIDE = 64               # an id is two digits to this base
 IDS = SIDE * SIDE
@@ -163,27 +164,41 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(texts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+def vocabulary(texts: DataFrame, counts: DataFrame | None = None) -> tuple[list[bytes], np.ndarray]:
     """The KNOWN most frequent words of the corpus and the count of every id, over all texts."""
-    counts = word_counts(texts).cache()
+    counts = counts or store(word_counts(texts), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     known = [bytes(r["word"]) for r in top]
     n = np.zeros(IDS)
     n[:len(known)] = [r["n"] for r in top]
+    n[KNOWN:] = _shared(counts, known)
+    return known, n
+
+
+def _shared(counts: DataFrame, known: list[bytes]) -> np.ndarray:
+    """How often the words of each shared id occur."""
+    n = np.zeros(IDS)
     group = F.lit(KNOWN) + F.crc32("word") % (IDS - KNOWN)
-    every = counts.groupBy(group.alias("id")).agg(F.sum("n").alias("n")).collect()
-    for r in every:
+    for r in counts.groupBy(group.alias("id")).agg(F.sum("n").alias("n")).collect():
         n[r["id"]] = r["n"]
     ids = Ids(known)
-    for i, w in enumerate(known):
-        n[Ids.__missing__(ids, w)] -= n[i]
-    counts.unpersist()
-    return known, np.maximum(n, 0)
+    for r in counts.filter(F.col("word").isin(known)).collect() if known else ():
+        n[Ids.__missing__(ids, bytes(r["word"]))] -= r["n"]
+    return np.maximum(n[KNOWN:], 0)
+
 
+def learn_all(network: Network, texts: list[str | None], ids: Ids, squares: dict[str, np.ndarray], rate: float) -> int:
+    """Train on every word of the texts; the number of words."""
+    stream, places, _ = _windows(texts, ids)
+    for i in range(0, len(places), LEARN):
+        at = places[i:i + LEARN]
+        network.learn(stream[at[:, None] + NEAR], stream[at], squares, rate)
+    return len(places)
 
-def _round(texts: DataFrame, known: list[bytes], start: Network, number: int, rate: float) -> Network:
-    """Every task goes on from `start` over the masked words of its part; the results are averaged,
-    weighted by their words. A text's words are masked by a hash of their place and id."""
+
+def _round(texts: DataFrame, known: list[bytes], start: Network, rate: float) -> Network:
+    """Every task goes on from `start` over all words of its part; the results are averaged,
+    weighted by their words."""
     sent = texts.sparkSession.sparkContext.broadcast((known, start.flat()))
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("weight", pa.float64()), ("values", pa.binary())])
     kinds = "shard int, part int, weight double, values binary"
@@ -193,13 +208,7 @@ def _round(texts: DataFrame, known: list[bytes], start: Network, number: int, ra
         ids, network, total = Ids(known), Network.from_flat(values), 0
         squares = {k: np.full(s, 1e-4, np.float32) for k, s in Network.SHAPES.items()}
         for _, group in _groups(batches, 0):
-            stream, places, _ = _windows(group, ids)
-            drawn = ((places * 0x9E3779B1 + stream[places].astype(np.int64) * 0x85EBCA6B) >> 7) % 13
-            masked = places[drawn == number]
-            for i in range(0, len(masked), LEARN):
-                at = masked[i:i + LEARN]
-                network.learn(stream[at[:, None] + NEAR], stream[at], squares, rate)
-            total += len(masked)
+            total += learn_all(network, group, ids, squares, rate)
         if total:
             flat = network.flat().astype(np.float64) * total
             shards = range(0, len(flat), SHARD)
@@ -216,34 +225,47 @@ def _round(texts: DataFrame, known: list[bytes], start: Network, number: int, ra
     return Network.from_flat(np.concatenate([np.frombuffer(r["values"], np.float64) / r["weight"] for r in rows])) if rows else start
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = 2, rate: float = 0.1, seed: int = 3) -> tuple[list[bytes], Network]:
+def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float = 0.1, seed: int = 3,
+          counts: DataFrame | None = None) -> tuple[list[bytes], Network]:
     """Vocabulary and network of a corpus.
 
-    Counts cover all words of all texts. In each round every task trains on 1 of 13 words of each
-    text of its part, a different one each round, and the tasks' networks are averaged in Spark;
-    the driver sees the vocabulary and one network, both of a fixed size."""
+    Counts (`word_counts`, if given) cover all words of all texts, and in each round every task
+    predicts each word of the texts of its part. The tasks' networks are averaged in Spark, so that
+    they depend on how the texts are dealt to tasks; the driver sees the vocabulary and one network,
+    both of a fixed size."""
     texts = pick(docs, text_col)
-    known, counts = vocabulary(texts)
-    network = Network.start(counts, seed)
-    for r in range(rounds):
-        network = _round(texts, known, network, r, rate)
+    known, of_ids = vocabulary(texts, counts)
+    network = Network.start(of_ids, seed)
+    for _ in range(rounds):
+        network = _round(texts, known, network, rate)
     return known, network
 
 
-def score(docs: DataFrame, model: tuple[list[bytes], Network] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[list[bytes], Network] | None = None, id_col: str = "doc_id", text_col: str = "text",
+          counts: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, log_probability (sum of ln p of each word given the words around it),
     per_word (their mean) of every row.
 
+    A word that shares its id has the id's probability times its share of the id's words in `counts`
+    (`word_counts` of the model's corpus); a word that isn't there counts as if it were there once.
+    With a `model` but no `counts`, such a word has the probability of its id.
+
     Words are runs of non-blank bytes with A-Z lower-cased; texts are scored whole. A NULL, empty or
     blank text has 0 words, 0.0 and NULL. Equal texts have equal scores up to rounding; one row per
     input row, an empty table gives none; other columns are not read."""
-    known, network = model or train(docs, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast((known, network.flat()))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_probability", pa.float64()), ("per_word", pa.float64())])
+    if model is None:
+        counts = store(word_counts(pick(docs, text_col)), "words")
+        model = train(docs, text_col, counts=counts)
+    known, network = model
+    totals = np.zeros(IDS - KNOWN) if counts is None else _shared(counts, known)
+    sent = docs.sparkSession.sparkContext.broadcast((known, network.flat(), totals))
+    rare = pa.struct([("word", pa.binary()), ("times", pa.int64()), ("total", pa.float64())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_probability", pa.float64()),
+                        ("rare", pa.list_(rare))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, values = sent.value
-        ids, net = Ids(known), Network.from_flat(values)
+        known, values, totals = sent.value
+        ids, net, row = Ids(known), Network.from_flat(values), TaskContext.get().partitionId() << 36
         for rows, group in _groups(batches, 1):
             stream, places, sizes = _windows(group, ids)
             found = [net.log_probability(stream[at[:, None] + NEAR], stream[at])
@@ -251,8 +273,25 @@ def score(docs: DataFrame, model: tuple[list[bytes], Network] | None = None, id_
             sums = np.concatenate([[0.0], np.cumsum(np.concatenate(found or [np.zeros(0)]))])
             stop = np.cumsum(sizes)
             total = sums[stop] - sums[stop - sizes]
-            yield batch(schema, doc_id=rows.column(0), n_words=sizes, log_probability=total,
-                        per_word=pa.array(total / np.maximum(sizes, 1), pa.float64(), mask=sizes == 0))
-
-    return pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`")).mapInArrow(
-        run, "doc_id long, n_words long, log_probability double, per_word double")
+            own, shared = stream[places], []
+            for text, a, b in zip(group, stop - sizes, stop):
+                at = np.flatnonzero(own[a:b] >= KNOWN)
+                w = words(text) if len(at) else []
+                shared.append([{"word": x, "times": n, "total": totals[ids[x] - KNOWN]} for x, n in Counter(w[i] for i in at).items()])
+            yield batch(schema, row=row + np.arange(len(group)), doc_id=rows.column(0), n_words=sizes, log_probability=total,
+                        rare=shared)
+            row += len(group)
+
+    kinds = "row long, doc_id long, n_words long, log_probability double, rare array<struct<word binary, times long, total double>>"
+    scored = pick(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`")).mapInArrow(run, kinds)
+    own = F.col("log_probability")
+    if counts is not None:
+        scored = store(scored, "scored")
+        words_of = scored.select("row", F.inline("rare"))
+        share = F.when(F.col("n").isNull(), -F.log(F.col("total") + 1)).otherwise(F.log("n") - F.log("total"))
+        shares = words_of.join(F.broadcast(counts) if fits_broadcast(counts, 500_000) else counts, "word", "left").groupBy("row").agg(
+            F.sum(F.col("times") * share).alias("share"))
+        scored = scored.drop("rare").join(shares, "row", "left")
+        own = own + F.coalesce("share", F.lit(0.0))
+    return scored.select("doc_id", "n_words", own.alias("log_probability")).withColumn(
+        "per_word", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))

@@ -143,6 +143,32 @@ def test_lm_score_equals_word_by_word(tables):
         assert abs(want - r["log_probability"]) < 1e-3 * max(1, abs(want))
 
 
+def test_lm_score_trains_on_every_word():
+    class Seen(lm_score.Network):
+        def learn(self, near, target, squares, rate):
+            seen.extend(target.tolist())
+
+    seen, texts = [], ["a b c " * 700, None, "", "d a"]
+    ids = lm_score.Ids([b"a", b"b", b"c", b"d"])
+    assert lm_score.learn_all(Seen({}), texts, ids, {}, 0.1) == 2102
+    assert Counter(seen) == {0: 701, 1: 700, 2: 700, 3: 1}
+
+
+def test_lm_score_tells_rare_words_apart(spark):
+    group = defaultdict(list)
+    for i in range(5000):
+        group[zlib.crc32(f"r{i}".encode()) % (lm_score.IDS - lm_score.KNOWN)].append(f"r{i}")
+    six, one, unseen = next(g for g in group.values() if len(g) > 2)[:3]
+    docs = spark.createDataFrame([(1, " ".join(f"k{i}" for i in range(lm_score.KNOWN)) * 1)] * 8 + [(2, f"{six} " * 6 + one)], "doc_id long, text string")
+    counts = lm_score.word_counts(docs.select("text"))
+    model = lm_score.train(docs)
+    asked = spark.createDataFrame(list(enumerate([six, one, unseen, f"{six} {one}", "k5"])), "doc_id long, text string")
+    plain, got = ({r["doc_id"]: r["log_probability"] for r in lm_score.score(asked, model, counts=c).collect()} for c in (None, counts))
+    more = [got[i] - plain[i] for i in range(5)]
+    assert np.allclose(more, [np.log(6 / 7), np.log(1 / 7), np.log(1 / 8), np.log(6 / 7) + np.log(1 / 7), 0])
+    assert {r["n_words"]: r["log_probability"] for r in lm_score.score(docs).collect()}.keys() == {7, lm_score.KNOWN}
+
+
 def test_lm_score_odd_rows(odd, none):
     rows = lm_score.score(odd).collect()
     assert len(rows) == 11
