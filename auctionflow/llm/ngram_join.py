@@ -177,15 +177,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return store(_overlaps(pairs, percent).distinct(), "links")
 
 
-def _crowded(members: DataFrame, links: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of tiles' members that are neither first nor last in their tile and not yet connected.
+def _crowded(members: DataFrame, links: DataFrame | None, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of tiles' members that are neither first nor last in their tile; if `links` are given,
+    only pairs that these don't connect.
 
     A tile of more than BLOCK documents is dealt out as blocks, two of which meet in one task; the
     rows of a block stream through, so no tile is ever whole in a task. Pairs are compared by
     their signatures where they meet, and only those that pass leave the task."""
-    groups = connected_components(links).withColumnRenamed("node", "doc_id")
-    rest = members.filter("doc_id <> lo AND doc_id <> hi").select("key", "doc_id").join(
-        groups, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    rest = members.filter("doc_id <> lo AND doc_id <> hi").select("key", "doc_id")
+    if links is None:
+        rest = rest.withColumn("part", F.col("doc_id"))
+    else:
+        groups = connected_components(links).withColumnRenamed("node", "doc_id")
+        rest = rest.join(groups, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     rest = store(rest, "rest")
     mixed = rest.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"),
                                     F.count("*").alias("n")).filter("x < y").select("key", "n")
@@ -248,17 +252,19 @@ def _meet(cols: list[np.ndarray], ends: np.ndarray, percent: int, schema: pa.Sch
 
 
 def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id",
-          text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, n_shingles, rep of every row, and links (src, dst) between reps.
+          text_col: str = "text", every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id, n_shingles, rep, n_equal of every row, and links (src, dst) between reps.
 
-    Documents with equal n-gram sets share the smallest id as `rep`. The links connect all reps that
-    overlap in percent / 100 of their union, directly or over other links: pairs that are already
-    connected need no link of their own.
+    Documents with equal n-gram sets share the smallest id as `rep`; n_equal counts their ids. The
+    links are all pairs of reps that overlap in percent / 100 of their union. Without `every` they
+    only connect all such pairs, directly or over other links: pairs that are already connected
+    need no link of their own.
     """
     texts = _ids(docs, id_col, text_col)
     signs = store(sign(docs, words, percent, id_col, text_col), "signs")
     sets = ["n_shingles", "set_a", "set_b"]
-    reps = store(signs.filter("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "reps")
+    reps = store(signs.filter("n_shingles > 0").groupBy(*sets).agg(
+        F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n_equal")), "reps")
     copies = store(signs.select("doc_id", *sets).join(reps, sets).filter("doc_id <> rep").select("doc_id", "rep"), "copies")
     tiles = chosen(signs.filter("doc_id IS NOT NULL"), copies.select("doc_id").distinct(), "left_anti").select(
         F.explode("tiles").alias("key"), "doc_id")
@@ -267,9 +273,11 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc
     pairs = members.filter("doc_id <> lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).union(
         members.filter("doc_id <> lo AND doc_id <> hi").select("doc_id", "hi")).distinct()
     first = _verified(_bounded(pairs, signs, percent), texts, words, percent)
-    second = _verified(_crowded(members, first, signs, percent), texts, words, percent)
+    second = _verified(_crowded(members, None if every else first, signs, percent), texts, words, percent)
     rows = signs.select("doc_id", "n_shingles").join(copies.distinct(), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")).join(
+        reps.filter("n_equal > 1").groupBy("rep").agg(F.max("n_equal").alias("n_equal")), "rep", "left").select(
+        "doc_id", "n_shingles", "rep", F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
     return rows, first.union(second).distinct()
 
 
@@ -280,17 +288,27 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
     Words are runs of bytes other than space and \x09 to \x0D, with A-Z lower-cased. The set of a
     document is its distinct n-grams, the whole sequence if it has fewer words. Two documents link
     when 100 * overlap >= percent * union; component_id is the smallest doc_id reachable.
-    `n_links` counts the verified links of the document's set.
+    `n_links` counts all other documents that the document links with, those of equal sets too.
 
     NULL, empty and blank texts have an empty set and are linked with nothing, as are rows without
     an id (their component is NULL). Rows with the same id count as one document. Texts are read
     whole. An empty table gives no rows; other columns are not read.
     """
     rows, edges = links(docs, words, percent, id_col, text_col)
-    groups = connected_components(edges)
-    degree = edges.select("src").union(edges.select("dst")).groupBy(F.col("src").alias("node")).agg(
-        F.count("*").alias("n_links"))
-    found = groups.join(degree, "node").withColumnRenamed("node", "rep")
-    return rows.join(found, "rep", "left").select(
+    sizes = rows.filter("n_equal > 1").select("rep", "n_equal").distinct()
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("rep")).union(edges.select("dst", "src"))
+    degree = both.join(sizes, "rep", "left").groupBy(F.col("node").alias("rep")).agg(
+        F.sum(F.coalesce("n_equal", F.lit(1))).alias("n_linked"))
+    groups = connected_components(edges).withColumnRenamed("node", "rep")
+    return rows.join(groups.join(degree, "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        (F.coalesce("n_linked", F.lit(0)) + F.col("n_equal") - 1).cast("long").alias("n_links"))
+
+
+def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, as `ngram_join` has them, without looking for
+    the links inside what is connected already."""
+    rows, edges = links(docs, words, percent, id_col, text_col, every=False)
+    groups = connected_components(edges).withColumnRenamed("node", "rep")
+    return rows.join(groups, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

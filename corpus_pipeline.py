@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 in five-word sets, the one with the
     smallest id stays, once. Documents without words are in no group."""
-    groups = store(ngram_join.ngram_join(docs, words=5, percent=80), "groups")
+    groups = store(ngram_join.ngram_groups(docs, words=5, percent=80), "groups")
     kept = chosen(docs, groups.filter("doc_id <> component_id").select("doc_id"), "left_anti")
     repeated = groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     repeated = store(repeated, "repeated")

@@ -110,6 +110,25 @@ def test_ngram_join_large_family(spark):
     assert got == _components(rows, 3, 90)
 
 
+def test_ngram_join_counts_every_link(spark):
+    """Near copies that are all connected through one of them, and copies of some."""
+    draw = np.random.default_rng(3)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(60):
+        w = list(base)
+        for p in draw.choice(150, draw.integers(0, 5), replace=False):
+            w[p] = f"x{draw.integers(60)}"
+        rows += [(len(rows) + k, " ".join(w)) for k in range(1 + 2 * (i % 9 == 0))]
+    sets = {i: {tuple(t.split()[j:j + 3]) for j in range(148)} for i, t in rows}
+    want = {i: sum(i != j and 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_join(docs).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and max(want.values()) > 20
+    groups = ngram_join.ngram_groups(docs).collect()
+    assert {r["doc_id"]: r["component_id"] for r in groups} == {r["doc_id"]: r["component_id"] for r in got} == {
+        i: c for i, (_, c) in _components(rows, 3, 90).items()}
+
+
 def test_ngram_join_odd_rows(odd, none):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(odd).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 7), (8, 2, 8)} <= rows
