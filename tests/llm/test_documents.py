@@ -300,6 +300,17 @@ def test_packing_vocabularies_agree(tokens):
         assert encode(text) == tokens(text)
 
 
+def test_packing_knows_added_tokens(spark, tokens):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|> x", "<|endoftext|", "it's  <|endoftext|>  12\n"]
+    encode = packing.tokenizer("byte_bpe_50k.tiktoken")
+    assert encode(texts[0]) == [64, 50256, 65]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, text in enumerate(texts):
+        assert encode(text) == tokens(text)
+        pieces = sorted((r["start"], bytes(r["ids"])) for r in rows if r["doc_id"] == i)
+        assert list(memoryview(b"".join(p for _, p in pieces)).cast("I")) == [*tokens(text), 0]
+
+
 def test_packing_odd_rows(odd, none):
     rows = packing.digest(packing.pack(odd)).collect()
     assert sum(r["length"] for r in rows if r["doc_id"] in (1, 2)) == 2
