@@ -252,6 +252,18 @@ def test_pages_with_other_layouts(tables):
         assert field.main_text(page) == "\n".join(["Title of it", text, text]), page
 
 
+def test_page_text_beside_embedded_elements():
+    text = lambda page: " ".join(b.text for b in html_text.blocks(page))
+    for name in ("video-player", "video-js", "audio-player", "svg-icon", "iframe-x", "object-y", "script-x", "style-y", "p-z"):
+        assert text(f"<p>one</p><{name} a='b>'></{name}><p>two</p><p>three</p>") == "one two three"
+        assert text(f"<p>one</p><{name}><p>two</p><p>three</p>") == "one two three"
+    for name in ("object", "video", "noscript", "svg", "audio", "canvas", "iframe", "template", "textarea"):
+        assert text(f"<p>one</p><{name}><p>two</p><p>three</p>") == "one two three"
+    assert [b.text for b in html_text.blocks("<p>if <math><mi>x</mi></math> is 1</p>")] == ["if x is 1"]
+    assert text("<p>a<script>if (a<b) x()</script>b<STYLE >p{}</style\n>c</p>") == "abc"
+    assert text("<p>a</p><script>x <p>b") == "a"
+
+
 def test_viterbi_and_marginals_equal_enumeration():
     field = html_text.Crf()
     field.moves, field.first = [[0.3, -0.7], [0.1, 0.9]], [0.0, -0.2]
