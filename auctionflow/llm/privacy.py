@@ -24,6 +24,12 @@ FIRST_DAY, WEEKS, DAYS = "1800-01-01", 189, 773
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+#: Where a card may start, and the digits of cards of known issuers.
+CARD_START = r"(?<![0-9A-Za-z.+-])"
+ISSUED = ("^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[0689][0-9]{12}|"
+          "35[0-9]{14}|6[0-9]{15,18})$")
+
+
 def _symbol(value: Column, size: Column | int, base: Column | int = 0) -> Column:
     """One place of a value: `value` of `size` possible ones, written as character `base` + value."""
     cast = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
@@ -180,6 +186,65 @@ def _pseudonym(m: Column, key: str) -> Column:
     return out
 
 
+def _numbers(text: Column, start: str, unit: str, after: str, sizes: range, least: str) -> Column:
+    """Every string of one of the numbers of units after `start`, from all places, the longest first."""
+    return F.concat(*[F.regexp_extract_all(text, F.lit(f"{start}(?=({least}(?:{unit}){{{n}}}){after})"), F.lit(1)) for n in reversed(sizes)])
+
+
+def _valid_numbers(text: Column, key: str, issued: bool) -> Column:
+    """The valid account numbers and cards of known issuers in `text`, or all its other valid cards."""
+    cards = F.filter(_numbers(text, CARD_START, "[ -]?[0-9]", "(?![0-9A-Za-z])", range(12, 19), "[0-9]"),
+                     lambda c: (_digits(c).rlike(ISSUED) == F.lit(issued)) & _card(c, key)[0])
+    if not issued:
+        return F.array_distinct(cards)
+    ibans = F.filter(_numbers(text, "(?<![A-Za-z0-9])", " ?[A-Z0-9]", "(?![A-Za-z0-9])", range(8, 31), "[A-Z]{2}[0-9]{2}"),
+                     lambda c: _iban(c, key)[0])
+    return F.array_distinct(F.concat(ibans, cards))
+
+
+def _looked_over(piece: Column, key: str, issued: bool) -> Column:
+    """A piece as pieces: a clear one is cut at the valid numbers in it."""
+    def cut(numbers: Column) -> Column:
+        # of two that start at one place the longer is first
+        pattern = F.concat(F.lit("(?<![0-9A-Za-z])(?:"), F.array_join(numbers, "|"), F.lit(")(?![0-9A-Za-z])"))
+
+        def new(m: Column) -> Column:
+            mine = m.rlike("^[A-Z]")
+            return F.struct(F.when(mine, _iban(m, key)[1]).otherwise(_card(m, key)[1]).alias("value"),
+                            F.when(mine, "iban").otherwise("card").alias("kind"))
+
+        hidden = F.transform(F.regexp_extract_all(piece["value"], pattern, F.lit(0)), new)
+        return F.flatten(F.zip_with(F.split(piece["value"], pattern, -1), hidden, lambda g, p: F.filter(
+            F.array(_clear(g), p), lambda x: x.isNotNull())))
+
+    # one element, so that the numbers are found once
+    numbers = F.array(_valid_numbers(piece["value"], key, issued))
+    return F.when(piece["kind"].isNotNull(), F.array(piece)).otherwise(F.flatten(F.transform(
+        numbers, lambda n: F.when(F.size(n) > 0, cut(n)).otherwise(F.array(piece)))))
+
+
+def _clear(text: Column) -> Column:
+    return F.struct(text.alias("value"), F.lit(None).cast("string").alias("kind"))
+
+
+def _second_look(between: Column, places: Column, key: str) -> Column:
+    """The pieces (value, kind) of a text, with the valid numbers that its invalid matches had swallowed."""
+    empty = F.expr("CAST(array() AS array<struct<value: string, kind: string>>)")
+
+    def add(s: Column, x: Column) -> Column:
+        more = F.concat(s["open"], x["g"])
+        return F.when(x["p"]["kind"].isNull(), F.struct(s["done"].alias("done"), F.concat(more, F.coalesce(x["p"]["value"], F.lit(""))).alias("open"))
+                      ).otherwise(F.struct(F.concat(s["done"], F.array(_clear(more), F.struct(x["p"]["value"].alias("value"), x["p"]["kind"].alias("kind")))
+                                                    ).alias("done"), F.lit("").alias("open")))
+
+    both = F.zip_with(between, places, lambda g, p: F.struct(g.alias("g"), p.alias("p")))
+    pieces = F.aggregate(both, F.struct(empty.alias("done"), F.lit("").alias("open")), add,
+                         lambda s: F.concat(s["done"], F.array(_clear(s["open"]))))
+    for issued in (True, False):
+        pieces = F.flatten(F.transform(pieces, lambda p: _looked_over(p, key, issued)))  # noqa: B023
+    return pieces
+
+
 def pseudonymise(docs: DataFrame, key: str = "corpus", text_col: str = "text") -> DataFrame:
     """`docs` with its text's personal data replaced, and n_private, kinds (of the replaced values in
     order) added; columns of these names are replaced.
@@ -189,7 +254,8 @@ def pseudonymise(docs: DataFrame, key: str = "corpus", text_col: str = "text") -
     Each is permuted within its format by a Feistel network keyed with `key`: punctuation, length,
     letter case, country codes and mail domains stay, check digits are made anew, and a value is
     never its own pseudonym. Equal values have equal pseudonyms in all documents, dates also across
-    notations. Values that fail validation stay as they are. A NULL text stays NULL, an empty one
+    notations. Values that fail validation stay as they are, but for the valid card and account numbers
+    that stand in them beside other digits or capitals: those of known issuers first, then the longest. A NULL text stays NULL, an empty one
     empty, with 0 and no kinds; repeated rows and empty tables need nothing special. No shuffle.
     """
     text = F.col(f"`{text_col}`")
@@ -198,7 +264,12 @@ def pseudonymise(docs: DataFrame, key: str = "corpus", text_col: str = "text") -
     at = "__found"
     out = docs.drop("n_private", "kinds").withColumn(
         at, F.when(likely, F.transform(found(text, ALL), lambda m: _pseudonym(m, key))).otherwise(none))
-    pieces = F.zip_with(gaps(text, ALL), F.transform(at, lambda p: p["value"]), lambda g, p: F.concat(g, F.coalesce(p, F.lit(""))))
-    return out.withColumn(text_col, F.when(F.size(at) > 0, F.array_join(pieces, "")).otherwise(text)).withColumn(
-        "kinds", F.transform(F.filter(at, lambda p: p["kind"].isNotNull()), lambda p: p["kind"])).withColumn(
-        "n_private", F.size("kinds").cast("long")).drop(at)
+    again = F.exists(at, lambda p: p["kind"].isNull() & (F.char_length(p["value"]) >= 8))
+    simple = F.zip_with(gaps(text, ALL), F.col(at), lambda g, p: F.struct(
+        F.concat(g, F.coalesce(p["value"], F.lit(""))).alias("value"), p["kind"].alias("kind")))
+    pieces = "__pieces"
+    out = out.withColumn(pieces, F.when(F.size(at) > 0, F.when(again, _second_look(gaps(text, ALL), F.col(at), key)).otherwise(simple)))
+    written = F.array_join(F.transform(pieces, lambda p: p["value"]), "")
+    return out.withColumn(text_col, F.when(F.size(at) > 0, written).otherwise(text)).withColumn(
+        "kinds", F.when(F.size(at) > 0, F.filter(F.transform(pieces, lambda p: p["kind"]), lambda k: k.isNotNull())).otherwise(
+            F.expr("CAST(array() AS array<string>)"))).withColumn("n_private", F.size("kinds").cast("long")).drop(at, pieces)

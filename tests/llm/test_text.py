@@ -197,6 +197,21 @@ def test_pseudonyms_keep_format_and_validity(spark):
     assert re.fullmatch(r"[a-z]{3}\.[a-z]_[A-Z]\+\d@mail\.example\.com", mail) and not mail.startswith("joe.")
 
 
+def test_pseudonyms_of_numbers_beside_others(spark):
+    card, plain, iban = "4111 1111 1111 1111", "4111111111111111", "BE68 5390 0754 7034"
+    alone = {x: y for x, (y, _) in zip((card, plain, iban), _hidden(spark, [card, plain, iban]))}
+    forms = ["card {} 12/26", "{} 123", "qty 2 {}", "12 35 {} 56", "on 2024-02-30 2 {} and", "{} 12/26; {} 99 {} 7", "2 3 {} +"]
+    texts = [(f, n, "card") for f in forms for n in (card, plain)]
+    texts += [(f, iban, "iban") for f in ("pay {} EUR", "{} BIC", "{} AND SO ON", "{} BANK 1", "TO AB13 {} EUR", "{} EUR, {} USD")]
+    for (form, number, kind), (text, kinds) in zip(texts, _hidden(spark, [f.replace("{}", n) for f, n, _ in texts])):
+        assert text == form.replace("{}", alone[number]) and kinds == [kind] * form.count("{}"), form
+    mixed = f"ann.lee@a.org {card} 12/26 67.190.110.215 {iban} EUR"
+    (text, kinds), = _hidden(spark, [mixed])
+    assert kinds == ["email", "card", "ip", "iban"] and alone[card] + " 12/26 " in text and text.endswith(alone[iban] + " EUR")
+    same = ["4111 1111 1111 1112 12/26", "AB12 3456 7890 1234 EUR", "x 2 1234 5678"]
+    assert [t for t, _ in _hidden(spark, same)] == same
+
+
 def test_pseudonyms_link_and_depend_on_the_key(spark):
     texts = ["write to ann.lee@a.org today", "ann.lee@a.org", "bob.kim@a.org"]
     (one, _), (two, _), (three, _) = _hidden(spark, texts)
