@@ -72,7 +72,22 @@ def store(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` to the shared folder and read it back: columnar, with real sizes; for large tables."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `store` gave, after their last reader; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path is not None:
+            session = table.sparkSession
+            where = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            known = _stored.get(session.sparkContext.applicationId, [])
+            if path in known:
+                known.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
