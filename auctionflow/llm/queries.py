@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auctionflow.llm import codes as _codes
+from auctionflow.llm import conversations as _conversations
 from auctionflow.llm import decontaminate as _decontaminate
 from auctionflow.llm import html_text as _html
 from auctionflow.llm import language as _language
@@ -16,6 +18,7 @@ from auctionflow.llm import packing as _packing
 from auctionflow.llm import privacy as _privacy
 from auctionflow.llm import repeats as _repeats
 from auctionflow.llm import secrets as _secrets
+from auctionflow.llm import topk as _topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes.digest(*_codes.compress(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversations.report(_conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
@@ -73,6 +88,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_fingerprints": op9_fingerprints,
     "op10_decontamination": op10_decontamination,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_exact_topk": _topk.SQL,
+    "op12_vector_codes": _codes.SQL,
+    "op13_conversation_repair": _conversations.SQL,
+}
