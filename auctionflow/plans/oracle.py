@@ -277,6 +277,8 @@ ORACLE |= {
             SELECT o.user_id, o.event_id, o.k, CASE WHEN r.running > 100000 THEN 0 ELSE r.running END + o.price
             FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
         SELECT user_id, event_id, running FROM r""",
+    "stream_ordered_steps": """SELECT user_id % 4 AS part, event_id, row_number() OVER w AS step,
+        coalesce(lag(event_id) OVER w, -1) AS before FROM events WINDOW w AS (PARTITION BY user_id % 4 ORDER BY ts, event_id)""",
     "stream_unary_notify": """SELECT user_id, epoch_us(ts) // 86400000000 AS day, count(*) AS n FROM events GROUP BY 1, 2""",
     "stream_binary_notify": _with("auction bid", """SELECT coalesce(a.id, b.auction) AS auction, coalesce(b.n, 0) AS bids,
         coalesce(a.n, 0) AS auctions FROM (SELECT id, count(*) AS n FROM auction GROUP BY id) a

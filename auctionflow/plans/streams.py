@@ -129,16 +129,16 @@ def state_machine(spark, d):
 
 def state_machine_values(spark, d):
     """The same with a state value per key."""
-    rows = real(_read(_events(spark, d))).select(
+    rows = _read(_events(spark, d)).select(
         F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", cents(F.col("value")).alias("value"))
-    return run(state.running_sum(rows)).select(
+    return run(state.running_sum(rows)).filter("key >= 0").select(
         F.col("key").alias("user_id"), F.col("id").alias("event_id"), "running")
 
 
 def state_machine_fold(spark, d):
     """A user's fold: running sums that start anew once they pass 100,000."""
     def fold(key, rows, state):
-        rows, total, out = rows.sort_values(["ts", "event_id"]), state[0] if state else 0, []
+        total, out = state[0] if state else 0, []
         values = rows["price"].to_numpy()
         while len(out) < len(values):
             sums = values[len(out):].cumsum() + total
@@ -147,8 +147,25 @@ def state_machine_fold(spark, d):
             total = 0 if sums[over - 1] > 100_000 else int(sums[over - 1])
         return rows[["user_id", "event_id"]].assign(running=out), (total,) if total else None
 
-    rows = real(_read(_events(spark, d))).select("user_id", "event_id", "ts", cents(F.col("value")).alias("price"))
-    return run(state.state_machine(rows, ["user_id"], "total long", "user_id long, event_id long, running long", fold))
+    rows = _read(_events(spark, d)).select("user_id", "event_id", "ts", cents(F.col("value")).alias("price"))
+    return run(state.state_machine(rows, ["user_id"], "total long", "user_id long, event_id long, running long", fold,
+                                   "ts", ["event_id"])).filter("user_id >= 0")
+
+
+def ordered_steps(spark, d):
+    """Each event with its number and the event before it, in four groups that hold a quarter of all rows
+    each; every epoch's rows lie in its files in no order."""
+    def fold(key, rows, state):
+        n, before = state or (0, -1)
+        ids = rows["event_id"].tolist()
+        out = pd.DataFrame({"part": key[0], "event_id": ids, "step": range(n + 1, n + len(ids) + 1), "before": [before, *ids[:-1]]})
+        return out, (n + len(ids), ids[-1])
+
+    e = Epochs(zoned(S.table(spark, d, "events"), "ts"), "ts", closing=90 * DAY, shuffled=True)
+    rows = _read(e).select(F.pmod("user_id", F.lit(4)).alias("part"), "event_id", "ts").withColumn(
+        "part", F.when(F.col("event_id") >= 0, F.col("part")).otherwise(-1))
+    return run(state.state_machine(rows, ["part"], "n long, before long", "part long, event_id long, step long, before long", fold,
+                                   "ts", ["event_id"])).filter("part >= 0")
 
 
 def unary_notify(spark, d):
@@ -160,7 +177,7 @@ def unary_notify(spark, d):
         return pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "n": [seen[0]]}), None, []
 
     rows = _read(_events(spark, d)).select("user_id", int_div(F.unix_micros("ts"), F.lit(DAY * 1_000_000)).alias("day"), "ts")
-    out = run(state.notify(rows, ["user_id", "day"], "n long", "user_id long, day long, n long", on_rows, on_timer))
+    out = run(state.notify(rows, ["user_id", "day"], "n long", "user_id long, day long, n long", on_rows, on_timer, "ts"))
     return out.filter("day >= 0 AND user_id >= 0")
 
 
@@ -176,7 +193,7 @@ def binary_notify(spark, d):
 
     bids = _read(_bids(spark, d)).select("auction", "date_time")
     auctions = _read(_auctions(spark, d)).select(F.col("id").alias("auction"), "date_time")
-    out = run(state.notify_two(bids, auctions, ["auction"], "bids long, auctions long", "auction long, bids long, auctions long", on_rows, on_timer))
+    out = run(state.notify_two(bids, auctions, ["auction"], "bids long, auctions long", "auction long, bids long, auctions long", on_rows, on_timer, "date_time"))
     return out.filter("auction >= 0")
 
 
@@ -298,6 +315,7 @@ STREAMS = {
     "stream_new_users": new_users, "stream_local_items": local_items, "stream_hash_join": hash_join,
     "stream_closed_auctions": closed_auctions, "stream_closed_auctions_timers": closed_auctions_timers,
     "stream_state_machine": state_machine, "stream_state_machine_fold": state_machine_fold,
+    "stream_ordered_steps": ordered_steps,
     "stream_unary_notify": unary_notify, "stream_binary_notify": binary_notify,
     "stream_state_machine_values": state_machine_values, "stream_q4_avg_price_running": q4_running,
     "stream_q6_last10_avg": q6, "stream_delay_rows": delay_rows, "state_counter": counter,

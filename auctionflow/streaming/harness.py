@@ -78,11 +78,13 @@ class Epochs:
     `closing` adds a last row that many seconds beyond the newest one, with -1 for every number
     and true in the column `_closing`; it pushes the watermark past every window and timer of the
     data and never leaves state itself. It has no NULLs, which filters in front of a join would
-    drop before the watermark sees them. The stream belongs to a session of its own.
+    drop before the watermark sees them. With `shuffled`, the rows of an epoch lie in its files in
+    the order of a hash. The stream belongs to a session of its own.
     """
 
     def __init__(self, df: DataFrame, time: str, epochs: int = 2, closing: int | None = None,
-                 order: str | None = None):
+                 order: str | None = None, shuffled: bool = False):
+        self.shuffled = shuffled
         df = df.withColumn(CLOSING, F.lit(False))
         self.spark, self.time, self.schema = stream_session(df.sparkSession), time, df.schema
         self.path = new_path(self.spark, "epochs")
@@ -126,6 +128,8 @@ class Epochs:
 
     def _write(self, rows: DataFrame) -> None:
         placed = rows.repartition(self.files) if self.files > 1 else rows.coalesce(1)
+        if self.shuffled:
+            placed = placed.sortWithinPartitions(F.xxhash64(*rows.columns))
         placed.write.mode("append").parquet(self.path)
 
     def origin(self, slide: int):

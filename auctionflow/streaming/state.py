@@ -9,30 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-EPOCH = pd.Timestamp(0)
-
-
-class RunningSum(StatefulProcessor):
-    """A sum per key that is given out after every row, in time order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "total long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
-        before = self.total.get()[0] if self.total.exists() else 0
-        running = batch["value"].cumsum() + before
-        self.total.update((int(running.iloc[-1]),))
-        yield pd.DataFrame({"key": key[0], "id": batch["id"], "running": running})
+from auctionflow.streaming.ordered import in_order
 
-    def close(self) -> None:
-        pass
+EPOCH = pd.Timestamp(0)
 
 
 def running_sum(stream: DataFrame) -> DataFrame:
-    """(key, id, running) for a stream of (key, id, ts, value)."""
-    return stream.groupBy("key").transformWithStateInPandas(
-        RunningSum(), "key long, id long, running long", "Append", "None")
+    """(key, id, running) for a stream of (key, id, ts, value): a sum per key after every row, in time order."""
+    def fold(key, rows, state):
+        running = rows["value"].cumsum() + (state[0] if state else 0)
+        return pd.DataFrame({"key": key[0], "id": rows["id"], "running": running}), (int(running.iloc[-1]),)
+
+    return state_machine(stream, ["key"], "total long", "key long, id long, running long", fold, "ts", ["id"])
 
 
 class Counter(StatefulProcessor):
@@ -81,43 +69,11 @@ def map_changes(stream: DataFrame) -> DataFrame:
         MapMerge(), "key long, item string, n long", "Update", "None")
 
 
-class Hold(StatefulProcessor):
-    """Rows wait in their key's list and leave when the watermark passes their new time."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "id long, us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            waiting = [tuple(r) for r in batch[["id", "new_us"]].to_numpy().tolist()]
-            self.waiting.appendList(waiting)
-            for due in {us // 1000 + 1 for _, us in waiting}:
-                self.handle.registerTimer(due)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due, rest = [], []
-        for id_, us in self.waiting.get():
-            (due if us // 1000 < now else rest).append((id_, us))
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        if due:
-            out = pd.DataFrame(due, columns=["id", "us"])
-            yield pd.DataFrame({"id": out["id"], "ts": pd.to_datetime(out["us"], unit="us")})
-
-    def close(self) -> None:
-        pass
-
-
 def hold(stream: DataFrame) -> DataFrame:
-    """(id, ts) released at their new time, from a stream of (key, id, ts, new_ts)."""
-    held = stream.select("key", "id", "ts", F.unix_micros(F.greatest("ts", "new_ts")).alias("new_us"))
-    return held.groupBy("key").transformWithStateInPandas(
-        Hold(), "id long, ts timestamp", "Append", "EventTime")
+    """(id, ts) released at their new time, from a stream of (key, id, ts, new_ts); no row moves back."""
+    held = stream.select("key", "id", "ts", F.greatest("ts", "new_ts").alias("due"))
+    release = lambda key, rows, state: (rows[["id", "due"]].rename(columns={"due": "ts"}), None, ())
+    return in_order(held, ["key"], "due", ["id"], None, "id long, ts timestamp", release)
 
 
 class AuctionClose(StatefulProcessor):
@@ -250,27 +206,34 @@ class UserLogic(StatefulProcessor):
         pass
 
 
-def notify(stream: DataFrame, keys: Sequence[str], state: str, schema: str, on_rows: Callable, on_timer: Callable | None = None) -> DataFrame:
+def notify(stream: DataFrame, keys: Sequence[str], state: str, schema: str, on_rows: Callable, on_timer: Callable | None = None,
+           time: str | None = None, order: Sequence[str] = ()) -> DataFrame:
     """A stream operator made of the user's functions.
 
     `on_rows(key, rows, state)` gets a pandas batch of one key's rows and the key's state (a tuple,
     or None) and returns (rows to give out or None, new state or None to drop it, timers in ms).
     `on_timer(key, ms, state)` is called once the watermark has passed a timer and returns the same.
-    Without `on_timer` no watermark is needed. A key's state is in one task.
+    With `time`, rows and timers come in event-time order (see `in_order`). Without, rows come as they
+    arrive: in the order of files and of chunks, which only logic may use that doesn't depend on it;
+    then no watermark is needed unless there is `on_timer`. A key's state is in one task.
     """
-    time = "EventTime" if on_timer else "None"
-    return stream.groupBy(*keys).transformWithStateInPandas(UserLogic(state, on_rows, on_timer), schema, "Append", time)
+    if time is not None:
+        return in_order(stream, keys, time, order, state, schema, on_rows, on_timer)
+    mode = "EventTime" if on_timer else "None"
+    return stream.groupBy(*keys).transformWithStateInPandas(UserLogic(state, on_rows, on_timer), schema, "Append", mode)
 
 
 def notify_two(left: DataFrame, right: DataFrame, keys: Sequence[str], state: str, schema: str, on_rows: Callable,
-               on_timer: Callable | None = None) -> DataFrame:
+               on_timer: Callable | None = None, time: str | None = None, order: Sequence[str] = ()) -> DataFrame:
     """`notify` with two inputs: the column `is_left` tells them apart, and what only the other input
-    has is missing. Both have the key columns and, with timers, the same watermark column."""
+    has is missing. Both have the key columns and, with timers or `time`, the same watermark column."""
     both = left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False)), allowMissingColumns=True)
-    return notify(both, keys, state, schema, on_rows, on_timer)
+    return notify(both, keys, state, schema, on_rows, on_timer, time, order)
 
 
-def state_machine(stream: DataFrame, keys: Sequence[str], state: str, schema: str, fold: Callable) -> DataFrame:
+def state_machine(stream: DataFrame, keys: Sequence[str], state: str, schema: str, fold: Callable, time: str,
+                  order: Sequence[str] = ()) -> DataFrame:
     """`fold(key, rows, state)` gives (rows to give out, new state); a state of None is dropped, and the
-    key starts anew with its next row."""
-    return notify(stream, keys, state, schema, lambda key, rows, before: (*fold(key, rows, before), ()))
+    key starts anew with its next row. Rows come in the order of `time`, ties by `order`, however
+    they were laid out, once the watermark has passed them."""
+    return notify(stream, keys, state, schema, lambda key, rows, before: (*fold(key, rows, before), ()), time=time, order=order)

@@ -1,16 +1,21 @@
 """Streams over several micro-batches give what the batch queries give."""
 
+import datetime
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from auctionflow.operators import joins as J
 from auctionflow.operators import verify as V
 from auctionflow.operators import windows as W
+from auctionflow.session import new_path
 from auctionflow.sources import tables as S
 from auctionflow.streaming import joins as SJ
-from auctionflow.streaming import state
+from auctionflow.streaming import ordered, state
 from auctionflow.streaming.running import running_batches, trailing_batches
-from auctionflow.streaming.harness import DroppedRows, Epochs, plain, run, run_batches, zoned
+from auctionflow.streaming.harness import DroppedRows, Epochs, plain, run, run_batches, stream_session, zoned
 
 DAY = 86_400
 
@@ -67,7 +72,7 @@ def test_closed_auctions_both_ways(spark, data):
 def test_running_sum_over_epochs(spark, data):
     rows = S.table(spark, data, "events").select(
         F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.col("event_id").alias("value"))
-    e = Epochs(zoned(rows, "ts"), "ts", epochs=3)
+    e = Epochs(zoned(rows, "ts"), "ts", epochs=3, closing=90 * DAY)
     got = {(r.key, r.id): r.running for r in run(state.running_sum(e.stream())).collect()}
     total = {}
     for r in rows.orderBy("ts").collect():
@@ -100,3 +105,93 @@ def test_running_and_trailing_batches(spark):
     for r in last.collect():
         mine = list(range(r.k, r.id + 1, 2))[-4:]
         assert (r.s, r.n) == (sum(mine), len(mine))
+
+
+@pytest.fixture
+def small_chunks(spark):
+    own = stream_session(spark)
+    before = own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    yield own
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _laid_down(spark, rows, schema, parts):
+    """The rows as files in the given order, `parts` epochs of them, and a last one far ahead."""
+    path, n = new_path(spark, "laid"), len(rows)
+    for i in range(parts):
+        spark.createDataFrame(rows[i * n // parts:(i + 1) * n // parts], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(-1, -1, datetime.datetime(2100, 1, 1), "")], schema).coalesce(1).write.mode("append").parquet(path)
+    return stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+ORDERED = "key long, id long, ts timestamp, word string"
+START_OF = datetime.datetime(2024, 1, 1)
+
+
+@pytest.mark.parametrize("piece", [40, 512])
+def test_a_fold_sees_a_hot_key_in_time_order(spark, small_chunks, piece, monkeypatch):
+    monkeypatch.setattr(ordered, "PIECE", piece)
+    monkeypatch.setattr(ordered, "TOGETHER", 3)
+    # two epochs, 4,000 rows of one key in reverse, two rows a time
+    one = [(7, i, START_OF + datetime.timedelta(milliseconds=i // 2), None if i % 5 else "x") for i in range(4000)]
+    rows = one[1999::-1] + one[:1999:-1]
+
+    def fold(key, rows, state):
+        seen, out = state[0] if state else -1, []
+        for i, word in zip(rows["id"], rows["word"]):
+            out.append((key[0], i, seen, word))
+            seen = int(i)
+        return pd.DataFrame(out, columns=["key", "id", "before", "word"]), (seen,)
+
+    stream = _laid_down(spark, rows, ORDERED, 2).withWatermark("ts", "0 seconds")
+    got = run(state.state_machine(stream, ["key"], "seen long", "key long, id long, before long, word string", fold, "ts", ["id"]))
+    assert sorted((r.id, r.before, r.word) for r in got.filter("key = 7").collect()) == [
+        (i, i - 1, None if i % 5 else "x") for i in range(4000)]
+
+
+def test_rows_that_overlap_epochs_are_folded_once_the_watermark_has_passed(spark, small_chunks):
+    # every epoch covers all times but for a drift of one second; the watermark trails by an hour
+    g = random.Random(3)
+    ids = list(range(600))
+    g.shuffle(ids)
+    rows = [(i % 2, i, START_OF + datetime.timedelta(seconds=i), "") for i in ids]
+
+    def fold(key, rows, state):
+        n = state[0] if state else 0
+        return rows[["key", "id"]].assign(step=range(n + 1, n + 1 + len(rows))), (n + len(rows),)
+
+    stream = _laid_down(spark, rows, ORDERED, 4).withWatermark("ts", "1 hour")
+    got = run(state.state_machine(stream, ["key"], "n long", "key long, id long, step long", fold, "ts", ["id"]))
+    assert sorted((r.id, r.step) for r in got.filter("key >= 0").collect()) == [(i, i // 2 + 1) for i in range(600)]
+
+
+def test_rows_and_timers_alternate_in_time_order(spark, small_chunks):
+    """Every row asks for a timer 1.5 s later, which sees all rows up to its time and none after."""
+    rows = [(1, i, START_OF + datetime.timedelta(seconds=i), "") for i in range(200)]
+    ms = lambda t: int(t.timestamp() * 1000)
+
+    def on_rows(key, rows, seen):
+        stamps = [int(t.value // 1_000_000) for t in rows["ts"]]
+        return None, (int(rows["id"].iloc[-1]),), [t + 1500 for t in stamps]
+
+    def on_timer(key, at, seen):
+        return pd.DataFrame({"key": [key[0]], "at": [at], "seen": [seen[0]]}), seen, []
+
+    stream = _laid_down(spark, rows[::-1], ORDERED, 1).withWatermark("ts", "0 seconds")
+    got = run(state.notify(stream, ["key"], "seen long", "key long, at long, seen long", on_rows, on_timer, time="ts"))
+    first = ms(START_OF.replace(tzinfo=datetime.timezone.utc))
+    want = [(first + i * 1000 + 1500, min(i + 1, 199)) for i in range(200)]
+    assert sorted((r.at, r.seen) for r in got.filter("key = 1").collect()) == want
+
+
+def test_rows_without_a_time_or_with_missing_values_keep_their_place(spark, small_chunks):
+    rows = [(1, i, None if i < 3 else START_OF + datetime.timedelta(seconds=i), None) for i in range(9)]
+
+    def fold(key, rows, state):
+        n = state[0] if state else 0
+        return rows[["key", "id", "ts"]].assign(step=range(n, n + len(rows))), (n + len(rows),)
+
+    stream = _laid_down(spark, rows[::-1], ORDERED, 1).withWatermark("ts", "0 seconds")
+    got = run(state.state_machine(stream, ["key"], "n long", "key long, id long, ts timestamp, step long", fold, "ts", ["id"]))
+    assert sorted((r.id, r.step, r.ts is None) for r in got.filter("key = 1").collect()) == [(i, i, i < 3) for i in range(9)]
