@@ -253,6 +253,14 @@ ORACLE = {
         SELECT o_orderkey // 500 AS block, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1)""",
 }
 
+THIRD = "least(2, (day(date_time) - 1) // 10)"
+SIX_HOURS = 21_600_000_000
+
+
+def _stamp(time: str) -> str:
+    return f"strftime(coalesce({time}, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%S.%gZ')"
+
+
 ORACLE |= {
     "stream_window_count": WINDOW_COUNT,
     "stream_out_of_order": WINDOW_COUNT,
@@ -291,5 +299,32 @@ ORACLE |= {
     "capture_replay": _with("ebid", """SELECT auction, price, date_time,
         CAST(date_trunc('day', date_time) AS TIMESTAMP) AS time FROM ebid"""),
     "foreach_batch_sink": _with("ebid", "SELECT auction, price, date_time FROM ebid"),
+    "stream_epochs": _with("ebid", f"SELECT auction, price, date_time, {THIRD} AS epoch FROM ebid"),
+    "stream_watermark": _with("ebid", f"""SELECT third AS batch, n AS input_rows, {_stamp("lag(top) OVER (ORDER BY third)")} AS watermark
+        FROM (SELECT third, count(*) AS n, max(date_time) AS top FROM (SELECT {THIRD} AS third, date_time FROM ebid) GROUP BY third)
+        UNION ALL SELECT 3, 1, {_stamp("max(date_time)")} FROM ebid
+        UNION ALL SELECT 4, 0, {_stamp("max(date_time) + INTERVAL '90' DAY")} FROM ebid"""),
+    # kept as state: panes that are still open, and windows of closed panes that are still open
+    "progress_report": f"""WITH ebid AS ({VIEWS['ebid']}), rows AS (SELECT {THIRD} AS third, us, 1 AS n FROM ebid
+            UNION ALL SELECT 3, max(us) + 90 * 86400000000, 1 FROM ebid),
+        marks AS (SELECT third AS batch, n, coalesce(lag(top) OVER (ORDER BY third), 0) AS mark FROM (
+                SELECT third, sum(n) AS n, max(us) // 1000 * 1000 AS top FROM rows GROUP BY third)
+            UNION ALL SELECT 4, 0, max(us) // 1000 * 1000 FROM rows),
+        panes AS (SELECT DISTINCT third, (us // {SIX_HOURS} + 1) * {SIX_HOURS} AS e FROM rows)
+        SELECT batch, CAST(n AS BIGINT) AS input_rows, CAST(0 AS BIGINT) AS dropped_rows,
+            (SELECT count(DISTINCT e) FROM panes WHERE third <= batch AND e > mark)
+            + (SELECT count(DISTINCT e + k * {SIX_HOURS}) FROM panes, (SELECT unnest(range(4)) AS k)
+               WHERE third <= batch AND e <= mark AND e + k * {SIX_HOURS} > mark) AS state_rows FROM marks""",
+    "probe_answers": _with("ebid", f"""SELECT third AS epoch, day, top < start AS before, top <= start AS upto, false AS over FROM (
+        SELECT {THIRD} AS third, date_trunc('milliseconds', max(date_time)) AS top FROM ebid GROUP BY 1),
+        (SELECT d AS day, TIMESTAMP '2024-01-01' + CAST(d - 1 AS INT) * INTERVAL '1' DAY AS start FROM (SELECT unnest(range(1, 31)) AS d))
+        UNION ALL SELECT 3, 31, false, false, true"""),
+    "capture_live": WINDOW_COUNT,
+    "capture_progress": _with("ebid", """SELECT row_number() OVER (ORDER BY part) - 1 AS batch, n AS rows, CAST(0 AS BIGINT) AS late,
+        max(top) OVER (ORDER BY part) - 345600000000 AS frontier FROM (SELECT (day(date_time) + auction % 3) // 8 AS part,
+        count(*) AS n, max(us) AS top FROM ebid GROUP BY 1)
+        UNION ALL SELECT count(DISTINCT (day(date_time) + auction % 3) // 8), 1, 0, max(us) + 90 * 86400000000 - 345600000000 FROM ebid"""),
+    "stream_custom_source": "SELECT * FROM events",
+    "custom_source_pushdown": "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND user_id < 40",
     "observe_metrics": _with("bid", "SELECT count(*) AS n, min(price) AS lowest, max(price) AS highest FROM bid"),
 }

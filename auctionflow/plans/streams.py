@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auctionflow.functions import cents, int_div, start_of_day
 from auctionflow.operators import windows as W
@@ -14,14 +15,16 @@ from auctionflow.plans.auction import NEW_SELLER, SLICES, SLIDE
 from auctionflow.session import new_path
 from auctionflow.sources import capture
 from auctionflow.sources import tables as S
+from auctionflow.sources.custom import ParquetFeed, register
 from auctionflow.streaming import joins as SJ
-from auctionflow.streaming import late, state
+from auctionflow.streaming import late, log, state
 from auctionflow.streaming.running import running_batches, trailing_batches
-from auctionflow.streaming.harness import Epochs, _results, plain, real, run, run_batches, zoned
+from auctionflow.streaming.harness import Epochs, _results, plain, probe, real, run, run_batches, stream_session, zoned
 
 DAY = 86_400
 OPEN = 730 * DAY
 FAR = 4000 * DAY
+FIRST_OF_2024 = 1_704_067_200_000_000  # microseconds
 FAR_AHEAD = 1_100_000_000_000  # ms, after all bids and auctions and before the closing row
 
 
@@ -243,12 +246,17 @@ def distinct_per_time(spark, d):
     return plain(_batches(firsts, "update").select(F.col("w.start").alias("time"), "auction").distinct())
 
 
+def _thirds(spark: SparkSession, d: str, **how) -> Epochs:
+    """The event bids in three epochs of ten days, by the calendar."""
+    rows = S.event_bids(spark, d).withColumn("third", F.least(F.lit(2), int_div(F.dayofmonth("date_time") - 1, F.lit(10))).cast("bigint"))
+    return Epochs(zoned(rows, "date_time"), "date_time", order="third", **how)
+
+
 def epochs(spark, d):
     """Every record with the epoch it arrived in."""
-    e = Epochs(zoned(S.event_bids(spark, d), "date_time"), "date_time", epochs=3)
     path = new_path(spark, "epochs-seen")
-    run_batches(e.stream().drop("_closing"), lambda b, i: b.withColumn("epoch", F.lit(i).cast("bigint")).write.mode("overwrite")
-                .parquet(f"{path}/batch={i}"))
+    run_batches(_thirds(spark, d).stream().drop("_closing", "third"), lambda b, i: b.withColumn("epoch", F.lit(i).cast("bigint"))
+                .write.mode("overwrite").parquet(f"{path}/batch={i}"))
     return plain(spark.read.parquet(f"{path}/*"))
 
 
@@ -264,21 +272,89 @@ def out_of_order(spark, d):
 
 def watermark(spark, d):
     """Per micro-batch: rows read and how far the watermark had come."""
-    e, seen = _ebids(spark, d), []
-    run(W.highest_bid(_read(e), "date_time", "price", 3600), progress=seen)
+    seen = []
+    run(W.highest_bid(_thirds(spark, d, closing=90 * DAY).stream(), "date_time", "price", 3600), progress=seen)
     rows = [(p.batchId, p.numInputRows, (p.eventTime or {}).get("watermark")) for p in seen]
     return spark.createDataFrame(rows, "batch long, input_rows long, watermark string")
 
 
 def progress_report(spark, d):
-    """Is everything up to a time done? Rows read and dropped per micro-batch of a plain pass."""
-    e, seen = _ebids(spark, d), []
-    run(W.window_count(_read(e), "date_time", SLIDE, SLICES, e.origin(SLIDE)), progress=seen)
+    """Rows read, dropped and kept as state per micro-batch of a plain pass."""
+    e, seen = _thirds(spark, d, closing=90 * DAY), []
+    run(W.window_count(e.stream(), "date_time", SLIDE, SLICES, e.origin(SLIDE)), progress=seen)
     rows = [(p.batchId, p.numInputRows, sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
              sum(s.numRowsTotal for s in p.stateOperators)) for p in seen]
     return spark.createDataFrame(rows, "batch long, input_rows long, dropped_rows long, state_rows long")
 
 
+def probe_answers(spark, d):
+    """Epochs are given to a running query one by one; after each, the probe is asked of every day's start
+    whether rows before it, or up to it, are still to come."""
+    rows = zoned(S.event_bids(spark, d), "date_time").withColumn("third", F.least(F.lit(2), int_div(F.dayofmonth("date_time") - 1, F.lit(10))))
+    own, path, answers = stream_session(spark), new_path(spark, "given"), []
+    heard = probe(own)
+    rows.limit(0).write.parquet(path)
+    stream = own.readStream.schema(rows.schema).parquet(path).withWatermark("date_time", "0 seconds")
+    query = (W.highest_bid(stream, "date_time", "price", 3600).writeStream.format("noop").outputMode("append")
+             .option("checkpointLocation", new_path(own, "progress")).trigger(processingTime="0 seconds").start())
+    for third in range(3):
+        rows.filter(F.col("third") == third).write.mode("append").parquet(path)
+        query.processAllAvailable()
+        heard.catch_up(query)
+        for day in range(1, 31):
+            start = FIRST_OF_2024 + (day - 1) * DAY * 1_000_000
+            answers.append((third, day, heard.less_than(query, start), heard.less_equal(query, start), heard.done(query)))
+    query.stop()
+    heard.catch_up(query)
+    answers.append((3, 31, heard.less_than(query, 2**62), heard.less_equal(query, 2**62), heard.done(query)))
+    return spark.createDataFrame(answers, "epoch long, day long, before boolean, upto boolean, over boolean")
+
+
+def capture_live(spark, d):
+    """A stream whose rows come up to three days out of order is kept as a log, and the log replayed two
+    batches at a time into windows."""
+    e = _disordered(spark, d)
+    folder = log.capture(e.source(), "date_time", delay=4 * DAY)
+    return plain(run(W.window_count(log.replay(e.spark, folder, together=2), "date_time", SLIDE, SLICES, e.origin(SLIDE)), until_idle=True))
+
+
+def capture_progress(spark, d):
+    """What the same log says of its batches."""
+    e = _disordered(spark, d)
+    return log.progress(e.spark, log.capture(e.source().drop("_closing", "part"), "date_time", delay=4 * DAY)).filter("rows > 0")
+
+
+def _disordered(spark: SparkSession, d: str) -> Epochs:
+    late = F.dayofmonth("date_time") + F.pmod("auction", F.lit(3))
+    rows = S.event_bids(spark, d).withColumn("part", int_div(late, F.lit(8)))
+    return Epochs(zoned(rows, "date_time"), "date_time", order="part", closing=90 * DAY)
+
+
+def custom_stream(spark, d):
+    """The events as a source of the user's, read as a stream up to a half, then by another run to the end,
+    never more than a fifth of it ahead."""
+    own = stream_session(spark)
+    rows = zoned(S.table(spark, d, "events"), "ts")
+    path, n = new_path(spark, "feed"), rows.count()
+    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    out, mark, marks = (new_path(spark, x) for x in ("sink", "progress", "marks"))
+    for limit in (n // 2, None):
+        register(own, "event_feed", ParquetFeed(path, rows.schema, rows=-(-n // 20), limit=limit))
+        stream = own.readStream.format("event_feed").option("ahead", -(-n // 5)).option("marks", marks).load()
+        got = run(stream, path=out, checkpoint=mark, until_idle=True)
+    return plain(got)
+
+
+def custom_pushdown(spark, d):
+    """Two columns of some rows of the same source; the source applies the filters itself."""
+    own = stream_session(spark)
+    rows, path = zoned(S.table(spark, d, "events"), "ts"), new_path(spark, "feed")
+    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    register(own, "event_rows", ParquetFeed(path, rows.schema))
+    kept = T.StructType([rows.schema[c] for c in ("event_id", "user_id", "event_type")])
+    return own.read.format("event_rows").schema(kept).load().filter("event_type = 'click' AND user_id < 40").select("event_id", "user_id")
+
+
 def late_rows(spark, d):
     rows = S.table(spark, d, "lineitem").select("l_linenumber", "l_orderkey", "l_shipdate")
     e = Epochs(zoned(rows, "l_shipdate"), "l_shipdate", order="l_linenumber")
@@ -321,6 +397,7 @@ STREAMS = {
     "stream_q6_last10_avg": q6, "stream_delay_rows": delay_rows, "state_counter": counter,
     "state_map_merge": map_merge, "stream_wordcount": wordcount, "stream_distinct": distinct_per_time,
     "stream_epochs": epochs, "stream_out_of_order": out_of_order, "stream_watermark": watermark,
-    "progress_report": progress_report, "stream_late_rows": late_rows, "capture_replay": capture_replay,
+    "progress_report": progress_report, "probe_answers": probe_answers, "capture_live": capture_live,
+    "capture_progress": capture_progress, "stream_custom_source": custom_stream, "custom_source_pushdown": custom_pushdown, "stream_late_rows": late_rows, "capture_replay": capture_replay,
     "foreach_batch_sink": foreach_batch_sink, "observe_metrics": observe_metrics,
 }

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import threading
+import time
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from auctionflow.session import SETTINGS, new_path
 
@@ -150,48 +155,158 @@ class DroppedRows(RuntimeError):
     pass
 
 
-def _finish(query, allow_late: bool, progress: list | None) -> None:
+class Probe(StreamingQueryListener):
+    """How far a query has come: asked from outside, while it runs or afterwards.
+
+    The frontier of a query is its watermark, in microseconds: all rows before it are done, later ones may
+    still come. A query that is over, after all its input, has no frontier."""
+
+    def __init__(self):
+        self.frontier: dict[str, int] = {}
+        self.over: dict[str, bool] = {}
+        self.progress: dict[str, deque] = {}  # not taken yet
+        self.failed: dict[str, str | None] = {}
+        self.batch: dict[str, int] = {}
+        self.news = threading.Condition()
+
+    def _tell(self, change: Callable[[], None]) -> None:
+        with self.news:
+            change()
+            self.news.notify_all()
+
+    def onQueryStarted(self, event) -> None:
+        self._tell(lambda: self.over.setdefault(str(event.runId), False))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        mark = (p.eventTime or {}).get("watermark")
+
+        def add() -> None:
+            self.progress.setdefault(str(p.runId), deque(maxlen=10_000)).append(p)
+            self.batch[str(p.runId)] = p.batchId
+            if mark:
+                at = datetime.datetime.fromisoformat(mark.replace("Z", "+00:00"))
+                self.frontier[str(p.runId)] = round(at.timestamp() * 1_000_000)
+        self._tell(add)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        def end() -> None:
+            self.over[str(event.runId)] = True
+            self.failed[str(event.runId)] = event.exception
+        self._tell(end)
+
+    def take(self, query) -> list:
+        """The progress of the query's micro-batches since the last call."""
+        with self.news:
+            new = self.progress.get(str(query.runId), deque())
+            return [new.popleft() for _ in range(len(new))]
+
+    def less_than(self, query, time: int) -> bool:
+        """Whether rows before `time` (microseconds) may still come or are under way."""
+        with self.news:
+            return not self._done(query) and self.frontier.get(str(query.runId), -2**62) < time
+
+    def less_equal(self, query, time: int) -> bool:
+        """The same for rows up to `time`."""
+        with self.news:
+            return not self._done(query) and self.frontier.get(str(query.runId), -2**62) <= time
+
+    def _done(self, query) -> bool:
+        run_id = str(query.runId)
+        return self.over.get(run_id, False) and self.failed.get(run_id) is None
+
+    def done(self, query) -> bool:
+        """Whether the query is over, without an error."""
+        with self.news:
+            return self._done(query)
+
+    def catch_up(self, query) -> None:
+        """Wait until all that the query has done has been heard of."""
+        run_id, last = str(query.runId), (query.lastProgress or {}).get("batchId", -1)
+        self.wait_while(lambda: self.batch.get(run_id, -1) < last or not (query.isActive or self.over.get(run_id, False)))
+
+    def wait_while(self, asked: Callable[[], bool], seconds: float = 600) -> bool:
+        """Wait until `asked` is false, looking again at every piece of news; false if it took too long."""
+        end = time.monotonic() + seconds
+        while asked():
+            with self.news:
+                if not self.news.wait(min(1.0, max(0.0, end - time.monotonic()))) and time.monotonic() >= end:
+                    return False
+        return True
+
+
+def probe(spark: SparkSession) -> Probe:
+    """The probe of the session's streams; it hears of every micro-batch, however fast they come."""
+    if not hasattr(spark, "_probe"):
+        spark._probe = Probe()
+        spark.streams.addListener(spark._probe)
+    return spark._probe
+
+
+def _finish(spark: SparkSession, query, allow_late: bool, progress: list | None, until_idle: bool = False) -> None:
     """Wait for the end, adding up dropped rows on the way; a stream without end goes on until stopped."""
-    late, seen = 0, -1
-    done = False
-    while not done:
-        done = query.awaitTermination(1)
-        for p in query.recentProgress:
-            if p.batchId > seen:
-                seen = p.batchId
-                late += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
-                if progress is not None:
-                    progress.append(p)
+    heard, run_id, late = probe(spark), str(query.runId), 0
+
+    def look() -> None:
+        nonlocal late
+        for p in heard.take(query):
+            late += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+            if progress is not None:
+                progress.append(p)
         if late and not allow_late:
             query.stop()
             raise DroppedRows(f"{late} rows came after the watermark")
 
+    if until_idle:
+        quiet, last = 0, None
+        while quiet < 2:  # a source that is held back may say once that there is nothing
+            query.processAllAvailable()
+            now = (query.lastProgress or {}).get("batchId")
+            quiet, last = (quiet + 1 if now == last else 0), now
+            look()
+        query.stop()
+    while not query.awaitTermination(0.2):
+        look()
+    # the listener is told of the end after the last batch
+    heard.wait_while(lambda: not heard.over.get(run_id, False), 60)
+    look()
+
+
+def _trigger(until_idle: bool) -> dict:
+    return {"processingTime": "0 seconds"} if until_idle else {"availableNow": True}
+
 
 def run(stream: DataFrame, allow_late: bool = False, progress: list | None = None, path: str | None = None,
-        checkpoint: str | None = None, trigger: dict | None = None) -> DataFrame:
+        checkpoint: str | None = None, trigger: dict | None = None, until_idle: bool = False) -> DataFrame:
     """Run an append-mode stream over its input and return what it wrote.
 
     `path` and `checkpoint` name the folders of the output and of the stream's progress; a run with
     the folders of an earlier one goes on where that stopped. `trigger` is that of `writeStream`,
-    by default all input there is, then the end.
+    by default all input there is, then the end. `until_idle` is for sources that give out more after
+    every batch: batch follows batch until there is nothing more.
     """
     spark = stream.sparkSession
+    probe(spark)
     path = path or new_path(spark, "sink")
     query = (stream.writeStream.format("parquet").option("path", path)
              .option("checkpointLocation", checkpoint or new_path(spark, "progress"))
-             .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
-    _finish(query, allow_late, progress)
+             .outputMode("append").trigger(**(trigger or _trigger(until_idle))).start())
+    _finish(spark, query, allow_late, progress, until_idle)
     return _results(spark, stream.schema, path)
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
-                allow_late: bool = False, checkpoint: str | None = None, trigger: dict | None = None) -> list:
+                allow_late: bool = False, checkpoint: str | None = None, trigger: dict | None = None, until_idle: bool = False) -> list:
     """Run a stream with `each(batch, number)` called per micro-batch; a retry repeats a number.
 
-    `checkpoint` and `trigger` as for `run`; the progress of the batches is returned."""
+    `checkpoint`, `trigger` and `until_idle` as for `run`; the progress of the batches is returned."""
     spark, progress = stream.sparkSession, []
+    probe(spark)
     query = (stream.writeStream.foreachBatch(each)
              .option("checkpointLocation", checkpoint or new_path(spark, "progress"))
-             .outputMode(mode).trigger(**(trigger or {"availableNow": True})).start())
-    _finish(query, allow_late, progress)
+             .outputMode(mode).trigger(**(trigger or _trigger(until_idle))).start())
+    _finish(spark, query, allow_late, progress, until_idle)
     return progress

@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +13,11 @@ from auctionflow.operators import verify as V
 from auctionflow.operators import windows as W
 from auctionflow.session import new_path
 from auctionflow.sources import tables as S
+from auctionflow.sources.custom import Feed, ParquetFeed, register
 from auctionflow.streaming import joins as SJ
-from auctionflow.streaming import ordered, state
+from auctionflow.streaming import log, ordered, state
 from auctionflow.streaming.running import running_batches, trailing_batches
-from auctionflow.streaming.harness import DroppedRows, Epochs, plain, run, run_batches, stream_session, zoned
+from auctionflow.streaming.harness import DroppedRows, Epochs, plain, probe, run, run_batches, stream_session, zoned
 
 DAY = 86_400
 
@@ -195,3 +197,104 @@ def test_rows_without_a_time_or_with_missing_values_keep_their_place(spark, smal
     stream = _laid_down(spark, rows[::-1], ORDERED, 1).withWatermark("ts", "0 seconds")
     got = run(state.state_machine(stream, ["key"], "n long", "key long, id long, ts timestamp, step long", fold, "ts", ["id"]))
     assert sorted((r.id, r.step, r.ts is None) for r in got.filter("key = 1").collect()) == [(i, i, i < 3) for i in range(9)]
+
+
+def numbers(n, trace):
+    class Numbers(Feed):
+        """Places are numbers; what was asked of the source is written down."""
+
+        schema = "n long, twice long"
+
+        def __init__(self, n, trace):
+            self.n, self.trace = n, trace
+
+        def _write(self, *what):
+            with open(self.trace, "a") as f:
+                f.write(" ".join(map(str, what)) + "\n")
+
+        def end(self):
+            return self.n
+
+        def pieces(self, start, stop):
+            self._write("plan", start, stop)
+            return [(i, min(i + 10, stop)) for i in range(start, stop, 10)]
+
+        def read(self, piece, columns, filters):
+            n = pa.array(range(*piece), pa.int64())
+            all_ = {"n": n, "twice": pa.array([2 * x.as_py() for x in n], pa.int64())}
+            yield pa.RecordBatch.from_arrays([all_[c] for c in columns], names=list(columns))
+
+    return Numbers(n, trace)
+
+
+def test_a_source_is_held_back_and_goes_on_after_a_restart(spark, tmp_path):
+    own, trace = stream_session(spark), str(tmp_path / "trace")
+    places = {k: str(tmp_path / k) for k in ("path", "checkpoint")}
+    for n, want in ((70, 70), (70, 70), (205, 205)):
+        register(own, "numbers", numbers(n, trace))
+        stream = own.readStream.format("numbers").option("ahead", 30).option("marks", str(tmp_path / "marks")).load()
+        got = run(stream, until_idle=True, **places)
+        assert sorted(r.n for r in got.collect()) == list(range(want))
+    plans = [tuple(map(int, line.split()[1:])) for line in open(trace)]
+    assert all(0 < b - a <= 30 for a, b in plans)  # never more than that beyond what has been processed
+    assert [p[0] for p in plans] == [0, *[p[1] for p in plans[:-1]]]
+    with pytest.raises(Exception, match="marks"):
+        run(own.readStream.format("numbers").option("ahead", 30).load())
+
+
+def test_a_source_reads_the_asked_columns_and_rows_only(spark, data, tmp_path):
+    own = stream_session(spark)
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("k"), F.lit("x").alias("s"))
+    rows.repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "rows"))
+    register(own, "some_rows", ParquetFeed(str(tmp_path / "rows"), rows.schema, rows=150))
+    df = own.read.format("some_rows").load().filter("k = 3 AND id >= 900 AND s LIKE '%x'")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert " = 3" not in plan and ">= 900" not in plan and "EndsWith" in plan  # Spark applies what is left
+    assert sorted(r.id for r in df.collect()) == [i for i in range(900, 1000) if i % 7 == 3]
+    assert own.read.format("some_rows").schema("id long").load().columns == ["id"]
+    feed = ParquetFeed(str(tmp_path / "rows"), rows.schema, rows=150)
+    assert feed.end() == 1000 and sum(b - a for _, a, b in feed.pieces(120, 640)) == 520
+    got = [i for p in feed.pieces(120, 640) for b in feed.read(p, ["id"], ()) for i in b.column("id").to_pylist()]
+    assert got == list(range(120, 640))
+
+
+@pytest.mark.parametrize("together", [1, 2, 3, 9])
+def test_a_log_is_replayed_in_any_epochs(spark, data, bids, together):
+    e = Epochs(zoned(bids.withColumn("part", F.pmod("auction", F.lit(4))), "date_time"), "date_time", order="part", closing=90 * DAY)
+    folder = log.capture(e.source(), "date_time", delay=40 * DAY)
+    seen = []
+    got = run(W.window_count(log.replay(e.spark, folder, together), "date_time", 21_600, 4, e.origin(21_600)), progress=seen, until_idle=True)
+    assert V.verify(W.window_count(bids, "date_time", 21_600, 4), plain(got)).isEmpty()
+    assert max(p.numInputRows for p in seen) >= bids.count() // 4 * min(together, 4) * 0.5
+    marks = [r.frontier for r in log.progress(spark, folder).orderBy("batch").collect()]
+    assert marks == sorted(marks)
+
+
+def test_a_log_knows_late_rows_and_replaces_a_batch_that_is_run_again(spark):
+    rows = spark.createDataFrame([(i, (1000, 1100, 100)[i % 3] + i, i % 3) for i in range(30)], "id long, s long, part long")
+    e = Epochs(rows.select("id", F.timestamp_seconds("s").alias("t"), "part"), "t", order="part")
+    with pytest.raises(Exception, match="frontier"):
+        log.capture(e.source(), "t")
+    folder = log.capture(e.source(), "t", allow_late=True)
+    assert [(r.batch, r.rows, r.late) for r in log.progress(spark, folder).orderBy("batch").collect()] == [(0, 10, 0), (1, 10, 0), (2, 0, 10)]
+    kept = run(log.replay(e.spark, folder), until_idle=True)
+    assert sorted(r.id for r in kept.collect()) == [i for i in range(30) if i % 3 < 2]
+    # a checkpoint that has gone on without the log: the log would miss a batch
+    run_batches(e.source(), lambda b, i: None, checkpoint=f"{folder}/other")
+    spark.createDataFrame([(99, datetime.datetime(2024, 1, 1), 0, False)], "id long, t timestamp, part long, _closing boolean").coalesce(1).write.mode(
+        "append").parquet(e.path)
+    with pytest.raises(Exception, match="no batch"):
+        log.capture(e.source(), "t", folder=f"{folder}-new", checkpoint=f"{folder}/other")
+
+
+def test_the_probe_hears_of_every_batch_and_of_errors(spark, epochs):
+    heard = probe(epochs.spark)
+    seen = []
+    run(W.highest_bid(epochs.stream(), "date_time", "price", 3600), progress=seen)
+    assert [p.batchId for p in seen] == list(range(len(seen))) and len(seen) >= 4
+    bad = epochs.stream().select(F.raise_error(F.lit("no")).alias("x"))
+    query = bad.writeStream.format("noop").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="no"):
+        query.awaitTermination()
+    assert heard.wait_while(lambda: not heard.over.get(str(query.runId), False), 30)
+    assert not heard.done(query) and heard.less_than(query, 0)
