@@ -269,11 +269,11 @@ def pagerank_rounds(spark, d):
 def pagerank_changed(spark, d):
     """Three rounds, then every order of status F is withdrawn, then three more."""
     edges = S.order_edges(spark, d)
-    before = G.pagerank(edges, 3)
+    before = G.run_ranks(G.start_ranks(edges), 3)
     n = S.table(spark, d, "customer").agg(F.count("*")).scalar()
     gone = S.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(
         F.col("o_custkey").alias("src"), (F.col("o_orderkey") % n).alias("dst"), F.lit(-1).cast("bigint").alias("diff"))
-    return G.pagerank(edges.withColumn("diff", F.lit(1).cast("bigint")).unionByName(gone), 3, before)
+    return G.change_ranks(before, gone, 3).nodes.select("node", "rank")
 
 
 def udf_map_batches(spark, d):

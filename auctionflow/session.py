@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _stored: dict[str, list[str]] = {}
+_tables: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -63,6 +65,8 @@ def drop_stored(spark: SparkSession) -> int:
     paths = _stored.pop(spark.sparkContext.applicationId, [])
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for name in paths:
+        if name in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(name)}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
     return len(paths)
@@ -77,12 +81,27 @@ def store(df: DataFrame, label: str = "table") -> DataFrame:
     return stored
 
 
+def store_bucketed(df: DataFrame, keys: Sequence[str], label: str = "table") -> DataFrame:
+    """Like `store`, but laid out by the hash of `keys`, as wide as a shuffle: a join or an aggregate on
+    them reads it where it lies, and only the other side is shuffled."""
+    spark = df.sparkSession
+    path, n = new_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    _tables[path] = name
+    stored = spark.table(name)
+    stored._stored_at = path
+    return stored
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that `store` gave, after their last reader; others are left alone."""
     for table in tables:
         path = getattr(table, "_stored_at", None)
         if path is not None:
             session = table.sparkSession
+            if path in _tables:
+                session.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
             where = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
             known = _stored.get(session.sparkContext.applicationId, [])

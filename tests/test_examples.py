@@ -312,6 +312,109 @@ def test_components_and_forest(spark, kind):
         assert len(tree) == len(want) - len(set(want.values()))
 
 
+def rooted(spark, edges):
+    """The forest's parents after checking that they are edges, and lead every node to the smallest of its component."""
+    got = rows(G.spanning_forest(spark.createDataFrame(edges, "src long, dst long")))
+    parent, known = dict(got), {frozenset(e) for e in edges}
+    assert len(parent) == len(got) and all(frozenset(e) in known for e in got)
+    want = roots_of(edges)
+    assert set(parent) == {n for n, r in want.items() if n != r}
+    depth = {}
+    for n in parent:
+        way = []
+        while n in parent and n not in depth:
+            way.append(n)
+            n = parent[n]
+        for m in reversed(way):
+            depth[m] = depth.get(parent[m], 0) + 1
+            assert want[m] == want[parent[m]] and len(depth) <= len(parent)
+    return parent
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_forest_is_made_of_edges_and_hangs_at_the_smallest(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(600)]
+    edges += [(1000 + i, 1000 + (i * 7 + 1) % 120) for i in range(120)]
+    edges += [(2000, 2000 + i) for i in range(1, 60)] + [(3000 - i, 2999 - i) for i in range(80)] + [(5000, 5000), (9, 9)]
+    rooted(spark, edges)
+    assert rows(G.spanning_forest(spark.createDataFrame([(1, 1)], "src long, dst long"))) == []
+
+
+def test_a_deep_forest_takes_few_rounds(spark, monkeypatch):
+    trees, taken = G._trees, []
+    monkeypatch.setattr(G, "_trees", lambda links, number: (taken.append(number), trees(links, number))[1])
+    path = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("src"), ((F.col("id") + 1) * 7919 % 100_003).alias("dst"))
+    forest = G.spanning_forest(path)
+    assert len(taken) <= 25 and forest.count() == 100_000 and forest.select("node").distinct().count() == 100_000
+    back = path.select("src", "dst").unionByName(path.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    assert forest.join(back, (F.col("node") == F.col("src")) & (F.col("parent") == F.col("dst"))).count() == 100_000
+
+
+def test_rounds_leave_the_edges_where_they_are(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    edges = own.range(3000).select((F.col("id") % 500).alias("src"), (F.col("id") * 17 % 700).alias("dst"))
+    links = G.rank_links(edges.withColumn("diff", F.lit(1).cast("bigint")))
+    level = own.range(9).select(F.col("id").alias("src"), F.lit(1).alias("x"))
+    plan = links.join(level, "src")._jdf.queryExecution().executedPlan().toString()
+    scan = next(i for i, line in enumerate(plan.split("\n")) if "links_" in line)
+    above = [line for line in plan.split("\n")[:scan] if "Exchange" in line]
+    assert "SortMergeJoin" in plan and not above  # the only exchange is that of the other side, below
+
+
+def test_rank_changes_equal_ranks_from_the_start(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(30), rng.randrange(40)) for _ in range(120)]
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long, diff long")
+    state = G.run_ranks(G.start_ranks(spark.createDataFrame(edges, "src long, dst long")), 3)
+    now, ranks = Counter(edges), dict(rows(state.nodes.select("node", "rank")))
+    assert ranks == model_ranks(now, 3)
+    for epoch in range(3):
+        changes = Counter()
+        for e in rng.sample(edges, 15):
+            changes[e] -= 1 if now[e] + changes[e] > 0 else 0
+        for _ in range(10):
+            changes[rng.randrange(30), rng.randrange(45 + epoch)] += 1
+        if epoch == 1:  # all that one node gives
+            changes.update({e: -now[e] - changes[e] for e in now if e[0] == edges[0][0]})
+        state = G.change_ranks(state, frame([(*e, d) for e, d in changes.items() for _ in (0,)]), 2)
+        now.update(changes)
+        ranks = model_ranks(now, 2, ranks, changes)
+        assert dict(rows(state.nodes.select("node", "rank"))) == ranks
+
+
+def model_ranks(mult, rounds, start=None, changes=()):
+    out = {}
+    for (s, d), m in sorted(mult.items()):
+        if m:
+            out.setdefault(s, []).append((d, m))
+    rank = {n: 1000 for e in [*mult, *changes] for n in e} | (start or {})
+    for _ in range(rounds):
+        got = Counter()
+        for s, links in out.items():
+            give = rank[s] * 5 // 6
+            for i, (d, m) in enumerate(links):
+                got[d] += m * (give // len(links) + (i < give % len(links)))
+        new = {n: 1000 + got[n] for n in rank}
+        rank = {n: new[n] if abs(new[n] - rank[n]) >= 6 else rank[n] for n in rank}
+    return rank
+
+
+def test_quiet_nodes_send_nothing(spark):
+    """A ring settles; a change on one link then reaches few nodes, however many there are."""
+    ring = spark.range(2000).select(F.col("id").alias("src"), ((F.col("id") + 1) % 2000).alias("dst"))
+    state = G.run_ranks(G.start_ranks(ring, start=spark.range(2000).select(F.col("id").alias("node"), F.lit(5970).cast("long").alias("rank"))), 2)
+    sends = lambda s: s.nodes.filter(f"share <> {G.SHARE} OR extra <> {G.EXTRA}").count()
+    assert sends(state) <= 2000
+    settled = G.run_ranks(state, 2)
+    assert sends(settled) == 0
+    changed = G.change_ranks(settled, spark.createDataFrame([(7, 11, 1)], "src long, dst long, diff long"), 1)
+    assert 0 < sends(changed) <= 2
+    assert 0 < sends(G.run_ranks(changed, 3)) <= 8
+
+
 def test_pagerank_model(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(12), rng.randrange(15)) for _ in range(60)]
