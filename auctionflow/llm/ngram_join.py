@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import count
 
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 
 from auctionflow.llm.common import LOWER, M1, M2, M3, Hashed, batch, chosen, lists, mix, pick, word_hashes
 from auctionflow.operators.graph import connected_components
-from auctionflow.session import store
+from auctionflow.session import forget, store
 
 BITS = 1024          # of a signature at least
 BLOCK = 1024         # documents of one tile that meet in one task at a time
-BAND_GROWTH = 1.8    # upper size of a band over that of the band below
+BAND_GROWTH = 1.3    # upper size of a band over that of the band below
 
 SIGNED = pa.schema([
     ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
@@ -39,20 +40,28 @@ class Bands:
     """Bands of set sizes and the number of parts the sets of a band are cut into.
 
     Sets a, b with overlap >= percent / 100 of their union differ in at most
-    (|a| + |b|) * (100 - percent) / (100 + percent) elements. Cut into two parts more than that by
-    hash range, they agree on two parts or more. A set is filed under every part that has elements
-    in it, and under its empty parts only if two or more are empty; so two such sets always share
-    a tile. Sets meet in the band of the larger one.
+    d = (|a| + |b|) * (100 - percent) / (100 + percent) elements. Cut into d + spare + 1 parts by hash
+    range, they agree on spare + 1 parts or more. A set is filed under every part that has elements in it, and
+    under its empty parts, which many sets share, only if there are more than `spare` of them; so if
+    the parts two such sets agree on are all empty, both are filed there. `spare` is two deviations more
+    than the empty parts one expects of the smallest sets that come into the band, so few sets are. Sets meet in the
+    band of the larger one.
     """
 
     def __init__(self, percent: int):
-        self.percent, self.tops, self.parts = percent, [], []
+        self.percent, self.tops, self.parts, self.spare = percent, [], [], []
 
     def _grow(self, n: int) -> None:
         while not self.tops or self.tops[-1] < n:
+            least = self.tops[-1] + 1 if self.tops else 1
             top = int(self.tops[-1] * BAND_GROWTH) + 1 if self.tops else 4
+            differ = 2 * top * (100 - self.percent) // (100 + self.percent)
+            smallest = max(1, -(-least * self.percent // 100))
+            expected = lambda spare: (m := differ + spare + 1) * math.exp(-smallest / m)
+            enough = (e for e in range(1, 2 * differ + 2) if expected(e) + 2 * math.sqrt(expected(e)) <= e)
+            self.spare.append(next(enough, 1))
             self.tops.append(top)
-            self.parts.append(2 * top * (100 - self.percent) // (100 + self.percent) + 2)
+            self.parts.append(differ + self.spare[-1] + 1)
 
     def tiles(self, s: np.ndarray) -> np.ndarray:
         n, found = len(s), []
@@ -63,14 +72,14 @@ class Bands:
             if band > own and n * 100 < self.percent * (self.tops[band - 1] + 1):
                 break  # every set of this band is too large
             m = self.parts[band]
-            if m == 2:
+            if m == self.spare[band] + 1:
                 continue  # no difference allowed: equal sets only
             edges = (np.arange(1, m, dtype=np.uint64) << np.uint64(32)) // np.uint64(m) << np.uint64(32)
             at = np.concatenate([[0], np.searchsorted(s, edges), [n]])
             part = sums[at[1:]] - sums[at[:-1]]
             empty = at[1:] == at[:-1]
             key = mix(part + mix((np.arange(m, dtype=np.uint64) + (np.uint64(band) << np.uint64(32))) * M1))
-            found.append(key if empty.sum() >= 2 else key[~empty])
+            found.append(key if empty.sum() > self.spare[band] else key[~empty])
         return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -169,22 +178,71 @@ def _bounded(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) those that link; only their documents are cut into n-grams again."""
-    pairs = store(pairs, "pairs")
+    pairs = kept = store(pairs, "pairs")
     needed = store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
     sets = store(_gram_sets(chosen(texts, needed, "left_semi"), words), "grams")
     for side in "ba":
         pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("grams").alias(f"grams_{side}")), side)
-    return store(_overlaps(pairs, percent).distinct(), "links")
+    found = store(_overlaps(pairs, percent).distinct(), "links")
+    forget(kept, needed, sets)
+    return found
+
+
+MEMBERS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("second", pa.int64()), ("edge", pa.bool_())])
+
+
+def _members(tiles: DataFrame) -> DataFrame:
+    """key, doc_id, first, second of the tiles (key, doc_id) that hold more than one document; `whole` if
+    first and second are those of the whole tile.
+
+    Rows are dealt out by ranges of (key, doc_id), so a tile of any size lies in as many tasks as it needs, each
+    with a first and a second of its own. Nine of ten tiles hold one document, whose rows go no further. A tile at the
+    edge of a task may have other rows elsewhere; there are two of them a task at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64),) * 2  # the rows of the last tile while they are less than two
+        going = None  # (key, first, second) of the last tile if it had two
+        edges: list[int] = []
+        for b in batches:
+            key, doc = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
+            if not len(key):
+                continue
+            edges = [edges[0] if edges else int(key[0]), int(key[-1])]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            first, second = doc[starts], doc[np.minimum(starts + 1, len(doc) - 1)]
+            full = sizes > 1
+            if going is not None and going[0] == key[0]:
+                first[0], second[0], full[0] = going[1], going[2], True
+            last = starts[-1]
+            going = (int(key[-1]), int(first[-1]), int(second[-1])) if full[-1] else None
+            held = (key[last:], doc[last:]) if not full[-1] else (key[:0], doc[:0])
+            # a single row at the front edge stays; the one at the back is held
+            keep = full | ((key[starts] == edges[0]) & (np.arange(len(starts)) < len(starts) - 1))
+            rows = np.repeat(keep, sizes)
+            if rows.any():
+                yield batch(MEMBERS, key=key[rows], doc_id=doc[rows], first=np.repeat(first, sizes)[rows],
+                            second=np.repeat(second, sizes)[rows], edge=np.zeros(int(rows.sum()), bool))
+        if len(held[0]):
+            yield batch(MEMBERS, key=held[0], doc_id=held[1], first=held[1], second=held[1], edge=[False])
+        if edges:
+            ends = list(dict.fromkeys(edges))
+            yield batch(MEMBERS, key=ends, doc_id=[None] * len(ends), first=[None] * len(ends), second=[None] * len(ends), edge=[True] * len(ends))
+
+    kind = "key long, doc_id long, first long, second long, edge boolean"
+    found = store(tiles.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(run, kind), "members")
+    torn = found.filter("edge").select("key").distinct().withColumn("torn", F.lit(True))  # two a task at most
+    return found.filter("NOT edge").join(F.broadcast(torn), "key", "left").select(
+        "key", "doc_id", "first", "second", F.col("torn").isNull().alias("whole"))
 
 
 def _crowded(members: DataFrame, links: DataFrame | None, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of tiles' members that are neither first nor last in their tile; if `links` are given,
+    """Pairs of tiles' members that didn't meet as first or second of their tile; if `links` are given,
     only pairs that these don't connect.
 
     A tile of more than BLOCK documents is dealt out as blocks, two of which meet in one task; the
     rows of a block stream through, so no tile is ever whole in a task. Pairs are compared by
     their signatures where they meet, and only those that pass leave the task."""
-    rest = members.filter("doc_id <> lo AND doc_id <> hi").select("key", "doc_id")
+    rest = members.filter("NOT whole OR (doc_id <> first AND doc_id <> second)").select("key", "doc_id")
     if links is None:
         rest = rest.withColumn("part", F.col("doc_id"))
     else:
@@ -266,14 +324,16 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc
     reps = store(signs.filter("n_shingles > 0").groupBy(*sets).agg(
         F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n_equal")), "reps")
     copies = store(signs.select("doc_id", *sets).join(reps, sets).filter("doc_id <> rep").select("doc_id", "rep"), "copies")
-    tiles = chosen(signs.filter("doc_id IS NOT NULL"), copies.select("doc_id").distinct(), "left_anti").select(
+    tiles = chosen(signs.filter("doc_id IS NOT NULL").select("doc_id", "tiles"), copies.select("doc_id").distinct(), "left_anti").select(
         F.explode("tiles").alias("key"), "doc_id")
-    ends = tiles.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    members = store(tiles.join(ends, "key"), "members")
-    pairs = members.filter("doc_id <> lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).union(
-        members.filter("doc_id <> lo AND doc_id <> hi").select("doc_id", "hi")).distinct()
+    members = store(_members(tiles), "tiles")
+    signs, filed = store(signs.select("doc_id", "n_shingles", "bits"), "signs"), signs
+    forget(filed)  # the tiles are most of what is on disk
+    pairs = members.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).union(
+        members.filter("doc_id <> first AND doc_id <> second").select("second", "doc_id")).distinct()
     first = _verified(_bounded(pairs, signs, percent), texts, words, percent)
     second = _verified(_crowded(members, None if every else first, signs, percent), texts, words, percent)
+    forget(members)
     rows = signs.select("doc_id", "n_shingles").join(copies.distinct(), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")).join(
         reps.filter("n_equal > 1").groupBy("rep").agg(F.max("n_equal").alias("n_equal")), "rep", "left").select(

@@ -30,7 +30,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ngram.ngram_join(_table(spark, sf_dir, "documents"))
+    return _ngram.ngram_groups(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,3 +358,34 @@ def test_fingerprints_odd_rows(odd, none):
     assert {r["n_chars"] for r in rows if r["doc_id"] == 4} == {len(LONG)}
     assert merkle.compared(none).collect() == []
     assert merkle.compared(odd.filter("doc_id = 8")).first()["near_next"] == 1.0
+
+
+def test_tiles_torn_over_tasks_keep_all_members(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    g = np.random.default_rng(1)
+    rows = [(int(k), int(d)) for k, d in {(int(g.integers(40)) ** 2, int(g.integers(500))) for _ in range(300)}]
+    rows += [(777, i) for i in range(2000)] + [(10_000 + i, i) for i in range(400)]
+    got = ngram_join._members(own.createDataFrame(rows, "key long, doc_id long")).collect()
+    tiles, found = defaultdict(set), defaultdict(set)
+    for k, d in rows:
+        tiles[k].add(d)
+    for r in got:
+        found[r["key"]].add(r["doc_id"])
+        if r["whole"]:
+            assert [r["first"], r["second"]] == sorted(tiles[r["key"]])[:2]
+    assert {k: v for k, v in found.items() if len(v) > 1} == {k: v for k, v in tiles.items() if len(v) > 1}
+    assert len(got) == sum(map(len, found.values())) and len(got) < len(rows) - 250
+    assert not any(r["whole"] for r in got if r["key"] == 777) and len({r["first"] for r in got if r["key"] == 777}) > 1
+
+
+def test_ngram_join_with_torn_tiles_equals_brute_force(spark, tables):
+    docs = tables["documents"].select("doc_id", "text")
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", "40")
+    frame = own.createDataFrame(docs.collect(), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_groups(frame, 5, 80).collect()}
+    want = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_groups(docs, 5, 80).collect()}
+    assert got == want
