@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auctionflow.llm import codes as _codes
 from auctionflow.llm import conversations as _conversations
@@ -38,7 +39,8 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repeats.digest(_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400))
+    found = _repeats.digest(_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400))
+    return found.withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

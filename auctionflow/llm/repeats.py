@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auctionflow.llm.common import M1, M2, batch, chosen, mix, pick
-from auctionflow.session import store
+from auctionflow.session import forget, store
 
 SEED = 64          # bytes that are hashed to choose anchors
 CHUNK = 1 << 18    # windows looked at at a time
@@ -158,55 +158,138 @@ class PrefixTree:
             a.insert(at, x)
         return a
 
-    def repeats(self, i: int) -> list[tuple[int, int]]:
-        """(l, h) of the repeats at member i, without those inside another."""
-        found, most = [], -1
-        for h in sorted(self.best[i], reverse=True):
-            if self.best[i][h] > most:
-                most = self.best[i][h]
-                found.append((most, h))
-        return found
-
-
-def _trees(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeats (anchor, context, start, stop, repeat) within contexts that share an anchor.
-
-    start and stop count from the context's first byte; `repeat` is a digest of the repeated
-    string, the same at all its occurrences."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()),
-                        ("repeat", pa.int64())])
+    def cover(self, i: int, at: int) -> list[list[int]]:
+        """(start, stop) of what repeats cover of member i, whose anchor starts at `at`."""
+        runs: list[list[int]] = []
+        for start, stop in sorted((at - l, at + h) for h, l in self.best[i].items()):
+            if runs and start <= runs[-1][1]:
+                runs[-1][1] = max(stop, runs[-1][1])
+            else:
+                runs.append([start, stop])
+        return runs
+
+
+class RepeatGroups:
+    """All maximal repeats of texts that share an anchor, each with all its members, nested ones too.
+
+    `right` and `left` as for PrefixTree. The members of a repeat that reaches h bytes to the right and l
+    to the left are those of an interval in the order of `right` and of one in the order of `left`. So a
+    repeat is written as these two intervals, and a member as its two ranks, whatever the repeats' sizes.
+    A stack scan gives the right intervals, with the branches that differ after h bytes; within each,
+    a second scan gives the left intervals, and one that holds two branches is a maximal repeat.
+    """
 
+    def __init__(self, right: list[bytes], left: list[bytes], length: int):
+        n = len(right)
+        self.by_left, self.by_right = sorted(range(n), key=left.__getitem__), sorted(range(n), key=right.__getitem__)
+        self.left_rank, self.right_rank = [0] * n, [0] * n
+        for place, (i, j) in enumerate(zip(self.by_left, self.by_right)):
+            self.left_rank[i] = self.right_rank[j] = place
+        self.shared = [common(left[a], left[b]) for a, b in zip(self.by_left, self.by_left[1:])]
+        #: (left length, right length, first and last left rank, first and last right rank)
+        self.groups: list[tuple[int, int, int, int, int, int]] = []
+        heights = [common(right[a], right[b]) for a, b in zip(self.by_right, self.by_right[1:])]
+        stack: list[tuple[int, int, list[int]]] = []  # depth, first rank, where its branches start
+        for place in range(n):
+            h, first = heights[place] if place + 1 < n else -1, place
+            while stack and stack[-1][0] > h:
+                depth, first, starts = stack.pop()
+                if depth + max(len(left[i]) for i in self.by_right[first:place + 1]) >= length:
+                    self._node(depth, first, place, starts, length)
+            if stack and stack[-1][0] == h:
+                stack[-1][2].append(place + 1)
+            elif h >= 0:
+                stack.append((h, first, [first, place + 1]))
+
+    def _node(self, h: int, first: int, last: int, starts: list[int], length: int) -> None:
+        branch: dict[int, int] = {}
+        for number, (a, b) in enumerate(zip(starts, [*starts[1:], last + 1])):
+            for r in range(a, b):
+                branch[self.left_rank[self.by_right[r]]] = number
+        ranks = sorted(branch)
+        stack: list[list[int]] = []  # left length, first rank, lowest and highest branch
+        for place, r in enumerate(ranks):
+            l = min(self.shared[r:ranks[place + 1]]) if place + 1 < len(ranks) else -1
+            here = [r, branch[r], branch[r]]
+            while stack and stack[-1][0] > l:
+                depth, begin, low, high = stack.pop()
+                here = [begin, min(low, here[1]), max(high, here[2])]
+                if here[1] != here[2] and depth + h >= length:
+                    self.groups.append((depth, h, begin, r, first, last))
+            if stack and stack[-1][0] == l:
+                stack[-1] = [l, stack[-1][1], min(stack[-1][2], here[1]), max(stack[-1][3], here[2])]
+            elif l >= 0:
+                stack.append([l, *here])
+
+
+def _by_anchor(contexts: DataFrame, schema: pa.Schema, kind: str, grow) -> DataFrame:
+    """`grow(anchor, contexts)` gives rows for the contexts (context, at, n, bytes) of each anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         out: list[tuple] = []
 
-        def grow(anchor: int, group: list[tuple]) -> None:
-            tree = PrefixTree([t[at:] for _, at, t in group], [t[:at][::-1] for _, at, t in group], length)
-            for i, (context, at, t) in enumerate(group):
-                for l, h in tree.repeats(i):
-                    out.append((anchor, context, at - l, at + h, xxhash.xxh3_64_intdigest(t[at - l:at + h]) - (1 << 63)))
-
         def rows() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [[]] * 5
+            cols = list(zip(*out)) or [[]] * len(schema)
             out.clear()
-            return batch(schema, **{f.name: cols[i] for i, f in enumerate(schema)})
+            return batch(schema, **{f.name: list(cols[i]) for i, f in enumerate(schema)})
 
         last, group = None, []
         for b in batches:
-            for anchor, context, at, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for anchor, *context in zip(*(c.to_pylist() for c in b.columns)):
                 if anchor != last:
-                    if len(group) > 1:
-                        grow(last, group)
+                    if group:
+                        out.extend(grow(last, group))
                     last, group = anchor, []
-                group.append((context, at, text))
+                group.append(context)
             yield rows()
-        if len(group) > 1:
-            grow(last, group)
+        if group:
+            out.extend(grow(last, group))
         yield rows()
 
-    return (contexts.select("anchor", "context", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-            .mapInArrow(run, "anchor long, context long, start int, stop int, repeat long"))
+    return (contexts.select("anchor", "context", "at", "n", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context")
+            .mapInArrow(run, kind))
+
+
+def _covered(contexts: DataFrame, length: int) -> DataFrame:
+    """What repeats cover (anchor, context, start, stop) of contexts that share an anchor, and occur once.
+
+    start and stop count from the context's first byte; a context has as many rows as it has separate runs."""
+    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+
+    def grow(anchor: int, group: list) -> Iterator[tuple]:
+        if len(group) > 1:
+            tree = PrefixTree([t[at:] for _, at, _, t in group], [t[:at][::-1] for _, at, _, t in group], length)
+            for i, (context, at, n, _) in enumerate(group):
+                if n == 1:
+                    for start, stop in tree.cover(i, at):
+                        yield anchor, context, start, stop
+
+    return _by_anchor(contexts, schema, "anchor long, context long, start int, stop int", grow)
+
+
+GROUPS = pa.schema([
+    ("anchor", pa.int64()), ("repeat", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("left_lo", pa.int64()),
+    ("left_hi", pa.int64()), ("right_lo", pa.int64()), ("right_hi", pa.int64()), ("context", pa.int64()), ("left", pa.int64()), ("right", pa.int64())])
+
+
+def _grouped(contexts: DataFrame, length: int) -> DataFrame:
+    """Maximal repeats as two intervals each, and contexts as two ranks each, of every anchor."""
+    def grow(anchor: int, group: list) -> Iterator[tuple]:
+        import xxhash
+
+        found = RepeatGroups([t[at:] for _, at, _, t in group], [t[:at][::-1] for _, at, _, t in group], length)
+        wholes = {(at, len(t) - at, found.left_rank[i], found.left_rank[i], found.right_rank[i], found.right_rank[i])
+                  for i, (_, at, n, t) in enumerate(group) if n > 1}
+        for before, after, *ends in [*found.groups, *sorted(wholes)]:
+            one = group[found.by_right[ends[2]]] if ends[2] == ends[3] else next(
+                group[found.by_right[r]] for r in range(ends[2], ends[3] + 1) if ends[0] <= found.left_rank[found.by_right[r]] <= ends[1])
+            string = one[3][one[1] - before:one[1] + after]
+            yield anchor, xxhash.xxh3_64_intdigest(string) - (1 << 63), before, after, *ends, None, None, None
+        for i, (context, _, _, _) in enumerate(group):
+            yield anchor, None, None, None, None, None, None, None, context, found.left_rank[i], found.right_rank[i]
+
+    kind = ("anchor long, repeat long, before int, after int, left_lo long, left_hi long, right_lo long, right_hi long, "
+            "context long, left long, right long")
+    return _by_anchor(contexts, GROUPS, kind, grow)
 
 
 def _windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -229,38 +312,79 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                                (F.crc32(text) - (1 << 31)).cast("int").alias("mark"), text.alias("bytes"))
 
 
-def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
-            tree: int = TREE) -> DataFrame:
-    """Occurrences (doc_id, mark, start, stop, repeat) of maximal repeats of `length` bytes or more.
+def _contexts(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, kept, pieces): the runs of all texts, the contexts that may repeat, and the bytes of those that share an anchor.
 
-    Matches do not cross documents; two places of one document count. A repeat that is longer than
-    what one anchor covers comes as several overlapping ones, which together cover it. `repeat` is a
-    digest of the string, equal at all its occurrences. Offsets are bytes of the UTF-8 text.
-
-    1. Windows are cut into runs by anchor. Equal contexts are counted first, so a passage copied
-       into any share of the documents is one context, repeated as a whole.
-    2. Only anchors with several contexts go on, with one text for each context, to a tree per
-       anchor. Anchors with more than `tree` contexts count their windows instead: same result, no
-       group in one task.
-    """
+    Windows are cut into runs by anchor. Equal contexts are counted first, so a passage copied into any
+    share of the documents is one context. Only anchors with several contexts need their bytes, one text for each."""
     texts = _texts(docs, id_col, text_col)
     runs = store(anchored(texts, length), "runs")
-    key = ["anchor", "context"]
+    key, place = ["anchor", "context"], ["doc_id", "mark"]
     classes = runs.groupBy(*key).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "mark", "lo", "size", "at")])
     several = classes.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     kept = store(classes.join(several, "anchor", "left").filter("n > 1 OR contexts > 1"), "contexts")
-    todo = kept.filter("contexts > 1")
-    place = ["doc_id", "mark"]
-    needed = store(todo.select("doc_id").distinct(), "needed")
-    contexts = todo.join(chosen(texts, needed, "left_semi"), place).select(
-        *key, "at", "size", "contexts", F.expr("substring(bytes, lo + 1, size)").alias("bytes"))
-    contexts = store(contexts.dropDuplicates(key), "pieces")
-    found = _trees(contexts.filter(F.col("contexts") <= tree), length).unionByName(
-        _windows(contexts.filter(F.col("contexts") > tree), length))
-    whole = kept.filter("n > 1").select(*key, F.lit(0).alias("start"), F.col("size").alias("stop"), F.col("context").alias("repeat"))
-    cover = whole.unionByName(found.join(kept.filter("n > 1").select(*key), key, "left_anti"))
-    return runs.select(*place, "lo", *key).join(store(cover, "repeats"), key).select(
-        *place, (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("stop")).alias("stop"), "repeat")
+    needed = store(kept.filter("contexts > 1").select("doc_id").distinct(), "needed")
+    # a text that occurs twice is one text
+    pieces = kept.filter("contexts > 1").join(chosen(texts, needed, "left_semi").dropDuplicates(place), place).select(
+        *key, "at", "size", "contexts", "n", F.expr("substring(bytes, lo + 1, size)").alias("bytes"))
+    pieces = store(pieces.dropDuplicates(key), "pieces")
+    forget(needed)
+    return runs, kept, pieces
+
+
+def repeat_groups(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
+                  tree: int = TREE) -> tuple[DataFrame, DataFrame]:
+    """(groups, members): the maximal repeats of `length` bytes or more, and the places they occur at.
+
+    A group has its anchor, `repeat` (a digest of the string), the bytes `before` and `after` the anchor's
+    start, and two intervals. A member (anchor, doc_id, mark, place of the anchor's start, left, right) is in every group of its
+    anchor whose intervals hold its two ranks. Both tables are linear in the texts, however many
+    documents share how many nested repeats; `repeats` writes out the pairs.
+
+    Matches do not cross documents; two places of one document count. A repeat that is longer than
+    what one anchor covers comes as several overlapping ones, which together cover it. An anchor with more
+    than `tree` different contexts, which one task would have to hold, gives its repeated windows of `length` bytes instead, unmerged: they
+    cover the same bytes but aren't maximal.
+    """
+    runs, kept, pieces = _contexts(docs, length, id_col, text_col)
+    alone = kept.filter("n > 1 AND contexts IS NULL").select("anchor", "context", "at", "size")
+    found = store(_grouped(pieces.filter(F.col("contexts") <= tree), length), "groups")
+    windows = _windows(pieces.filter(F.col("contexts") > tree), length).join(pieces.select("anchor", "context", "at"), ["anchor", "context"])
+    groups = found.filter("repeat IS NOT NULL").drop("context", "left", "right").unionByName(alone.selectExpr(
+        "anchor", "context AS repeat", "at AS before", "size - at AS after", "0L AS left_lo", "0L AS left_hi", "0L AS right_lo", "0L AS right_hi"))
+    places = runs.select("doc_id", "mark", (F.col("lo") + F.col("at")).alias("place"), "anchor", "context")
+    ranks = found.filter("context IS NOT NULL").select("anchor", "context", "left", "right").unionByName(
+        alone.selectExpr("anchor", "context", "0L AS left", "0L AS right"))
+    # such anchors have no ranks: a context stands for itself, and each of its windows is a group with it
+    groups = groups.unionByName(windows.selectExpr("anchor", "repeat", "at - start AS before", "stop - at AS after", *[
+        f"context AS {c}" for c in ("left_lo", "left_hi", "right_lo", "right_hi")]))
+    ranks = ranks.unionByName(windows.selectExpr("anchor", "context", "context AS left", "context AS right").distinct())
+    return store(groups, "groups"), places.join(ranks, ["anchor", "context"]).drop("context")
+
+
+def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
+            tree: int = TREE) -> DataFrame:
+    """Occurrences (doc_id, mark, start, stop, repeat) of maximal repeats of `length` bytes or more: every member of
+    every group of `repeat_groups`, nested ones too. Offsets are bytes of the UTF-8 text."""
+    groups, members = repeat_groups(docs, length, id_col, text_col, tree)
+    inside = F.col("left").between(F.col("left_lo"), F.col("left_hi")) & F.col("right").between(F.col("right_lo"), F.col("right_hi"))
+    return members.join(groups, "anchor").filter(inside).select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "mark", (F.col("place") - F.col("before")).alias("start"),
+        (F.col("place") + F.col("after")).alias("stop"), "repeat")
+
+
+def _cover(docs: DataFrame, length: int, id_col: str, text_col: str, tree: int) -> DataFrame:
+    """Places (doc_id, mark, start, stop) that repeats cover; merged within a context before they are joined to its places."""
+    runs, kept, pieces = _contexts(docs, length, id_col, text_col)
+    key = ["anchor", "context"]
+    whole = kept.filter("n > 1").select(*key, F.lit(0).alias("start"), F.col("size").alias("stop"))
+    windows = _windows(pieces.filter(F.col("contexts") > tree), length)
+    crowded = windows.join(pieces.filter((F.col("contexts") > tree) & (F.col("n") == 1)).select(*key), key, "left_semi").select(*key, "start", "stop")
+    cover = whole.unionByName(_covered(pieces.filter(F.col("contexts") <= tree), length)).unionByName(crowded)
+    cover = store(cover, "cover")
+    forget(pieces, kept)
+    return runs.select("doc_id", "mark", "lo", *key).join(cover, key).select(
+        "doc_id", "mark", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("stop")).alias("stop"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
@@ -272,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     than `length` stay. Rows with equal id and text are repeats of each other. `kept` need not be
     whole UTF-8 characters. An empty table gives no rows; other columns are not read.
     """
-    places = repeats(docs, length, id_col, text_col, tree).groupBy("doc_id", "mark").agg(
+    places = _cover(docs, length, id_col, text_col, tree).groupBy("doc_id", "mark").agg(
         F.collect_set(F.struct("start", "stop")).alias("places"))
     joined = _texts(docs, id_col, text_col).join(places, ["doc_id", "mark"], "left").select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "bytes", "places")

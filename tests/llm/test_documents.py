@@ -389,3 +389,72 @@ def test_ngram_join_with_torn_tiles_equals_brute_force(spark, tables):
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_groups(frame, 5, 80).collect()}
     want = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_groups(docs, 5, 80).collect()}
     assert got == want
+
+
+def _words(seed, n):
+    g = np.random.default_rng(seed)
+    return "".join(chr(97 + int(c)) for c in g.integers(0, 26, n))
+
+
+def _groups(df):
+    by = defaultdict(set)
+    for r in df.collect():
+        by[r["repeat"], r["stop"] - r["start"]].add((r["doc_id"], r["start"]))
+    return by
+
+
+def test_repeats_nested_in_longer_ones_list_everybody(spark):
+    inner = _words(1, 500)
+    outer = _words(2, 50) + inner + _words(3, 50)
+    rows = [(1, _words(4, 100) + outer + _words(5, 100)), (2, _words(6, 200) + outer + _words(7, 80)), (3, _words(8, 60) + inner + _words(9, 300))]
+    got = _groups(repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    members = {frozenset(d for d, _ in v) for v in got.values()}
+    assert members == {frozenset({1, 2, 3}), frozenset({1, 2})}
+    for (_, n), places in got.items():  # one string each
+        assert len({rows[d - 1][1][s:s + n] for d, s in places}) == 1
+
+
+def test_repeats_of_copied_texts_list_everybody(spark):
+    inner = _words(1, 500)
+    whole = _words(2, 50) + inner + _words(3, 50)
+    rows = [(1, whole), (2, whole), (3, _words(8, 60) + inner + _words(9, 300)), (4, _words(10, 900))]
+    got = _groups(repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    members = {frozenset(d for d, _ in v) for v in got.values()}
+    assert members == {frozenset({1, 2, 3}), frozenset({1, 2})}
+
+
+def test_groups_of_one_anchor_are_all_maximal_repeats():
+    g = np.random.default_rng(11)
+    for _ in range(60):
+        n = int(g.integers(2, 9))
+        left = [bytes(g.integers(97, 99, int(g.integers(0, 7))).tolist()) for _ in range(n)]
+        right = [b"##" + bytes(g.integers(97, 99, int(g.integers(0, 7))).tolist()) for _ in range(n)]
+        texts = {(l, r) for l, r in zip(left, right)}
+        left, right = [l for l, _ in texts], [r for _, r in texts]
+        found = repeats.RepeatGroups(right, left, 4)
+        got = {(l, h, frozenset(i for i in range(len(left)) if a <= found.left_rank[i] <= b and c <= found.right_rank[i] <= d))
+               for l, h, a, b, c, d in found.groups}
+        want = set()
+        for l in range(8):
+            for h in range(2, 10):
+                by = defaultdict(set)
+                for i, (x, y) in enumerate(zip(left, right)):
+                    if len(x) >= l and len(y) >= h:
+                        by[x[:l], y[:h]].add(i)
+                for who in by.values():
+                    ahead = {right[i][h:h + 1] or i.to_bytes(2) for i in who}
+                    behind = {left[i][l:l + 1] or i.to_bytes(2) for i in who}
+                    if len(who) > 1 and l + h >= 4 and len(ahead) > 1 and len(behind) > 1:
+                        want.add((l, h, frozenset(who)))
+        # places whose text ends on one side count as differing there
+        assert got == want
+
+
+def test_repeat_tables_grow_with_the_texts_only(spark):
+    """Near copies of each other share nested repeats; the two tables stay linear, the pairs are not."""
+    base = _words(1, 600)
+    rows = [(i, base[:100 + i] + _words(50 + i, 3) + base[103 + i:]) for i in range(120)]
+    groups, members = repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    n = members.count()
+    assert groups.count() <= 4 * n
+    assert members.join(groups, "anchor").count() > 20 * n
