@@ -253,6 +253,9 @@ ORACLE = {
         SELECT o_orderkey // 500 AS block, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1)""",
 }
 
+# events with the number of errors of their user so far, an error itself included
+_SINCE_ERROR = """parts AS (SELECT user_id, event_id, event_type, ts, CAST(round(value * 100) AS BIGINT) AS price,
+    count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM events)"""
 THIRD = "least(2, (day(date_time) - 1) // 10)"
 SIX_HOURS = 21_600_000_000
 
@@ -291,6 +294,23 @@ ORACLE |= {
     "stream_binary_notify": _with("auction bid", """SELECT coalesce(a.id, b.auction) AS auction, coalesce(b.n, 0) AS bids,
         coalesce(a.n, 0) AS auctions FROM (SELECT id, count(*) AS n FROM auction GROUP BY id) a
         FULL JOIN (SELECT auction, count(*) AS n FROM bid GROUP BY auction) b ON a.id = b.auction"""),
+    "stream_reclock": ORACLE["reclock"],
+    "state_count": f"""WITH {_SINCE_ERROR} SELECT user_id, event_id, CAST(CASE WHEN part > 0 THEN 10 ELSE 0 END
+        + sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id, part
+        ORDER BY ts, event_id) AS BIGINT) AS n FROM parts""",
+    "state_value": f"""WITH {_SINCE_ERROR} SELECT e.user_id, e.event_id, coalesce(max(p.price), -1) AS top FROM parts e
+        LEFT JOIN parts p ON p.user_id = e.user_id AND p.part = e.part - 1 AND p.event_type <> 'error'
+        WHERE e.event_type = 'error' GROUP BY 1, 2""",
+    "state_map": f"""WITH {_SINCE_ERROR}, n AS (SELECT user_id, part, isodow(ts) - 1 AS day, count(*) AS n FROM parts
+        WHERE event_type = 'click' GROUP BY 1, 2, 3) SELECT e.user_id, e.event_id,
+        coalesce(string_agg(day || '=' || n, ',' ORDER BY day), '') AS clicks FROM parts e
+        LEFT JOIN n ON n.user_id = e.user_id AND n.part = e.part - 1 WHERE e.event_type = 'error' GROUP BY 1, 2""",
+    "state_list": f"""WITH {_SINCE_ERROR} SELECT e.user_id, e.event_id, coalesce(string_agg(p.event_id, ',' ORDER BY p.ts, p.event_id), '') AS since
+        FROM parts e LEFT JOIN parts p ON p.user_id = e.user_id AND p.part = e.part - 1 AND p.event_type <> 'error'
+        WHERE e.event_type = 'error' GROUP BY 1, 2""",
+    "stream_many_outputs": """WITH s AS (SELECT user_id, event_id, row_number() OVER w AS n, event_type, lag(event_type) OVER w AS p FROM events
+        WHERE event_type IN ('click', 'view', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        SELECT user_id, event_id, n, CASE WHEN p <> event_type THEN p || '>' || event_type END AS turn FROM s""",
     "state_counter": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
     "state_map_merge": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type",
     "stream_wordcount": ORACLE["wordcount_final"],

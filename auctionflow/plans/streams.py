@@ -17,7 +17,8 @@ from auctionflow.sources import capture
 from auctionflow.sources import tables as S
 from auctionflow.sources.custom import ParquetFeed, register
 from auctionflow.streaming import joins as SJ
-from auctionflow.streaming import late, log, state
+from auctionflow.streaming import late, log, ordered, state
+from auctionflow.streaming.files import run_outputs
 from auctionflow.streaming.running import running_batches, trailing_batches
 from auctionflow.streaming.harness import Epochs, _results, plain, probe, real, run, run_batches, stream_session, zoned
 
@@ -208,6 +209,104 @@ def delay_rows(spark, d):
     return plain(run(state.hold(rows))).withColumnRenamed("id", "event_id")
 
 
+def reclock(spark, d):
+    """Every event but errors leaves with the next error, by a stream of its own."""
+    e = _events(spark, d)
+    rows = _read(e).filter("event_type <> 'error'").select("event_id", "ts")
+    ticks = _read(_events(spark, d)).filter("event_type = 'error' OR event_id < 0").select("ts")
+    return plain(run(ordered.reclock(rows, ticks, "ts", "tick"))).filter("event_id >= 0 AND tick < TIMESTAMP_NTZ'2024-03-01 00:00:00'")
+
+
+def state_count(spark, d):
+    """A number per user: a click adds one, a view takes one off, an error sets it to ten."""
+    def on_rows(key, rows, own):
+        out = []
+        for event, kind in zip(rows["event_id"], rows["event_type"]):
+            if kind == "click":
+                own.n.increase()
+            elif kind == "view":
+                own.n.decrease(1)
+            elif kind == "error":
+                own.n.set(10)
+            out.append((key[0], event, own.n.get()))
+        return pd.DataFrame(out, columns=["user_id", "event_id", "n"])
+
+    return _handled(spark, d, {"n": ordered.Count()}, "user_id long, event_id long, n long", on_rows)
+
+
+def state_value(spark, d):
+    """The highest price of a user since the error before, taken at each error; none is -1."""
+    def on_rows(key, rows, own):
+        out = []
+        for event, kind, price in zip(rows["event_id"], rows["event_type"], rows["price"]):
+            if kind == "error":
+                had = own.top.get()
+                taken = own.top.take()
+                assert had == taken and own.top.get() is None
+                out.append((key[0], event, taken[0] if taken else -1))
+            else:
+                own.top.rmw(price)
+        return pd.DataFrame(out, columns=["user_id", "event_id", "top"])
+
+    top = ordered.Value("price long", lambda old, price: (int(price) if old is None else max(old[0], int(price)),))
+    return _handled(spark, d, {"top": top}, "user_id long, event_id long, top long", on_rows)
+
+
+def state_map(spark, d):
+    """Events of a user counted by type and weekday since the error before; an error lists the clicks in order and removes them all."""
+    def on_rows(key, rows, own):
+        out = []
+        for event, kind, day in zip(rows["event_id"], rows["event_type"], rows["ts"].dt.dayofweek.tolist()):
+            if kind != "error":
+                own.seen.rmw((kind, day), 1)
+                continue
+            clicks = own.seen.iterate(("click",))
+            out.append((key[0], event, ",".join(f"{k[1]}={v[0]}" for k, v in clicks)))
+            for k, _ in own.seen.iterate():
+                own.seen.remove(k)
+        return pd.DataFrame(out, columns=["user_id", "event_id", "clicks"])
+
+    seen = ordered.Map("kind string, day long", "n long", lambda old, more: ((old[0] if old else 0) + more,))
+    return _handled(spark, d, {"seen": seen}, "user_id long, event_id long, clicks string", on_rows)
+
+
+def state_list(spark, d):
+    """The events of a user between two errors, as a list."""
+    def on_rows(key, rows, own):
+        out = []
+        for event, kind in zip(rows["event_id"].tolist(), rows["event_type"]):
+            if kind == "error":
+                out.append((key[0], event, ",".join(str(v[0]) for v in own.since.take())))
+            else:
+                own.since.append((event,))
+        return pd.DataFrame(out, columns=["user_id", "event_id", "since"])
+
+    return _handled(spark, d, {"since": ordered.Items("event_id long")}, "user_id long, event_id long, since string", on_rows)
+
+
+def _handled(spark: SparkSession, d: str, states: dict, schema: str, on_rows) -> DataFrame:
+    rows = _read(_events(spark, d)).select("user_id", "event_id", "event_type", "ts", cents(F.col("value")).alias("price"))
+    return run(ordered.with_state(rows, ["user_id"], "ts", ["event_id"], states, schema, on_rows)).filter("user_id >= 0")
+
+
+def many_outputs(spark, d):
+    """Three inputs and two outputs of one pass: how often each user was seen so far, and which input came before another."""
+    events = _read(_events(spark, d)).select("user_id", "event_id", "event_type", "ts")
+    inputs = {kind: events.filter(f"event_type = '{kind}' OR event_id < 0").select("user_id", "event_id", "ts") for kind in ("click", "view", "error")}
+
+    def on_rows(key, rows, state):
+        n, last = state or (0, "")
+        before = [last, *rows["input"].tolist()[:-1]]
+        seen = pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "n": range(n + 1, n + 1 + len(rows))})
+        turns = pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "turn": [f"{a}>{b}" for a, b in zip(before, rows["input"])]})
+        changed = [a not in ("", b) for a, b in zip(before, rows["input"])]
+        return {"seen": seen, "turns": turns[changed]}, (n + len(rows), rows["input"].iloc[-1]), ()
+
+    outputs = {"seen": "user_id long, event_id long, n long", "turns": "user_id long, event_id long, turn string"}
+    tables = run_outputs(ordered.operator(inputs, ["user_id"], "ts", ["event_id"], "n long, last string", outputs, on_rows), outputs)
+    return tables["seen"].join(tables["turns"], ["user_id", "event_id"], "left").filter("user_id >= 0")
+
+
 def counter(spark, d):
     rows = real(_read(_events(spark, d))).select(F.col("user_id").alias("key"))
     return _last(state.count_changes(rows), ["key"], "n").withColumnRenamed("key", "user_id")
@@ -395,7 +494,8 @@ STREAMS = {
     "stream_unary_notify": unary_notify, "stream_binary_notify": binary_notify,
     "stream_state_machine_values": state_machine_values, "stream_q4_avg_price_running": q4_running,
     "stream_q6_last10_avg": q6, "stream_delay_rows": delay_rows, "state_counter": counter,
-    "state_map_merge": map_merge, "stream_wordcount": wordcount, "stream_distinct": distinct_per_time,
+    "state_map_merge": map_merge, "stream_reclock": reclock, "state_count": state_count, "state_value": state_value,
+    "state_map": state_map, "state_list": state_list, "stream_many_outputs": many_outputs, "stream_wordcount": wordcount, "stream_distinct": distinct_per_time,
     "stream_epochs": epochs, "stream_out_of_order": out_of_order, "stream_watermark": watermark,
     "progress_report": progress_report, "probe_answers": probe_answers, "capture_live": capture_live,
     "capture_progress": capture_progress, "stream_custom_source": custom_stream, "custom_source_pushdown": custom_pushdown, "stream_late_rows": late_rows, "capture_replay": capture_replay,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -63,12 +64,10 @@ def new_path(spark: SparkSession, label: str) -> str:
 def drop_stored(spark: SparkSession) -> int:
     """Delete the tables this application has stored, once no result that reads them is needed."""
     paths = _stored.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for name in paths:
         if name in _tables:
             spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(name)}")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(hadoop).delete(path, True)
+        delete(spark, name)
     return len(paths)
 
 
@@ -102,13 +101,45 @@ def forget(*tables: DataFrame) -> None:
             session = table.sparkSession
             if path in _tables:
                 session.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
-            where = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(session, path)
             known = _stored.get(session.sparkContext.applicationId, [])
             if path in known:
                 known.remove(path)
 
 
+def put_json(spark: SparkSession, path: str, content: dict) -> None:
+    """Write a small file that is there as a whole or not at all; a retry replaces it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, fresh = hadoop.Path(path), hadoop.Path(f"{path}.new")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(fresh, True)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(fresh, target):
+        raise OSError(f"cannot name {path}")
+
+
+def get_json(spark: SparkSession, path: str) -> dict | None:
+    """What `put_json` wrote, or None."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint `df` in the shared folder: short plan, survives lost executors; for loop state."""
     sc = df.sparkSession.sparkContext

@@ -54,7 +54,8 @@ class _Piece(InputPartition):
         super().__init__(piece)
 
 
-def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
+def open_store(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """A file system for a path, and the path in it; for tasks and sources, which have no session."""
     return pa.fs.FileSystem.from_uri(path) if ":/" in path else (pa.fs.LocalFileSystem(), path)
 
 
@@ -91,14 +92,14 @@ class _Stream(DataSourceStreamReader):
         self.given, self.asked = self._noted() if ahead else 0, False
 
     def _noted(self) -> int:
-        where, path = _open(f"{self.marks}/mark")
+        where, path = open_store(f"{self.marks}/mark")
         if where.get_file_info(path).type == pa.fs.FileType.NotFound:
             return 0
         with where.open_input_stream(path) as f:
             return int(f.read())
 
     def _note(self) -> None:
-        where, path = _open(f"{self.marks}/mark")
+        where, path = open_store(f"{self.marks}/mark")
         where.create_dir(path.rpartition("/")[0], recursive=True)
         with where.open_output_stream(f"{path}.new") as f:
             f.write(str(self.given).encode())
@@ -166,7 +167,7 @@ class ParquetFeed(Feed):
         self._sizes: dict[str, int] = {}
 
     def _files(self) -> list[tuple[str, int]]:
-        where, root = _open(self.path)
+        where, root = open_store(self.path)
         names = sorted(f.path for f in where.get_file_info(pa.fs.FileSelector(root)) if f.base_name.endswith(".parquet"))
         for n in names:
             if n not in self._sizes:
@@ -190,7 +191,7 @@ class ParquetFeed(Feed):
 
     def read(self, piece, columns, filters):
         name, lo, hi = piece
-        where, _ = _open(self.path)
+        where, _ = open_store(self.path)
         schema = to_arrow_schema(T.StructType([self.schema[c] for c in columns]))
         tests = [(f.attribute[0], _OPERATORS[type(f)], f.value) for f in filters]
         with pq.ParquetFile(name, filesystem=where) as file:

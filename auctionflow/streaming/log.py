@@ -9,34 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auctionflow.session import new_path
-from auctionflow.sources.custom import ParquetFeed, _open, register
+from auctionflow.session import get_json, new_path, put_json
+from auctionflow.sources.custom import ParquetFeed, open_store, register
 from auctionflow.streaming.harness import DroppedRows, run_batches
 
 HEAD = "head.json"
 
 
-def _put(spark: SparkSession, path: str, content: dict) -> None:
-    """Write a small file that is there as a whole or not at all; a retry replaces it."""
-    jvm = spark.sparkContext._jvm
-    target, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps(content).encode()))
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(fresh, target):
-        raise OSError(f"cannot name {path}")
-
-
-def _get(path: str) -> dict | None:
-    where, name = _open(path)
-    if where.get_file_info(name).type == pyarrow.fs.FileType.NotFound:
-        return None
-    with where.open_input_stream(name) as f:
-        return json.loads(f.read())
-
-
 def capture(stream: DataFrame, time: str, folder: str | None = None, delay: int = 0, allow_late: bool = False, **how) -> str:
     """Keep a stream's rows and its progress in `folder`, which is given back.
 
@@ -49,11 +28,11 @@ def capture(stream: DataFrame, time: str, folder: str | None = None, delay: int
     """
     spark = stream.sparkSession
     folder = folder or new_path(spark, "log")
-    if _get(f"{folder}/{HEAD}") is None:
-        _put(spark, f"{folder}/{HEAD}", {"time": time, "delay": delay, "schema": stream.schema.json()})
+    if get_json(spark, f"{folder}/{HEAD}") is None:
+        put_json(spark, f"{folder}/{HEAD}", {"time": time, "delay": delay, "schema": stream.schema.json()})
 
     def each(batch: DataFrame, number: int) -> None:
-        before = _get(f"{folder}/manifest/{number - 1}.json") if number else {"frontier": None}
+        before = get_json(batch.sparkSession, f"{folder}/manifest/{number - 1}.json") if number else {"frontier": None}
         if before is None:
             raise ValueError(f"the log has no batch {number - 1}: its folder belongs to another checkpoint")
         rows = batch.persist()
@@ -68,7 +47,7 @@ def capture(stream: DataFrame, time: str, folder: str | None = None, delay: int
             rows.filter(behind).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
         rows.unpersist()
         reached = [x for x in (mark, newest - delay * 1_000_000 if newest is not None else None) if x is not None]
-        _put(batch.sparkSession, f"{folder}/manifest/{number}.json", {"batch": number, "rows": n - late, "late": late, "frontier": max(reached, default=None)})
+        put_json(batch.sparkSession, f"{folder}/manifest/{number}.json", {"batch": number, "rows": n - late, "late": late, "frontier": max(reached, default=None)})
 
     run_batches(stream, each, **{"checkpoint": f"{folder}/progress", **how})
     return folder
@@ -88,7 +67,7 @@ class LogFeed(ParquetFeed):
         self.folder, self._end = folder, 0
 
     def end(self) -> int:
-        where, root = _open(f"{self.folder}/manifest")
+        where, root = open_store(f"{self.folder}/manifest")
         while where.get_file_info(f"{root}/{self._end}.json").type != pyarrow.fs.FileType.NotFound:
             self._end += 1
         return self._end
@@ -107,7 +86,7 @@ def replay(spark: SparkSession, folder: str, together: int = 1) -> DataFrame:
     The watermark is that of the manifests: after the same batches it is at the same frontier, so no row of the log is
     behind it, however many batches are read together. It needs `run(..., until_idle=True)`.
     """
-    head = _get(f"{folder}/{HEAD}")
+    head = get_json(spark, f"{folder}/{HEAD}")
     if head is None:
         raise ValueError(f"{folder} holds no log")
     schema = T.StructType.fromJson(json.loads(head["schema"]))

@@ -8,7 +8,9 @@ their times, with the timers between them, by a single timer of Spark's per key
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from heapq import heappop, heappush
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -182,7 +184,7 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def in_order(stream: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], state: str | None, schema: str,
+def in_order(stream: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], state: str | None, schema: str | T.StructType,
              on_rows: Callable, on_timer: Callable | None = None) -> DataFrame:
     """A stream operator made of the user's functions, which see every key's rows and timers in time order.
 
@@ -195,3 +197,228 @@ def in_order(stream: DataFrame, keys: Sequence[str], time: str, order: Sequence[
     """
     fields = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
     return stream.groupBy(*keys).transformWithStateInPandas(Ordered(fields, time, order, state, on_rows, on_timer), schema, "Append", "EventTime")
+
+
+class Reclocked(Ordered):
+    """Holds rows until a tick at or after them has come; ticks are rows whose `_tick` is true."""
+
+    def __init__(self, schema: T.StructType, time: str, tick: str):
+        super().__init__(schema, time, (), None, None)
+        self.tick = tick
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.ticks = handle.getMapState("ticks", "us long", "set boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ticks: set[int] = set()
+
+        def without_ticks() -> Iterator[pd.DataFrame]:
+            for batch in rows:
+                batch = batch.set_axis(self.waiting.names, axis=1)
+                is_tick = batch["_tick"].to_numpy(bool)
+                ticks.update(self.waiting._micros(batch.loc[is_tick, self.time]).tolist())
+                yield batch[~is_tick]
+
+        self.waiting.add(without_ticks())
+        for us in ticks:
+            self.ticks.updateValue((us,), (True,))
+        self._arm(min(ticks, default=None))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        ticks = sorted(k[0] for k in self.ticks.keys())
+        due = np.array([us for us in ticks if us <= passed], np.int64)
+        if len(due):
+            for rows in self.waiting.due(int(due[-1])):
+                at = due[np.searchsorted(due, rows["_us"].to_numpy())]
+                yield rows.drop(columns=["_us", "_tick"]).assign(**{self.tick: pd.to_datetime(at, unit="us").astype("datetime64[ns]")})
+            for us in due.tolist():  # all later rows are after them
+                self.ticks.removeKey((us,))
+        self._arm(min((us for us in ticks if us > passed), default=None), (), expiredTimerInfo.getExpiryTimeInMs())
+
+
+def _blank(kind: T.DataType):
+    """A value that is not missing, so that whole numbers beside it stay whole."""
+    if isinstance(kind, T.NumericType):
+        return F.lit(0).cast(kind)
+    return {"string": F.lit(""), "boolean": F.lit(False)}.get(kind.typeName(), F.lit(None).cast(kind))
+
+
+def reclock(stream: DataFrame, clock: DataFrame, time: str, tick: str, shards: int | None = None) -> DataFrame:
+    """Add `tick`, the first tick of the clock at or after the row's time; rows wait for it, those after the last tick for ever.
+
+    `clock` has the ticks in the column `time`; both streams have a watermark on it. Rows are spread
+    over `shards` by their hash, and every shard is told every tick, so no task holds all rows.
+    """
+    shards = shards or 4 * stream.sparkSession.sparkContext.defaultParallelism
+    rows = stream.withColumn("_tick", F.lit(False)).withColumn("_shard", F.pmod(F.xxhash64(*stream.columns), F.lit(shards)).cast("int"))
+    ticks = clock.select(
+        *[F.col(time) if f.name == time else _blank(f.dataType).alias(f.name) for f in stream.schema], F.lit(True).alias("_tick"),
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
+    both = rows.unionByName(ticks)
+    fields = T.StructType([T.StructField(f.name, f.dataType) for f in both.schema])
+    out = T.StructType([*[f for f in fields if f.name != "_tick"], T.StructField(tick, T.TimestampType())])
+    return both.groupBy("_shard").transformWithStateInPandas(Reclocked(fields, time, tick), out, "Append", "EventTime").drop("_shard")
+
+
+class Count:
+    """A number per key that starts at 0."""
+
+    def open(self, handle: StatefulProcessorHandle, name: str) -> Count:
+        self.state = handle.getValueState(name, "n long")
+        return self
+
+    def get(self) -> int:
+        return self.state.get()[0] if self.state.exists() else 0
+
+    def set(self, value: int) -> None:
+        self.state.update((int(value),))
+
+    def increase(self, amount: int = 1) -> int:
+        self.set(self.get() + amount)
+        return self.get()
+
+    def decrease(self, amount: int = 1) -> int:
+        return self.increase(-amount)
+
+
+class Value:
+    """A value per key; `merge(old, change)` says what a change makes of it, of None where there is none."""
+
+    def __init__(self, schema: str, merge: Callable | None = None):
+        self.schema, self.merge = schema, merge
+
+    def open(self, handle: StatefulProcessorHandle, name: str) -> Value:
+        self.state = handle.getValueState(name, self.schema)
+        return self
+
+    def get(self) -> tuple | None:
+        return tuple(self.state.get()) if self.state.exists() else None
+
+    def set(self, value: tuple) -> None:
+        self.state.update(tuple(value))
+
+    def take(self) -> tuple | None:
+        """The value, which is gone then."""
+        value = self.get()
+        self.state.clear()
+        return value
+
+    def rmw(self, change) -> tuple:
+        value = self.merge(self.get(), change)
+        self.set(value)
+        return value
+
+
+class Items:
+    """A list per key."""
+
+    def __init__(self, schema: str):
+        self.schema = schema
+
+    def open(self, handle: StatefulProcessorHandle, name: str) -> Items:
+        self.state = handle.getListState(name, self.schema)
+        return self
+
+    def append(self, *values: tuple) -> None:
+        self.state.appendList([tuple(v) for v in values])
+
+    def get(self) -> list[tuple]:
+        return [tuple(v) for v in self.state.get()] if self.state.exists() else []
+
+    def take(self) -> list[tuple]:
+        values = self.get()
+        self.state.clear()
+        return values
+
+
+class Map:
+    """A map per key, whose own keys are tuples; `merge` as for Value. It is iterated in the order of its keys."""
+
+    def __init__(self, key: str, value: str, merge: Callable | None = None):
+        self.key, self.value, self.merge = key, value, merge
+
+    def open(self, handle: StatefulProcessorHandle, name: str) -> Map:
+        self.state = handle.getMapState(name, self.key, self.value)
+        return self
+
+    def insert(self, key: tuple, value: tuple) -> None:
+        self.state.updateValue(tuple(key), tuple(value))
+
+    def contains(self, key: tuple) -> bool:
+        return self.state.containsKey(tuple(key))
+
+    def get(self, key: tuple) -> tuple | None:
+        return tuple(self.state.getValue(tuple(key))) if self.contains(key) else None
+
+    def remove(self, key: tuple) -> tuple | None:
+        """The value of a key, which is gone then."""
+        value = self.get(key)
+        if value is not None:
+            self.state.removeKey(tuple(key))
+        return value
+
+    def rmw(self, key: tuple, change) -> tuple:
+        value = self.merge(self.get(key), change)
+        self.insert(key, value)
+        return value
+
+    def iterate(self, prefix: tuple = ()) -> list[tuple[tuple, tuple]]:
+        """The entries whose key begins with `prefix`, in the order of their keys."""
+        found = [(tuple(k), tuple(v)) for k, v in self.state.iterator()]
+        return sorted((e for e in found if e[0][:len(prefix)] == tuple(prefix)), key=lambda e: e[0])
+
+
+class Handled(Ordered):
+    """Rows in time order for a function that works on state handles."""
+
+    def __init__(self, schema: T.StructType, time: str, order: Sequence[str], states: dict, on_rows: Callable):
+        super().__init__(schema, time, order, None, lambda key, rows, _: (on_rows(key, rows, self.handles), None, ()))
+        self.states = states
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handles = SimpleNamespace(**{name: state.open(handle, f"own_{name}") for name, state in self.states.items()})
+
+
+def with_state(stream: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], states: dict[str, Count | Value | Items | Map],
+               schema: str, on_rows: Callable) -> DataFrame:
+    """`on_rows(key, rows, handles)` gives rows to give out, or None; `handles` has a state of each kind in `states` by
+    its name. Rows come in time order as for `in_order`, and states are kept per key."""
+    fields = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
+    return stream.groupBy(*keys).transformWithStateInPandas(Handled(fields, time, order, states, on_rows), schema, "Append", "EventTime")
+
+
+def operator(inputs: dict[str, DataFrame], keys: Sequence[str], time: str, order: Sequence[str], state: str | None,
+             outputs: dict[str, str], on_rows: Callable, on_timer: Callable | None = None) -> DataFrame:
+    """An operator with any number of inputs and outputs in one stateful pass, as a stream of tagged rows.
+
+    Rows come as for `in_order`, with the name of their input in the column `input`; what only other inputs have is
+    0 or empty. The functions return ({output: rows}, state, timers). The stream has the column `output`
+    and all outputs' columns, which have one type each by their name; `files.run_outputs` takes it apart.
+    """
+    columns: dict[str, T.DataType] = {}
+    for df in inputs.values():
+        columns.update({f.name: f.dataType for f in df.schema})
+    parts = [df.select(*[F.col(c) if c in df.columns else _blank(kind).alias(c) for c, kind in columns.items()], F.lit(name).alias("input"))
+             for name, df in inputs.items()]
+    both = reduce(DataFrame.unionByName, parts)
+    made: dict[str, T.DataType] = {"output": T.StringType()}
+    for schema in outputs.values():
+        for f in T.StructType.fromDDL(schema):
+            if made.setdefault(f.name, f.dataType) != f.dataType:
+                raise ValueError(f"two outputs have a column {f.name} of different types")
+    names = list(made)
+
+    def tagged(f: Callable | None) -> Callable | None:
+        def call(key, *args):
+            found, state, timers = f(key, *args)
+            parts = [rows.assign(output=name) for name, rows in (found or {}).items() if rows is not None and len(rows)]
+            out = pd.concat([p.reindex(columns=names).astype(object).where(p.reindex(columns=names).notna(), None) for p in parts]) if parts else None
+            return out, state, timers
+        return call if f else None
+
+    schema = T.StructType([T.StructField(n, k) for n, k in made.items()])
+    return in_order(both, keys, time, order, state, schema, tagged(on_rows), tagged(on_timer))
