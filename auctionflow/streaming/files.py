@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter
+from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, WriterCommitMessage
 
 from auctionflow.session import new_path
 from auctionflow.sources.custom import open_store
@@ -34,7 +34,7 @@ class Outlet:
         """Clear up after a batch that failed; tasks that failed have said nothing."""
 
 
-class _Said:
+class _Said(WriterCommitMessage):
     def __init__(self, said):
         self.said = said
 
@@ -59,7 +59,9 @@ def register_sink(spark: SparkSession, name: str, outlet: Outlet) -> None:
         def streamWriter(self, schema, overwrite):
             return Writer()
 
-    spark.dataSource.register(Sink)
+    # the name of a sink is looked up in the session that is active in this thread
+    for session in {id(x): x for x in (spark, SparkSession.getActiveSession()) if x is not None}.values():
+        session.dataSource.register(Sink)
 
 
 class TaggedFiles(Outlet):
