@@ -15,7 +15,8 @@ from auctionflow.session import new_path
 from auctionflow.sources import tables as S
 from auctionflow.sources.custom import Feed, ParquetFeed, register
 from auctionflow.streaming import joins as SJ
-from auctionflow.streaming import log, ordered, state
+from auctionflow.streaming import files, log, ordered, state
+from auctionflow.streaming.carry import Carry
 from auctionflow.streaming.running import running_batches, trailing_batches
 from auctionflow.streaming.harness import DroppedRows, Epochs, plain, probe, run, run_batches, stream_session, zoned
 
@@ -298,3 +299,106 @@ def test_the_probe_hears_of_every_batch_and_of_errors(spark, epochs):
         query.awaitTermination()
     assert heard.wait_while(lambda: not heard.over.get(str(query.runId), False), 30)
     assert not heard.done(query) and heard.less_than(query, 0)
+
+
+def test_a_row_before_earlier_ones_of_its_key_fails_a_running_value(spark):
+    rows = spark.range(30).select((F.col("id") % 2).alias("k"), (40 - F.col("id")).alias("v"), F.timestamp_seconds("id").alias("ts"))
+    e = Epochs(rows, "ts", epochs=3)
+    with pytest.raises(Exception, match="earlier batch"):
+        running_batches(e.stream(), ["k"], ["v"], {"s": ("sum", "v")})
+    with pytest.raises(Exception, match="earlier batch"):
+        trailing_batches(e.stream(), ["k"], ["v"], 3, {"s": F.sum("v")})
+
+
+def test_a_carry_writes_what_a_batch_touches(spark, tmp_path):
+    schema = "k long, n long"
+    add = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    kept = Carry(str(tmp_path), spark.createDataFrame([], schema).schema, add)
+    want = {}
+    for number in range(23):
+        rows = [(number * 7 % 11 + j, 1) for j in range(3)] + ([(1000 + i, 1) for i in range(500)] if number == 2 else [])
+        batch = spark.createDataFrame(rows, schema)
+        for _ in range(2 if number % 5 == 0 else 1):  # some batches come again
+            got = dict(map(tuple, add(kept.before(spark, number, batch, ["k"])).collect()))
+            assert got == {k: want[k] for k, _ in rows if k in want}
+            kept.add(spark, number, batch)
+        for k, n in rows:
+            want[k] = want.get(k, 0) + n
+    runs = kept._runs(spark, 22)
+    assert len(runs) <= 3 * 3 and dict(map(tuple, add(kept._read(spark, runs)).collect())) == want
+    there = {p.name for p in tmp_path.iterdir() if p.name.startswith("run")}
+    assert {name for _, name in runs} <= there and len(there) <= len(runs) + 2 * 4
+    with pytest.raises(ValueError, match="no carry"):
+        kept.add(spark, 40, spark.createDataFrame([(1, 1)], schema))
+
+
+def test_a_failed_batch_leaves_nothing_and_a_repeated_one_counts_once(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    own, outlet = stream_session(spark), files.TaggedFiles(folder, "output")
+    batch = lambda *rows: iter([pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["output", "n"])])
+    first = outlet.write(batch(("a", 1), ("b", 2)))
+    again = outlet.write(batch(("a", 1), ("b", 2)))
+    outlet.commit([first], 0)
+    outlet.commit([again], 0)
+    lost = outlet.write(batch(("a", 9)))
+    outlet.abort([lost], 1)
+    outlet.commit([outlet.write(batch(("a", 3)))], 1)
+    got = lambda tag: rows_of(files.committed(spark, folder, tag, "n long"))
+    assert got("a") == [1, 3] and got("b") == [2] and got("c") == []
+    # a stream whose second batch fails
+    path = new_path(spark, "in")
+    for n in (1, 2):
+        spark.createDataFrame([("a", n)], "output string, n long").coalesce(1).write.mode("append").parquet(path)
+    bad = own.readStream.schema("output string, n long").option("maxFilesPerTrigger", 1).parquet(path)
+    where, marks = str(tmp_path / "other"), str(tmp_path / "marks")
+    with pytest.raises(Exception, match="two"):
+        files.run_outputs(bad.withColumn("n", F.when(F.col("n") == 2, F.raise_error(F.lit("two")).cast("long")).otherwise(F.col("n"))), {"a": "n long"}, where, marks)
+    assert rows_of(files.committed(spark, where, "a", "n long")) == [1]
+    tables = files.run_outputs(bad, {"a": "n long"}, where, marks)  # goes on with the batch that failed
+    assert rows_of(tables["a"]) == [1, 2]
+
+
+def rows_of(df):
+    return sorted(r[0] for r in df.collect())
+
+
+def test_rows_wait_for_the_clock(spark, small_chunks):
+    """Ticks come in later epochs than the rows they are for; rows of one time wait in several shards."""
+    at = lambda s: START_OF + datetime.timedelta(seconds=s)
+    data = _laid_down(spark, [(1, i, at(i // 3), "x") for i in range(300)], ORDERED, 3).withWatermark("ts", "0 seconds").drop("key")
+    ticks = _laid_down(spark, [(1, i, at(t), "") for i, t in enumerate((90, 5, 50, 5, 20))], ORDERED, 5).withWatermark("ts", "1 hour").select("ts")
+    got = run(ordered.reclock(data, ticks, "ts", "tick", shards=3))
+    found = {r.id: r.tick for r in got.collect() if r.id >= 0}
+    want = {i: next((at(t) for t in (5, 20, 50, 90) if t >= i // 3), None) for i in range(300)}
+    assert {i: t for i, t in found.items() if t.year < 2100} == {i: t for i, t in want.items() if t}
+
+
+def test_state_handles(spark):
+    rows = [(1, i, START_OF + datetime.timedelta(seconds=i), "") for i in range(6)]
+
+    def on_rows(key, rows, own):
+        seen = []
+        assert own.map.get(("a", 1)) is None and own.map.remove(("a", 1)) is None and own.value.take() is None
+        own.map.insert(("b", 2), (5,))
+        own.map.insert(("a", 7), (1,))
+        own.map.insert(("a", 2), (2,))
+        own.map.rmw(("a", 2), 10)
+        seen.append(str(own.map.iterate(("a",))))
+        seen.append(str((own.map.contains(("b", 2)), own.map.remove(("b", 2)), own.map.contains(("b", 2)))))
+        own.count.increase(5)
+        own.count.decrease(2)
+        seen.append(str((own.count.get(), own.count.set(9), own.count.get())))
+        own.value.set((1, "x"))
+        seen.append(str((own.value.rmw((2, "y")), own.value.get(), own.value.take(), own.value.get())))
+        own.items.append((1,), (2,))
+        own.items.append((3,))
+        seen.append(str((own.items.get(), own.items.take(), own.items.get())))
+        return pd.DataFrame({"key": key[0], "seen": seen})
+
+    states = {"count": ordered.Count(), "value": ordered.Value("a long, b string", lambda old, new: (old[0] + new[0], old[1] + new[1])),
+              "map": ordered.Map("k string, i long", "n long", lambda old, more: ((old[0] if old else 0) + more,)), "items": ordered.Items("n long")}
+    stream = _laid_down(spark, rows, ORDERED, 1).withWatermark("ts", "0 seconds").filter("key = 1 OR key = -1")
+    got = run(ordered.with_state(stream, ["key"], "ts", ["id"], states, "key long, seen string", on_rows))
+    assert {r.seen for r in got.filter("key = 1").collect()} == {
+        "[(('a', 2), (12,)), (('a', 7), (1,))]", "(True, (5,), False)", "(3, None, 9)",
+        "((3, 'xy'), (3, 'xy'), (3, 'xy'), None)", "([(1,), (2,), (3,)], [(1,), (2,), (3,)], [])"}
