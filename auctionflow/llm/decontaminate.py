@@ -1,10 +1,12 @@
-"""Documents that contain passages of a benchmark, substitutions allowed."""
+"""Documents that contain passages of a benchmark, substitutions allowed, found by spaced seeds."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +28,85 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(PLAIN).split()
 
 
-@cache
-def certain_run(n: int, min_words: int, p: int, q: int) -> int:
-    """Words that agree in a row somewhere in every stretch that counts for an item of `n` words.
-
-    With m agreeing words in more than p / q of its words a stretch has fewer than m * (q - p) / p
-    others, which cut the agreeing ones into one run more than there are of them."""
-    least = max(1, -(-min(min_words * q, p * n) // q))
-    return min(-(-m // (1 + max(0, min(n - m, (m * (q - p) - 1) // p)))) for m in range(least, n + 1))
+Mask = tuple[int, ...]  # 1 where words must agree, 0 where they are ignored
+
+
+def missed(masks: list[Mask], least: int, longest: int, p: int, q: int) -> Mask | None:
+    """A shortest pattern of agreeing (1) and other words that counts though no mask fits into it; None if there is none.
+
+    A pattern counts with `least` agreeing words that are more than p / q of it; `longest` is its greatest
+    length, 0 for any. Patterns are extended word by word and told apart by what can still matter:
+    their last words, what they have gained (q - p by an agreeing word, -p by another) and how many agree. One that has lost more than `least` words can
+    gain is passed over, since what makes it count again counts by itself."""
+    span = max((len(m) for m in masks), default=1)
+    sought = [(int("".join(map(str, m)), 2), len(m)) for m in masks]
+    start = (0, 0, 0, 0, 0)  # last words, how many of them there are, gain, agreeing words, length
+    before: dict[tuple, tuple | None] = {start: None}
+    todo = deque([start])
+    while todo:
+        state = todo.popleft()
+        last, known, gain, agreeing, length = state
+        if longest and length == longest:
+            continue
+        for same in (1, 0):
+            bits, n = last << 1 | same, min(known + 1, span)
+            if any(size <= n and bits & m == m for m, size in sought):
+                continue
+            now, count = gain + (q - p if same else -p), min(agreeing + same, least)
+            if now < -least * (q - p):
+                continue
+            new = (bits & (1 << span - 1) - 1, min(n, span - 1), min(now, least * (q - p)), count, length + 1 if longest else 0)
+            if new in before:
+                continue
+            before[new] = (state, same)
+            if now > 0 and count >= least:
+                pattern = []
+                while before[new] is not None:
+                    new, same = before[new]
+                    pattern.append(same)
+                return tuple(reversed(pattern))
+            todo.append(new)
+    return None
+
+
+def fits(mask: Mask, pattern: Mask) -> bool:
+    return any(all(pattern[at + i] >= x for i, x in enumerate(mask)) for at in range(len(pattern) - len(mask) + 1))
 
 
-def seeds(h: np.ndarray, run: int) -> np.ndarray:
-    """Hash of the `run` words from every place on."""
-    n = len(h) - run + 1
+@cache
+def mask_family(least: int, longest: int, p: int, q: int, weight: int = 6, most: int = 4) -> tuple[Mask, ...]:
+    """Spaced seeds of which one fits into every pattern that counts: at most `most` masks of the greatest possible
+    weight, each with ignored places if it has three words or more. For the usual limits and items of 15 words or more these are
+    11101101, 1011111 and 11110011.
+
+    Patterns that escape are looked for, the masks are chosen anew so that they meet all of them, those that meet most first, and so on
+    until none escapes; so the family is complete by construction."""
+    for w in range(min(weight, least), 1, -1):
+        spans = range(w + (w > 2), w + 3)
+        able = [(1, *(int(i in inner) for i in range(1, span - 1)), 1) for span in spans for inner in combinations(range(1, span - 1), w - 2)]
+        escaped: list[Mask] = []
+        masks: list[Mask] | None = []
+        while masks is not None and len(masks) <= most:
+            pattern = missed(masks, least, longest, p, q)
+            if pattern is None:
+                return tuple(masks)
+            escaped.append(pattern)
+            masks, left = [], escaped
+            while left and masks is not None:
+                best = max(able, key=lambda m: (sum(fits(m, x) for x in left), -len(m), m))
+                rest = [x for x in left if not fits(best, x)]
+                masks = [*masks, best] if len(rest) < len(left) else None
+                left = rest
+    return ((1,),)
+
+
+def seeds(h: np.ndarray, mask: Mask) -> np.ndarray:
+    """Hash of the words that the mask doesn't ignore, from every place on."""
+    n = len(h) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, run, np.uint64)
-    for i in range(run):
+    total = np.full(n, int("".join(map(str, mask)), 2), np.uint64)
+    for i in np.flatnonzero(mask).tolist():
         total = (total + h[i:i + n]) * M1
         total ^= total >> np.uint64(29)
     return mix(total)
@@ -56,13 +120,13 @@ def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Items:
     """The seeds of a block of benchmark items, to be looked up from documents.
 
-    The seeds of an item are all its runs of as many words as agree in a row in every stretch that
-    counts, so no stretch is missed: 4 words, or 3 in items of 6, 7 and 11, with the usual limits.
+    The seeds of an item are its words under every mask of its length's family, at every place; so whatever
+    words are substituted, a stretch that counts shares a seed with it.
     """
 
     def __init__(self, items: list[tuple[int, str]], min_words: int, identity: float):
         share = Fraction(identity).limit_denominator(10_000)
-        self.p, self.q = share.numerator, share.denominator
+        self.p, self.q, self.min_words = share.numerator, share.denominator, min_words
         seen = Hashed()
         self.ids = [i for i, _ in items]
         self.words = [word_hashes(words(t), seen) for _, t in items]
@@ -70,9 +134,10 @@ class Items:
         self.begin = np.cumsum(self.size) - self.size
         self.flat = np.concatenate(self.words) if items else np.zeros(0, np.uint64)
         self.least = np.minimum(min_words * self.q, self.p * self.size)  # agreeing words times q
-        runs = [certain_run(len(w), min_words, self.p, self.q) if len(w) else 0 for w in self.words]
-        self.runs = sorted(set(runs) - {0})
-        found = [(seeds(h, r), k) for k, (h, r) in enumerate(zip(self.words, runs)) if r]
+        families = [self._family(len(w)) for w in self.words]
+        self.masks = sorted({m for f in families for m in f})
+        placed = [(seeds(h, m), k) for k, (h, f) in enumerate(zip(self.words, families)) for m in f]
+        found = [(s, k) for s, k in placed if len(s)]
         self.seed = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
         order = np.argsort(self.seed, kind="stable")
         self.item = np.repeat([f[1] for f in found], [len(f[0]) for f in found]).astype(np.int64)[order] if found else order
@@ -81,11 +146,18 @@ class Items:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.seed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _family(self, n: int) -> tuple[Mask, ...]:
+        if not n:
+            return ()
+        enough = -(-self.min_words * self.q // self.p)  # in longer items min_words decides
+        least = max(1, -(-min(self.min_words * self.q, self.p * n) // self.q))
+        return mask_family(least, 0 if n >= enough else n, self.p, self.q)
+
     def _lines(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, shift) of the diagonals that some seed hits."""
         lines = np.zeros(0, np.int64)  # item and shift in one number
-        for run in self.runs:
-            s = seeds(h, run)
+        for mask in self.masks:
+            s = seeds(h, mask)
             at = np.flatnonzero(self.filter[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.seed, s[at]), np.searchsorted(self.seed, s[at], "right")
             at, lo, n = at[lo < hi], lo[lo < hi], (hi - lo)[lo < hi]
@@ -156,7 +228,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """doc_id, item_id, start, length, matched, item_words: benchmark items that a document repeats.
 
     Words are letters and digits, lower-cased; start and length count words of the document. A hit
-    of any seed is extended along its diagonal over the whole item; a stretch counts if it agrees in
+    of any spaced seed is extended along its diagonal over the whole item; a stretch counts if it agrees in
     more than `identity` of its words and in `min_words` words, or in that share of an item that is
     shorter. Every such stretch is found. One row per document row and item, the place with most agreeing words, the longest and
     last of equal ones. NULL and empty texts and items overlap with nothing; repeated rows give

@@ -3,11 +3,13 @@
 import datetime
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +334,37 @@ def test_pipeline_stages_keep_the_columns(spark, data, odd, tables):
     assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in once.filter("text LIKE 'o%' OR text LIKE 'w%'").collect()) == [
         ("4", len(LONG)), ("6", 3), ("8", 18), ("None", 18), ("None", 18)]
     assert ngram_join.ngram_join(docs).count() == 11
+
+
+def test_masks_ignore_places():
+    draw = random.Random(3)
+    item = [f"v{i}" for i in range(16)]
+    items = decontaminate.Items([(7, " ".join(item))], 12, 0.8)
+    assert len(items.masks) <= 4 and all(0 in m and m[0] and m[-1] for m in items.masks)
+    h = decontaminate.word_hashes([x.encode() for x in item], decontaminate.Hashed())
+    for mask in items.masks:
+        changed = [x if keep else f"other{draw.random()}" for x, keep in zip(item, mask)]
+        other = decontaminate.word_hashes([x.encode() for x in changed], decontaminate.Hashed())
+        assert decontaminate.seeds(h, mask)[0] == decontaminate.seeds(other, mask)[0]
+        for i in np.flatnonzero(mask).tolist():  # and no other place
+            worse = [x if j != i else "worse" for j, x in enumerate(item)]
+            assert decontaminate.seeds(h, mask)[0] != decontaminate.seeds(decontaminate.word_hashes([x.encode() for x in worse], decontaminate.Hashed()), mask)[0]
+
+
+def test_masks_meet_every_pattern_that_counts():
+    """All patterns of up to 14 words, and all of up to 24 words with as many others as may be."""
+    for n in range(1, 25):
+        items = decontaminate.Items([(1, " ".join(f"v{i}" for i in range(n)))], 12, 0.8)
+        least = -(-min(60, 4 * n) // 5)
+        family = items._family(n)
+        assert len(family) <= 4 and (n < 6 or all(sum(m) >= 4 for m in family))
+        for size in range(least, n + 1):
+            for wrong in range(size - least + 1):
+                if 5 * (size - wrong) <= 4 * size:
+                    continue
+                for out in itertools.combinations(range(size), wrong):
+                    pattern = tuple(int(i not in out) for i in range(size))
+                    assert any(decontaminate.fits(m, pattern) for m in family), (n, pattern)
+    assert decontaminate.missed([(1, 1, 1, 1, 1)], 12, 0, 4, 5) is not None  # five in a row don't suffice
+    for p, q, words in ((9, 10, 12), (3, 4, 8), (1, 2, 6)):
+        assert decontaminate.missed(list(decontaminate.mask_family(words, 0, p, q)), words, 0, p, q) is None
