@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,36 +19,52 @@ PIECES = pa.schema([
     ("tier", pa.int64()), ("step", pa.int64())])
 
 
+class Rests:
+    """Pieces of documents by their length."""
+
+    def __init__(self, longest: int):
+        self.of: list[list] = [[] for _ in range(longest + 1)]
+        self.mask = 0  # bit n: a piece of n tokens is there
+
+    def push(self, piece: tuple) -> None:
+        n = piece[3] - piece[2]
+        self.of[n].append(piece)
+        self.mask |= 1 << n
+
+    def longest(self, most: int) -> int:
+        """The greatest length there is up to `most`, or 0."""
+        return max(0, (self.mask & ((2 << most) - 1)).bit_length() - 1)
+
+    def pop(self, n: int) -> tuple:
+        piece = self.of[n].pop()
+        if not self.of[n]:
+            self.mask &= ~(1 << n)
+        return piece
+
+
 class Tiers:
-    """Packs pieces into windows of `tiers` tokens (powers of two, ascending).
+    """Packs documents into windows of `tiers` tokens (powers of two, ascending).
 
-    Rests of documents wait in one stack per length. A window opens at the smallest tier that holds
-    the longest rest; its gap takes the longest rests of shorter tiers that fit, and what is still
-    open then is cut from the shortest rest that is longer. Windows are therefore full, save the
-    last of a run, which `finish` closes at powers of two.
+    A document goes to the smallest tier that holds it. Tiers are packed one after the other, the
+    shortest first: a window opens with the tier's longest document and is filled with the longest ones that
+    fit, of the same tier where two can fit, else with what shorter tiers have left over. What is still
+    open then is cut from the documents that are longer than any window and have to be cut anyway,
+    and only when there are none from the longest document that waits. What the long documents have left fills the
+    longest windows. Windows are therefore full, save the last of a run, which `finish` closes at powers of two.
 
     `step` numbers groups of `step_tokens` tokens of one tier, so that every group is the same work.
     """
 
     def __init__(self, tiers: tuple[int, ...], step_tokens: int):
         self.tiers, self.step_tokens = tiers, step_tokens
-        self.rests: list[list] = [[] for _ in range(tiers[-1] + 1)]
-        self.mask = 0  # bit n: a rest of n tokens waits
+        self.waiting = Rests(tiers[-1])   # documents on the way to their tier
+        self.left = Rests(tiers[-1])      # documents that their tier had no full window for
+        self.long: deque = deque()        # what has been cut, or has to be: (doc, ids, start, stop)
+        self.long_tokens = 0
         self.sequences = 0
         self.filled = dict.fromkeys(tiers, 0)
-        self.window: list | None = None  # of the open window: pieces, tokens, tier
         self.out: list[tuple] = []
 
-    def _push(self, doc: int, ids: np.ndarray, start: int, stop: int) -> None:
-        self.rests[stop - start].append((doc, ids, start, stop))
-        self.mask |= 1 << (stop - start)
-
-    def _pop(self, n: int) -> tuple:
-        piece = self.rests[n].pop()
-        if not self.rests[n]:
-            self.mask &= ~(1 << n)
-        return piece
-
     def _close(self, pieces: list, tokens: int) -> None:
         tier = next(t for t in self.tiers if t >= tokens)
         step, at = self.filled[tier] // self.step_tokens, 0
@@ -58,52 +75,71 @@ class Tiers:
         self.sequences += 1
 
     def add(self, doc: int, ids: np.ndarray) -> None:
-        longest = self.tiers[-1]
-        whole = len(ids) // longest * longest
-        for start in range(0, whole, longest):
-            self._close([(doc, ids, start, start + longest)], longest)
-        if whole < len(ids):
-            self._push(doc, ids, whole, len(ids))
+        if len(ids) > self.tiers[-1]:
+            self._loosen((doc, ids, 0, len(ids)))
+        else:
+            self.waiting.push((doc, ids, 0, len(ids)))
+
+    def _loosen(self, piece: tuple) -> None:
+        self.long.append(piece)
+        self.long_tokens += piece[3] - piece[2]
+
+    def _cut(self, tokens: int) -> list[tuple]:
+        """So many tokens of what may be cut."""
+        out = []
+        self.long_tokens -= tokens
+        while tokens:
+            doc, ids, start, stop = self.long.popleft()
+            cut = min(stop, start + tokens)
+            out.append((doc, ids, start, cut))
+            tokens -= cut - start
+            if cut < stop:
+                self.long.appendleft((doc, ids, cut, stop))
+        return out
 
     def pack(self) -> None:
-        """Place every waiting rest; the last window stays open."""
-        while self.mask:
-            if self.window is None:
-                n = self.mask.bit_length() - 1
-                self.window = [[self._pop(n)], n, next(t for t in self.tiers if t >= n)]
-            pieces, tokens, tier = self.window
-            while tokens < tier and self.mask:
-                gap = tier - tokens
-                fits = self.mask & ((2 << gap) - 1)
-                if fits:
-                    pieces.append(self._pop(fits.bit_length() - 1))
-                else:
-                    longer = self.mask >> gap
-                    doc, ids, start, stop = self._pop(gap + (longer & -longer).bit_length() - 1)
-                    pieces.append((doc, ids, start, start + gap))
-                    self._push(doc, ids, start + gap, stop)
-                tokens += pieces[-1][3] - pieces[-1][2]
-            self.window[1] = tokens
-            if tokens == tier:
-                self._close(pieces, tokens)
-                self.window = None
+        """Place what waits; leftovers of less than a window stay."""
+        shortest, longest = self.tiers[0], self.tiers[-1]
+        for tier in self.tiers:
+            while self.waiting.longest(tier):
+                piece = self.waiting.pop(self.waiting.longest(tier))
+                pieces, gap = [piece], tier - (piece[3] - piece[2])
+                # two documents of a tier fit into its window in the shortest one only
+                for store in ([self.waiting] if tier == shortest else []) + [self.left]:
+                    while gap and (n := store.longest(gap)):
+                        pieces.append(store.pop(n))
+                        gap -= n
+                while gap > self.long_tokens and (n := self.waiting.longest(longest)) > tier:
+                    self._loosen(self.waiting.pop(n))
+                if gap <= self.long_tokens:
+                    self._close(pieces + self._cut(gap), tier)
+                else:  # nothing to fill it with so far
+                    for piece in pieces:
+                        self.left.push(piece)
+        while self.long_tokens >= longest:
+            self._close(self._cut(longest), longest)
 
     def finish(self) -> None:
-        """Close the open window as sequences of powers of two, which need no padding."""
+        """Pack what is left over by itself; the last window is closed as sequences of powers of two, without padding."""
         self.pack()
-        pieces, tokens, _ = self.window or ([], 0, 0)
-        while tokens:
-            size, part = 1 << (tokens.bit_length() - 1), []
-            tokens -= size
-            while size:
-                doc, ids, start, stop = pieces.pop(0)
-                cut = min(stop, start + size)
-                part.append((doc, ids, start, cut))
-                size -= cut - start
-                if cut < stop:
-                    pieces.insert(0, (doc, ids, cut, stop))
-            self._close(part, sum(p[3] - p[2] for p in part))
-        self.window = None
+        longest = self.tiers[-1]
+        while n := self.left.longest(longest):
+            pieces, gap = [], longest
+            while gap and (n := self.left.longest(gap)):
+                pieces.append(self.left.pop(n))
+                gap -= n
+            for _ in range(2):
+                if gap <= self.long_tokens:
+                    self._close(pieces + self._cut(gap), longest)
+                    pieces = []
+                    break
+                if n := self.left.longest(longest):  # too long for the gap
+                    self._loosen(self.left.pop(n))
+            for piece in pieces:
+                self._loosen(piece)
+        while self.long_tokens:
+            size = min(longest, 1 << (self.long_tokens.bit_length() - 1))
+            self._close(self._cut(size), size)
 
     def take(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -146,8 +182,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     A document is its text's ids and then `end_id`; a NULL or empty text is `end_id` alone, so every
     row has a piece, repeated rows too. Texts are tokenized whole. Every input partition is packed
     on its own, `buffer_tokens` tokens at a time, without a shuffle; sequence ids carry the
-    partition's number, and a task that is run again gives the same rows. A full document window is
-    a sequence of its own; only the last window of a partition is split, at powers of two.
+    partition's number, and a task that is run again gives the same rows. Documents that fit into a
+    window are cut only where nothing longer is left to cut; only the last window of a partition is split, at powers of two.
     An empty table gives no rows. Other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -458,3 +458,36 @@ def test_repeat_tables_grow_with_the_texts_only(spark):
     n = members.count()
     assert groups.count() <= 4 * n
     assert members.join(groups, "anchor").count() > 20 * n
+
+
+def test_packing_keeps_documents_whole_and_in_their_tier():
+    draw = np.random.default_rng(2)
+
+    def packed(sizes, buffer=1 << 20):
+        tiled, waiting, out = packing.Tiers((128, 256, 512, 1024), 1 << 16), 0, []
+        for i, n in enumerate(sizes):
+            tiled.add(i, np.arange(n, dtype="<u4"))
+            waiting += n
+            if waiting >= buffer:
+                tiled.pack()
+                out, waiting = out + tiled.take(), 0
+        tiled.finish()
+        pieces, full = defaultdict(list), Counter()
+        for doc, start, length, ids, total, sequence, offset, tier, _ in out + tiled.take():
+            assert offset == full[sequence] and total == sizes[doc]
+            full[sequence] += length
+            pieces[doc].append((start, length, tier, np.frombuffer(ids, "<u4")))
+        assert all(n & (n - 1) == 0 for n in full.values())
+        for i, n in enumerate(sizes):
+            assert np.concatenate([p[3] for p in sorted(pieces[i], key=lambda p: p[0])]).tolist() == list(range(n))
+        short = [i for i, n in enumerate(sizes) if n <= 1024]
+        whole = [i for i in short if len(pieces[i]) == 1]
+        own = [i for i in whole if pieces[i][0][2] == next(t for t in (128, 256, 512, 1024) if t >= sizes[i])]
+        return len(whole) / max(1, len(short)), len(own) / max(1, len(short))
+
+    assert packed([int(n) for n in draw.integers(1, 1500, 3000)]) == (1.0, 1.0)  # what is too long fills the gaps
+    assert packed([int(n) + 1 for n in draw.lognormal(5, 1.2, 3000)]) == (1.0, 1.0)
+    whole, own = packed([int(n) for n in draw.integers(1, 1000, 3000)])  # nothing is too long: some have to be cut
+    assert whole > 0.8 and own > 0.8
+    for _ in range(200):
+        packed([int(n) for n in draw.integers(1, draw.choice([3, 130, 600, 3000]), draw.integers(0, 40))], int(draw.choice([500, 5000, 1 << 20])))
