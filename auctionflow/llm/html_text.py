@@ -21,15 +21,16 @@ BLOCK = frozenset("""address article aside blockquote body button caption center
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre search section
 select summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style"
+RAW = ("script", "style")
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                 "th": {"td", "th"}, "option": {"option"}}
 #: Elements in which a paragraph that was left open can't go on.
 ENDS_P = BLOCK - {"button", "label", "option", "select"}
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+""")
+RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
+ANCESTORS, NAMED = 64, 256  # features come from so many of the nearest ancestors, and so many words of each
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -43,10 +44,52 @@ class Block:
         self.text, self.path, self.linked, self.tag = text, path, linked, tag
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, whether it is an end tag, its attributes) of the tags of a page, in order; comments,
+    declarations, scripts and styles have no name.
+
+    Every part of a page is read a bounded number of times, however broken it is. A tag whose quotes
+    don't end, or hide the rest of the page's `>`, ends at the next `>`; what has none is text."""
+    at, quoted = 0, True
+    last = page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, None, False, ""
+            continue
+        if start > last:
+            return  # nothing that follows ends
+        if page.startswith(("<!", "<?"), start):
+            at = page.index(">", start) + 1
+            yield start, at, None, False, ""
+            continue
+        tag = TAG.match(page, start)
+        if tag is None:
+            at = start + 1
+            continue
+        name, end = tag[2].lower(), -1
+        if quoted:
+            end = page.find(">", ATTRIBUTES.match(page, tag.end()).end())
+            quoted = end >= 0  # else it would be so for many a tag after this one
+        if end < 0:
+            end = page.find(">", tag.end())
+        if end < 0:
+            return
+        rest, at = page[tag.end():end], end + 1
+        if name in RAW_END and not tag[1]:
+            closed = RAW_END[name].search(page, at)
+            at = closed.end() if closed else len(page)
+            yield start, at, None, False, ""
+        else:
+            yield start, at, name, bool(tag[1]), rest
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with decoded text and the features of their ancestors."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    stack: list[tuple[str, tuple[str, ...], int]] = [("", (), 0)]  # name, features of the path, how many are its own
+    opened: dict[str, int] = {}
     pieces: list[str] = []
     linked = in_link = at = 0
 
@@ -58,36 +101,40 @@ def blocks(page: str) -> list[Block]:
         pieces.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            pieces.append(page[at:m.start()])
+    def close() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    for start, end, name, ends, rest in tags(page):
+        if start > at:
+            pieces.append(page[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        name = m["name"]
+                linked += start - at
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name == "a":
-            in_link = 0 if m["end"] else 1
+            in_link = 0 if ends else 1
         elif name == "br":
             pieces.append(" ")
         if name not in BLOCK:
             continue
         flush()
-        open_at = len(stack) - 1
-        if m["end"]:
-            while open_at and stack[open_at][0] != name:
-                open_at -= 1
-            if open_at:
-                del stack[open_at:]
+        if ends:
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    close()
+                close()
             continue
         if name in ENDS_P and stack[-1][0] == "p" or stack[-1][0] in SELF_CLOSING.get(name, ()):
-            stack.pop()
+            close()
         if name not in VOID:
-            words = [w.lower() for value in NAMES.finditer(m["rest"]) for w in WORDS.findall(value[1] or value[2] or value[3] or "")]
+            words = [w.lower() for value in NAMES.finditer(rest) for w in WORDS.findall(value[1] or value[2] or value[3] or "")][:NAMED]
             own = (f"in:{name}", *(f"word:{w}" for w in words), *(f"stem:{w[:4]}" for w in words if len(w) > 3))
-            stack.append((name, stack[-1][1] + own))
+            path = stack[-1][1]
+            if len(stack) > ANCESTORS:
+                path = path[stack[-ANCESTORS][2]:]
+            stack.append((name, path + own, len(own)))
+            opened[name] = opened.get(name, 0) + 1
     if at < len(page):
         pieces.append(page[at:])
     flush()
@@ -282,8 +329,8 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     """A field trained on `made` labelled pages from the texts of at most `sample` pages.
 
     The table has no labels. So the blocks of a sample, chosen by a hash of the page's id, are taken
-    as texts, and pages are laid out from them in turn with parts whose labels are
-    known (see `labelled_page`): articles of varied length between, and with, menus, notices,
+    as texts (of their first 600 characters where they serve as menus, notices and the like), and pages are
+    laid out from them in turn with parts whose labels are known (see `labelled_page`): articles of varied length between, and with, menus, notices,
     adverts, forms, comments and the like, under many names and elements."""
     given = pick(pages, id_col, html_col).filter(F.col(f"`{html_col}`").isNotNull())
     place = F.xxhash64(f"`{id_col}`")
@@ -310,8 +357,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", f
     for main text, joined by line breaks.
 
     A block is the text between the bounds of block elements, with character references decoded and
-    white space turned into single spaces; comments, scripts, styles and other embedded content are
-    no text. Broken markup is read as far as it goes: open elements end with the page. A NULL, empty
+    white space turned into single spaces; comments, scripts and styles are no text. Broken markup is
+    read as far as it goes, in time that grows with the page: open elements end with the page, open quotes at the next `>`. A NULL, empty
     or text-free page gives an empty text. Pages are read whole, one by one, without a shuffle;
     repeated rows give equal rows, an empty table none."""
     field = field or train(pages, id_col, html_col)

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -368,3 +369,34 @@ def test_masks_meet_every_pattern_that_counts():
     assert decontaminate.missed([(1, 1, 1, 1, 1)], 12, 0, 4, 5) is not None  # five in a row don't suffice
     for p, q, words in ((9, 10, 12), (3, 4, 8), (1, 2, 6)):
         assert decontaminate.missed(list(decontaminate.mask_family(words, 0, p, q)), words, 0, p, q) is None
+
+
+BROKEN = {
+    "open tags": "<a " * 330_000, "one open name": "<" + "a" * 1_000_000, "quotes": "<a b='" * 160_000, "quotes that end": "<a b='" * 160_000 + ">",
+    "hidden ends": "<a b=\">\" " * 110_000, "hidden ends, odd": "<a b=\">\" " * 110_000 + "'", "brackets": "<" * 1_000_000 + ">",
+    "nested": "<div>" * 200_000, "nested with names": "<div class=\"menu item\">x" * 40_000, "ends of nothing": "<div>" * 100_000 + "</nav>" * 80_000,
+    "comments": "<!--" * 250_000, "declarations": "<!" * 500_000 + ">", "scripts": "<script>" * 120_000, "names": "<a<b" * 250_000 + ">"}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_html_of_broken_pages_takes_little_time(name):
+    began = time.process_time()
+    html_text.blocks(BROKEN[name])
+    assert time.process_time() - began < 5  # a second or so; quadratic ones take minutes
+
+
+def test_html_quotes_that_do_not_end():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts('<p title="abc>two</p><p>three</p>') == ["two", "three"]
+    assert texts("<p title='a>b'>one</p><div x=\"y>two</div>") == ["one", "two"]
+    assert texts('<p a="x > y">one</p> 1 < 2 and 3 > 2 <p>two') == ["one", "1 < 2 and 3 > 2", "two"]
+    assert texts("<p>one<script>x < 1</script ></p><style a='>'>p {}</style><p>two</p><script>never ends <p>three</p>") == ["one", "two"]
+    assert texts("<p>one</p> <b") == ["one", "<b"]
+    assert texts("<!-- a > b --><p>one<!-- never ends <p>two</p>") == ["one"]
+
+
+def test_html_names_come_from_the_nearest_ancestors():
+    deep = "".join(f'<div class="n{chr(97 + i % 26)}{chr(97 + i // 26)}">' for i in range(200)) + "text"
+    path = html_text.blocks(deep)[0].path
+    assert path.count("in:div") == html_text.ANCESTORS and "word:naa" not in path and "word:nrh" in path
+    assert html_text.blocks("<main><p>text")[0].path == ("in:main", "in:p")
