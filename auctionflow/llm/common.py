@@ -20,9 +20,9 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def chosen(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of `df` whose doc_id is (left_semi) or isn't (left_anti) in `ids`; few ids are broadcast."""
-    return df.join(F.broadcast(ids) if fits_broadcast(ids, 500_000) else ids, "doc_id", how)
+def chosen(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """Rows of `df` whose key is (left_semi) or isn't (left_anti) in `ids`; few ids are broadcast."""
+    return df.join(F.broadcast(ids) if fits_broadcast(ids, 500_000) else ids, key, how)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
