@@ -14,6 +14,7 @@ from auctionflow.llm.common import chosen
 from auctionflow.session import store
 
 MIN_SCORE = 0.4  # least probability of the best language
+KEY = "_document"  # what a row is known by while copies are looked for
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +27,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 in five-word sets, the one with the
-    smallest id stays, once. Documents without words are in no group."""
-    groups = store(ngram_join.ngram_groups(docs, words=5, percent=80), "groups")
-    kept = chosen(docs, groups.filter("doc_id <> component_id").select("doc_id"), "left_anti")
-    repeated = groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = store(repeated, "repeated")
-    if repeated.isEmpty():
-        return kept
-    return chosen(kept, repeated, "left_anti").unionByName(
-        chosen(kept, repeated, "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    smallest id stays, once. Documents without words or without an id are in no group. Rows that share an
+    id but not the text are documents of their own; of equal ids the one whose text has the smaller hash counts as smaller."""
+    sums = F.xxhash64("text")
+    clashing = store(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(sums).alias("a"), F.max(sums).alias("b"))
+                     .filter("a <> b").select("doc_id"), "clashing")
+    own = docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    unique = clashing.isEmpty()
+    if not unique:
+        marked = docs.join(clashing.withColumn(KEY, F.lit(True)), "doc_id", "left")
+        own = marked.withColumn(KEY, F.when(F.col(KEY), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))).select(*docs.columns, KEY)
+    texts = own.select(F.col(KEY).alias("doc_id"), "text")
+    groups = store(ngram_join.ngram_groups(texts, words=5, percent=80), "groups").withColumnRenamed("doc_id", KEY)
+    gone = groups.filter(f"{KEY} <> component_id").select(KEY)
+    if not unique:
+        first = groups.filter("n_shingles > 0").join(own.select(KEY, "doc_id").distinct(), KEY).groupBy("component_id").agg(
+            F.min(F.struct("doc_id", KEY)).alias("first"))
+        gone = store(groups.join(first, "component_id").filter(F.col(KEY) != F.col(f"first.{KEY}")).select(KEY), "gone")
+    kept = chosen(own, gone, "left_anti", KEY)
+    repeated = store(groups.filter("n_shingles > 0").groupBy(KEY).count().filter("count > 1").select(KEY), "repeated")
+    if not repeated.isEmpty():
+        kept = chosen(kept, repeated, "left_anti", KEY).unionByName(chosen(kept, repeated, "left_semi", KEY).dropDuplicates([KEY]))
+    return kept.select(docs.columns)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
