@@ -400,3 +400,16 @@ def test_html_names_come_from_the_nearest_ancestors():
     path = html_text.blocks(deep)[0].path
     assert path.count("in:div") == html_text.ANCESTORS and "word:naa" not in path and "word:nrh" in path
     assert html_text.blocks("<main><p>text")[0].path == ("in:main", "in:p")
+
+
+def test_near_duplicates_of_clashing_ids(spark, data):
+    words = lambda seed, n=60: " ".join(f"w{random.Random(seed * 100 + i).randrange(5000)}" for i in range(n))
+    copied = words(1)
+    rows = [(5, copied), (5, words(2)), (7, copied + " end"), (7, words(3)), (7, words(3)), (9, words(4)), (3, words(2) + " more"),
+            (4, copied + " stop"), (4, words(6)), (None, copied), (None, None), (8, None), (8, words(8)), (8, "")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, data)
+    assert got.columns == docs.columns
+    want = [(4, copied + " stop"), (4, words(6)), (3, words(2) + " more"), (7, words(3)), (9, words(4)), (None, copied), (None, None),
+            (8, None), (8, words(8)), (8, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
