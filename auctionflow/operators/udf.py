@@ -21,7 +21,7 @@ def unary(df: DataFrame, logic: Callable[[pd.DataFrame], pd.DataFrame], schema:
 
 def binary(left: DataFrame, right: DataFrame, key: str, logic: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
            schema: str, max_group: int = 100_000, distributive: bool = False) -> DataFrame:
-    """Apply `logic(left rows, right rows)` to groups of whole keys, of about `max_group` left rows.
+    """Apply `logic(left rows, right rows)` to groups of whole keys, of about `max_group` rows of both sides.
 
     A group holds many small keys, so `logic` must join on the key itself. It gets all rows of its
     keys, however many a key has, and those have to fit in a task's memory.
@@ -31,7 +31,7 @@ def binary(left: DataFrame, right: DataFrame, key: str, logic: Callable[[pd.Data
     rows, which should be few per key (one auction, one person). Pieces follow from values and
     input partition, so a repeated task makes the same.
     """
-    groups = left.count() // max_group + 1
+    groups = (left.count() + right.count()) // max_group + 1
     if not distributive:
         group = F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).alias("_group")
         l, r = left.select("*", group), right.select("*", group)

@@ -339,6 +339,8 @@ ORACLE |= {
         SELECT {THIRD} AS third, date_trunc('milliseconds', max(date_time)) AS top FROM ebid GROUP BY 1),
         (SELECT d AS day, TIMESTAMP '2024-01-01' + CAST(d - 1 AS INT) * INTERVAL '1' DAY AS start FROM (SELECT unnest(range(1, 31)) AS d))
         UNION ALL SELECT 3, 31, false, false, true"""),
+    "stream_observe_metrics": _with("ebid", f"""SELECT {THIRD} AS batch, count(*) AS n, min(price) AS lowest, max(price) AS highest
+        FROM ebid GROUP BY 1"""),
     "capture_live": WINDOW_COUNT,
     "capture_progress": _with("ebid", """SELECT row_number() OVER (ORDER BY part) - 1 AS batch, n AS rows, CAST(0 AS BIGINT) AS late,
         max(top) OVER (ORDER BY part) - 345600000000 AS frontier FROM (SELECT (day(date_time) + auction % 3) // 8 AS part,

@@ -484,6 +484,17 @@ def observe_metrics(spark, d):
     return spark.createDataFrame([(m["n"], m["lowest"], m["highest"])], "n long, lowest long, highest long")
 
 
+def stream_observe(spark, d):
+    """The same per micro-batch of a stream, told with its progress while the rows go on to a sink."""
+    seen = []
+    stream = real(_thirds(spark, d).stream()).observe(
+        "bids", F.count("*").alias("n"), F.min("price").alias("lowest"), F.max("price").alias("highest"),
+        F.min("date_time").alias("first"), F.max("date_time").alias("last"))
+    run(stream, progress=seen)
+    rows = [(p.batchId, *(p.observedMetrics["bids"][c] for c in ("n", "lowest", "highest"))) for p in seen if p.numInputRows]
+    return spark.createDataFrame(rows, "batch long, n long, lowest long, highest long")
+
+
 STREAMS = {
     "stream_window_count": window_count, "stream_keyed_window_count": keyed_window_count,
     "stream_window_rank": window_rank, "stream_hot_items": hot_items, "stream_highest_bid": highest_bid,
@@ -499,5 +510,5 @@ STREAMS = {
     "stream_epochs": epochs, "stream_out_of_order": out_of_order, "stream_watermark": watermark,
     "progress_report": progress_report, "probe_answers": probe_answers, "capture_live": capture_live,
     "capture_progress": capture_progress, "stream_custom_source": custom_stream, "custom_source_pushdown": custom_pushdown, "stream_late_rows": late_rows, "capture_replay": capture_replay,
-    "foreach_batch_sink": foreach_batch_sink, "observe_metrics": observe_metrics,
+    "foreach_batch_sink": foreach_batch_sink, "observe_metrics": observe_metrics, "stream_observe_metrics": stream_observe,
 }

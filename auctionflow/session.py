@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -50,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType)
 _stored: dict[str, list[str]] = {}
 _tables: dict[str, str] = {}
 
@@ -153,10 +155,17 @@ def slots(spark: SparkSession) -> int:
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = 250_000) -> bool:
-    """True if `df` has at most `max_rows` rows. Looks for one row beyond them, a few partitions
-    at a time, so a large table is given up after its first ones."""
-    return not df.select(F.lit(1)).offset(max_rows).take(1)
+def fits_broadcast(df: DataFrame, max_rows: int = 250_000, max_bytes: int = 64 << 20) -> bool:
+    """True if `df` has at most `max_rows` rows, and what they hold at most `max_bytes`. Looks for one row beyond
+    them, a few partitions at a time, so a large table is given up after its first ones; only columns
+    without a fixed width are measured."""
+    if df.select(F.lit(1)).offset(max_rows).take(1):
+        return False
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, FIXED_WIDTH)]
+    if not wide:
+        return True
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide])))
+    return (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= max_bytes
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -150,3 +150,22 @@ def test_components_of_a_long_path_and_deep_groups(spark):
 
 def test_custom_source_is_planned_without_reading(spark, data):
     assert QUERIES["custom_source"](spark, data).count() > 0
+
+
+def test_groups_are_counted_from_both_sides(spark):
+    left = spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    right = spark.range(40_000).select((F.col("id") % 100).alias("k"), F.col("id").alias("w"))
+    sizes = U.binary(left, right, "k", lambda a, b: b.groupby(lambda _: 0).size().to_frame("n") if len(b) else b.assign(n=0)[["n"]], "n long", max_group=5000)
+    got = [r.n for r in sizes.collect()]
+    assert sum(got) == 40_000 and max(got) < 40_000 and len(got) > 3
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    from auctionflow.session import fits_broadcast
+    narrow = spark.range(1000)
+    wide = narrow.withColumn("s", F.repeat(F.lit("x"), 100_000))
+    assert fits_broadcast(narrow) and fits_broadcast(narrow.withColumn("s", F.lit("x")))
+    assert not fits_broadcast(wide) and not fits_broadcast(narrow, 999) and fits_broadcast(narrow.limit(0).withColumn("s", F.lit("x")))
+    big = spark.range(3000).select((F.col("id") % 1000).alias("k"))
+    joined = skew.skew_join(big, wide.withColumnRenamed("id", "j"), "k", "j")
+    assert joined.count() == 3000
