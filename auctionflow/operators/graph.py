@@ -160,6 +160,61 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return out.select(F.col("at")[0].cast(kind).alias("node"), F.col("parent")[0].cast(kind).alias("parent"))
 
 
+class Components(NamedTuple):
+    """Components under way: `nodes` (node, first: the component it came into) and `merged` (first, component: what
+    has become of it since; components that are as they were aren't there)."""
+
+    nodes: DataFrame
+    merged: DataFrame
+
+
+def _named(state: Components) -> DataFrame:
+    return state.nodes.join(state.merged, "first", "left").select("node", F.coalesce("component", "first").alias("component"))
+
+
+def start_components(edges: DataFrame) -> tuple[Components, DataFrame]:
+    """Components of a first table of edges, and (src, dst) of the edges that join them as a forest."""
+    nodes = connected_components(edges).select("node", F.col("component").alias("first"))
+    none = edges.sparkSession.createDataFrame([], "first long, component long")
+    forest = spanning_forest(edges).select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+    return Components(store_bucketed(nodes, ["node"], "components"), none), forest
+
+
+def add_edges(state: Components, edges: DataFrame) -> tuple[Components, DataFrame]:
+    """The components after more edges have come, and (src, dst) of those that joined two of them, as a forest.
+
+    Only the ends of the new edges are looked up; what is joined are components, by as many links as
+    there are new edges at most. Nodes stay where they are stored, new ones are added."""
+    ends = _ends(edges)
+    known = ends.join(state.nodes, "node", "left").join(state.merged, "first", "left").select(
+        "node", F.coalesce("component", "first", "node").alias("now"), F.col("first").isNull().alias("is_new"))
+    known = store(known, "ends")
+    links = edges.select("src", "dst")
+    for end, now in (("src", "a"), ("dst", "b")):
+        links = links.join(known.select(F.col("node").alias(end), F.col("now").alias(now)), end)
+    pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    links = store(links.filter("a <> b").groupBy(pair("a", "b").alias("pair")).agg(F.min(F.struct("src", "dst")).alias("edge"))
+                  .select("pair", "edge.src", "edge.dst"), "links")
+    between = links.select(F.col("pair.x").alias("src"), F.col("pair.y").alias("dst"))
+    joined = store(connected_components(between), "joined")
+    tree = spanning_forest(between).select(pair("node", "parent").alias("pair"))
+    forest = store(links.join(tree, "pair").select("src", "dst"), "forest")
+    # components that were merged before follow the one they went into
+    later = joined.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    before = state.merged.join(later, "component", "left").select("first", F.coalesce("into", "component").alias("component"))
+    first = joined.filter("node <> component").select(F.col("node").alias("first"), "component")
+    merged = store(before.unionByName(first.join(before, "first", "left_anti")), "merged")
+    fresh = known.filter("is_new").select("node", F.col("node").alias("first"))
+    nodes = store_bucketed(state.nodes.unionByName(fresh), ["node"], "components")
+    forget(state.nodes, state.merged, known, links, joined)
+    return Components(nodes, merged), forest
+
+
+def components(state: Components) -> DataFrame:
+    """(node, component) of what has come so far, each component by its smallest node."""
+    return _named(state)
+
+
 class Ranks(NamedTuple):
     """Ranks under way. `links` have src, dst, mult, pos and the number of links of src; `nodes` their rank, what their
     links give them now (`given`), and what they last gave (`share` to each link, one more to the first `extra`)."""

@@ -258,6 +258,17 @@ def components_one_graph(spark, d):
     return G.connected_components(S.order_edges(spark, d))
 
 
+def components_epochs(spark, d):
+    """The components after three epochs of edges, and how many edges joined two components when they came."""
+    edges = S.order_edges(spark, d)
+    epoch = F.pmod(F.col("src") + F.col("dst"), F.lit(3))
+    state, joining = G.start_components(edges.filter(epoch == 0))
+    for i in (1, 2):
+        state, more = G.add_edges(state, edges.filter(epoch == i))
+        joining = joining.unionByName(more)
+    return G.components(state).withColumn("joining", joining.agg(F.count("*")).scalar())
+
+
 def spanning_forest(spark, d):
     return G.spanning_forest(S.owner_edges(spark, d))
 
@@ -368,7 +379,7 @@ QUERIES = {
     "extract_by_time": extract_by_time, "latency_ccdf": latency_ccdf, "latency_timeline": latency_timeline,
     "collatz_steps": collatz_steps, "collatz_two_loops": collatz_two_loops, "iterate_bounded": iterate_bounded,
     "bfs_levels": bfs_levels, "connected_components": connected_components,
-    "components_one_graph": components_one_graph, "spanning_forest": spanning_forest,
+    "components_one_graph": components_one_graph, "components_epochs": components_epochs, "spanning_forest": spanning_forest,
     "pagerank_rounds": pagerank_rounds, "pagerank_changed": pagerank_changed,
     "udf_map_batches": udf_map_batches, "cogroup_udf": cogroup_udf, "udaf_fold": udaf_fold,
     "udtf_explode": udtf_explode, "kafka_sink_encode": kafka_sink_encode, "kafka_source": kafka_source,

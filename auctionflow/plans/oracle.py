@@ -228,6 +228,8 @@ ORACLE = {
             min(CASE WHEN p.depth = f.depth - 1 THEN p.node END) END AS parent
         FROM f LEFT JOIN u ON u.dst = f.node LEFT JOIN f p ON p.node = u.src GROUP BY f.node, f.depth""",
     "connected_components": _graph("owner") + "SELECT node, component FROM comp",
+    "components_epochs": _graph("edge") + """SELECT node, component, (SELECT count(*) - count(DISTINCT component) FROM comp) AS joining
+        FROM comp""",
     "components_one_graph": _graph("edge") + "SELECT node, component FROM comp",
     "spanning_forest": """WITH e AS (SELECT o_custkey * 2 AS c, o_orderkey * 2 + 1 AS o FROM orders),
         root AS (SELECT c, least(c, min(o)) AS root FROM e GROUP BY c)

@@ -438,8 +438,8 @@ def custom_stream(spark, d):
     rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(path)
     out, mark, marks = (new_path(spark, x) for x in ("sink", "progress", "marks"))
     for limit in (n // 2, None):
-        register(own, "event_feed", ParquetFeed(path, rows.schema, rows=-(-n // 20), limit=limit))
-        stream = own.readStream.format("event_feed").option("ahead", -(-n // 5)).option("marks", marks).load()
+        register(own, "event_feed", ParquetFeed(path, rows.schema, rows=n // 20 + 1, limit=limit))
+        stream = own.readStream.format("event_feed").option("ahead", n // 5 + 1).option("marks", marks).load()
         got = run(stream, path=out, checkpoint=mark, until_idle=True)
     return plain(got)
 

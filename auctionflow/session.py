@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,6 +169,18 @@ def fits_broadcast(df: DataFrame, max_rows: int = 250_000, max_bytes: int = 64 <
     return (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= max_bytes
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside sends at most `rows` rows to Python at a time; for rows that are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use all cores on a scan that has fewer splits than cores; larger scans stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

@@ -56,6 +56,8 @@ class _Piece(InputPartition):
 
 def open_store(path: str) -> tuple[pa.fs.FileSystem, str]:
     """A file system for a path, and the path in it; for tasks and sources, which have no session."""
+    if path.startswith("file:"):  # with one slash or three
+        return pa.fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
     return pa.fs.FileSystem.from_uri(path) if ":/" in path else (pa.fs.LocalFileSystem(), path)
 
 
@@ -127,7 +129,8 @@ class _Stream(DataSourceStreamReader):
 
 
 def register(spark: SparkSession, name: str, feed: Feed) -> None:
-    """Make `feed` a format of `spark.read` and `spark.readStream`; it travels with the tasks.
+    """Make `feed` a format of `spark.read` and `spark.readStream`; it travels with the tasks. The session is
+    set to push filters down to Python sources.
 
     A schema that names some of its columns reads only those. Options of a stream: `ahead`, the most
     places it may be beyond what has been processed, and `marks`, a folder that belongs to the query. A

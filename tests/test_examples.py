@@ -415,6 +415,25 @@ def test_quiet_nodes_send_nothing(spark):
     assert 0 < sends(G.run_ranks(changed, 3)) <= 8
 
 
+def test_components_of_growing_graphs(spark):
+    rng = random.Random(7)
+    frame = lambda e: spark.createDataFrame(e, "src long, dst long")
+    epochs = [[(rng.randrange(120), rng.randrange(120)) for _ in range(n)] for n in (40, 30, 1, 50)] + [[(200, 201), (5, 5), (200, 200)]]
+    state, forest = G.start_components(frame(epochs[0]))
+    kept = rows(forest)
+    for k, edges in enumerate(epochs[1:], 2):
+        state, forest = G.add_edges(state, frame(edges))
+        new = rows(forest)
+        assert set(new) <= set(edges)
+        kept += new
+        seen = [e for part in epochs[:k] for e in part]
+        want = roots_of(seen)
+        assert rows(G.components(state)) == sorted(want.items())
+        # the edges given out so far are a forest of the same components
+        assert len(kept) == len(want) - len(set(want.values()))
+        assert {n: r for n, r in roots_of(kept).items()} == {n: r for n, r in want.items() if list(want.values()).count(r) > 1}
+
+
 def test_pagerank_model(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(12), rng.randrange(15)) for _ in range(60)]
