@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from auctionflow.llm.common import LOWER, M1, M2, M3, Hashed, batch, chosen, lists, mix, pick, word_hashes
 from auctionflow.operators.graph import connected_components
-from auctionflow.session import forget, store
+from auctionflow.session import arrow_rows, forget, store
 
 BITS = 1024          # of a signature at least
 BLOCK = 1024         # documents of one tile that meet in one task at a time
+TEXTS, PAIRS = 1000, 250   # documents, and pairs of sets, that are sent to Python at a time
 BAND_GROWTH = 1.3    # upper size of a band over that of the band below
 
 SIGNED = pa.schema([
@@ -106,8 +107,8 @@ def sign(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
 
         seen, bands = Hashed(), Bands(percent)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
                 sets = [grams(t.as_py(), words, seen) for t in part.column(1)]
                 sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8")
                 yield batch(SIGNED, doc_id=part.column(0), n_shingles=[len(s) for s in sets], set_a=sums[::2],
@@ -180,10 +181,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """Of the pairs (a, b) those that link; only their documents are cut into n-grams again."""
     pairs = kept = store(pairs, "pairs")
     needed = store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    sets = store(_gram_sets(chosen(texts, needed, "left_semi"), words), "grams")
+    with arrow_rows(texts.sparkSession, TEXTS):
+        sets = store(_gram_sets(chosen(texts, needed, "left_semi"), words), "grams")
     for side in "ba":
         pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("grams").alias(f"grams_{side}")), side)
-    found = store(_overlaps(pairs, percent).distinct(), "links")
+    with arrow_rows(texts.sparkSession, PAIRS):
+        found = store(_overlaps(pairs, percent).distinct(), "links")
     forget(kept, needed, sets)
     return found
 
@@ -319,7 +322,8 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc
     need no link of their own.
     """
     texts = _ids(docs, id_col, text_col)
-    signs = store(sign(docs, words, percent, id_col, text_col), "signs")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        signs = store(sign(docs, words, percent, id_col, text_col), "signs")
     sets = ["n_shingles", "set_a", "set_b"]
     reps = store(signs.filter("n_shingles > 0").groupBy(*sets).agg(
         F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n_equal")), "reps")

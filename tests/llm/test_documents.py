@@ -1,11 +1,13 @@
 """Operators over documents against brute-force versions, and their defined results on odd rows."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from auctionflow.llm import language, lm_score, merkle, ngram_join, packing, repeats
 from tests.llm.conftest import LONG
@@ -491,3 +493,66 @@ def test_packing_keeps_documents_whole_and_in_their_tier():
     assert whole > 0.8 and own > 0.8
     for _ in range(200):
         packed([int(n) for n in draw.integers(1, draw.choice([3, 130, 600, 3000]), draw.integers(0, 40))], int(draw.choice([500, 5000, 1 << 20])))
+
+
+def _print(text):
+    """The fingerprint of a text, level by level, and its leaves."""
+    hashed = lambda s, n: hashlib.sha256(s.encode()).hexdigest()[:n]
+    paragraphs, leaves = [], []
+    for line in text.split("\n"):
+        own = []
+        for m in re.finditer(r"\s*(?:\S*[^\s.!?]\s+){0,3}\S+|\s+\Z", line, re.A):
+            own.append(f"{xxhash.xxh64_intdigest(m[0].encode(), seed=42):016x}")
+        paragraphs.append(hashed(",".join(own), 32))
+        leaves += own
+    sections, part = [], []
+    for i, p in enumerate(paragraphs):
+        part.append(p)
+        if p[0] == "0" or i + 1 == len(paragraphs):
+            sections.append(hashed(",".join(part), 64))
+            part = []
+    leaves = [x[:8] for x in leaves]
+    return "/".join([hashed(",".join(sections), 64), ",".join(s[:16] for s in sections), ",".join(leaves)]), leaves
+
+
+def test_fingerprints_equal_trees_built_anew(spark, tables):
+    texts = [(i, t or "") for i, t in _pairs(tables["documents"]) if i % 7 == 0]
+    texts += [(10_000 + i, t) for i, t in enumerate(["", " ", "one", "a b c d e. f\n\n g! h\n", "\n" * 40, "é ü.\tx\r\nß " * 30])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in merkle.compared(docs).collect()}
+    ordered = sorted(texts, reverse=True)
+    like = lambda a, b: 1.0 if a[0].split("/")[0] == b[0].split("/")[0] else (
+        2 * len(set(a[1] or [""]) & set(b[1] or [""])) / (len(set(a[1] or [""])) + len(set(b[1] or [""]))))
+    for k, (i, text) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        half = len(text) // 2
+        own, edited, following = _print(text), _print(text[:len(text) - half] + after[:half]), _print(after)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (own[0], edited[0]), text
+        assert abs(got[i]["near_edited"] - like(own, edited)) < 1e-9 and abs(got[i]["near_next"] - like(own, following)) < 1e-9
+
+
+def test_language_equals_a_score_worked_out_gram_by_gram(tables):
+    """Every prediction from its definition: n-grams of letters, their buckets, TF-IDF, weights, temperature."""
+    docs = tables["documents"]
+    model = language.train(docs)
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+
+    def bucket(gram):
+        value = 0
+        for c in gram:
+            value = (value + ord(c)) * 0x9E3779B1 % 2**32
+            value ^= value >> 15
+        return (value * 0x85EBCA6B % 2**32) >> 16
+
+    for i, text in _pairs(docs):
+        spaced = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip() + " "
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        n = Counter(bucket(spaced[j:j + k]) for k in (1, 2, 3) for j in range(len(spaced) - k + 1))
+        x = {b: (1 + np.log(c)) * model.idf[b] for b, c in n.items()}
+        size = np.sqrt(sum(v * v for v in x.values()))
+        scores = sum(v / size * model.weights[b] for b, v in x.items()) + model.weights[language.BUCKETS]
+        p = np.exp((scores - scores.max()) / model.scale)
+        p /= p.sum()
+        assert got[i]["lang_pred"] == model.languages[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-6
