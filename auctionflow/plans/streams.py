@@ -173,7 +173,7 @@ def ordered_steps(spark, d):
 
 
 def unary_notify(spark, d):
-    """Events counted per user and day, given out when the day is over."""
+    """Events counted per user and day, given out when the day is over; a count needs no order."""
     def on_rows(key, rows, seen):
         return None, (len(rows) + (seen[0] if seen else 0),), [(key[1] + 1) * DAY * 1000]
 
@@ -181,12 +181,12 @@ def unary_notify(spark, d):
         return pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "n": [seen[0]]}), None, []
 
     rows = _read(_events(spark, d)).select("user_id", int_div(F.unix_micros("ts"), F.lit(DAY * 1_000_000)).alias("day"), "ts")
-    out = run(state.notify(rows, ["user_id", "day"], "n long", "user_id long, day long, n long", on_rows, on_timer, "ts"))
+    out = run(state.notify(rows, ["user_id", "day"], "n long", "user_id long, day long, n long", on_rows, on_timer))
     return out.filter("day >= 0 AND user_id >= 0")
 
 
 def binary_notify(spark, d):
-    """Bids and auctions per auction number, counted on both sides until the end of the streams."""
+    """Bids and auctions per auction number, counted on both sides until the end of the streams, in any order."""
     def on_rows(key, rows, seen):
         left, right = seen or (0, 0)
         n = int(rows["is_left"].sum())
@@ -197,7 +197,7 @@ def binary_notify(spark, d):
 
     bids = _read(_bids(spark, d)).select("auction", "date_time")
     auctions = _read(_auctions(spark, d)).select(F.col("id").alias("auction"), "date_time")
-    out = run(state.notify_two(bids, auctions, ["auction"], "bids long, auctions long", "auction long, bids long, auctions long", on_rows, on_timer, "date_time"))
+    out = run(state.notify_two(bids, auctions, ["auction"], "bids long, auctions long", "auction long, bids long, auctions long", on_rows, on_timer))
     return out.filter("auction >= 0")
 
 
