@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs
@@ -59,9 +60,23 @@ def register_sink(spark: SparkSession, name: str, outlet: Outlet) -> None:
         def streamWriter(self, schema, overwrite):
             return Writer()
 
-    # the name of a sink is looked up in the session that is active in this thread
-    for session in {id(x): x for x in (spark, SparkSession.getActiveSession()) if x is not None}.values():
-        session.dataSource.register(Sink)
+    spark.dataSource.register(Sink)
+
+
+@contextmanager
+def active(spark: SparkSession) -> Iterator[None]:
+    """The name of a sink is looked up in the session that the JVM holds active in this thread, which can be any or none:
+    inside, it is `spark`."""
+    sessions = spark.sparkContext._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)
+    try:
+        yield
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
+        else:
+            sessions.clearActiveSession()
 
 
 class TaggedFiles(Outlet):
@@ -119,8 +134,9 @@ def run_outputs(stream: DataFrame, outputs: dict[str, str], folder: str | None =
     probe(spark)
     name = "files_" + uuid.uuid4().hex
     register_sink(spark, name, TaggedFiles(folder, "output"))
-    query = (stream.writeStream.format(name).option("checkpointLocation", checkpoint or new_path(spark, "progress"))
-             .outputMode("append").trigger(**(trigger or _trigger(until_idle))).start())
+    with active(spark):
+        query = (stream.writeStream.format(name).option("checkpointLocation", checkpoint or new_path(spark, "progress"))
+                 .outputMode("append").trigger(**(trigger or _trigger(until_idle))).start())
     _finish(spark, query, allow_late, None, until_idle)
     own = getattr(spark, "_base", spark)
     return {tag: committed(own, folder, tag, schema) for tag, schema in outputs.items()}

@@ -402,3 +402,19 @@ def test_state_handles(spark):
     assert {r.seen for r in got.filter("key = 1").collect()} == {
         "[(('a', 2), (12,)), (('a', 7), (1,))]", "(True, (5,), False)", "(3, None, 9)",
         "((3, 'xy'), (3, 'xy'), (3, 'xy'), None)", "([(1,), (2,), (3,)], [(1,), (2,), (3,)], [])"}
+
+
+def test_a_sink_is_found_whatever_session_is_active(spark, tmp_path):
+    own, other = stream_session(spark), spark.newSession()
+    path = new_path(spark, "in")
+    spark.createDataFrame([("a", 1)], "output string, n long").coalesce(1).write.parquet(path)
+    stream = own.readStream.schema("output string, n long").parquet(path)
+    sessions = spark.sparkContext._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    for change in (lambda: sessions.setActiveSession(other._jsparkSession), sessions.clearActiveSession):
+        change()
+        try:
+            tables = files.run_outputs(stream, {"a": "n long"})
+        finally:
+            sessions.setActiveSession(before.get() if before.isDefined() else spark._jsparkSession)
+        assert rows_of(tables["a"]) == [1]
