@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from auctionflow.streaming.ordered import in_order
-
-EPOCH = pd.Timestamp(0)
+from auctionflow.streaming.ordered import in_order, together
 
 
 def running_sum(stream: DataFrame) -> DataFrame:
@@ -76,134 +74,52 @@ def hold(stream: DataFrame) -> DataFrame:
     return in_order(held, ["key"], "due", ["id"], None, "id long, ts timestamp", release)
 
 
-class AuctionClose(StatefulProcessor):
-    """The best valid bid per auction, given out when the watermark passes the expiry.
+NO_BID = -(2**62)  # the time of the best bid of an auction without one
+BID = ["price", "time", "bidder"]
 
-    Bids that come before their auction wait. If the watermark passes a bid whose auction has
-    not come, no auction that could accept it can follow, and it is dropped.
-    """
 
-    FIELDS = ["opened", "expires", "reserve", "seller", "category", "price", "time", "bidder"]
+def _best_bids(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """The auctions with their best valid bid so far, and the bids whose auction has not come."""
+    both = pd.concat([state, rows[[c for c in state.columns if c != "timer"]].assign(timer=0)], ignore_index=True) if len(state) else rows.assign(timer=0)
+    auctions = both[both["is_auction"]].drop_duplicates("auction", keep="last")
+    known = both["auction"].isin(auctions["auction"])
+    offers = both.loc[known & (both["time"] != NO_BID), ["auction", *BID]].merge(auctions.drop(columns=BID), on="auction")
+    valid = (offers["price"] >= offers["reserve"]) & (offers["time"] >= offers["opened"]) & (offers["time"] < offers["expires"])
+    best = offers[valid].sort_values(BID, ascending=[False, True, True]).drop_duplicates("auction")
+    none = auctions[~auctions["auction"].isin(best["auction"])].assign(price=-1, time=NO_BID, bidder=-1)
+    early = both[~known]
+    opened = pd.concat([best, none], ignore_index=True)
+    return pd.concat([opened.assign(timer=-(-opened["expires"] // 1000)), early.assign(timer=early["time"] // 1000 + 1)], ignore_index=True)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.auction = handle.getValueState(
-            "auction", "opened long, expires long, reserve long, seller long, category long")
-        self.best = handle.getValueState("best", "price long, time long, bidder long")
-        self.early = handle.getListState("early", "price long, time long, bidder long")
-
-    @staticmethod
-    def _better(best, bids, auction):
-        """The best of `best` and the valid ones of `bids`."""
-        opened, expires, reserve = auction[:3]
-        valid = [b for b in bids if b[0] >= reserve and opened <= b[1] < expires]
-        return max(valid if best is None else [best, *valid], key=lambda b: (b[0], -b[1], -b[2]), default=None)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        auction = tuple(self.auction.get()) if self.auction.exists() else None
-        best = tuple(self.best.get()) if self.best.exists() else None
-        known, last_early = auction is not None, None
-        for batch in rows:
-            is_auction = batch["is_auction"].to_numpy()
-            values = batch[self.FIELDS].to_numpy()
-            for a in values[is_auction].tolist():
-                auction = tuple(a[:5])
-            bids = [tuple(b[5:]) for b in values[~is_auction].tolist()]
-            if auction is not None:
-                best = self._better(best, bids, auction)
-            elif bids:
-                self.early.appendList(bids)
-                last_early = max(last_early or 0, max(b[1] for b in bids))
-        if auction is None:
-            self.handle.registerTimer(last_early // 1000 + 1)
-            return iter([])
-        if not known:
-            self.auction.update(auction)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(auction[1] // 1000)
-            if self.early.exists():
-                best = self._better(best, (tuple(b) for b in self.early.get()), auction)
-                self.early.clear()
-        if best is not None:
-            self.best.update(best)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.auction.exists():
-            waiting = [tuple(b) for b in self.early.get() if b[1] // 1000 >= expiredTimerInfo.getExpiryTimeInMs()]
-            if waiting:
-                self.early.put(waiting)
-            else:
-                self.early.clear()
-            return
-        if self.best.exists():
-            a, b = self.auction.get(), self.best.get()
-            yield pd.DataFrame({
-                "auction": [key[0]], "seller": [a[3]], "category": [a[4]],
-                "expires": [EPOCH + pd.Timedelta(a[1], "us")], "price": [b[0]], "bidder": [b[2]],
-                "bid_time": [EPOCH + pd.Timedelta(b[1], "us")]})
-            self.best.clear()
-        self.auction.clear()
-
-    def close(self) -> None:
-        pass
+def _close_auctions(due: pd.DataFrame) -> pd.DataFrame:
+    won = due[due["is_auction"] & (due["time"] != NO_BID)]
+    at = lambda us: pd.to_datetime(us, unit="us").astype("datetime64[ns]")
+    return pd.DataFrame({"auction": won["auction"], "seller": won["seller"], "category": won["category"], "expires": at(won["expires"]),
+                         "price": won["price"], "bidder": won["bidder"], "bid_time": at(won["time"])})
 
 
 def closing_auctions(auctions: DataFrame, bids: DataFrame) -> DataFrame:
-    """The winning bid of each auction as a stream; both inputs carry a watermark on date_time."""
+    """The winning bid of each auction as a stream; both inputs carry a watermark on date_time.
+
+    The best valid bid is given out when the watermark passes the expiry. Bids that come before their auction
+    wait. If the watermark passes a bid whose auction has not come, no auction that could accept it can
+    follow, and it is dropped.
+    """
     # columns of the other kind hold -1: without NULLs they stay integers in Arrow and pandas
-    unused = [F.lit(-1).cast("bigint").alias(f) for f in AuctionClose.FIELDS]
-    a = auctions.select(
+    fill = lambda *names: [F.lit(-1).cast("bigint").alias(n) for n in names]
+    a = auctions.filter("id IS NOT NULL AND date_time IS NOT NULL AND expires IS NOT NULL AND reserve IS NOT NULL").select(
         F.col("id").alias("auction"), "date_time", F.lit(True).alias("is_auction"), F.unix_micros("date_time").alias("opened"),
-        F.unix_micros("expires").alias("expires"), "reserve", "seller", "category", *unused[5:])
-    b = bids.select(
-        "auction", "date_time", F.lit(False).alias("is_auction"), *unused[:5], "price",
+        F.unix_micros("expires").alias("expires"), "reserve", "seller", "category", *fill("price"),
+        F.lit(NO_BID).cast("bigint").alias("time"), *fill("bidder"))
+    b = bids.filter("auction IS NOT NULL AND date_time IS NOT NULL AND price IS NOT NULL").select(
+        "auction", "date_time", F.lit(False).alias("is_auction"), *fill("opened", "expires", "reserve", "seller", "category"), "price",
         F.unix_micros("date_time").alias("time"), "bidder")
-    return a.unionByName(b).groupBy("auction").transformWithStateInPandas(
-        AuctionClose(),
+    return together(
+        a.unionByName(b), ["auction"], "auction long, is_auction boolean, opened long, expires long, reserve long, seller long, "
+        "category long, price long, time long, bidder long, timer long",
         "auction long, seller long, category long, expires timestamp, price long, bidder long, bid_time timestamp",
-        "Append", "EventTime")
-
-
-class UserLogic(StatefulProcessor):
-    """Functions of the user's for the rows and the timers of a key, with one state value per key."""
-
-    def __init__(self, state: str, on_rows, on_timer=None):
-        self.schema, self.on_rows, self.on_timer = state, on_rows, on_timer
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", self.schema)
-
-    def _keep(self, state: tuple | None, timers) -> None:
-        if state is None:
-            self.state.clear()
-        else:
-            self.state.update(tuple(state))
-        for ms in timers:
-            self.handle.registerTimer(int(ms))
-
-    def _before(self) -> tuple | None:
-        return tuple(self.state.get()) if self.state.exists() else None
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            out, state, timers = self.on_rows(key, batch, self._before())
-            self._keep(state, timers)
-            if out is not None and len(out):
-                yield out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.on_timer is None:
-            return
-        out, state, timers = self.on_timer(key, expiredTimerInfo.getExpiryTimeInMs(), self._before())
-        self._keep(state, timers)
-        if out is not None and len(out):
-            yield out
-
-    def close(self) -> None:
-        pass
+        _best_bids, _close_auctions)
 
 
 def notify(stream: DataFrame, keys: Sequence[str], state: str, schema: str, on_rows: Callable, on_timer: Callable | None = None,
@@ -216,11 +132,9 @@ def notify(stream: DataFrame, keys: Sequence[str], state: str, schema: str, on_r
     With `time`, rows and timers come in event-time order (see `in_order`). Without, rows come as they
     arrive: in the order of files and of chunks, which only logic may use that doesn't depend on it;
     then no watermark is needed unless there is `on_timer`. A key's state is in one task.
+    For very many small keys see `ordered.together`.
     """
-    if time is not None:
-        return in_order(stream, keys, time, order, state, schema, on_rows, on_timer)
-    mode = "EventTime" if on_timer else "None"
-    return stream.groupBy(*keys).transformWithStateInPandas(UserLogic(state, on_rows, on_timer), schema, "Append", mode)
+    return in_order(stream, keys, time, order, state, schema, on_rows, on_timer)
 
 
 def notify_two(left: DataFrame, right: DataFrame, keys: Sequence[str], state: str, schema: str, on_rows: Callable,

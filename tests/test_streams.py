@@ -404,6 +404,40 @@ def test_state_handles(spark):
         "((3, 'xy'), (3, 'xy'), (3, 'xy'), None)", "([(1,), (2,), (3,)], [(1,), (2,), (3,)], [])"}
 
 
+def test_keys_share_their_state(spark):
+    """Very many small keys are kept in a bounded number of entries."""
+    rows = spark.range(6000).select((F.col("id") % 3000).alias("user_id"), "id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).alias("ts"), F.col("id").alias("value"))
+    e = Epochs(rows, "ts", epochs=2, closing=90 * DAY)
+    seen = []
+    got = run(state.running_sum(e.stream().select(F.col("user_id").alias("key"), "id", "ts", "value")), progress=seen)
+    want = {(i % 3000, i): i if i < 3000 else 2 * i - 3000 for i in range(6000)}
+    assert {(r.key, r.id): r.running for r in got.filter("key >= 0").collect()} == want
+    assert max(s.numRowsTotal for p in seen for s in p.stateOperators) < 2.5 * 3000  # five a key before
+
+
+def test_many_keys_are_handled_together(spark):
+    rows = [(i % 900, i, START_OF + datetime.timedelta(seconds=i), "") for i in range(1800)]
+
+    def on_rows(rows, kept):
+        new = pd.concat([kept[["key", "n"]], rows[["key"]].assign(n=1)]).groupby("key", as_index=False)["n"].sum()
+        return new.assign(timer=1_800_000_000_000 + new["key"])
+
+    stream = _laid_down(spark, rows[::-1], ORDERED, 2).withWatermark("ts", "1 hour")
+    seen = []
+    got = run(ordered.together(stream, ["key"], "key long, n long, timer long", "key long, n long", on_rows, lambda due: due[["key", "n"]]), progress=seen)
+    assert sorted(map(tuple, got.filter("key >= 0").collect())) == [(k, 2) for k in range(900)]
+
+
+def test_ticks_are_kept_in_pieces(spark):
+    """As many ticks as rows, in three shards: their state does not hold them one by one."""
+    rows = [(1, i, START_OF + datetime.timedelta(seconds=i), "") for i in range(3000)]
+    both = [_laid_down(spark, rows, ORDERED, 2).withWatermark("ts", "0 seconds") for _ in range(2)]
+    seen = []
+    got = run(ordered.reclock(both[0].select("id", "ts"), both[1].select((F.col("ts") + F.expr("INTERVAL '500' MILLISECOND")).alias("ts")), "ts", "tick", shards=3), progress=seen)
+    assert all((r.tick - r.ts).total_seconds() == 0.5 for r in got.collect()) and got.count() >= 3000
+    assert max(s.numRowsTotal for p in seen for s in p.stateOperators) < 100
+
+
 def test_a_sink_is_found_whatever_session_is_active(spark, tmp_path):
     own, other = stream_session(spark), spark.newSession()
     path = new_path(spark, "in")
