@@ -174,30 +174,27 @@ def ordered_steps(spark, d):
 
 def unary_notify(spark, d):
     """Events counted per user and day, given out when the day is over; a count needs no order."""
-    def on_rows(key, rows, seen):
-        return None, (len(rows) + (seen[0] if seen else 0),), [(key[1] + 1) * DAY * 1000]
-
-    def on_timer(key, ms, seen):
-        return pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "n": [seen[0]]}), None, []
+    def on_rows(rows, seen):
+        new = rows[["user_id", "day"]].assign(n=1)
+        n = pd.concat([seen[["user_id", "day", "n"]], new]).groupby(["user_id", "day"], as_index=False)["n"].sum()
+        return n.assign(timer=(n["day"] + 1) * DAY * 1000)
 
     rows = _read(_events(spark, d)).select("user_id", int_div(F.unix_micros("ts"), F.lit(DAY * 1_000_000)).alias("day"), "ts")
-    out = run(state.notify(rows, ["user_id", "day"], "n long", "user_id long, day long, n long", on_rows, on_timer))
+    out = run(ordered.together(rows, ["user_id", "day"], "user_id long, day long, n long, timer long", "user_id long, day long, n long",
+                               on_rows, lambda due: due[["user_id", "day", "n"]]))
     return out.filter("day >= 0 AND user_id >= 0")
 
 
 def binary_notify(spark, d):
     """Bids and auctions per auction number, counted on both sides until the end of the streams, in any order."""
-    def on_rows(key, rows, seen):
-        left, right = seen or (0, 0)
-        n = int(rows["is_left"].sum())
-        return None, (left + n, right + len(rows) - n), [FAR_AHEAD]
-
-    def on_timer(key, ms, seen):
-        return pd.DataFrame({"auction": [key[0]], "bids": [seen[0]], "auctions": [seen[1]]}), None, []
-
-    bids = _read(_bids(spark, d)).select("auction", "date_time")
-    auctions = _read(_auctions(spark, d)).select(F.col("id").alias("auction"), "date_time")
-    out = run(state.notify_two(bids, auctions, ["auction"], "bids long, auctions long", "auction long, bids long, auctions long", on_rows, on_timer))
+    def on_rows(rows, seen):
+        new = pd.DataFrame({"auction": rows["auction"], "bids": rows["is_bid"].astype("int64"), "auctions": 1 - rows["is_bid"].astype("int64")})
+        return pd.concat([seen[["auction", "bids", "auctions"]], new]).groupby("auction", as_index=False).sum().assign(timer=FAR_AHEAD)
+
+    bids = _read(_bids(spark, d)).select("auction", "date_time", F.lit(True).alias("is_bid"))
+    auctions = _read(_auctions(spark, d)).select(F.col("id").alias("auction"), "date_time", F.lit(False).alias("is_bid"))
+    out = run(ordered.together(bids.unionByName(auctions), ["auction"], "auction long, bids long, auctions long, timer long",
+                               "auction long, bids long, auctions long", on_rows, lambda due: due[["auction", "bids", "auctions"]]))
     return out.filter("auction >= 0")
 
 
