@@ -200,10 +200,12 @@ def binary_notify(spark, d):
 
 def delay_rows(spark, d):
     later = F.col("ts") + F.expr("make_dt_interval(0, CAST(user_id - 75 AS INT))")
-    rows = _read(_events(spark, d)).select(
+    events = zoned(S.table(spark, d, "events"), "ts")
+    longest = events.agg(F.max(F.col("user_id") - 75)).first()[0] or 0  # hours, as the last row must pass them all
+    rows = _read(Epochs(events, "ts", closing=90 * DAY + max(0, longest) * 3600)).select(
         F.pmod("event_id", F.lit(1024)).alias("key"), F.col("event_id").alias("id"), "ts",
         later.alias("new_ts"))
-    return plain(run(state.hold(rows))).withColumnRenamed("id", "event_id")
+    return plain(run(state.hold(rows))).withColumnRenamed("id", "event_id").filter("event_id >= 0")
 
 
 def reclock(spark, d):

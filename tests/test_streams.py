@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from auctionflow.operators import joins as J
 from auctionflow.operators import verify as V
 from auctionflow.operators import windows as W
+from auctionflow.plans import streams
 from auctionflow.session import new_path
 from auctionflow.sources import tables as S
 from auctionflow.sources.custom import Feed, ParquetFeed, register
@@ -452,3 +453,11 @@ def test_a_sink_is_found_whatever_session_is_active(spark, tmp_path):
         finally:
             sessions.setActiveSession(before.get() if before.isDefined() else spark._jsparkSession)
         assert rows_of(tables["a"]) == [1]
+
+
+def test_rows_that_are_delayed_beyond_the_end_leave(spark, tmp_path):
+    """A delay of 372 days, and times in whole milliseconds, at which the closing row would leave too."""
+    rows = [(i, START_OF + datetime.timedelta(seconds=i), (9000, 3, 80)[i % 3]) for i in range(30)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.ts for r in streams.delay_rows(spark, str(tmp_path)).collect()}
+    assert got == {i: at + datetime.timedelta(hours=max(0, user - 75)) for i, at, user in rows}
