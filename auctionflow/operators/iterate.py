@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auctionflow.session import cut
+from auctionflow.session import cut, store
+
+MOST = (2**63 - 2) // 3  # of which three times and one more is a long
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], active: Column | None = None,
@@ -41,15 +45,32 @@ def collatz_steps(starts: DataFrame, column: str, per_round: int = 128) -> DataF
 
     A start below 1, from which 1 is never reached, fails the query."""
     starts = _positive(starts, column)
-    turn = lambda s, _: F.when(s.x == 1, s).otherwise(F.struct(
-        F.when(s.x % 2 == 0, F.shiftright(s.x, 1)).otherwise(s.x * 3 + 1).alias("x"),
-        (s.steps + 1).alias("steps")))
-    many = F.aggregate(F.sequence(F.lit(1), F.lit(per_round)), F.col("s"), turn)
-    state = starts.select(column).distinct().select(
-        F.col(column), F.struct(F.col(column).cast("bigint").alias("x"),
-                                F.lit(0).cast("bigint").alias("steps")).alias("s"))
-    end = iterate(state, lambda d: d.select(column, many.alias("s")), F.col("s.x") != 1)
-    return end.select(column, F.col("s.steps").alias("steps"))
+    def many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x, steps = rows["x"].to_numpy(copy=True), rows["steps"].to_numpy(copy=True)
+            at = np.flatnonzero(x != 1)
+            for _ in range(per_round):
+                if not len(at):
+                    break
+                v = x[at]
+                odd = v % 2 == 1
+                if (v[odd] > MOST).any():
+                    raise OverflowError("a number is beyond 64 bits")
+                x[at] = v = np.where(odd, v * 3 + 1, v >> 1)
+                steps[at] += 1
+                at = at[v != 1]
+            yield pd.DataFrame({"start": rows["start"], "x": x, "steps": steps})
+
+    column_type = starts.schema[column].dataType
+    left = starts.select(F.col(column).cast("bigint").alias("start")).distinct().select(
+        "start", F.col("start").alias("x"), F.lit(0).cast("bigint").alias("steps"))
+    over = left.filter("x = 1")
+    left = left.filter("x <> 1")
+    while True:  # numbers that have got to 1 are left where they are
+        turned = store(left.mapInPandas(many, "start long, x long, steps long"), "collatz")
+        over, left = over.unionByName(turned.filter("x = 1")), turned.filter("x <> 1")
+        if left.isEmpty():
+            return over.select(F.col("start").cast(column_type).alias(column), "steps")
 
 
 def collatz_two_loops(starts: DataFrame, column: str, turns: int = 10) -> DataFrame:

@@ -512,3 +512,9 @@ def test_stored_tables_can_be_dropped(tmp_path, spark):
         assert session.drop_stored(spark) == 1
     finally:
         session._stored[spark.sparkContext.applicationId] = kept
+
+
+def test_collatz_rounds_leave_what_is_done_and_notice_overflow(spark):
+    assert sorted(map(tuple, I.collatz_steps(spark.createDataFrame([(1,), (27,), (27,), (None,)], "n int"), "n", per_round=10).collect())) == [(1, 0), (27, 111)]
+    with pytest.raises(Exception, match="64 bits"):
+        I.collatz_steps(spark.createDataFrame([(2**62 + 1,)], "n long"), "n").collect()
