@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auctionflow.functions import int_div
-from auctionflow.operators.running import expand, running, trailing
+from auctionflow.operators.running import PIECE, expand, running, trailing
+from auctionflow.session import store
 
 
 def aggregate(df: DataFrame, time: str, keys: Sequence[str], **folds: Column) -> DataFrame:
@@ -31,9 +32,9 @@ def running_word_counts(occurrences: DataFrame) -> DataFrame:
     Occurrences are counted per (word, time) first, so a frequent word is one row per time
     when it is ordered, and is unrolled only at the end.
     """
-    counts = occurrences.groupBy("word", "time").agg(F.count("*").alias("k"))
+    counts = store(occurrences.groupBy("word", "time").agg(F.count("*").alias("k")), "counts")
     total = running(counts, ["word"], ["time"], {"upto": ("sum", "k")})
-    return expand(total, "k", "i").select(
+    return expand(total, "k", "i", spread=not counts.filter(F.col("k") > PIECE).isEmpty()).select(
         "time", "word", (F.col("upto") - F.col("k") + F.col("i")).alias("n"))
 
 

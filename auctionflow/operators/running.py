@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from auctionflow.functions import int_div
 from auctionflow.session import store
 
 CHUNK = "_chunk"
+HOT = 1_000_000  # rows of a key that one task may order
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -33,12 +36,36 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     """Add running aggregates per key in the given order, current row included.
 
     `aggs` maps an output name to (kind, column), kind one of sum, count, min, max. `order`
-    should be total within a key. Rows are range-partitioned by (keys, order), so a key of any
+    should be total within a key. Keys of up to `HOT` rows are shuffled whole, once. Of larger ones
+    the rows are range-partitioned by (keys, order), so a key of any
     size covers several chunks of even size; each chunk is accumulated on its own and receives
     the totals of the chunks before it. Only the first key of a chunk can have earlier rows, so
     at most one carry row per chunk exists and the broadcast is bounded by the shuffle width.
     """
     order_cols = [_column(o) for o in order]
+    if not keys:
+        return _chunked(df, keys, order_cols, aggs)
+    df = df if getattr(df, "_stored_at", None) else store(df, "running")
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT).select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys])
+    n = hot.count()
+    if not n:
+        return _whole(df, keys, order_cols, aggs)
+    hot = store(hot, "hot")  # at most one key per HOT rows
+    hot = F.broadcast(hot) if n <= HOT else hot
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], F.lit(True))
+    return _whole(df.join(hot, on, "left_anti"), keys, order_cols, aggs).unionByName(
+        _chunked(df.join(hot, on, "left_semi"), keys, order_cols, aggs))
+
+
+def _whole(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Keys that a task can hold."""
+    here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", *[FIRST[kind](col).over(here).alias(name) for name, (kind, col) in aggs.items()])
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Column], aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Keys of any size, in chunks."""
     placed = store(
         df.repartitionByRange(*[F.col(k) for k in keys], *order_cols)
         .withColumn(CHUNK, F.spark_partition_id()), "running")
@@ -89,18 +116,21 @@ def trailing(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     )
 
 
-def expand(df: DataFrame, count: str, index: str, piece: int = 65_536) -> DataFrame:
+PIECE = 65_536
+
+
+def expand(df: DataFrame, count: str, index: str, piece: int = PIECE, spread: bool = True) -> DataFrame:
     """Repeat each row `count` times, numbered from 1 in `index`.
 
     A row with a very large count is first cut into pieces of `piece` repeats, which are spread
-    over the cluster before they are unrolled.
+    over the cluster before they are unrolled. Without `spread`, for counts that are known to be small, rows stay where they are.
     """
     n = F.col(count)
     step = F.lit(piece).cast("bigint")
     pieces = df.filter(n > 0).withColumn(
         "_from", F.explode(F.sequence(F.lit(1).cast("bigint"), n, step)))
     return (
-        pieces.hint("rebalance")
+        (pieces.hint("rebalance") if spread else pieces)
         .withColumn(index, F.explode(F.sequence(F.col("_from"), F.least(n, F.col("_from") + step - 1))))
         .drop("_from")
     )

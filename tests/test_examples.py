@@ -514,6 +514,27 @@ def test_stored_tables_can_be_dropped(tmp_path, spark):
         session._stored[spark.sparkContext.applicationId] = kept
 
 
+def _exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ")
+
+
+def test_small_keys_are_shuffled_once_for_running_values_and_large_ones_in_chunks(spark, narrow_chunks, monkeypatch):
+    df = spark.createDataFrame([(i % 5 if i % 2 else None, i) for i in range(400)], "k long, t long")
+    aggs = {"n": ("count", "*")}
+    assert _exchanges(R.running(df, ["k"], ["t"], aggs)) == 1  # two and the range partition's before
+    whole = sorted(map(str, R.running(df, ["k"], ["t"], aggs).collect()))
+    monkeypatch.setattr(R, "HOT", 50)  # the missing key has 200 rows, the others 40
+    assert sorted(map(str, R.running(df, ["k"], ["t"], aggs).collect())) == whole
+
+
+def test_word_counts_move_once_after_they_are_counted(spark):
+    words = spark.createDataFrame([("a", i % 3) for i in range(30)] + [("b", 1)], "word string, time long")
+    got = A.running_word_counts(words)
+    assert sorted((r.word, r.n) for r in got.collect()) == [("a", n) for n in range(1, 31)] + [("b", 1)]
+    assert _exchanges(got) == 1
+
+
 def test_collatz_rounds_leave_what_is_done_and_notice_overflow(spark):
     assert sorted(map(tuple, I.collatz_steps(spark.createDataFrame([(1,), (27,), (27,), (None,)], "n int"), "n", per_round=10).collect())) == [(1, 0), (27, 111)]
     with pytest.raises(Exception, match="64 bits"):
