@@ -194,15 +194,17 @@ class Timed(StatefulProcessor):
 
 
 def _joined(outs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Small tables put together, where that changes no type."""
-    pool, n = [], 0
+    """Small tables put together, those of the same columns and types."""
+    pools: dict[tuple, list[pd.DataFrame]] = {}
+    sizes: dict[tuple, int] = {}
     for out in outs:
-        if pool and (n >= AT_ONCE or list(out.columns) != list(pool[0].columns) or list(out.dtypes) != list(pool[0].dtypes)):
-            yield pd.concat(pool, ignore_index=True)
-            pool, n = [], 0
-        pool.append(out)
-        n += len(out)
-    if pool:
+        kind = (*out.columns, *out.dtypes)
+        pools.setdefault(kind, []).append(out)
+        sizes[kind] = sizes.get(kind, 0) + len(out)
+        if sizes[kind] >= AT_ONCE:
+            del sizes[kind]
+            yield pd.concat(pools.pop(kind), ignore_index=True)
+    for pool in pools.values():
         yield pd.concat(pool, ignore_index=True)
 
 
@@ -212,7 +214,8 @@ class Ordered(Timed):
     The state of a shard is a table with a row per key: the key, the user's state, the timers that are set."""
 
     def __init__(self, schema: T.StructType, keys: Sequence[str], time: str | None, order: Sequence[str], state: str | None,
-                 on_rows: Callable, on_timer: Callable | None = None):
+                 on_rows: Callable, on_timer: Callable | None = None, made: Sequence[str] | None = None):
+        self.made = list(made) if made else None  # columns to give out; tables may have some of them
         self.schema, self.keys, self.time, self.order = schema, list(keys), time, order
         self.on_rows, self.on_timer = on_rows, on_timer
         whole = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)  # with missing values they arrive as floats
@@ -262,8 +265,11 @@ class Ordered(Timed):
         out, slot[0], new = f(key, *args, slot[0])
         for ms in map(int, new if self.on_timer else ()):
             heappush(slot[1], ms)
-        if out is not None and len(out):
-            yield out
+        yield from (t for t in (out if isinstance(out, list) else [out]) if t is not None and len(t))
+
+    def _together(self, outs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in _joined(outs):
+            yield out.assign(**{n: None for n in self.made if n not in out.columns})[self.made] if self.made else out
 
     def _fire(self, key: tuple, slot: list, passed: int, until: int | None = None) -> Iterator[pd.DataFrame]:
         """The key's timers up to `passed`, and before the time `until` (microseconds)."""
@@ -302,21 +308,21 @@ class Ordered(Timed):
             self._arm(self.waiting.add(rows))
             return
         slots = self._load()
-        yield from _joined(self._arrived(slots, rows))
+        yield from self._together(self._arrived(slots, rows))
         self._save(slots)
         if self.on_timer:
             self._arm(None, [slot[1][0] for slot in slots.values() if slot[1]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed, slots = self._passed(timerValues, expiredTimerInfo), self._load()
-        yield from _joined(self._came_due(slots, passed))
+        yield from self._together(self._came_due(slots, passed))
         self._save(slots)
         first = self.waiting.first() if self.waiting else None
         self._arm(first, [slot[1][0] for slot in slots.values() if slot[1]], expiredTimerInfo.getExpiryTimeInMs())
 
 
 def in_order(stream: DataFrame, keys: Sequence[str], time: str | None, order: Sequence[str], state: str | None, schema: str | T.StructType,
-             on_rows: Callable, on_timer: Callable | None = None) -> DataFrame:
+             on_rows: Callable, on_timer: Callable | None = None, made: Sequence[str] | None = None) -> DataFrame:
     """A stream operator made of the user's functions, which see every key's rows and timers in time order.
 
     `on_rows(key, rows, state)` gets a pandas batch, sorted by `time` and the columns of `order`, of
@@ -329,7 +335,7 @@ def in_order(stream: DataFrame, keys: Sequence[str], time: str | None, order: Se
     """
     mode = "EventTime" if time or on_timer else "None"
     return sharded(stream, keys).transformWithStateInPandas(
-        Ordered(fields_of(stream.schema), keys, time, order, state, on_rows, on_timer), schema, "Append", mode)
+        Ordered(fields_of(stream.schema), keys, time, order, state, on_rows, on_timer, made), schema, "Append", mode)
 
 
 class Together(Timed):
@@ -602,15 +608,12 @@ def operator(inputs: dict[str, DataFrame], keys: Sequence[str], time: str, order
         for f in T.StructType.fromDDL(schema):
             if made.setdefault(f.name, f.dataType) != f.dataType:
                 raise ValueError(f"two outputs have a column {f.name} of different types")
-    names = list(made)
 
     def tagged(f: Callable | None) -> Callable | None:
         def call(key, *args):
             found, state, timers = f(key, *args)
-            parts = [rows.assign(output=name) for name, rows in (found or {}).items() if rows is not None and len(rows)]
-            out = pd.concat([p.reindex(columns=names).astype(object).where(p.reindex(columns=names).notna(), None) for p in parts]) if parts else None
-            return out, state, timers
+            return [rows.assign(output=name) for name, rows in (found or {}).items() if rows is not None and len(rows)], state, timers
         return call if f else None
 
     schema = T.StructType([T.StructField(n, k) for n, k in made.items()])
-    return in_order(both, keys, time, order, state, schema, tagged(on_rows), tagged(on_timer))
+    return in_order(both, keys, time, order, state, schema, tagged(on_rows), tagged(on_timer), list(made))
