@@ -94,11 +94,15 @@ def local_items(spark, d):
 def hash_join(spark, d):
     left = real(_read(_bids(spark, d))).select(F.col("auction").alias("key"), F.col("price").alias("val"), F.col("date_time").alias("ts"))
     right = real(_read(_auctions(spark, d))).select(F.col("id").alias("key"), F.col("seller").alias("val"), F.col("date_time").alias("ts"))
-    return run(SJ.hash_join(left, right))
+    return SJ.join_batches(left, right, SJ.hash_join).run()
+
+
+def _closing(spark: SparkSession, d: str) -> SJ.Joined:
+    return SJ.closing_batches(_read(_auctions_by_expiry(spark, d)), _read(_bids(spark, d)), OPEN)
 
 
 def closed_auctions(spark, d):
-    return plain(run(SJ.closing_auctions(_read(_auctions_by_expiry(spark, d)), _read(_bids(spark, d)), OPEN)))
+    return plain(_closing(spark, d).run())
 
 
 def closed_auctions_timers(spark, d):

@@ -43,7 +43,12 @@ class Carry:
         on = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
         return self._read(spark, self._runs(spark, number - 1)).join(mine, on, "left_semi")
 
-    def add(self, spark: SparkSession, number: int, rows: DataFrame) -> None:
+    def all(self, spark: SparkSession, number: int) -> DataFrame:
+        """What earlier batches left, not merged."""
+        return self._read(spark, self._runs(spark, number - 1))
+
+    def add(self, spark: SparkSession, number: int, rows: DataFrame) -> DataFrame:
+        """Add a batch's run; its rows as they are stored now."""
         before = self._runs(spark, number - 1)
         runs = [*before, [0, f"run-{number}-0"]]
         rows.write.mode("overwrite").parquet(f"{self.folder}/{runs[-1][1]}")
@@ -56,3 +61,4 @@ class Carry:
             for _, name in self._runs(spark, number - 2):
                 if [name] not in [r[1:] for r in before]:
                     delete(spark, f"{self.folder}/{name}")
+        return self._read(spark, [[0, f"run-{number}-0"]])

@@ -461,3 +461,65 @@ def test_rows_that_are_delayed_beyond_the_end_leave(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.event_id: r.ts for r in streams.delay_rows(spark, str(tmp_path)).collect()}
     assert got == {i: at + datetime.timedelta(hours=max(0, user - 75)) for i, at, user in rows}
+
+
+def test_joins_keep_their_sides_as_tables(spark, data, tmp_path, monkeypatch):
+    """Batch by batch, over several runs with the same folders; no row of a side is in Spark's state store."""
+    seen, plain_run = [], SJ.run_batches
+    monkeypatch.setattr(SJ, "run_batches", lambda *args, **how: seen.extend(plain_run(*args, **how)))
+    a = zoned(S.auctions(spark, data), "date_time", "expires")
+    b = zoned(S.bids(spark, data), "date_time")
+    given = {name: str(tmp_path / name) for name in ("a", "b")}
+    a.limit(0).write.parquet(given["a"])
+    b.limit(0).write.parquet(given["b"])
+    streams_of = lambda: [stream_session(spark).readStream.schema(df.schema).parquet(given[n]) for n, df in (("a", a), ("b", b))]
+    year, cuts = lambda n: f"timestamp '{n}-01-01 00:00:00 UTC'", [1900, 1994, 1995, 1996, 1997, 1998, 2100]
+    for lo, hi in zip(cuts, cuts[1:]):
+        # auctions come by their expiry, up to two years after their bids
+        a.filter(f"expires >= {year(lo)} AND expires < {year(hi)}").write.mode("append").parquet(given["a"])
+        b.filter(f"date_time >= {year(lo)} AND date_time < {year(hi)}").write.mode("append").parquet(given["b"])
+        auctions, bids = streams_of()
+        closed = SJ.closing_batches(auctions, bids, 730 * DAY, folder=str(tmp_path / "closing")).run(str(tmp_path / "closed"))
+        pair = SJ.join_batches(bids.selectExpr("auction AS key", "price AS val", "date_time AS ts"),
+                               auctions.selectExpr("id AS key", "seller AS val", "date_time AS ts"), SJ.hash_join, str(tmp_path / "sides"))
+        joined = pair.run(str(tmp_path / "joined"))
+    assert len(seen) >= 12 and not any(p.stateOperators for p in seen)
+    assert V.verify(b.join(a, b["auction"] == a["id"]).select(b["price"].alias("val1"), a["seller"].alias("val2")), joined).isEmpty()
+    # those that were open when the rows ended are still open
+    end = min(b.agg(F.max("date_time")).first()[0], a.agg(F.max("expires")).first()[0])
+    want = J.closed_auctions(S.auctions(spark, data), S.bids(spark, data)).filter(F.col("expires") <= F.lit(end).cast("timestamp_ntz"))
+    assert 0 < want.count() and V.verify(want, plain(closed)).isEmpty()
+
+
+def test_a_repeated_batch_of_a_join_gives_the_same_and_late_rows_fail(spark, tmp_path):
+    own = stream_session(spark)
+    at = lambda s: datetime.datetime.fromtimestamp(s, datetime.timezone.utc)
+    a_kind = "id long, reserve long, seller long, category long, expires timestamp, date_time timestamp"
+    b_kind = "auction long, bidder long, price long, date_time timestamp"
+    for n, df in (("a", own.createDataFrame([], a_kind)), ("b", own.createDataFrame([], b_kind))):
+        df.write.parquet(str(tmp_path / n))
+    a, b = (own.readStream.schema(k).parquet(str(tmp_path / n)) for n, k in (("a", a_kind), ("b", b_kind)))
+    closing = SJ.closing_batches(a, b, 100, folder=str(tmp_path / "closing"))
+
+    def batch(auctions, bids):
+        sides = [("a", own.createDataFrame([(i, 5, 7, 1, at(e), at(o)) for i, e, o in auctions], "id long, reserve long, seller long, category long, expires timestamp, opened timestamp")),
+                 ("b", own.createDataFrame([(i, w, p, at(t)) for i, w, p, t in bids], "auction long, bidder long, price long, bid_time timestamp"))]
+        kinds = dict(zip(("a", "b"), (closing.inputs.schema[n].dataType for n in ("a", "b"))))
+        parts = [df.select(*[(F.struct(*df.columns) if m == n else F.lit(None).cast(kinds[m])).alias(m) for m in ("a", "b")]) for n, df in sides]
+        return parts[0].unionByName(parts[1])
+
+    def step(n, auctions, bids):
+        return sorted((r.auction, r.price, r.bidder) for r in closing.step(batch(auctions, bids), n).collect())
+
+    for _ in range(2):
+        assert step(0, [(1, 50, 0), (2, 60, 0)], [(1, 1, 9, 10), (1, 2, 9, 11), (2, 1, 4, 12), (3, 1, 8, 20)]) == []
+    for _ in range(2):  # the bid on 3 was there before its auction
+        assert step(1, [(3, 110, 15)], [(2, 3, 6, 40), (2, 9, 99, 70)]) == [(1, 9, 1), (2, 6, 3)]
+    assert step(2, [(4, 200, 120)], [(3, 4, 8, 109), (4, 1, 5, 130)]) == [(3, 8, 1)]
+    with pytest.raises(DroppedRows):
+        step(3, [], [(4, 1, 50, 129)])
+    with pytest.raises(DroppedRows):
+        step(3, [(5, 130, 100)], [])
+    with pytest.raises(ValueError, match="longer than promised"):
+        step(3, [(6, 500, 140)], [])
+    assert step(3, [(6, 240, 140)], [(4, 2, 7, 150), (9, 1, 1, 240)]) == [(4, 7, 2)]
