@@ -111,8 +111,7 @@ def closed_auctions_timers(spark, d):
 
 def q4_running(spark, d):
     """The category averages of the closed auctions, as they close."""
-    closed = SJ.closing_auctions(_read(_auctions_by_expiry(spark, d)), _read(_bids(spark, d)), OPEN)
-    slim = closed.select("category", "expires", "auction", "price")
+    slim = _closing(spark, d).select("category", "expires", "auction", "price")
     totals = running_batches(slim, ["category"], ["expires", "auction"],
                              {"total": ("sum", "price"), "n": ("count", "*")})
     return plain(totals.select("category", "expires", "auction",
@@ -120,8 +119,7 @@ def q4_running(spark, d):
 
 
 def q6(spark, d):
-    closed = SJ.closing_auctions(_read(_auctions_by_expiry(spark, d)), _read(_bids(spark, d)), OPEN)
-    slim = closed.select("bidder", "expires", "auction", "price")
+    slim = _closing(spark, d).select("bidder", "expires", "auction", "price")
     last = trailing_batches(slim, ["bidder"], ["expires", "auction"], 10,
                             {"total": F.sum("price"), "n": F.count("*")})
     return plain(last.select("bidder", "expires", "auction",

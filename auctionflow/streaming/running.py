@@ -17,16 +17,22 @@ from auctionflow.operators.running import FIRST, FOLD, running, trailing
 from auctionflow.session import forget, new_path, store
 from auctionflow.streaming.carry import Carry
 from auctionflow.streaming.harness import _results, run_batches
+from auctionflow.streaming.joins import Joined
 
 DISORDER = "a row comes before one of its key in an earlier batch"
 
 
-def _settle(batch: DataFrame) -> DataFrame:
-    """The micro-batch as a stored table, without the marks a watermark leaves on its columns."""
+def _inputs(stream: DataFrame | Joined) -> DataFrame:
+    return stream.inputs if isinstance(stream, Joined) else stream
+
+
+def _settle(stream: DataFrame | Joined, batch: DataFrame, number: int) -> DataFrame:
+    """The micro-batch, or what a join gives for it, as a stored table, without the marks a watermark leaves on its columns."""
+    batch = stream.step(batch, number) if isinstance(stream, Joined) else batch
     return store(batch.select(*[F.col(c).alias(c, metadata={}) for c in batch.columns]), "batch")
 
 
-def running_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
+def running_batches(stream: DataFrame | Joined, keys: Sequence[str], order: Sequence[str],
                     aggs: dict[str, tuple[str, str]], folder: str | None = None) -> DataFrame:
     """`operators.running.running` over a stream; with the `folder` of an earlier run it goes on from there."""
     spark = stream.sparkSession
@@ -43,7 +49,7 @@ def running_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str]
     carry = Carry(f"{folder}/carry", state, merged)
 
     def each(batch: DataFrame, number: int) -> None:
-        settled = batch = _settle(batch)
+        settled = batch = _settle(stream, batch, number)
         own = batch.sparkSession
         before = merged(carry.before(own, number, batch, keys))
         earlier = before.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_last").alias("_k_last"),
@@ -57,7 +63,7 @@ def running_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str]
         carry.add(own, number, totals(batch))
         forget(settled)
 
-    run_batches(stream, each, checkpoint=f"{folder}/progress")
+    run_batches(_inputs(stream), each, checkpoint=f"{folder}/progress")
     fields = {f.name: f.dataType for f in state}
     schema = stream.schema
     for name in aggs:
@@ -65,7 +71,7 @@ def running_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str]
     return _results(spark, schema, f"{folder}/out/*")
 
 
-def trailing_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int,
+def trailing_batches(stream: DataFrame | Joined, keys: Sequence[str], order: Sequence[str], rows: int,
                      aggs: dict[str, Column], folder: str | None = None) -> DataFrame:
     """`operators.running.trailing` over a stream; the carry is the last `rows - 1` rows of each key."""
     spark = stream.sparkSession
@@ -79,7 +85,7 @@ def trailing_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str
     carry = Carry(f"{folder}/carry", stream.schema, last)
 
     def each(batch: DataFrame, number: int) -> None:
-        settled = batch = _settle(batch)
+        settled = batch = _settle(stream, batch, number)
         own = batch.sparkSession
         old = store(last(carry.before(own, number, batch, keys)), "carried")
         both = old.withColumn("_old", F.lit(True)).unionByName(batch.withColumn("_old", F.lit(False)))
@@ -91,5 +97,5 @@ def trailing_batches(stream: DataFrame, keys: Sequence[str], order: Sequence[str
         carry.add(own, number, last(batch))
         forget(settled, old)
 
-    run_batches(stream, each, checkpoint=f"{folder}/progress")
+    run_batches(_inputs(stream), each, checkpoint=f"{folder}/progress")
     return getattr(spark, "_base", spark).read.parquet(f"{folder}/out/*").drop("batch")
