@@ -314,7 +314,7 @@ def udaf_fold(spark, d):
 
 def udtf_explode(spark, d):
     docs = S.table(spark, d, "documents").select("doc_id", "text")
-    return docs.lateralJoin(U.SplitWords(F.col("text").outer())).select("doc_id", "word")
+    return docs.lateralJoin(U.SplitWords(F.col("text").outer())).select("doc_id", F.explode("words").alias("word"))
 
 
 def kafka_sink_encode(spark, d):

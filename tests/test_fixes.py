@@ -169,3 +169,10 @@ def test_wide_rows_are_not_broadcast(spark):
     big = spark.range(3000).select((F.col("id") % 1000).alias("k"))
     joined = skew.skew_join(big, wide.withColumnRenamed("id", "j"), "k", "j")
     assert joined.count() == 3000
+
+
+def test_a_text_comes_back_from_the_table_function_as_one_row(spark):
+    df = spark.createDataFrame([(1, " a b\u2003a\n"), (2, ""), (3, None), (4, "x " * 20_000)], "id long, text string")
+    got = df.lateralJoin(U.SplitWords(F.col("text").outer())).select("id", "words")
+    assert rows(got.filter("id < 4")) == [(1, ["a", "b", "a"]), (2, []), (3, [])]
+    assert rows(got.filter("id = 4").select(F.size("words"))) == [(20_000,)]
