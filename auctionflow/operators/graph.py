@@ -79,16 +79,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _trees(links: DataFrame, number: int) -> DataFrame:
     """One round's trees: node, to (its root), up (the nodes on the way to the root, which is last), trails of its own edge.
 
-    Every node points at the neighbour (or itself) that comes first in an order drawn for the round. A
+    Every node points at the neighbour (or itself) that comes first in an order drawn for the round, and one with
+    a single neighbour at that one, which then is a root if it points back: so a star takes one round. A
     node whose root is up to three steps away belongs to it; one further away waits for another
     round, as do all that would come over it."""
     both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("theirs").alias("mine"), F.col("mine").alias("theirs")))
     place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(number)).alias("h"), F.col(c).alias("to"))
-    near = both.groupBy("src").agg(F.min(F.struct(place("dst").alias("at"), "mine", "theirs")).alias("near"))
-    inner = F.col("near.at") < place("src")
-    first = store(near.select(
+    near = both.groupBy("src").agg(F.min(F.struct(place("dst").alias("at"), "mine", "theirs")).alias("near"), (F.count("*") == 1).alias("leaf"))
+    inner = F.col("leaf") | (F.col("near.at") < place("src"))
+    drawn = store(near.select(
         F.col("src").alias("node"), F.when(inner, F.col("near.at.to")).otherwise(F.col("src")).alias("a"),
-        F.when(inner, F.col("near.mine")).alias("mine"), F.when(inner, F.col("near.theirs")).alias("theirs")), "pointers")
+        F.when(inner, F.col("near.mine")).alias("mine"), F.when(inner, F.col("near.theirs")).alias("theirs"), "leaf"), "pointers")
+    ahead = drawn.select(F.col("node").alias("a"), F.col("a").alias("back"), F.col("leaf").alias("to_leaf"))
+    # two that point at each other: one is a leaf, and the other one, or the smaller leaf, becomes a root
+    root = (F.col("a") != F.col("node")) & (F.col("back") == F.col("node")) & F.col("to_leaf") & (~F.col("leaf") | (F.col("node") < F.col("a")))
+    first = store(drawn.join(ahead, "a").select(
+        "node", F.when(root, F.col("node")).otherwise(F.col("a")).alias("a"),
+        F.when(~root, F.col("mine")).alias("mine"), F.when(~root, F.col("theirs")).alias("theirs")), "pointers")
+    forget(drawn)
     step = lambda a, b: first.select(F.col("node").alias(a), F.col("a").alias(b))
     ways = step("node", "a").join(step("a", "b"), "a").join(step("b", "c"), "b").join(step("c", "d"), "c")
     ways = ways.select("node", "a", "b", "c", (F.col("c") == F.col("d")).alias("near_enough"))
@@ -115,18 +123,17 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     links = store(ends.select("src", "dst", F.array("src").alias("mine"), F.array("dst").alias("theirs")), "edges")
     # the smallest member of each contracted node, with its trail
     nodes = store(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.array("node").alias("least")), "nodes")
-    rounds = []
+    rounds, over = [], []
     while not links.isEmpty():
         trees = _trees(links, len(rounds))
         rounds.append(trees)
         to = trees.select("node", "to")
+        # a component that is complete has no links any more and takes no part in later rounds
+        over.append(store(nodes.join(to, "node", "left_anti"), "over"))
         moved = nodes.join(to, "node").groupBy(F.col("to").alias("node")).agg(F.min("least").alias("least"))
         moved = store(moved.select("node", F.concat("least", F.array("node")).alias("least")), "nodes")
-        # a component that is complete has no links any more
-        over = nodes.join(to, "node", "left_anti").select("node", F.concat("least", F.array("node")).alias("least"))
-        grown, before = store(moved.unionByName(over), "nodes"), nodes
-        forget(before, moved)
-        nodes = grown
+        forget(nodes)
+        nodes = moved
         relabelled = links
         for end, trail in (("src", "mine"), ("dst", "theirs")):
             relabelled = relabelled.join(to.select(F.col("node").alias(end), "to"), end).drop(end).withColumn(
@@ -138,10 +145,12 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         forget(links)
         links = fewer
     kind = edges.schema["src"].dataType
-    hung = nodes.select("node", F.col("least").alias("at"))  # contracted nodes and the member they are to hang at, as a trail
+    over.append(nodes)
+    hung = None  # contracted nodes and the member they are to hang at, as a trail
     out = None
     for number in range(len(rounds) - 1, -1, -1):
-        trees = rounds[number]
+        trees, whole = rounds[number], over[number + 1].select("node", F.col("least").alias("at"))
+        hung = whole if hung is None else hung.unionByName(whole)
         inside = hung.select(F.col("node").alias("whole"), F.element_at("at", number + 1).alias("part"), "at")
         # from the part that holds the member up to the old root, the pointers are turned round
         ways = inside.join(trees.select(F.col("node").alias("part"), "up"), "part", "left")

@@ -176,3 +176,23 @@ def test_a_text_comes_back_from_the_table_function_as_one_row(spark):
     got = df.lateralJoin(U.SplitWords(F.col("text").outer())).select("id", "words")
     assert rows(got.filter("id < 4")) == [(1, ["a", "b", "a"]), (2, []), (3, [])]
     assert rows(got.filter("id = 4").select(F.size("words"))) == [(20_000,)]
+
+
+def test_stars_are_contracted_in_one_round_and_leave_the_loop(spark, monkeypatch):
+    """Beside a path, which takes more rounds; every parent is a neighbour, and all ways lead to the smallest node."""
+    made, trees = [], G._trees
+    monkeypatch.setattr(G, "_trees", lambda links, number: made.append(trees(links, number)) or made[-1])
+    stars = [(c, 1000 * c + i) for c in range(1, 60) for i in range(1, c + 1)] + [(100_000 * c + 1, 100_000 * c) for c in range(1, 30)]
+    path = [(10**9 + i, 10**9 + i + 1) for i in range(40)] + [(10**9 + i, 10**9 + 100 + i) for i in range(0, 40, 3)]
+    parents = dict(rows(G.spanning_forest(spark.createDataFrame(stars, "src long, dst long"))))
+    assert len(made) == 1 and len(parents) == len(stars)
+    parents = dict(rows(G.spanning_forest(spark.createDataFrame(stars + path, "src long, dst long"))))
+    assert len(made) > 2 and all(made[2].select("node").toPandas()["node"] >= 10**9)  # the path is alone by then
+    edges, root = {frozenset(e) for e in stars + path}, {}
+    assert len(parents) == len(stars) + len(path) and all(frozenset(e) in edges for e in parents.items())
+    for node in {n for e in edges for n in e}:
+        at, steps = node, 0
+        while at in parents and steps <= 200:
+            at, steps = parents[at], steps + 1
+        root.setdefault(at, set()).add(node)
+    assert all(r == min(nodes) for r, nodes in root.items()) and len(root) == 59 + 29 + 1
