@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ IDS = SIDE * SIDE
 KNOWN = 3 * IDS // 4    # ids of frequent words; the others stand for groups of rare ones
 REACH = 3               # words on either side
 WIDTH = 16              # hidden units
-STEP = 4096             # words scored at a time
+STEP = 1024             # words scored at a time
 LEARN = 512             # words of one step of the training
+COMMON = 1 << 19        # a word with one in so many of the rare words' occurrences is common: tasks are sent its count
 SHARD = 4096            # parameters of one row on their way to the sum
 
 
@@ -28,17 +30,45 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
+def split(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in one array, and how many each text has; the same words as `words`."""
+    lower = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    lists = pc.ascii_split_whitespace(lower)
+    full = pc.not_equal(lower, "").to_numpy(zero_copy_only=False)  # a blank text is split into one empty word
+    sizes = np.where(full, pc.list_value_length(lists).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    found = lists.flatten().cast(pa.large_binary()).cast(pa.binary())
+    return found if full.all() else found.filter(pc.greater(pc.binary_length(found), 0)), sizes
+
+
+def shared_id(word: bytes) -> int:
+    return KNOWN + crc32(word) % (IDS - KNOWN)
+
+
+def shared_ids(words: pa.Array) -> np.ndarray:
+    return KNOWN + np.fromiter(map(crc32, words.to_numpy(zero_copy_only=False)), np.int64, len(words)) % (IDS - KNOWN)
+
+
 class Ids(dict):
-    """Word to id: frequent words have one of their own, rare ones share by checksum."""
+    """Word to id: frequent words have one of their own, rare ones share by checksum. `common` are rare words to look up
+    rather than to compute."""
 
-    def __init__(self, known: list[bytes]):
+    def __init__(self, known: list[bytes], common: pa.Array | None = None):
         super().__init__((w, i) for i, w in enumerate(known))
-        self.known = len(known)
+        common = pa.array([], pa.binary()) if common is None else common
+        self.table = pa.concat_arrays([pa.array(known, pa.binary()), common])
+        self.ids = np.concatenate([np.arange(len(known)), shared_ids(common)]).astype(np.int32)
 
     def __missing__(self, word: bytes) -> int:
-        from zlib import crc32
+        return shared_id(word)
 
-        return KNOWN + crc32(word) % (IDS - KNOWN)
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """The ids of all words and their places in the table, -1 for the others; where these are, and they as a dictionary array."""
+        found = pc.fill_null(pc.index_in(words, value_set=self.table), -1).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(found < 0)
+        others = words.take(pa.array(at)).dictionary_encode()
+        ids = np.append(self.ids, np.int32(0)).take(found, mode="wrap")
+        ids[at] = shared_ids(others.dictionary)[others.indices.to_numpy()]
+        return ids, found, at, others
 
 
 class Network:
@@ -46,11 +76,12 @@ class Network:
 
     A word's id has two digits. The first is predicted from the hidden units, the second from them
     and the first, so that all ids' probabilities add up to 1. The digits' biases start from the
-    corpus counts, so an untrained network is the unigram model.
+    corpus counts, so an untrained network is the unigram model. `output` has the weights of both digits side by
+    side, and the first one's biases in its last row.
     """
 
-    SHAPES = {"vectors": (IDS + 1, WIDTH), "places": (2 * REACH, WIDTH), "hidden": (WIDTH,), "first": (WIDTH, SIDE),
-              "first_bias": (SIDE,), "second": (WIDTH, SIDE), "second_bias": (SIDE, SIDE)}
+    SHAPES = {"vectors": (IDS + 1, WIDTH), "places": (2 * REACH, WIDTH), "hidden": (WIDTH,), "output": (WIDTH + 1, 2 * SIDE),
+              "second_bias": (SIDE, SIDE)}
 
     def __init__(self, parameters: dict[str, np.ndarray]):
         self.p = parameters
@@ -58,13 +89,13 @@ class Network:
     @classmethod
     def start(cls, counts: np.ndarray, seed: int) -> Network:
         draw = np.random.default_rng(seed)
-        p = {k: (draw.standard_normal(s) * 0.1).astype(np.float32) for k, s in cls.SHAPES.items()}
-        p["places"] = np.ones(cls.SHAPES["places"], np.float32)
+        vectors, _, _, first, _, second = ((draw.standard_normal(s) * 0.1).astype(np.float32) for s in (
+            (IDS + 1, WIDTH), (2 * REACH, WIDTH), WIDTH, (WIDTH, SIDE), SIDE, (WIDTH, SIDE)))
         n = counts.reshape(SIDE, SIDE) + 0.1
-        p["first_bias"] = np.log(n.sum(axis=1) / n.sum()).astype(np.float32)
-        p["second_bias"] = np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
-        p["hidden"] = np.zeros(WIDTH, np.float32)
-        return cls(p)
+        biases = np.append(np.log(n.sum(axis=1) / n.sum()), np.zeros(SIDE)).astype(np.float32)
+        return cls({"vectors": vectors, "places": np.ones(cls.SHAPES["places"], np.float32), "hidden": np.zeros(WIDTH, np.float32),
+                    "output": np.concatenate([np.concatenate([first, second], axis=1), biases[None]]),
+                    "second_bias": np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)})
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
@@ -78,61 +109,111 @@ class Network:
             at += n
         return cls(p)
 
-    def _forward(self, near: np.ndarray, target: np.ndarray):
-        p = self.p
-        h = np.tanh((p["vectors"][near] * p["places"]).sum(axis=1) + p["hidden"])
-        one, two = np.divmod(target, SIDE)
-        a = _log_softmax(h @ p["first"] + p["first_bias"])
-        b = _log_softmax(h @ p["second"] + p["second_bias"][one])
-        return h, one, two, a, b
+    def _units(self, x: np.ndarray) -> np.ndarray:
+        """Hidden units of what goes into them, and a unit that is always 1."""
+        h = np.ones((len(x), WIDTH + 1), np.float32)
+        np.tanh(x, out=h[:, :WIDTH])
+        return h
+
+    def _inputs(self, around: np.ndarray) -> np.ndarray:
+        """What goes into the hidden units of all words of a stream with REACH words on either side, from the stream's vectors."""
+        before, after = _beside(around)
+        return (np.einsum("njk,jk->nk", before, self.p["places"][:REACH]) + np.einsum("njk,jk->nk", after, self.p["places"][REACH:])
+                + self.p["hidden"])
+
+    def _scores(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        scores = (h @ self.p["output"]).reshape(-1, 2, SIDE)
+        scores[:, 1] += self.p["second_bias"].take(first, axis=0)
+        return scores
+
+    def _digits(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each target: its first digit, the indexes of both digits' scores, both logarithms, both digits' distributions."""
+        first, second = np.divmod(target, SIDE)
+        scores = self._scores(h, first)
+        own = np.arange(0, scores.size, SIDE).reshape(-1, 2) + np.stack([first, second], axis=1)
+        logs = scores.ravel().take(own)
+        sums = np.exp(scores, out=scores).reshape(-1, SIDE) @ np.ones(SIDE, np.float32)
+        if len(sums) and not (sums.min() > 1e-30 and sums.max() < 1e30):  # out of the range of plain floats
+            scores = self._scores(h, first)
+            scores -= scores.max(axis=2, keepdims=True)
+            logs = scores.ravel().take(own)
+            sums = np.exp(scores, out=scores).reshape(-1, SIDE) @ np.ones(SIDE, np.float32)
+        sums = sums.reshape(-1, 2)
+        return first, own, logs - np.log(sums), scores, sums
 
     def log_probability(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, one, two, a, b = self._forward(near, target)
-        rows = np.arange(len(target))
-        return a[rows, one].astype(np.float64) + b[rows, two]
-
-    def learn(self, near: np.ndarray, target: np.ndarray, squares: dict[str, np.ndarray], rate: float) -> None:
-        """One step along the gradient of the mean log-probability, sized by the squares so far."""
-        p, rows = self.p, np.arange(len(target))
-        h, one, two, a, b = self._forward(near, target)
-        da, db = -np.exp(a), -np.exp(b)
-        da[rows, one] += 1
-        db[rows, two] += 1
-        da /= len(target)
-        db /= len(target)
-        dx = (da @ p["first"].T + db @ p["second"].T) * (1 - h * h)
-        vectors = np.zeros_like(p["vectors"])
-        spread = (dx[:, None, :] * p["places"]).reshape(-1, WIDTH)
-        order = np.argsort(near.ravel(), kind="stable")
-        at, first = np.unique(near.ravel()[order], return_index=True)
-        vectors[at] = np.add.reduceat(spread[order], first)
-        bias = (one == np.arange(SIDE)[:, None]).astype(np.float32) @ db
-        gradient = {"vectors": vectors, "places": (p["vectors"][near] * dx[:, None, :]).sum(axis=0), "hidden": dx.sum(axis=0),
-                    "first": h.T @ da, "first_bias": da.sum(axis=0), "second": h.T @ db, "second_bias": bias}
+        x = (self.p["vectors"][near] * self.p["places"]).sum(axis=1) + self.p["hidden"]
+        return self._digits(self._units(x), target)[2].sum(axis=1, dtype=np.float64)
+
+    def along(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The same for the words at places `at` of a stream: each word's vector is looked up once."""
+        x = self._inputs(self.p["vectors"].take(stream, axis=0))
+        return self._digits(self._units(x if len(at) == len(x) else x[at - REACH]), stream[at])[2].sum(axis=1, dtype=np.float64)
+
+    def learn(self, near: tuple[np.ndarray, np.ndarray], target: np.ndarray, squares: dict[str, np.ndarray], rate: float) -> None:
+        """One step along the gradient of the mean log-probability, sized by the squares so far.
+
+        `near` is a stream and the targets' places in it. The gradient of a word's vector is added up over its
+        neighbours along the stream first, then by word; the vectors of other words stay as they are."""
+        p, n, (stream, at) = self.p, len(target), near
+        around = p["vectors"].take(stream, axis=0)
+        x = self._inputs(around)
+        h = self._units(x if n == len(x) else x[at - REACH])
+        first, own, _, d, sums = self._digits(h, target)
+        d *= (np.float32(-1 / n) / sums)[:, :, None]
+        d.ravel()[own] += np.float32(1 / n)
+        d = d.reshape(n, 2 * SIDE)
+        units = h[:, :WIDTH]
+        dx = np.zeros((len(stream) + 2 * REACH, WIDTH), np.float32)  # by place in the stream, with room on both sides
+        dx[at + REACH] = (d @ p["output"][:WIDTH].T) * (1 - units * units)
+        inner = dx[2 * REACH:len(stream)]
+        before, after = _beside(dx)
+        back = p["places"][::-1]
+        outer = np.einsum("njk,jk->nk", before, back[:REACH]) + np.einsum("njk,jk->nk", after, back[REACH:])
+        output = h.T @ d
+        output[WIDTH, SIDE:] = 0
+        gradient = {"places": np.concatenate([np.einsum("njk,nk->jk", x, inner) for x in _beside(around)]), "hidden": inner.sum(axis=0),
+                    "output": output, "second_bias": EYE.take(first, axis=0).T @ d[:, SIDE:]}
         for k, g in gradient.items():
             squares[k] += g * g
-            p[k] = p[k] + rate * g / (np.sqrt(squares[k]) + 1e-8)
+            p[k] += rate * g / (np.sqrt(squares[k]) + 1e-8)
+        order = np.arange(len(stream))
+        last = np.empty(IDS + 1, np.int64)
+        last[stream] = order  # one place of each word stands for it
+        of = last.take(stream)
+        chosen = np.flatnonzero(of == order)
+        ids = stream[chosen]
+        g = np.bincount((of[:, None] * WIDTH + np.arange(WIDTH)).ravel(), outer.ravel(), len(stream) * WIDTH)
+        g = g.reshape(-1, WIDTH).take(chosen, axis=0).astype(np.float32)
+        size = squares["vectors"].take(ids, axis=0) + g * g
+        squares["vectors"][ids] = size
+        p["vectors"][ids] = around.take(chosen, axis=0) + rate * g / (np.sqrt(size) + 1e-8)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _beside(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row with REACH rows on either side, those before it and those after it, as views."""
+    step = rows.strides[0]
+    shape, strides = (len(rows) - 2 * REACH, REACH, rows.shape[1]), (step, step, rows.strides[1])
+    return (np.ndarray(shape, rows.dtype, rows, 0, strides), np.ndarray(shape, rows.dtype, rows, (REACH + 1) * step, strides))
 
 
-def _windows(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' ids in one array with room between them, the places of words, and words a text."""
-    gap, parts, sizes = np.full(REACH, IDS, np.int32), [np.full(REACH, IDS, np.int32)], []
-    for text in texts:
-        w = words(text)
-        parts += [np.fromiter(map(ids.__getitem__, w), np.int32, len(w)), gap]
-        sizes.append(len(w))
-    sizes = np.array(sizes, np.int64)
-    starts = REACH + np.concatenate([[0], np.cumsum(sizes + REACH)[:-1]]).astype(np.int64)
-    places = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    return np.concatenate(parts), places, sizes
+def _windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in one array with room between them, and the places of words."""
+    room = REACH * np.cumsum(sizes > 0)
+    places = np.arange(len(ids)) + np.repeat(room, sizes)
+    stream = np.full(len(ids) + REACH + (room[-1] if len(room) else 0), IDS, np.int32)
+    stream[places] = ids
+    return stream, places
 
 
-NEAR = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
+EYE = np.eye(SIDE, dtype=np.float32)
+
+
+def _parts(stream: np.ndarray, places: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`step` places at a time: the piece of the stream that holds their neighbours, and the places in it."""
+    for i in range(0, len(places), step):
+        at = places[i:i + step]
+        yield stream[at[0] - REACH:at[-1] + REACH + 1], at - (at[0] - REACH)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], at: int, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -152,14 +233,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for _, group in _groups(batches, 0):
-            for text in group:
-                seen.update(words(text))
-            if len(seen) > 300_000:
-                yield batch(schema, word=list(seen), n=list(seen.values()))
-                seen.clear()
-        yield batch(schema, word=list(seen), n=list(seen.values()))
+        for _, group in _groups(batches, 0, 1 << 23):
+            found = split(group)[0].value_counts()
+            yield batch(schema, word=found.field("values"), n=found.field("counts"))
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -181,18 +257,24 @@ def _shared(counts: DataFrame, known: list[bytes]) -> np.ndarray:
     group = F.lit(KNOWN) + F.crc32("word") % (IDS - KNOWN)
     for r in counts.groupBy(group.alias("id")).agg(F.sum("n").alias("n")).collect():
         n[r["id"]] = r["n"]
-    ids = Ids(known)
     for r in counts.filter(F.col("word").isin(known)).collect() if known else ():
-        n[Ids.__missing__(ids, bytes(r["word"]))] -= r["n"]
+        n[shared_id(bytes(r["word"]))] -= r["n"]
     return np.maximum(n[KNOWN:], 0)
 
 
+def _common(counts: DataFrame, known: list[bytes], totals: np.ndarray) -> pa.Table:
+    """The rare words with at least one in COMMON of the rare words' occurrences, so at most COMMON words, and their counts."""
+    often = counts.filter(F.col("n") >= max(2, float(totals.sum()) / COMMON)).select("word", "n").toArrow()
+    often = often.cast(pa.schema([("word", pa.binary()), ("n", pa.int64())]))
+    return often.filter(pc.invert(pc.is_in(often["word"], value_set=pa.array(known, pa.binary()))))
+
+
 def learn_all(network: Network, texts: list[str | None], ids: Ids, squares: dict[str, np.ndarray], rate: float) -> int:
     """Train on every word of the texts; the number of words."""
-    stream, places, _ = _windows(texts, ids)
-    for i in range(0, len(places), LEARN):
-        at = places[i:i + LEARN]
-        network.learn(stream[at[:, None] + NEAR], stream[at], squares, rate)
+    found, sizes = split(texts)
+    stream, places = _windows(ids.of(found)[0], sizes)
+    for part, at in _parts(stream, places, LEARN):
+        network.learn((part, at), part[at], squares, rate)
     return len(places)
 
 
@@ -257,27 +339,36 @@ def score(docs: DataFrame, model: tuple[list[bytes], Network] | None = None, id_
         counts = store(word_counts(pick(docs, text_col)), "words")
         model = train(docs, text_col, counts=counts)
     known, network = model
-    totals = np.zeros(IDS - KNOWN) if counts is None else _shared(counts, known)
-    sent = docs.sparkSession.sparkContext.broadcast((known, network.flat(), totals))
+    totals, common = np.zeros(IDS - KNOWN), None
+    if counts is not None:
+        totals = _shared(counts, known)
+        common = _common(counts, known, totals)
+    sent = docs.sparkSession.sparkContext.broadcast((known, network.flat(), totals, common))
     rare = pa.struct([("word", pa.binary()), ("times", pa.int64()), ("total", pa.float64())])
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_probability", pa.float64()),
                         ("rare", pa.list_(rare))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, values, totals = sent.value
-        ids, net, row = Ids(known), Network.from_flat(values), TaskContext.get().partitionId() << 36
+        known, values, totals, common = sent.value
+        net, row = Network.from_flat(values), TaskContext.get().partitionId() << 36
+        ids = Ids(known, None if common is None else common["word"].combine_chunks())
+        shares = np.zeros(len(ids.table) + 1)  # the last one is that of words outside the table
+        if common is not None:
+            shares[len(known):-1] = np.log(common["n"].to_numpy()) - np.log(totals[ids.ids[len(known):] - KNOWN])
         for rows, group in _groups(batches, 1):
-            stream, places, sizes = _windows(group, ids)
-            found = [net.log_probability(stream[at[:, None] + NEAR], stream[at])
-                     for at in (places[i:i + STEP] for i in range(0, len(places), STEP))]
-            sums = np.concatenate([[0.0], np.cumsum(np.concatenate(found or [np.zeros(0)]))])
+            found, sizes = split(group)
+            own, place, at, others = ids.of(found)
+            chances = [net.along(part, places) for part, places in _parts(*_windows(own, sizes), STEP)]
+            sums = np.concatenate([[0.0], np.cumsum(np.concatenate([*chances, np.zeros(0)]) + shares.take(place, mode="wrap"))])
             stop = np.cumsum(sizes)
             total = sums[stop] - sums[stop - sizes]
-            own, shared = stream[places], []
-            for text, a, b in zip(group, stop - sizes, stop):
-                at = np.flatnonzero(own[a:b] >= KNOWN)
-                w = words(text) if len(at) else []
-                shared.append([{"word": x, "times": n, "total": totals[ids[x] - KNOWN]} for x, n in Counter(w[i] for i in at).items()])
+            # the other words of each text, with how often they occur in it
+            pairs, times = np.unique(np.searchsorted(stop, at, "right") * len(found) + others.indices.to_numpy(), return_counts=True)
+            text, code = np.divmod(pairs, max(len(found), 1))
+            ends = np.searchsorted(text, np.arange(len(group) + 1)).astype(np.int32)
+            shared = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                [others.dictionary.take(pa.array(code)), pa.array(times, pa.int64()),
+                 pa.array(totals[shared_ids(others.dictionary)[code] - KNOWN], pa.float64())], fields=list(rare)))
             yield batch(schema, row=row + np.arange(len(group)), doc_id=rows.column(0), n_words=sizes, log_probability=total,
                         rare=shared)
             row += len(group)

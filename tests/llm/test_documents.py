@@ -1,6 +1,7 @@
 """Operators over documents against brute-force versions, and their defined results on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -190,6 +191,75 @@ def test_lm_score_tells_rare_words_apart(spark):
     assert {r["n_words"]: r["log_probability"] for r in lm_score.score(docs).collect()}.keys() == {7, lm_score.KNOWN}
 
 
+def test_lm_score_steps_touch_only_their_words():
+    """A step gives the plain gradient's network, and leaves the table of vectors where it is."""
+    def plain(p, near, target, squares, rate):
+        n, rows = len(target), np.arange(len(target))
+        h = np.tanh((p["vectors"][near] * p["places"]).sum(axis=1) + p["hidden"])
+        one, two = np.divmod(target, lm_score.SIDE)
+        scores = (h @ p["output"][:-1] + p["output"][-1]).reshape(n, 2, -1)
+        scores[:, 1] += p["second_bias"][one]
+        d = np.exp(scores) / np.exp(scores).sum(axis=2, keepdims=True) / -n
+        d[rows, 0, one] += 1 / n
+        d[rows, 1, two] += 1 / n
+        bias = np.zeros_like(p["second_bias"])
+        np.add.at(bias, one, d[:, 1])
+        d = d.reshape(n, -1)
+        dx = d @ p["output"][:-1].T * (1 - h * h)
+        vectors = np.zeros_like(p["vectors"])
+        np.add.at(vectors, near, dx[:, None] * p["places"])
+        output = np.concatenate([h.T @ d, np.append(d[:, :lm_score.SIDE].sum(axis=0), np.zeros(lm_score.SIDE))[None]])
+        for k, g in {"vectors": vectors, "places": (p["vectors"][near] * dx[:, None]).sum(axis=0), "hidden": dx.sum(axis=0),
+                     "output": output, "second_bias": bias}.items():
+            squares[k] = squares[k] + g * g
+            p[k] = p[k] + rate * g / (np.sqrt(squares[k]) + 1e-8)
+
+    draw = random.Random(5)
+    names = [f"w{i}" for i in range(300)]
+    texts = [" ".join(draw.choices(names, k=k)) for k in (1, 700, 2, 0, 5, 400)] + [None, " "] + ["w1"] * 40
+    ids = lm_score.Ids([w.encode() for w in names[:200]])
+    network = lm_score.Network.start(np.arange(lm_score.IDS, 0, -1.0), 3)
+    want = {k: v.astype(np.float64) for k, v in network.p.items()}
+    squares, wanted = ({k: np.full(s, 1e-4) for k, s in lm_score.Network.SHAPES.items()} for _ in range(2))
+    table = network.p["vectors"]
+    assert lm_score.learn_all(network, texts, ids, squares, 0.1) == 1148
+    gap, line = [lm_score.IDS] * 3, [lm_score.IDS] * 3
+    for t in texts:
+        line += [ids[w] for w in lm_score.words(t)] + gap
+    line = np.array(line)
+    at = np.flatnonzero(line != lm_score.IDS)
+    beside = np.array([-3, -2, -1, 1, 2, 3])
+    for i in range(0, len(at), lm_score.LEARN):
+        places = at[i:i + lm_score.LEARN]
+        plain(want, line[places[:, None] + beside], line[places], wanted, 0.1)
+    assert all(np.abs(network.p[k] - want[k]).max() < 1e-4 for k in want)
+    assert network.p["vectors"] is table
+
+
+def test_lm_score_common_words_need_no_join(spark, monkeypatch):
+    """Shares of words whose counts are sent to the tasks are those that the join gives."""
+    draw = random.Random(6)
+    names = [f"w{i}" for i in range(lm_score.KNOWN + 2000)]
+    texts = [" ".join([*names, *draw.choices(names[-2000:-500], k=400)]) for _ in range(3)] + [f"{names[-1]} once", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = lm_score.word_counts(docs.select("text"))
+    known, totals = [w.encode() for w in names[:lm_score.KNOWN]], np.full(lm_score.IDS - lm_score.KNOWN, 10.0)
+    sent = lm_score._common(counts, known, totals)
+    assert {w.as_py().decode() for w in sent["word"]} == set(names[lm_score.KNOWN:])
+    model = known, lm_score.Network.start(np.ones(lm_score.IDS), 3)
+    got = {r["doc_id"]: r["log_probability"] for r in lm_score.score(docs, model, counts=counts).collect()}
+    monkeypatch.setattr(lm_score, "COMMON", 1)
+    joined = {r["doc_id"]: r["log_probability"] for r in lm_score.score(docs, model, counts=counts).collect()}
+    assert got.keys() == joined.keys() and all(abs(got[i] - joined[i]) < 1e-6 * max(1, abs(joined[i])) for i in got)
+
+
+def test_lm_score_splits_as_bytes_do():
+    texts = ["", None, " \t\n", "a  B c\x0bd\x0ce", " x ", "\u00c9t\u00e9\u00a0\u2003z\x1cy\x85", "one"]
+    found, sizes = lm_score.split(texts)
+    assert found.to_pylist() == [w for t in texts for w in lm_score.words(t)]
+    assert sizes.tolist() == [len(lm_score.words(t)) for t in texts]
+
+
 def test_lm_score_odd_rows(odd, none):
     rows = lm_score.score(odd).collect()
     assert len(rows) == 11
