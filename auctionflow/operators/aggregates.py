@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auctionflow.functions import int_div
+from auctionflow.operators import packed
 from auctionflow.operators.running import PIECE, expand, running, trailing
 from auctionflow.session import store
 
@@ -39,7 +40,12 @@ def running_word_counts(occurrences: DataFrame) -> DataFrame:
 
 
 def running_diffs(changes: DataFrame) -> DataFrame:
-    """(time, word, n): the word's count after all changes of one time, for signed changes."""
+    """(time, word, n): the word's count after all changes of one time, for signed changes.
+
+    Integers are moved packed; other times and changes a row each.
+    """
+    if packed.packable(changes):
+        return packed.running_sums(changes)
     net = changes.groupBy("word", "time").agg(F.sum("diff").alias("diff")).filter("diff <> 0")
     return running(net, ["word"], ["time"], {"n": ("sum", "diff")}).select("time", "word", "n")
 

@@ -133,10 +133,10 @@ def wordcount_running(spark, d):
 
 def wordcount_diffs(spark, d):
     """Words come with their document and go again a hundred documents later."""
-    w = _words(spark, d)
-    come = w.select("word", "time", F.lit(1).cast("bigint").alias("diff"))
-    go = w.select("word", (F.col("time") + 100).alias("time"), F.lit(-1).cast("bigint").alias("diff"))
-    return A.running_diffs(come.unionByName(go))
+    one = F.lit(1).cast("bigint")
+    come = F.struct("time", one.alias("diff"))
+    go = F.struct((F.col("time") + 100).alias("time"), (-one).alias("diff"))
+    return A.running_diffs(_words(spark, d).select("word", F.inline(F.array(come, go))))
 
 
 def compact_diffs(spark, d):
